@@ -115,6 +115,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lanes = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = sorted(set(rows.stat.approxQuantile("doc_id", [k / lanes for k in range(1, lanes)], 0.2 / lanes)))
+    edges = edges or [0.0]  # an empty table, or one without ids
     bucket = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_place", outputCol="_bucket")
     rows = bucket.transform(rows.withColumn("_place", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
     lane = F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(F.lit(len(edges)) - F.col("_bucket").cast("int"))

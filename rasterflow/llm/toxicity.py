@@ -62,7 +62,7 @@ class Folder:
         try:
             folded = [self.met[w] for w in words]
         except KeyError:
-            new = set(words) - self.met.keys()
+            new = {w for w in set(words) if w not in self.met}
             if len(self.met) + len(new) > HELD:
                 self.met, new = {}, set(words)
             self.met.update((w, fold_word(w)) for w in new)
