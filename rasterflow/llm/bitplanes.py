@@ -31,7 +31,7 @@ MAGIC = b"PLN1"
 CHUNK_IDS = 1 << 16
 END_ID = 2
 #: Entries that a worker keeps of what it has encoded; all go when there are more.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -151,9 +151,9 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, which sees each piece of text once.
 
     The vocabulary's rules drop white space, and no piece spans it, so a text's ids are
-    those of its white-space-separated words in order. Words of plain Latin characters are
-    cut further, into the runs that the vocabulary's own rule makes of them; other words
-    go to the library whole. Only what was not met before reaches the library.
+    those of its white-space-separated words in order. Plain Latin text is lowered and cut
+    into the runs that the vocabulary's own rule makes of it; any other word goes to the
+    library whole. Only what was not met before reaches the library.
     """
 
     def __init__(self, vocabulary: str):
@@ -165,30 +165,35 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.tokenizer.encode_special_tokens = True
-        self.plain = re.compile(rf"[!-~{PLAIN}]+").fullmatch
-        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{PLAIN}]+|[0-9]|[^{PLAIN}0-9]+").findall
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.plain = re.compile(rf"[\t-\r -~{PLAIN}]*").fullmatch
+        self.pieces = re.compile(rf"[{PLAIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{PLAIN}0-9\t-\r ]+").findall
+        self.met: dict[str, bytes] = {}
+
+    def cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.plain(text):
+            return self.pieces(text.lower())
+        words = [w.decode() for w in text.encode().split()]  # bytes split at ASCII white space only
+        return [p for w in words for p in (self.pieces(w.lower()) if self.plain(w) else [w])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as 32-bit little-endian numbers; null is empty."""
-        split = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space only
-        new = {w for words in split for w in words if w not in self.words}
+        cut = [self.cut(t) for t in texts]
+        new = {p for p in set().union(*cut) if p not in self.met}
         if new:
-            if len(self.words) + len(new) > CACHE:
-                self.words = {}
-                new = {w for words in split for w in words}
-            cut = {w: self.pieces(s.lower()) if self.plain(s := w.decode()) else [s] for w in new}
-            if len(self.parts) > CACHE:
-                self.parts = {}
-            missing = list({p for c in cut.values() for p in c if p not in self.parts})
-            for at in range(0, len(missing), 5000):
-                some = missing[at : at + 5000]
-                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-            self.words.update((w, b"".join([self.parts[p] for p in c])) for w, c in cut.items())
-        look = self.words.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+            if len(self.met) + len(new) > CACHE:
+                self.met, new = {}, set().union(*cut)
+            order = list(new)
+            for at in range(0, len(order), 5000):
+                some = order[at : at + 5000]
+                found = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+                flat = np.array([i for ids in found for i in ids], dtype="<u4").tobytes()
+                at = 0
+                for p, ids in zip(some, found, strict=True):
+                    self.met[p] = flat[at : (at := at + 4 * len(ids))]
+        look = self.met.__getitem__
+        return [b"".join(map(look, pieces)) for pieces in cut]
 
 
 def write_planes(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, kind: str = "byte", chunk_ids: int = CHUNK_IDS) -> DataFrame:
