@@ -1,4 +1,8 @@
-"""Helpers on whole DataFrames: written tables, distributed ranks, size checks."""
+"""Helpers on whole DataFrames: written tables, distributed ranks.
+
+Joins carry a broadcast hint only where the side's size is bounded by construction (one row,
+bin edges, rank offsets). Elsewhere Spark decides at run time by the side's real size.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Dimension tables (encoders, class lists, bin edges, cuts) are broadcast up to this many rows.
-SMALL_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise Spark joins it by shuffling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def text_digest(*parts: Column | str | int) -> Column:
     """Hex md5 of the parts joined by ``|``: the source of all seeded orders."""
     return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
@@ -53,8 +50,9 @@ def digest_rank(df: DataFrame, seed: int | str, key: Column, scope: list[str] |
     before = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*scope, "_bucket").orderBy("_digest", "_key")))
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*scope, "_bucket"]]
-    joined = inside.alias("r").join(small(offsets).alias("o"), on)
+    on = [F.col("r._bucket") == F.col("o._bucket"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in scope]]
+    # without a scope there are 4096 offsets at most; with one their size decides
+    joined = inside.alias("r").join((offsets if scope else F.broadcast(offsets)).alias("o"), on)
     return joined.select(*[F.col(f"r.{c}") for c in df.columns if c != out], (F.col("r._row") + F.col("o._before")).alias(out))
 
 
@@ -74,5 +72,5 @@ def value_rank(df: DataFrame, value: str, ties: str, out: str = "rank", lanes: i
     before = Window.orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)  # a row for each lane
     offsets = counts.select("_lane", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_lane").orderBy(F.col(value).asc_nulls_first(), ties)))
-    joined = inside.join(small(offsets), "_lane")
+    joined = inside.join(offsets, "_lane")
     return joined.select(*[c for c in df.columns if c != out], (F.col("_row") + F.col("_before")).alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import small
+
 
 STEPS = {"month": "INTERVAL 1 MONTH", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "quarter": "INTERVAL 3 MONTH"}
 
@@ -123,11 +123,11 @@ def feed(tiles: DataFrame, tile_labels: DataFrame, split: DataFrame, encoder: Da
     tiles whose labels are all of the ignored class are left out.
     """
     wanted = split.where(F.col("target") == target).select("path").distinct()
-    rows = select_bins(tiles, *bins).join(small(wanted), "path", "left_semi")
+    rows = select_bins(tiles, *bins).join(wanted, "path", "left_semi")
     if scaled:
         rows = rows.withColumn("values", F.transform("values", lambda v: v / 10000.0))
     table = F.broadcast(encoder.agg(F.map_from_entries(F.collect_list(F.struct(F.col("raw_id").cast("int"), F.col("class_id").cast("int")))).alias("_classes")))
-    labels = tile_labels.join(small(wanted), "path", "left_semi").join(table, F.lit(True))
+    labels = tile_labels.join(wanted, "path", "left_semi").join(table, F.lit(True))
     labels = labels.withColumn("labels", F.transform("labels", lambda v: F.coalesce(F.try_element_at(F.col("_classes"), v.cast("int")), F.lit(0)))).drop("_classes")
     if skip_empty:
         labels = labels.where(F.exists("labels", lambda v: v != 0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import blend_weight, class_weight, prior_logit
-from ..functions.frames import small
+
 
 
 def encoder_table(spark: SparkSession, labels: list[dict]) -> DataFrame:
@@ -23,13 +23,13 @@ def encoder_table(spark: SparkSession, labels: list[dict]) -> DataFrame:
 def remap(df: DataFrame, encoder: DataFrame, raw: str, out: str = "class_id") -> DataFrame:
     """``df`` with the class of a raw id; ids that aren't listed are class 0."""
     table = encoder.select(F.col("raw_id").alias("_raw"), F.col("class_id").alias("_class"))
-    return df.join(small(table), df[raw] == table["_raw"], "left").withColumn(out, F.coalesce("_class", F.lit(0))).drop("_raw", "_class")
+    return df.join(table, df[raw] == table["_raw"], "left").withColumn(out, F.coalesce("_class", F.lit(0))).drop("_raw", "_class")
 
 
 def with_class_names(df: DataFrame, classes: DataFrame, raw: str, out: str = "class_name") -> DataFrame:
     """``df`` with the name of a raw id, blank where there is none."""
     table = classes.select(F.col("raw_id").alias("_raw"), F.col("name").alias("_name")).dropDuplicates(["_raw"])
-    return df.join(small(table), df[raw] == table["_raw"], "left").withColumn(out, F.coalesce("_name", F.lit(""))).drop("_raw", "_name")
+    return df.join(table, df[raw] == table["_raw"], "left").withColumn(out, F.coalesce("_name", F.lit(""))).drop("_raw", "_name")
 
 
 def class_counts(labels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -65,7 +65,7 @@ def class_frequencies(counts: DataFrame, encoder: DataFrame, parcel: bool = True
     sums = remap(counts, encoder, label).groupBy("class_id").agg(F.sum("n").alias("_n"))
     classes = encoder.select("class_id").union(encoder.sparkSession.range(1).select(F.lit(0).alias("class_id"))).distinct()
     n = F.when((F.col("class_id") == 0) & F.lit(parcel), 0).otherwise(F.coalesce("_n", F.lit(0)))
-    rows = classes.join(small(sums), "class_id", "left").select("class_id", n.cast("long").alias("n"))
+    rows = classes.join(sums, "class_id", "left").select("class_id", n.cast("long").alias("n"))
     whole = F.sum("n").over(Window.partitionBy())  # a row for each class
     return rows.withColumn("frequency", F.coalesce(F.try_divide(F.col("n").cast("double"), whole), F.lit(0.0)))
 

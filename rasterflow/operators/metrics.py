@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import small
+
 
 
 def confusion(df: DataFrame, by: list[str] | None = None, ignore: int | None = None, label: str = "label", predicted: str = "predicted", where=None) -> DataFrame:
@@ -23,7 +23,7 @@ def dense(matrix: DataFrame, classes: int, first: int = 0) -> DataFrame:
     """All pairs of classes ``first`` to ``classes - 1``, 0 where a pair doesn't occur."""
     ids = F.sequence(F.lit(first), F.lit(classes - 1))
     grid = matrix.sparkSession.range(1).select(F.explode(ids).alias("label")).select("label", F.explode(ids).alias("predicted"))
-    return grid.join(small(matrix), ["label", "predicted"], "left").select("label", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    return grid.join(matrix, ["label", "predicted"], "left").select("label", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def class_scores(matrix: DataFrame, by: list[str] | None = None, floor: int | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def masked_nll(df: DataFrame, weights: DataFrame | None = None, by: list[str] |
     """Mean of ``-w[label] * logp[label]`` over rows of other labels; divided by their number, not by weights."""
     rows = df.where(F.col(label) != ignore)
     if weights is not None:
-        rows = rows.join(small(weights.select(F.col("class_id").alias("_c"), F.col("weight").alias("_w"))), F.col(label) == F.col("_c"), "left")
+        rows = rows.join(weights.select(F.col("class_id").alias("_c"), F.col("weight").alias("_w")), F.col(label) == F.col("_c"), "left")
     w = F.coalesce("_w", F.lit(0.0)) if weights is not None else F.lit(1.0)
     return rows.groupBy(*(by or [])).agg(F.avg(-w * F.element_at(logp, F.col(label) + 1)).alias("loss"))
 
@@ -76,7 +76,7 @@ def run_summary(metrics: DataFrame, monitored: str, by: list[str] | None = None,
     v = F.col(value).cast("double")
     rows = metrics.where(v.isNotNull() & ~F.isnan(v))
     best = rows.where(F.col(metric) == monitored).groupBy(*by).agg(F.max_by(epoch, F.struct(v, -F.col(epoch))).alias("_best"))
-    best = F.broadcast(best) if not by else small(best)
+    best = F.broadcast(best) if not by else best
     joined = rows.join(best, by, "left") if by else rows.join(best, F.lit(True), "left")
     return joined.groupBy(*by, metric).agg(F.max(v).alias("best"), F.max_by(v, F.col(epoch)).alias("last"), F.max(F.when(F.col(epoch) == F.col("_best"), v)).alias("at_best"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import small, text_digest
+from ..functions.frames import text_digest
 from .metrics import confusion, scores
 
 
@@ -23,7 +23,7 @@ def loss_score(pred: DataFrame, by: list[str], weights: DataFrame | None = None,
     """
     rows = pred
     if weights is not None:
-        rows = pred.join(small(weights.select(F.col("class_id").alias("_c"), F.col("weight").alias("_w"))), F.col(label) == F.col("_c"), "left")
+        rows = pred.join(weights.select(F.col("class_id").alias("_c"), F.col("weight").alias("_w")), F.col(label) == F.col("_c"), "left")
     w = F.coalesce("_w", F.lit(0.0)) if weights is not None else F.lit(1.0)
     return _per_sample(rows, by, -w * F.element_at(logp, F.col(label) + 1), ignore, mask_numerator, label, out)
 

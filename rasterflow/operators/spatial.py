@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import small
+
 
 #: The WGS 84 ellipsoid and the UTM grid.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EAST, FALSE_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
@@ -91,7 +91,7 @@ def boxes_touching(boxes: DataFrame, others: DataFrame, cell: float, columns: tu
     keyed = boxes.withColumn("_cells", cells_of(*map(F.col, columns), cell)).withColumn("_c", F.explode("_cells")).drop("_cells")
     cells = others.select(*columns, F.explode(cells_of(*map(F.col, columns), cell)).alias("_c"))
     meet = (mine[0] <= theirs[1]) & (mine[1] >= theirs[0]) & (mine[2] <= theirs[3]) & (mine[3] >= theirs[2])
-    hit = keyed.alias("b").join(small(cells).alias("o"), (F.col("b._c") == F.col("o._c")) & meet, "left_semi")
+    hit = keyed.alias("b").join(cells.alias("o"), (F.col("b._c") == F.col("o._c")) & meet, "left_semi")
     return hit.drop("_c").distinct()
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import digest_rank, small, text_digest, value_rank
+from ..functions.frames import digest_rank, text_digest, value_rank
 from .rules import random_rules
 
 Targets = list[dict]
@@ -73,7 +73,7 @@ def stratified_split(df: DataFrame, key: str, stratum: str, targets: Targets, se
         table = table.unionAll(p)
     ranked = digest_rank(df, f"{seed}|strata", F.col(key), [stratum], "_rank")
     inside = F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi"))
-    return ranked.join(small(table), inside, "left").select(*df.columns, F.col("_t").alias("target"))
+    return ranked.join(table, inside, "left").select(*df.columns, F.col("_t").alias("target"))
 
 
 def apply_splits(split: DataFrame, rules: list[dict], seed: int, key: str = "path") -> DataFrame:
@@ -84,22 +84,32 @@ def apply_splits(split: DataFrame, rules: list[dict], seed: int, key: str = "pat
     """
     from .strata import bin_equal_width, merge_singletons, stratum_key
 
-    done = split.where("target IS NOT NULL")
-    for loc, rule in sorted(random_rules(rules).items()):
-        here = F.array(*[F.lit(i) for i in loc]).cast("array<int>")
-        rows = split.where(F.col("target").isNull() & (F.col("rule_loc") == here)).drop("target")
-        scope = "-".join(map(str, loc))
-        if "stratify_on" in rule:
-            names = []
-            for f in rule["stratify_on"]:
-                column, bins = (f, None) if isinstance(f, str) else (f["column"], f.get("bins", f.get("n_bins")))
-                names.append(f"strat_{scope}_{column}")
-                rows = bin_equal_width(rows, column, bins, names[-1])
-            rows = stratum_key(merge_singletons(rows, names), names, "_stratum")
-            rows = stratified_split(rows, key, "_stratum", rule["target"], seed).drop("_stratum", *names)
-        else:
-            rows = random_split(rows, key, scope, rule["target"], seed)
-        done = done.unionByName(rows)
+    wanted = sorted(random_rules(rules).items())
+    plain = [(loc, r) for loc, r in wanted if "stratify_on" not in r]
+    loc = F.concat_ws("-", F.transform("rule_loc", lambda i: i.cast("string")))
+    strat = ["-".join(map(str, at)) for at, r in wanted if "stratify_on" in r]
+    simple = split.where(F.col("target").isNotNull() | ~loc.isin(strat)) if strat else split
+    # all unstratified rules in one pass: rank and count within the rule's rows
+    ranked = digest_rank(simple.withColumn("_loc", F.when(F.col("target").isNull(), loc)), seed, F.concat_ws("|", loc, F.col(key)), ["_loc"], "_rank")
+    counts = simple.where("target IS NULL").groupBy(loc.alias("_at")).agg(F.count("*").alias("_n"))
+    rows = ranked.join(F.broadcast(counts.where(F.col("_at").isin(["-".join(map(str, at)) for at, _ in plain]))), F.col("_loc") == F.col("_at"), "left")
+    target = F.when(F.col("target").isNotNull(), F.col("target"))
+    for at, rule in plain:
+        for name, upper in fraction_boundaries(rule["target"]):
+            target = target.when((F.col("_at") == "-".join(map(str, at))) & (F.col("_rank") <= F.rint(F.lit(upper) * F.col("_n"))), name)
+    done = rows.withColumn("target", target).select(*split.columns)
+    for at, rule in wanted:
+        if "stratify_on" not in rule:
+            continue
+        scope = "-".join(map(str, at))
+        part = split.where(F.col("target").isNull() & (loc == scope)).drop("target")
+        names = []
+        for f in rule["stratify_on"]:
+            column, bins = (f, None) if isinstance(f, str) else (f["column"], f.get("bins", f.get("n_bins")))
+            names.append(f"strat_{scope}_{column}")
+            part = bin_equal_width(part, column, bins, names[-1])
+        part = stratum_key(merge_singletons(part, names), names, "_stratum")
+        done = done.unionByName(stratified_split(part, key, "_stratum", rule["target"], seed).drop("_stratum", *names))
     return done.dropna(subset=["target"])
 
 
@@ -128,7 +138,7 @@ def subsample(df: DataFrame, key: str, fractions: dict[str, float], seed: int, t
     pairs = F.create_map(*[F.lit(x) for p in fractions.items() for x in p])
     limits = df.groupBy(target).agg(F.count("*").alias("_n")).select(F.col(target).alias("_t"), F.rint(F.try_element_at(pairs, F.col(target)) * F.col("_n")).alias("_most"))
     ranked = digest_rank(df, f"{seed}|subsample", F.col(key), [target], "_rank")
-    joined = ranked.join(small(limits), F.col(target).eqNullSafe(F.col("_t")), "left")
+    joined = ranked.join(limits, F.col(target).eqNullSafe(F.col("_t")), "left")
     return joined.where(F.col("_most").isNull() | (F.col("_rank") <= F.col("_most"))).select(*df.columns)
 
 
@@ -172,4 +182,4 @@ def first_patches(tiles: DataFrame, path: str = "path", n: int = 6) -> DataFrame
 
 def keep_listed(df: DataFrame, listed: DataFrame, key: str, order: Column | str) -> DataFrame:
     """Rows whose key is listed, in their own order."""
-    return df.join(small(listed.select(key).distinct()), key, "left_semi").orderBy(order)
+    return df.join(listed.select(key).distinct(), key, "left_semi").orderBy(order)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import small
+
 
 
 def bin_equal_width(df: DataFrame, column: str, bins: int | None = None, out: str | None = None) -> DataFrame:
@@ -76,5 +76,5 @@ def merge_singletons(df: DataFrame, columns: list[str]) -> DataFrame:
         table = grouped.applyInPandas(_merge_map(column), f"{kinds}, _new int")
         table = table.select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate((*above, column))], "_new")
         on = [F.col(c).eqNullSafe(F.col(f"_k{j}")) for j, c in enumerate((*above, column))]
-        df = df.join(small(table), on, "left").withColumn(column, F.col("_new")).drop("_new", *[f"_k{j}" for j in range(i + 1)])
+        df = df.join(table, on, "left").withColumn(column, F.col("_new")).drop("_new", *[f"_k{j}" for j in range(i + 1)])
     return df

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.frames import digest_rank, shared_dir, small
+from .functions.frames import digest_rank, shared_dir
 from .operators import composite as co
 from .operators import encode as en
 from .operators import metrics as me
@@ -750,6 +750,6 @@ def l1_pixel_classifier(spark, sf):
     """A weighted pixel classifier, fitted on the train split and scored on the rest; its coefficients aren't for SQL."""
     rows = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(12)])
     rows = rows.withColumn("target", F.when(F.col("vec_id") % 4 == 0, "val").otherwise("train"))
-    train = rows.where("target = 'train'").join(small(weights(spark)), F.col("label") == F.col("class_id"))
+    train = rows.where("target = 'train'").join(weights(spark), F.col("label") == F.col("class_id"))
     model = jobs.fit_classifier(train, [f"f{i}" for i in range(12)], weight="weight", maxIter=20)
     return _rounded(me.scores(me.confusion(jobs.predict(model, rows.where("target = 'val'")), ignore=0)))
