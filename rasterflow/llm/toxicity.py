@@ -29,8 +29,10 @@ from .digest import add_columns
 
 #: Labelled rows to learn from, patterns kept, shortest and longest beginning of a word.
 SAMPLE, MAX_PATTERNS, SHORTEST, LONGEST = 20_000, 20_000, 3, 8
-#: A pattern's log odds less this many standard errors must exceed MARGIN.
-SURE, MARGIN = 2.6, 0.7
+#: A pattern's log odds must exceed PURE, and less SURE standard errors still MARGIN.
+PURE, SURE, MARGIN = 2.2, 2.6, 0.7
+#: A beginning goes if one longer one is in this share of its toxic texts.
+SAME = 0.9
 #: Features whose counts a task holds before it passes them on, and folded words it keeps.
 HELD = 300_000
 
@@ -91,6 +93,16 @@ def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> tupl
     return value, value - SURE * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
 
 
+def without_shorter(features: list) -> list:
+    """Beginnings of words whose toxic texts nearly all come from one longer beginning are left out: the longer one says the same and hits less else."""
+    toxic = {r["feature"]: r["t0"] + r["t1"] for r in features if not r["feature"].endswith(" ")}
+    longer: dict[str, int] = {}
+    for f, t in toxic.items():
+        for k in range(1 + SHORTEST, len(f)):
+            longer[f[:k]] = max(longer.get(f[:k], 0), t)
+    return [r for r in features if r["feature"].endswith(" ") or longer.get(r["feature"], 0) < SAME * toxic[r["feature"]]]
+
+
 class Lexicon:
     """Weighted patterns and exceptions; ``coefficients`` turn evidence into a score."""
 
@@ -114,22 +126,28 @@ class Lexicon:
         return self.automaton
 
     def evidence(self, folded: str) -> tuple[float, float]:
-        """The sum of weights of what matches, the strongest at each place, outside exceptions; and per 100 words."""
+        """The weights of what matches outside exceptions, and the same for each 100 words.
+
+        At each place the strongest pattern counts; n matches of a pattern count ``1 + ln(n)`` times.
+        """
         automaton = self.automaton if self.automaton is not None else self._build()
         if not len(automaton):
             return 0.0, 0.0
-        hits: dict[int, float] = {}
+        hits: dict[int, tuple[float, int]] = {}
         free: list[tuple[int, int]] = []
         for end, (length, weight) in automaton.iter(folded):
             start = end - length + 1
             if weight:
-                hits[start] = max(hits.get(start, 0.0), weight)
+                hits[start] = max(hits.get(start, (0.0, 0)), (weight, length))
             else:
                 free.append((start, end))
         for a, z in free:
             for at in [h for h in hits if a <= h < z]:
                 del hits[at]
-        total = sum(hits.values())
+        found: dict[str, list[float]] = {}
+        for at, (weight, length) in hits.items():
+            found.setdefault(folded[at : at + length].rstrip(), []).append(weight)
+        total = sum(max(w) * (1 + math.log(len(w))) for w in found.values())
         return total, 100 * total / max(1, folded.count(" ") - 1)
 
     def score(self, folded: str) -> float:
@@ -212,12 +230,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     lean = F.log((F.col("t0") + F.col("t1") + 0.5) / (all_t + 1.0)) - F.log((F.col("c0") + F.col("c1") + 0.5) / (all_c + 1.0))
     strong = features.where("t0 + t1 >= 3").where(lean > MARGIN).withColumn("lean", lean).orderBy(F.desc(F.col("lean") * F.sqrt(F.col("t0") + F.col("t1"))), "feature").limit(MAX_PATTERNS).collect()
 
+    strong = without_shorter(strong)
+
     def lexicon(folds: tuple[int, ...]) -> dict[str, float]:
         n_t, n_c = sum(size(f, 1) for f in folds), sum(size(f, 0) for f in folds)
         out = {}
         for r in strong:
             value, sure = log_odds(sum(r[f"t{f}"] for f in folds), sum(r[f"c{f}"] for f in folds), n_t, n_c)
-            if sure > MARGIN:
+            if value > PURE and sure > MARGIN:
                 out[r["feature"]] = sure
         return out
 
