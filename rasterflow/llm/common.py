@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Arrow batches stop at either bound, so that a run of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Bytes of text that are taken apart at once.
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,6 +88,33 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[
     return df.mapInArrow(f, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have ``most`` bytes together, or of one longer text.
+
+    Lists of the words or ids of a run stay small however texts are ordered.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has, with more underscores in front where needed."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

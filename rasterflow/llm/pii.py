@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 KEY = "surrogates"
 BROADCAST_ROWS = 20_000
@@ -59,6 +59,11 @@ SYLLABLES = {
 ENDINGS = {"latin": ("n", "lia", "ski"), "cyrillic": ("н", "ня", "ский"), "greek": ("ς", "νια", "κης")}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def between(lo: int, column: Column, n: int) -> Column:
     return F.pmod(column, F.lit(n)) + lo
 
@@ -99,13 +104,17 @@ def hexadecimal(s: Column, h: Column) -> Column:
 
 def luhn_sum(digits: Column, shift: int) -> Column:
     """Luhn's sum; the last digit is doubled if ``shift`` is 1."""
-    n = F.length(digits)
 
-    def add(s: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int") * F.when(F.pmod(i + shift, F.lit(2)) == 1, 2).otherwise(1)
-        return s + d - F.when(d > 9, 9).otherwise(0)
+    def total(s: Column) -> Column:
+        n = F.length(s)
+
+        def add(t: Column, i: Column) -> Column:
+            doubled = F.pmod(i + shift, F.lit(2)) == 1
+            return t + let(F.substring(s, n - i, F.lit(1)).cast("int") * F.when(doubled, 2).otherwise(1), lambda d: d - F.when(d > 9, 9).otherwise(0))
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+    return let(digits, total)
 
 
 def mod97(s: Column) -> Column:
@@ -160,61 +169,70 @@ def name_word(kind: Column, canon: Column, h: Column) -> Column:
 
 def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     """The canonical form that stands for ``canon`` at a draw."""
-    h = stream(key, kind, canon, draw)
-    digit = lambda i: pick("0123456789", number(h, i))
-    n = F.length(canon)
-    digits = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), digit), "")
-    domain = stream(key, "domain", F.substring_index(canon, "@", -1))
-    email = F.concat(like(F.substring_index(canon, "@", 1), h), F.lit("@mail"), F.substring(domain, 1, 8), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), between(1, number(domain, 5), 3)))
-    north = F.concat(F.lit("1"), between(2, number(h, 40), 8).cast("string"), F.substring(digits, 2, 2), between(2, number(h, 41), 8).cast("string"), F.substring(digits, 4, 6))
-    phone = F.when((n == 11) & canon.startswith("1"), north).otherwise(F.concat(F.substring(canon, 1, 2), F.substring(digits, F.lit(3), n)))
-    body = F.concat(F.substring(canon, 1, 1), F.substring(digits, F.lit(2), n - 2))
-    card = F.concat(body, F.pmod(-luhn_sum(body, 1), F.lit(10)).cast("string"))
-    rest = like(F.substring(canon, F.lit(5), n), h)
-    iban = F.concat(F.substring(canon, 1, 2), F.lpad((F.lit(98) - mod97(F.concat(rest, F.substring(canon, 1, 2), F.lit("00")))).cast("string"), 2, "0"), rest)
-    octets = F.array_join(F.array(*[between(1, number(h, i, 4), 254).cast("string") for i in range(4)]), ".")
-    secret = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal(canon, h)).otherwise(like(canon, h))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "phone", phone)
-        .when(kind == "card", card)
-        .when(kind == "ssn", F.concat(between(1, number(h, 40), 5).cast("string"), F.substring(digits, 2, 8)))
-        .when(kind == "iban", iban)
-        .when(kind == "ipv4", octets)
-        .when(kind == "ipv6", hexadecimal(canon, h))
-        .when(kind == "key", F.concat(F.lit("AKIA"), like(F.substring(canon, 5, 16), h)))
-        .when(kind == "secret", secret)
-        .otherwise(name_word(kind, canon, h))
-    )
+
+    def made(h: Column, digits: Column) -> Column:
+        n = F.length(canon)
+        email = let(
+            stream(key, "domain", F.substring_index(canon, "@", -1)),
+            lambda d: F.concat(like(F.substring_index(canon, "@", 1), h), F.lit("@mail"), F.substring(d, 1, 8), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), between(1, number(d, 5), 3))),
+        )
+        north = F.concat(F.lit("1"), between(2, number(h, 40), 8).cast("string"), F.substring(digits, 2, 2), between(2, number(h, 41), 8).cast("string"), F.substring(digits, 4, 6))
+        phone = F.when((n == 11) & canon.startswith("1"), north).otherwise(F.concat(F.substring(canon, 1, 2), F.substring(digits, F.lit(3), n)))
+        card = let(F.concat(F.substring(canon, 1, 1), F.substring(digits, F.lit(2), n - 2)), lambda b: F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string")))
+        country = F.substring(canon, 1, 2)
+        iban = let(like(F.substring(canon, F.lit(5), n), h), lambda rest: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest))
+        octets = F.array_join(F.array(*[between(1, number(h, i, 4), 254).cast("string") for i in range(4)]), ".")
+        secret = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal(canon, h)).otherwise(like(canon, h))
+        return (
+            F.when(kind == "email", email)
+            .when(kind == "phone", phone)
+            .when(kind == "card", card)
+            .when(kind == "ssn", F.concat(between(1, number(h, 40), 5).cast("string"), F.substring(digits, 2, 8)))
+            .when(kind == "iban", iban)
+            .when(kind == "ipv4", octets)
+            .when(kind == "ipv6", hexadecimal(canon, h))
+            .when(kind == "key", F.concat(F.lit("AKIA"), like(F.substring(canon, 5, 16), h)))
+            .when(kind == "secret", secret)
+            .otherwise(name_word(kind, canon, h))
+        )
+
+    tens = F.sequence(F.lit(0), F.lit(31))
+    return let(stream(key, kind, canon, draw), lambda h: let(F.array_join(F.transform(tens, lambda i: pick("0123456789", number(h, i))), ""), lambda d: made(h, d)))
 
 
 def fill(mention: Column, canon: Column) -> Column:
     """The letters and digits of ``mention`` replaced in order by the last characters of ``canon``."""
     have = F.length(F.regexp_replace(mention, "[^0-9A-Za-z]", ""))
-    own = F.substring(canon, F.greatest(F.length(canon) - have + 1, F.lit(1)), have)
-
-    def add(s: Column, c: Column) -> Column:
-        takes = c.rlike("[0-9A-Za-z]")
-        return F.struct((s["i"] + takes.cast("int")).alias("i"), F.concat(s["out"], F.when(takes, F.substring(own, s["i"] + 1, F.lit(1))).otherwise(c)).alias("out"))
-
-    return F.aggregate(chars(mention), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), add)["out"]
-
-
-def replaced(mention: Column, draw_of: Callable[[Column, Column], Column], key: str) -> Column:
-    """What stands for a mention; the mention itself if it is no entity."""
-    kind = kind_of(mention)
-    named = units(mention, kind)
-    new = F.transform(named, lambda u: surrogate(u["kind"], u["canon"], draw_of(u["kind"], u["canon"]), key))
-    one = F.element_at(new, 1)
-    title = F.regexp_extract(mention, rf"^((?:{TITLES})\.? )", 1)
-    return (
-        F.when(kind.isNull(), mention)
-        .when(kind == "email", F.when(mention == F.upper(mention), F.upper(one)).otherwise(one))
-        .when(kind.isin("phone", "card", "ssn", "iban"), fill(mention, one))
-        .when(kind == "secret", F.concat(F.regexp_extract(mention, r"^(.*?)[A-Za-z0-9+/_\-]+$", 1), one))
-        .when(kind == "name", F.concat(title, F.array_join(F.transform(new, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")))
-        .otherwise(one)
-    )
+
+    def put(own: Column) -> Column:
+        def add(s: Column, c: Column) -> Column:
+            takes = c.rlike("[0-9A-Za-z]")
+            return F.struct((s["i"] + takes.cast("int")).alias("i"), F.concat(s["out"], F.when(takes, F.substring(own, s["i"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+
+        return F.aggregate(chars(mention), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), add)["out"]
+
+    return let(F.substring(canon, F.greatest(F.length(canon) - have + 1, F.lit(1)), have), put)
+
+
+def replaced(found: Column, draw_of: Callable[[Column, Column], Column], key: str) -> Column:
+    """What stands for each mention of an array; a mention that is no entity stands for itself."""
+    kinds = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+    named = F.transform(kinds, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.when(x["k"].isNotNull(), units(x["m"], x["k"])).alias("u")))
+    new = F.transform(named, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.transform(x["u"], lambda u: surrogate(u["kind"], u["canon"], draw_of(u["kind"], u["canon"]), key)).alias("n")))
+
+    def form(x: Column) -> Column:
+        mention, kind, one = x["m"], x["k"], F.try_element_at(x["n"], F.lit(1))
+        title = F.regexp_extract(mention, rf"^((?:{TITLES})\.? )", 1)
+        return (
+            F.when(kind.isNull(), mention)
+            .when(kind == "email", F.when(mention == F.upper(mention), F.upper(one)).otherwise(one))
+            .when(kind.isin("phone", "card", "ssn", "iban"), fill(mention, one))
+            .when(kind == "secret", F.concat(F.regexp_extract(mention, r"^(.*?)[A-Za-z0-9+/_\-]+$", 1), one))
+            .when(kind == "name", F.concat(title, F.array_join(F.transform(x["n"], lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")))
+            .otherwise(one)
+        )
+
+    return F.transform(new, form)
 
 
 def mentions(text: Column) -> Column:
@@ -254,21 +272,22 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     whatever their names. An empty table gives an empty result.
     """
     again = dictionary(docs, text, key).where("draw > 0").select(F.concat_ws("|", "kind", "canon").alias("entity"), "draw")
-    rows = docs.select("*", mentions(F.col(text)).alias("_mentions"))
+    found, new, own, drawn, draws_ = fresh(docs, "_mentions", "_new", "_text", "_drawn", "_draws")
+    rows = docs.select("*", mentions(F.col(text)).alias(found))
     if again.isEmpty():
         draw_of = lambda kind, canon: F.lit(0)
     else:  # texts that mention an entity drawn again are joined with those entities, by the text's digest
-        rows = rows.withColumn("_text", F.when(F.size("_mentions") > 0, F.sha2(F.col(text), 256)))
-        named = rows.where("_text is not null").select("_text", F.explode(F.array_distinct("_mentions")).alias("m")).withColumn("k", kind_of(F.col("m"))).where("k is not null")
-        named = named.select("_text", F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("_text", F.concat_ws("|", "u.kind", "u.canon").alias("entity")).distinct()
-        draws = written(named.join(again, "entity").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias("_draws")), "draws")
+        rows = rows.withColumn(own, F.when(F.size(found) > 0, F.sha2(F.col(text), 256)))
+        named = rows.where(F.col(own).isNotNull()).select(F.col(own).alias("t"), F.explode(F.array_distinct(found)).alias("m")).withColumn("k", kind_of(F.col("m"))).where("k is not null")
+        named = named.select("t", F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("t", F.concat_ws("|", "u.kind", "u.canon").alias("entity")).distinct()
+        draws = written(named.join(again, "entity").groupBy(F.col("t").alias(drawn)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(draws_)), "draws")
         draws = F.broadcast(draws) if draws.count() <= BROADCAST_ROWS else draws
-        rows = rows.join(draws.withColumnRenamed("_text", "_drawn"), F.col("_text") == F.col("_drawn"), "left").drop("_text", "_drawn")
-        draw_of = lambda kind, canon: F.coalesce(F.try_element_at(F.col("_draws"), F.concat_ws("|", kind, canon)), F.lit(0))
-    rows = rows.withColumn("_new", F.transform("_mentions", lambda m: replaced(m, draw_of, key)))
-    between_ = F.split(F.col(text), ANY, -1)
-    whole = F.array_join(F.transform(between_, lambda part, i: F.concat(part, F.coalesce(F.try_element_at(F.col("_new"), i + 1), F.lit("")))), "")
-    out = rows.withColumn(text, F.when(F.size("_new") > 0, whole).otherwise(F.col(text)))
+        rows = rows.join(draws, F.col(own) == F.col(drawn), "left").drop(own, drawn)
+        draw_of = lambda kind, canon: F.coalesce(F.try_element_at(F.col(draws_), F.concat_ws("|", kind, canon)), F.lit(0))
+    rows = rows.withColumn(new, replaced(F.col(found), draw_of, key))
+    pieces = F.split(F.col(text), ANY, -1)
+    whole = F.array_join(F.transform(pieces, lambda part, i: F.concat(part, F.coalesce(F.try_element_at(F.col(new), i + 1), F.lit("")))), "")
+    out = rows.withColumn(text, F.when(F.size(new) > 0, whole).otherwise(F.col(text)))
     if count:
-        out = out.withColumn(count, F.size(F.filter("_mentions", lambda m: kind_of(m).isNotNull())))
+        out = out.withColumn(count, F.size(F.filter(found, lambda m: kind_of(m).isNotNull())))
     return out.select(*[f"`{c}`" for c in docs.columns if c != count], *[count] * bool(count))
