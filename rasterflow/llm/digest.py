@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import fresh, map_batches, written
 
 #: Digests with several members are broadcast up to this many (about 50 bytes each), else shuffled.
 BROADCAST_ROWS = 200_000
@@ -84,10 +84,11 @@ def resolve(rows: DataFrame, digest: str, text: str, differ: DataFrame, any_diff
     """``rows`` with fingerprints: the digest, and a number where bytes differed from the bucket's first."""
     if not any_differ:
         return rows.withColumn(out, F.col(digest))
-    canon = add_columns(rows, "_canon string", lambda c: [[canonical(t) for t in c[text].to_pylist()]])
-    named = differ.select(F.col("digest").alias("_d"), F.col("canon").alias("_c"), "number")
-    found = canon.join(named, (F.col(digest) == F.col("_d")) & (F.col("_canon") == F.col("_c")), "left")
-    return found.withColumn(out, F.when(F.col("number") > 0, F.concat_ws("-", digest, "number")).otherwise(F.col(digest))).drop("_canon", "_d", "_c", "number")
+    own, d, c, n = fresh(rows, "_canon", "_d", "_c", "_number")
+    canon = add_columns(rows, f"{own} string", lambda x: [[canonical(t) for t in x[text].to_pylist()]])
+    named = differ.select(F.col("digest").alias(d), F.col("canon").alias(c), F.col("number").alias(n))
+    found = canon.join(named, (F.col(digest) == F.col(d)) & (F.col(own) == F.col(c)), "left")
+    return found.withColumn(out, F.when(F.col(n) > 0, F.concat_ws("-", digest, n)).otherwise(F.col(digest))).drop(own, d, c, n)
 
 
 def exact_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", bits: int = 128) -> DataFrame:
@@ -97,10 +98,11 @@ def exact_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpr
     Null is empty, and empty and blank texts share a fingerprint. Repeated rows all stay;
     an empty table gives an empty result; a column named ``out`` is replaced.
     """
-    rows = with_digest(docs.drop(out), text, "_digest", bits)
-    many = written(rows.groupBy(F.col("_digest").alias("_many")).count().where("count > 1").select("_many"), "digests")
-    differ = written(collisions(members_of(rows, many, "_digest"), "_digest", text), "collisions")
-    return resolve(rows, "_digest", text, differ, not differ.isEmpty(), out).drop("_digest")
+    (name,) = fresh(docs, "_digest")
+    rows = with_digest(docs.drop(out), text, name, bits)
+    many = written(rows.groupBy(F.col(name).alias("_many")).count().where("count > 1").select("_many"), "digests")
+    differ = written(collisions(members_of(rows.select(name, text), many, name), name, text), "collisions")
+    return resolve(rows, name, text, differ, not differ.isEmpty(), out).drop(name)
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

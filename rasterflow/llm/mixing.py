@@ -61,32 +61,38 @@ def mix_copies(docs: DataFrame, source: str = "source", text: str = "text", size
     interchangeable and each has copies of its own. No row gets more than ``cap`` copies.
     An empty table gives an empty result. Other columns pass unchanged.
     """
-    names = docs.columns
-    sized = docs.withColumn("_size", F.coalesce(size if size is not None else word_count(F.col(text)), F.lit(0)).cast("long"))
-    hashed = sized.withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names if dict(docs.dtypes)[c] != "void" and "map<" not in dict(docs.dtypes)[c]]))
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(source).isNull(), F.col(source), F.col("_size"), F.col("_hash")]
-    placed = written(hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "mix-rows", compression="zstd")
-    part = F.shiftright("_at", 33)
-    same = F.col("p_source").eqNullSafe(F.col("_key"))
-    counts = placed.groupBy(F.col(source).alias("p_source"), part.alias("p_part")).agg(F.count("*").alias("n"), F.sum("_size").alias("words"), F.min("_at").alias("first"))
+    keep = docs.drop(*[c for c in docs.columns if c.lower() in ("_size", "_source_size", "_target", "_copies")])
+    packed = keep.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.coalesce(size if size is not None else word_count(F.col(text)), F.lit(0)).cast("long").alias("size"))
+    out = _copies(packed, weights, cap, seed)
+    return out.select("row.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("copies").alias("_copies"))
+
+
+def _copies(packed: DataFrame, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
+    """``(row, source, size)`` with ``source_size, target, copies``."""
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = packed.withColumn("hash", F.xxhash64(F.lit(seed), F.to_json("row")))
+    order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("hash")]
+    placed = written(hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-rows", compression="zstd")
+    part = F.shiftright("at", 33)
+    counts = placed.groupBy(F.col("source").alias("p_source"), part.alias("p_part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("at").alias("first"))
     counts = written(counts.withColumn("before", F.sum("n").over(Window.partitionBy("p_source").orderBy("p_part")) - F.col("n")), "mix-counts")
     sizes = counts.groupBy(F.col("p_source").alias("source")).agg(F.sum("words").alias("source_size"))
-    targets = source_targets(sizes, weights, cap).select(F.col("source").alias("_key"), "source_size", "target")
-    starts = counts.join(targets, same).select("p_part", "first", "before", "source_size", "target", F.col("p_source"))
+    targets = source_targets(sizes, weights, cap).select(F.col("source").alias("t_source"), "source_size", "target")
+    starts = counts.join(targets, F.col("p_source").eqNullSafe(F.col("t_source"))).select("p_source", "p_part", "first", "before", "source_size", "target")
     # a partition holds a contiguous range, so there are at most partitions + sources rows here
-    joined = placed.join(F.broadcast(starts) if counts.count() <= 100_000 else starts, (part == F.col("p_part")) & F.col(source).eqNullSafe(F.col("p_source")))
-    rank = F.col("before") + F.col("_at") - F.col("first")
+    joined = placed.join(F.broadcast(starts) if counts.count() <= 100_000 else starts, (part == F.col("p_part")) & F.col("source").eqNullSafe(F.col("p_source")))
+    rank = F.col("before") + F.col("at") - F.col("first")
     each = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    crossed = F.floor((rank + 1) * each + offset(F.col(source), seed)) - F.floor(rank * each + offset(F.col(source), seed))
-    return joined.select(*[f"`{c}`" for c in names], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.least(crossed, F.lit(cap)).cast("int").alias("_copies"))
+    start = offset(F.col("source"), seed)
+    crossed = F.floor((rank + 1) * each + start) - F.floor(rank * each + start)
+    return joined.select("row", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, possibly not at all."""
-    taken = mix_copies(docs, source, text, None, weights, cap, seed).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    taken = _copies(packed, weights, cap, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def unit_offset(source: str | None, seed: int) -> float:

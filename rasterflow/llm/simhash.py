@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import fresh, map_batches, written
 
 SEED = 42
 #: Hashes are summed in blocks of this many, so that a very long text needs little memory.
@@ -124,19 +124,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other. Repeated rows share a component and are all returned; an empty table gives an
     empty result. Other columns pass; those named like a result are replaced.
     """
-    keep = docs.drop(*[c for c in docs.columns if c.lower() in ("fingerprint", "component_id", "_fp", "_component")])
-    rows = written(fingerprints(keep, text, width, seed), "simhash")
-    return with_components(rows, doc_id, radius).withColumns({"fingerprint": F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id": F.col("_component")}).drop("_fp", "_component")
+    keep = docs.drop(*[c for c in docs.columns if c.lower() in ("fingerprint", "component_id")])
+    (fp,) = fresh(keep, "_fp")
+    rows = written(fingerprints(keep, text, width, seed, fp), "simhash")
+    return with_components(rows, doc_id, radius, fp, "component_id").withColumn("fingerprint", F.lower(F.lpad(F.hex(fp), 16, "0"))).drop(fp)
 
 
-def with_components(rows: DataFrame, doc_id: str, radius: int) -> DataFrame:
-    """``rows`` with ``_component``, from the fingerprints in ``_fp``."""
-    distinct = written(rows.groupBy("_fp").agg(F.min(doc_id).alias("first")), "fingerprints")
-    roots = connected_components(ball_links(distinct, "_fp", radius))
-    rooted = distinct.join(roots, distinct._fp == roots.node, "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("_component"))
-    labels = rooted.join(smallest, "root").select(F.col("_fp").alias("_key"), "_component")
-    return rows.join(labels, rows._fp == labels._key).drop("_key")
+def with_components(rows: DataFrame, doc_id: str, radius: int, fp: str = "_fp", out: str = "_component") -> DataFrame:
+    """``rows`` with the smallest id of their component in ``out``, from the fingerprints in ``fp``."""
+    distinct = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")), "fingerprints")
+    roots = connected_components(ball_links(distinct, "fp", radius))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("smallest"))
+    (key,) = fresh(rows, "_key")
+    labels = rooted.join(smallest, "root").select(F.col("fp").alias(key), F.col("smallest").alias(out))
+    return rows.join(labels, rows[fp] == labels[key]).drop(key)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, seed: int = SEED) -> DataFrame:
@@ -146,12 +148,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     with the smallest fingerprint and hash of its text). Texts without words are
     duplicates of each other by definition.
     """
-    rows = written(fingerprints(docs, text, width, seed), "simhash")
-    row = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    ids = written(rows.select(F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id"), "_fp", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), row.alias("_row")), "simhash-ids")
+    fp, row = fresh(docs, "_fp", "_row")
+    rows = written(fingerprints(docs, text, width, seed, fp), "simhash")
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    ids = written(rows.select(F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id"), F.col(fp).alias("_fp"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), place.alias("_row")), "simhash-ids")
     labelled = with_components(ids, "_id", radius).withColumn("_component", F.coalesce(F.col("_component").cast("string"), F.lit("none")))
     first = labelled.groupBy("_component").agg(F.min(F.struct("_null", "_id", "_fp", "_hash", "_row")).alias("x")).select("x._row")
-    gone = written(ids.select("_row").join(first, "_row", "left_anti"), "simhash-gone")
+    gone = written(ids.select("_row").join(first, "_row", "left_anti").withColumnRenamed("_row", row), "simhash-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.withColumn("_row", row).join(gone, "_row", "left_anti").drop("_row", "_fp")
+    return rows.withColumn(row, place).join(gone, row, "left_anti").drop(row, fp)

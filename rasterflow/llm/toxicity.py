@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import fresh, map_batches, written
 from .digest import add_columns
 
 #: Labelled rows to learn from, patterns kept, shortest and longest beginning of a word.
@@ -34,7 +34,7 @@ PURE, SURE, MARGIN = 2.2, 2.6, 0.7
 #: A beginning goes if one longer one is in this share of its toxic texts.
 SAME = 0.9
 #: Features whose counts a task holds before it passes them on, and folded words it keeps.
-HELD = 300_000
+HELD = 150_000
 
 #: Letters that look like Latin ones, and what is put for letters.
 LOOKALIKES = str.maketrans("аеорсухіѕјһԁӏкмтвнαορνκτιυɑɡοℓ", "aeopcyxisjhdlkmtbhaopvktiuagol")
@@ -274,4 +274,5 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", out:
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``."""
-    return score_documents(docs, lexicon, text, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    (score,) = fresh(docs, "_toxicity")
+    return score_documents(docs, lexicon, text, score).where(F.col(score) < threshold).drop(score)

@@ -1,7 +1,6 @@
 """Awkward rows that every operator has to stand."""
 
 import pytest
-from pyspark.sql import Row
 
 LONG = "Lorem ipsum, dolor. " * 20_000
 
@@ -14,14 +13,11 @@ def odd(spark):
         (None, "no id here", "b"), (None, None, None), (5, LONG, "c"), (6, LONG, "c"), (7, "One two three FOUR", "a"),
         (8, "ﬁne Ⅷ ünïcode \U0001F600 é", "b"), (9, "x", "b"), (10, "one two three four five six", "a"),
     ]
-    fields = "doc_id long, text string, source string, fingerprint string, component_id string, score string, n_tokens string, size string"
-    return spark.createDataFrame([(*r, "f", None, "s", "n", "z") for r in rows], fields)
+    fields = "doc_id long, text string, source string, fingerprint string, component_id string, score string, n_tokens string, size string, _copy int, _fp string, _row string, _mentions string, row string, _digest string"
+    return spark.createDataFrame([(*r, "f", None, "s", "n", "z", 9, "p", "r", None, "w", "d") for r in rows], fields)
 
 
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.where("false")
 
-
-def brute(df) -> list[Row]:
-    return df.collect()

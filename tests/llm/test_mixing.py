@@ -65,6 +65,6 @@ def test_odd_rows(odd, none):
     assert all(r._size == len((r.text or "").encode().split()) for r in got)
     assert {r._target for r in got if r.source is None} == {0.0}
     mixed = mixing.mix(odd)
-    assert mixed.columns == odd.columns
+    assert mixed.columns == odd.columns and {r._copy for r in mixed.collect()} == {9}
     assert mixed.count() == sum(r._copies for r in got)
     assert mixing.mix_copies(none).count() == 0 and mixing.mix(none).count() == 0

@@ -81,7 +81,7 @@ def test_odd_rows(odd, none):
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == want
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.deduplicate(odd)
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and {(r._fp, r._row) for r in kept.collect()} == {("p", "r")}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({c for *_, c in want}, key=str)
     assert simhash.deduplicate(none).count() == 0
 
