@@ -57,20 +57,23 @@ def digest_rank(df: DataFrame, seed: int | str, key: Column, scope: list[str] |
 
 
 def value_rank(df: DataFrame, value: str, ties: str, out: str = "rank", lanes: int | None = None) -> DataFrame:
-    """1-based rank of all rows by a numeric column (nulls first), then ``ties``, without a single-task window.
+    """1-based rank of all rows by a numeric column (nulls first), then md5 of ``ties``, then ``ties``, without a single-task window.
 
     Rows are dealt into lanes at approximate quantiles of ``value``; lanes are numbered by
-    themselves and shifted by the rows of all lanes below. Rows of one value share a lane:
-    use a column with few repetitions.
+    themselves and shifted by the rows of all lanes below. A value that fills a lane or
+    more (the same quantile twice), and nulls, are split further by the digest.
     """
     lanes = lanes or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(df.stat.approxQuantile(value, [k / lanes for k in range(1, lanes)], 0.2 / lanes))) or [0.0]
+    found = df.stat.approxQuantile(value, [k / lanes for k in range(1, lanes)], 0.2 / lanes)
+    hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    edges = sorted({*found, *(math.nextafter(h, math.inf) for h in hot)}) or [0.0]
     bucket = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_value", outputCol="_bucket")
-    rows = bucket.transform(df.withColumn("_value", F.coalesce(F.col(value).cast("double"), F.lit(0.0))))
-    rows = rows.withColumn("_lane", F.when(F.col(value).isNull(), -1).otherwise(F.col("_bucket").cast("int"))).drop("_value", "_bucket")
-    counts = rows.groupBy("_lane").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)  # a row for each lane
-    offsets = counts.select("_lane", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_lane").orderBy(F.col(value).asc_nulls_first(), ties)))
-    joined = inside.join(offsets, "_lane")
+    rows = bucket.transform(df.withColumn("_value", F.coalesce(F.col(value).cast("double"), F.lit(0.0))).withColumn("_digest", text_digest(F.col(ties))))
+    wide = F.col(value).isNull() | F.col("_value").isin(hot) if hot else F.col(value).isNull()
+    rows = rows.withColumns({"_lane": F.when(F.col(value).isNull(), -1).otherwise(F.col("_bucket").cast("int")), "_part": F.when(wide, F.substring("_digest", 1, 3)).otherwise(F.lit(""))}).drop("_value", "_bucket")
+    counts = rows.groupBy("_lane", "_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_lane", "_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each lane, 4096 for a hot value
+    offsets = counts.select("_lane", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_lane", "_part").orderBy(F.col(value).asc_nulls_first(), "_digest", ties)))
+    joined = inside.join(offsets, ["_lane", "_part"])
     return joined.select(*[c for c in df.columns if c != out], (F.col("_row") + F.col("_before")).alias(out))

@@ -345,7 +345,7 @@ def w9_seeded_order(spark, sf):
     return digest_rank(table(spark, sf, "orders").select("o_orderkey"), 9, F.col("o_orderkey"))
 
 
-@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 256)::BIGINT AS block_id FROM orders")
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_totalprice, md5(o_orderkey::VARCHAR), o_orderkey) - 1) // 256)::BIGINT AS block_id FROM orders")
 def w10_blocks(spark, sf):
     return sl.assign_blocks(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 256, key="o_orderkey").select("o_orderkey", "block_id")
 

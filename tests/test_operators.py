@@ -1,6 +1,7 @@
 """Small cases with values worked out by hand, and properties."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 
@@ -93,6 +94,10 @@ def test_ranks_without_one_task(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), (F.col("id") % 3).alias("g"))
     got = sorted((r.v, r.rank) for r in value_rank(df, "v", "g").collect())
     assert [r for _, r in got] == list(range(1, 5001))
+    hot = spark.range(2000).select(F.when(F.col("id") % 3 > 0, 5.0).when(F.col("id") % 2 == 0, F.col("id") / 7).alias("v"), F.col("id").alias("g"))
+    ranked = sorted(value_rank(hot, "v", "g").collect(), key=lambda r: r.rank)
+    assert [r.rank for r in ranked] == list(range(1, 2001))
+    assert [r.g for r in ranked] == [r.g for r in sorted(ranked, key=lambda r: (r.v is not None, r.v or 0, hashlib.md5(str(r.g).encode()).hexdigest()))]
     ranks = digest_rank(df, "s", F.col("v"), ["g"]).collect()
     for g in range(3):
         assert sorted(r.rank for r in ranks if r.g == g) == list(range(1, 1 + sum(1 for r in ranks if r.g == g)))
