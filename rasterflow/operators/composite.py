@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 
 
-STEPS = {"month": "INTERVAL 1 MONTH", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "quarter": "INTERVAL 3 MONTH"}
-
-
 def bin_edges(spark: SparkSession, start: str, end: str, freq: str = "month", every: int = 1) -> DataFrame:
     """``(bin, lo, hi)``: bins from ``start`` to ``end``, numbered from 1, open left and closed right.
 
@@ -23,8 +20,14 @@ def bin_edges(spark: SparkSession, start: str, end: str, freq: str = "month", ev
 
 
 def assign_bin(obs: DataFrame, edges: DataFrame, time: str = "time") -> DataFrame:
-    """``obs`` with ``bin`` and ``lo``; observations in no bin, and those at the very first edge, are dropped."""
-    return obs.join(F.broadcast(edges), (F.col(time) > F.col("lo")) & (F.col(time) <= F.col("hi"))).drop("hi")
+    """``obs`` with ``bin`` and ``lo``; observations in no bin, and those at the very first edge, are dropped.
+
+    A hash join on the day, with the bins that touch it (a row for each day and bin), then
+    the exact edges.
+    """
+    days = edges.withColumn("_day", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))))
+    inside = (F.to_date(F.col(time)) == F.col("_day")) & (F.col(time) > F.col("lo")) & (F.col(time) <= F.col("hi"))
+    return obs.join(F.broadcast(days), inside).drop("hi", "_day")
 
 
 def month_bin(obs: DataFrame, time: str = "time", year: int | None = None) -> DataFrame:
@@ -44,8 +47,8 @@ def median_composite(obs: DataFrame, keys: list[str], value: str = "value", out:
 
 def complete_bins(composite: DataFrame, keys: list[str], edges: DataFrame) -> DataFrame:
     """A row for each key and every bin, null where there was none."""
-    every = composite.select(*keys).distinct().withColumn("_bins", F.lit(1)).join(F.broadcast(edges.select(F.collect_list(F.struct("bin", "lo")).alias("_all"))), F.lit(True))
-    grid = every.select(*keys, F.explode("_all").alias("b")).select(*keys, "b.bin", "b.lo")
+    bins = edges.select(F.collect_list(F.struct("bin", "lo")).alias("_all"))  # one row
+    grid = composite.select(*keys).distinct().join(F.broadcast(bins), F.lit(True)).select(*keys, F.explode("_all").alias("b")).select(*keys, "b.bin", "b.lo")
     rest = [c for c in composite.columns if c not in (*keys, "bin", "lo")]
     return grid.join(composite.select(*keys, "bin", *rest), [*keys, "bin"], "left").select(*keys, "bin", "lo", *rest)
 

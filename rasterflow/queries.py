@@ -8,9 +8,10 @@ to six digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
@@ -45,6 +46,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def place_for(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(name: str):
     return F.round(F.col(name).cast("double"), 6).alias(name)
 
@@ -221,7 +227,7 @@ def s9_composite_meta(spark, sf):
 def j3_s7_s8_split_join_composite(spark, sf):
     """Tiles written and read back for the patches of a split."""
     tiles = ti.gather_tiles(ti.tile(pixels(spark, sf), 8, 4), ["vec_id"]).withColumnRenamed("vec_id", "path")
-    place = f"{shared_dir(spark)}/tiles-{abs(hash(sf))}"
+    place = place_for(spark, "tiles")
     so.write_tiles(tiles.withColumn("tile", F.col("path") % 4), place)
     split = table(spark, sf, "embeddings").where("label < 5").select(F.col("vec_id").alias("path"))
     total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
@@ -275,7 +281,7 @@ def ruled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    return sl.apply_splits(ruled(spark, sf), RULES, 42, "o_orderkey").withColumn("target", F.col("target"))
+    return sl.apply_splits(ruled(spark, sf), RULES, 42, "o_orderkey")
 
 
 @query(f"WITH {PARTS} SELECT o_orderkey, year, tile, patch_x, patch_y FROM p")
@@ -363,7 +369,7 @@ def a5_patches_per_target(spark, sf):
 @query(f"WITH {SPLIT} SELECT name || '.nc' AS path FROM split WHERE target = 'val'")
 def s5_s6_split_lists(spark, sf):
     """Text lists of paths written for each target, and one of them read back."""
-    place = f"{shared_dir(spark)}/lists-{abs(hash(sf))}"
+    place = place_for(spark, "lists")
     so.write_split_lists(split(spark, sf), place)
     return so.read_split(spark, place, "val", text=True).select("path")
 
@@ -424,7 +430,7 @@ def part_counts(spark: SparkSession, sf: str) -> DataFrame:
     return en.class_counts(raw_labels(spark, sf), ["path"])
 
 
-def brand_split() -> F:
+def brand_split():
     return F.when(F.length("path") % 2 == 0, "train").when(F.col("path") < "Brand#15", "val").otherwise("test")
 
 
@@ -456,7 +462,7 @@ def a3_s13_counts_per_target(spark, sf):
     """Counts written and read back."""
     counts = part_counts(spark, sf)
     targets = table(spark, sf, "part").select(F.col("p_brand").alias("path")).distinct().withColumn("target", brand_split())
-    place = f"{shared_dir(spark)}/counts-{abs(hash(sf))}"
+    place = place_for(spark, "counts")
     so.write_counts(en.patches_per_target(targets), en.counts_per_target(counts, targets), place)
     return spark.read.parquet(f"{place}/pixel_counts").select("target", "label", "n")
 
@@ -730,7 +736,7 @@ def p8_reproject(spark, sf):
 @query()
 def s12_polygons(spark, sf):
     """Features written as text lines and read back; the text's number format is Spark's."""
-    place = f"{shared_dir(spark)}/polygons-{abs(hash(sf))}"
+    place = place_for(spark, "polygons")
     so.write_polygons(zones(spark, sf), place)
     return spark.read.text(place)
 
