@@ -49,7 +49,6 @@ def fold_events(events: DataFrame) -> DataFrame:
     """
     kind = F.coalesce(F.col("kind"), F.lit("delta"))
     rows = events.select("conv_id", F.coalesce(F.col("msg").cast("long"), F.lit(-1)).alias("msg"), F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    # (seq, 1) of an edit or regeneration, so that it stands after other events of its seq
     resets = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq")))
     messages = rows.groupBy("conv_id", "msg").agg(resets.alias("own"))
     before = Window.partitionBy("conv_id").orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +56,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     live = rows.join(cuts, rows.conv_id.eqNullSafe(F.col("_c")) & (rows.msg == F.col("_m")))
     replaces = F.col("kind").isin("edit", "regenerate")
     counts = (F.col("cut").isNull() | (F.col("seq") > F.col("cut"))) & (F.col("own").isNull() | (F.col("seq") > F.col("own")) | ((F.col("seq") == F.col("own")) & replaces))
-    # an edit's own text is complete: deltas after it go on from there
+    # deltas after an edit go on from its text
     role = F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role")))
     parts = F.array_sort(F.collect_list(F.when(counts, F.struct("seq", "kind", "text"))))
     # a role may come from an event whose text was replaced, but not from a void one
