@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SafeFile, filesystem, map_batches, new_dir, partition_id, tokenizer_path, written
+from .common import SafeFile, filesystem, map_batches, new_dir, partition_id, slices, tokenizer_path, written
 
 MAGIC = b"PLN1"
 CHUNK_IDS = 1 << 16
@@ -209,8 +209,7 @@ def write_planes(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             if out is None:
                 file = SafeFile(f"{path}/part-{part:06d}.planes")
                 out = PlaneWriter(file, kind, chunk_ids)
-            for k in range(0, b.num_rows, 200):
-                some = b.slice(k, 200)
+            for some in slices(b, 1):
                 for d, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
                     out.add(d, np.frombuffer(ids + end, "<u4"))
         if out:

@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, tokenizer_path
+from .common import map_batches, slices, tokenizer_path
 
 NOTHING = np.int32(2**31 - 1)
 #: Leaves of all trees that advance together, entries of the table of met pieces, and the longest piece kept in it.
-LEAVES, CACHE, CACHED_BYTES = 1 << 17, 500_000, 64
+LEAVES, CACHE, CACHED_BYTES = 1 << 17, 400_000, 64
 #: Slots of the pair table are this many times its entries, at least.
 SPREAD = 4
 
@@ -161,7 +161,7 @@ class Ranks:
 
     def learn(self, texts_pieces: list[list[str]]) -> dict[str, tuple[tuple[int, ...], str]]:
         """The table of pieces, in which all of these are; those too long to keep are in a copy."""
-        wanted = set().union(*texts_pieces) - self.met.keys()
+        wanted = {p for p in set().union(*texts_pieces) if p not in self.met}
         if wanted:
             if len(self.met) + len(wanted) > CACHE:
                 self.met = {}
@@ -218,8 +218,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
+            for some in slices(b, 1):
                 n, sha, back, packed = [], [], [], []
                 for ids, said in encode_texts(some.column(1).to_pylist(), ranks):
                     n.append(len(ids))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, written
+from .common import map_batches, slices, written
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, STREAM_TYPE = 0x0100, 0x0101, 0x06
@@ -193,8 +193,7 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", uni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                some = b.slice(k, 500)
+            for some in slices(b, 1, 4 << 20):
                 raw = [(t or "").encode() for t in some.column(1).to_pylist()]
                 media = [mux(r + bytes(-len(r) % ALIGN or ALIGN * (not r)), unit_bytes) for r in raw]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
