@@ -79,7 +79,9 @@ def ball_links(distinct: DataFrame, fp: str = "fp", radius: int = 2) -> DataFram
     masks = [0]
     for _ in range(half):
         masks = sorted({m ^ b for m in masks for b in [0, *bits]})
-    variants = distinct.select(F.col(fp).alias("b"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m")).select(F.col("b").bitwiseXOR(F.col("m")).alias("variant"), "b")
+    # what crosses the shuffle is the variant and its flipped bits, which are nearly all zeros
+    flipped = distinct.select(F.col(fp).alias("fp"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("variant"), "m")
+    variants = flipped.repartition("variant").select("variant", F.col("variant").bitwiseXOR(F.col("m")).alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     if radius % 2 == 0:  # members of a bucket are all within the radius: links from the smallest are enough
         pairs = variants.withColumn("a", F.min("b").over(Window.partitionBy("variant"))).where("a < b")
