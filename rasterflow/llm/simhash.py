@@ -16,6 +16,7 @@ equi-join which Spark can split where one key is hot.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,10 @@ from .common import fresh, map_batches, written
 SEED = 42
 #: Hashes are summed in blocks of this many, so that a very long text needs little memory.
 BLOCK = 1 << 16
+#: MinHash values of a sketch, and those that form a band: at similarity 0.8 a pair shares a band with probability 0.9999.
+PERMUTATIONS, BAND_ROWS = 120, 5
+#: What an estimate may lie below the similarity that is asked for (its standard error is 0.037 at 0.8).
+SLACK = 0.03
 #: Keys of removed rows are broadcast up to this many (about 100 bytes each), else shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -143,20 +148,103 @@ def with_components(rows: DataFrame, doc_id: str, radius: int, fp: str = "_fp",
     return rows.join(labels, rows[fp] == labels[key]).drop(key)
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, seed: int = SEED) -> DataFrame:
-    """One row of each component of near-duplicates, with the columns of ``docs``.
+def text_sketch(text: str | None, width: int, seed: int = SEED) -> tuple[bytes, list[int]]:
+    """``PERMUTATIONS`` MinHash values of a text's word shingles (32 bits each), and a hash of each band of them."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    words = (text or "").encode().lower().split()
+    width = max(1, min(width, len(words)))
+    n = len(words) - width + 1
+    factors, terms = permutations(seed)
+    least = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
+    for at in range(0, n, 1024):
+        part = words[at : min(at + 1024, n) + width - 1]
+        hashes = np.array([xxh3_64_intdigest(b" ".join(x)) for x in zip(*(part[k:] for k in range(width)), strict=False)], np.uint64)
+        np.minimum(least, (np.unique(hashes) * factors + terms).min(axis=1), out=least)
+    values = (least >> np.uint64(32)).astype("<u4")
+    bands = values.reshape(-1, BAND_ROWS)
+    return values.tobytes(), [xxh3_64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
+
+
+@lru_cache(maxsize=2)
+def permutations(seed: int):
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    size = (PERMUTATIONS, 1)
+    return draw.integers(0, 2**64, size, np.uint64, endpoint=False) | np.uint64(1), draw.integers(0, 2**64, size, np.uint64, endpoint=False)
+
+
+def with_sketch(docs: DataFrame, text: str, width: int, seed: int, fp: str, values: str, bands: str) -> DataFrame:
+    names, at = docs.columns, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, mins, hashes = [], [], []
+            for t in b.column(at).to_pylist():
+                f = text_fingerprint(t, width, seed)
+                fps.append(f - (1 << 64) if f >> 63 else f)
+                v, h = text_sketch(t, width, seed)
+                mins.append(v)
+                hashes.append(h)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64()), pa.array(mins, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, fp, values, bands])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return map_batches(docs, run, ", ".join([*fields, f"`{fp}` long, `{values}` binary, `{bands}` array<long>"]))
+
+
+def similar_links(sketches: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of ``sketches(node, fp, mins, bands)``: candidates whose estimated similarity is high enough.
+
+    Candidates are fingerprints that ball hashing brings together and texts that share a
+    band. A bucket proposes its members with one centre, drawn anew for each band, so a
+    group of any size costs a pair for each member and band, and its parts are joined
+    through many centres.
+    """
+    first = sketches.groupBy("fp").agg(F.min("node").alias("rep"))
+    same = sketches.join(first, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = ball_links(first, "fp", radius)
+    one, two = first.select(F.col("fp").alias("a"), F.col("rep").alias("x")), first.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+    balls = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    shared = sketches.select("node", F.posexplode("bands").alias("band", "hash"))
+    mixed = lambda c: c.bitwiseXOR(F.xxhash64("band"))  # noqa: E731  a different order of nodes in each band
+    centres = shared.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min(mixed(F.col("node"))).alias("least")).where("n > 1").select("band", "hash", mixed(F.col("least")).alias("a"))
+    banded = shared.join(centres, ["band", "hash"]).where("a <> node").select("a", F.col("node").alias("b"))
+    pairs = same.union(balls).union(banded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = sketches.select(F.col("node").alias("a"), F.col("mins").alias("p")), sketches.select(F.col("node").alias("b"), F.col("mins").alias("q"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, PERMUTATIONS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((p == q).mean(axis=1) >= similarity))
+
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q"), compare, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of ``docs``.
 
-    The row with the smallest ``doc_id`` stays (null last; of rows with equal ids the one
-    with the smallest fingerprint and hash of its text). Texts without words are
-    duplicates of each other by definition.
+    Near-duplicates share at least ``similarity`` of their ``width``-word shingles. Texts at
+    that similarity differ in many more bits of a fingerprint than ball hashing can span,
+    so MinHash bands propose candidates beside it; all candidates are verified by
+    ``PERMUTATIONS`` MinHash values, with ``SLACK`` for their error. The row with the
+    smallest ``doc_id`` stays (null last; of rows with equal ids the one with the smallest
+    hash of its text). Texts without words are duplicates of each other by definition.
     """
-    fp, row = fresh(docs, "_fp", "_row")
-    rows = written(fingerprints(docs, text, width, seed, fp), "simhash")
+    fp, mins, bands, node, row = fresh(docs, "_fp", "_mins", "_bands", "_node", "_row")
+    hashed = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = written(with_sketch(hashed, text, width, seed, fp, mins, bands), "simhash")
+    # copies collapse: what follows works on different texts
+    texts = rows.groupBy(F.col(node).alias("node")).agg(F.first(fp).alias("fp"), F.first(mins).alias("mins"), F.first(bands).alias("bands"))
+    roots = connected_components(similar_links(written(texts, "sketches"), radius, similarity - SLACK))
     place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    ids = written(rows.select(F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id"), F.col(fp).alias("_fp"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), place.alias("_row")), "simhash-ids")
-    labelled = with_components(ids, "_id", radius).withColumn("_component", F.coalesce(F.col("_component").cast("string"), F.lit("none")))
-    first = labelled.groupBy("_component").agg(F.min(F.struct("_null", "_id", "_fp", "_hash", "_row")).alias("x")).select("x._row")
+    ids = written(rows.select(F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id"), F.col(node).alias("node"), place.alias("_row")), "simhash-ids")
+    grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = grouped.groupBy("root").agg(F.min(F.struct("_null", "_id", "node", "_row")).alias("x")).select("x._row")
     gone = written(ids.select("_row").join(first, "_row", "left_anti").withColumnRenamed("_row", row), "simhash-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.withColumn(row, place).join(gone, row, "left_anti").drop(row, fp)
+    return rows.withColumn(row, place).join(gone, row, "left_anti").drop(row, fp, mins, bands, node)

@@ -6,7 +6,7 @@ import corpus_pipeline
 from rasterflow.llm import mixing, toxicity
 from tests.llm.test_bpe import digest, library
 from tests.llm.test_pii import SLOW, luhn
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_groups
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -21,9 +21,10 @@ def test_stages_against_brute_force(spark, sf):
     assert sorted(clean.collect()) == sorted(want)
     single = stage["near duplicates"](spark, clean, sf)
     assert single.columns == docs.columns
-    ids = [d.doc_id for d in want]
-    kept = set(slow_components(ids, [slow_fingerprint(d.text) for d in want]))
-    assert sorted(single.collect()) == sorted(d for d in want if d.doc_id in kept)
+    want.sort(key=lambda d: d.doc_id)
+    found = {d.doc_id for d in single.collect()}
+    reps = lambda similarity: {want[i].doc_id for i in slow_groups([d.text for d in want], similarity)}
+    assert reps(0.65) <= found <= reps(0.93)  # similarity is estimated: pairs next to 0.8 may fall on either side
     private = stage["personal data"](spark, single, sf)
     assert private.columns == docs.columns
     old = {d.doc_id: d for d in want}
