@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.frames import digest_rank, shared_dir
+from .functions.frames import digest_rank, shared_dir, written
 from .operators import composite as co
 from .operators import encode as en
 from .operators import metrics as me
@@ -276,8 +276,13 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("o_orderkey", "o_totalprice", "name", "path", C.patch_name(F.col("path")).alias("n")).select("o_orderkey", "o_totalprice", "name", "path", "n.*")
 
 
+def stored_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Names are parsed once; rules read them many times."""
+    return written(patches(spark, sf), "patches")
+
+
 def ruled(spark: SparkSession, sf: str) -> DataFrame:
-    return ru.apply_rules(patches(spark, sf), RULES)
+    return ru.apply_rules(stored_patches(spark, sf), RULES)
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
@@ -407,7 +412,7 @@ def u2_keep_listed(spark, sf):
     f"WITH {SPLIT}, d AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM split WHERE target IS NOT NULL), e AS (SELECT * FROM d WHERE NOT (target = 'test' AND n > 1)) SELECT target, count(*) AS patches FROM e GROUP BY 1"
 )
 def l3_split_job(spark, sf):
-    rows = patches(spark, sf).withColumnRenamed("name", "patch")
+    rows = stored_patches(spark, sf).withColumnRenamed("name", "patch")
     drop = lambda df: sl.drop_duplicates_by_split(sl.apply_splits(df, RULES, 42, "o_orderkey"), "patch", ["test"])
     return jobs.chain(ru.apply_rules(rows, RULES), [drop, en.patches_per_target])
 
