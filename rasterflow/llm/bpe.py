@@ -27,7 +27,7 @@ from .common import map_batches, slices, tokenizer_path
 
 NOTHING = np.int32(2**31 - 1)
 #: Leaves of all trees that advance together, entries of the table of met pieces, and the longest piece kept in it.
-LEAVES, CACHE, CACHED_BYTES = 1 << 17, 400_000, 64
+LEAVES, CACHE, CACHED_BYTES = 1 << 17, 300_000, 64
 #: Slots of the pair table are this many times its entries, at least.
 SPREAD = 4
 
@@ -45,8 +45,7 @@ class Ranks:
             raise ValueError("the vocabulary lacks single bytes")
         pairs = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self._table(np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32))
-        self.numbers = list(range(len(self.tokens)))  # one object for each id, however often it is met
-        self.met: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.met: dict[str, str] = {}  # decimal ids of a piece
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing in numpy: a key lies at most ``probes`` slots after its own."""
@@ -159,7 +158,7 @@ class Ranks:
             at += c
         return out
 
-    def learn(self, texts_pieces: list[list[str]]) -> dict[str, tuple[tuple[int, ...], str]]:
+    def learn(self, texts_pieces: list[list[str]]) -> dict[str, str]:
         """The table of pieces, in which all of these are; those too long to keep are in a copy."""
         wanted = {p for p in set().union(*texts_pieces) if p not in self.met}
         if wanted:
@@ -167,7 +166,7 @@ class Ranks:
                 self.met = {}
                 wanted = set().union(*texts_pieces)
             order = list(wanted)
-            made = {p: (tuple(map(self.numbers.__getitem__, ids)), ",".join(map(str, ids))) for p, ids in zip(order, self.merge_all([p.encode() for p in order]), strict=True)}
+            made = {p: ",".join(map(str, ids)) for p, ids in zip(order, self.merge_all([p.encode() for p in order]), strict=True)}
             long = {p: v for p, v in made.items() if len(p) > CACHED_BYTES}
             self.met.update((p, v) for p, v in made.items() if p not in long)
             if long:
@@ -195,8 +194,8 @@ def encode_texts(texts: list[str | None], ranks: Ranks) -> Iterator[tuple[list[i
     pieces = [findall(t or "") for t in texts]
     known = ranks.learn(pieces)
     for p in pieces:
-        rows = [known[x] for x in p]
-        yield [i for ids, _ in rows for i in ids], ",".join([s for _, s in rows])
+        said = ",".join([known[x] for x in p])
+        yield list(map(int, said.split(","))) if said else [], said
 
 
 def decode(ids: list[int], ranks: Ranks) -> bytes:

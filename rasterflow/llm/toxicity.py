@@ -34,7 +34,7 @@ PURE, SURE, MARGIN = 2.2, 2.6, 0.7
 #: A beginning goes if one longer one is in this share of its toxic texts.
 SAME = 0.9
 #: Features whose counts a task holds before it passes them on, and folded words it keeps.
-HELD = 150_000
+HELD = 100_000
 
 #: Letters that look like Latin ones, and what is put for letters.
 LOOKALIKES = str.maketrans("аеорсухіѕјһԁӏкмтвнαορνκτιυɑɡοℓ", "aeopcyxisjhdlkmtbhaopvktiuagol")
