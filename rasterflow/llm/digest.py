@@ -63,26 +63,29 @@ def with_digest(docs: DataFrame, text: str = "text", out: str = "_digest", bits:
     return add_columns(docs, f"{out} string", lambda c: [[digest_hex(canonical(t), bits) for t in c[text].to_pylist()]])
 
 
-def collisions(texts: DataFrame, digest: str, text: str) -> DataFrame:
-    """``(digest, canon, number)`` of different canonical texts that share a digest; almost always empty.
-
-    ``texts`` has rows whose digests occur more than once. Numbers start at 0.
-    """
-    canon = add_columns(texts.select(digest, text), "canon string", lambda c: [[canonical(t) for t in c[text].to_pylist()]]).select(F.col(digest).alias("digest"), "canon")
-    bad = canon.groupBy("digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("digest")
-    differ = canon.join(bad, "digest", "left_semi").distinct()
-    return differ.withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1)
-
-
 def members_of(rows: DataFrame, digests: DataFrame, digest: str) -> DataFrame:
     """Rows whose digest is in ``digests``, a written table of distinct values in column ``_many``."""
     many = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
     return rows.join(many, rows[digest] == many["_many"], "left_semi")
 
 
-def resolve(rows: DataFrame, digest: str, text: str, differ: DataFrame, any_differ: bool, out: str) -> DataFrame:
+def collisions(texts: DataFrame, digest: str, text: str) -> DataFrame | None:
+    """``(digest, canon, number)`` of different canonical texts that share a digest, or None as good as always.
+
+    ``texts`` has rows whose digests occur more than once. Of each bucket only the smallest
+    and the largest text are kept, before the shuffle. Numbers start at 0.
+    """
+    canon = add_columns(texts.select(digest, text), "canon string", lambda c: [[canonical(t) for t in c[text].to_pylist()]]).select(F.col(digest).alias("digest"), "canon")
+    bad = written(canon.groupBy(F.col("digest").alias("_many")).agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("_many"), "differing")
+    if bad.isEmpty():
+        return None
+    differ = members_of(canon.distinct(), bad, "digest")
+    return written(differ.withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1), "collisions")
+
+
+def resolve(rows: DataFrame, digest: str, text: str, differ: DataFrame | None, out: str) -> DataFrame:
     """``rows`` with fingerprints: the digest, and a number where bytes differed from the bucket's first."""
-    if not any_differ:
+    if differ is None:
         return rows.withColumn(out, F.col(digest))
     own, d, c, n = fresh(rows, "_canon", "_d", "_c", "_number")
     canon = add_columns(rows, f"{own} string", lambda x: [[canonical(t) for t in x[text].to_pylist()]])
@@ -101,8 +104,8 @@ def exact_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpr
     (name,) = fresh(docs, "_digest")
     rows = with_digest(docs.drop(out), text, name, bits)
     many = written(rows.groupBy(F.col(name).alias("_many")).count().where("count > 1").select("_many"), "digests")
-    differ = written(collisions(members_of(rows.select(name, text), many, name), name, text), "collisions")
-    return resolve(rows, name, text, differ, not differ.isEmpty(), out).drop(name)
+    differ = collisions(members_of(rows.select(name, text), many, name), name, text)
+    return resolve(rows, name, text, differ, out).drop(name)
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,13 +178,13 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     pairs = edits.join(first, F.col("doc_id").eqNullSafe(F.col("i1")) & (F.col("_key") == F.col("k1"))).join(second, F.col("next_id").eqNullSafe(F.col("i2")) & (F.col("_next_key") == F.col("k2")))
     made = add_columns(pairs.select("text", "next_text"), "edited string, _digest string", lambda c: _edits(c, bits))
     own = own.select("_digest", "text").unionByName(made.select("_digest", F.col("edited").alias("text")))
-    differ = written(collisions(own, "_digest", "text"), "collisions")
-    if differ.isEmpty():
+    differ = collisions(own, "_digest", "text")
+    if differ is None:
         return result
     # rare: name every row by its canonical texts
     made = add_columns(with_next(docs, doc_id, text), "edited string, _edited_digest string", lambda c: _edits(c, bits))
     full = add_columns(with_digest(made, "text", "_digest", bits), columns.replace("_digest", "_unused").replace("_edited_unused", "_unused2"), work)
-    named = resolve(resolve(full, "_digest", "text", differ, True, "fingerprint"), "_edited_digest", "edited", differ, True, "edited_fingerprint")
+    named = resolve(resolve(full, "_digest", "text", differ, "fingerprint"), "_edited_digest", "edited", differ, "edited_fingerprint")
     return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
