@@ -15,7 +15,7 @@ equi-join which Spark can split where one key is hot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,6 +31,8 @@ BLOCK = 1 << 16
 PERMUTATIONS, BAND_ROWS = 120, 5
 #: What an estimate may lie below the similarity that is asked for (its standard error is 0.037 at 0.8).
 SLACK = 0.03
+#: Bands whose centres are tried first; in the others a centre is compared only with texts that these haven't joined to it.
+FIRST_BANDS = 4
 #: Keys of removed rows are broadcast up to this many (about 100 bytes each), else shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -194,13 +196,16 @@ def with_sketch(docs: DataFrame, text: str, width: int, seed: int, fp: str, valu
     return map_batches(docs, run, ", ".join([*fields, f"`{fp}` long, `{values}` binary, `{bands}` array<long>"]))
 
 
-def similar_links(sketches: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` of ``sketches(node, fp, mins, bands)``: candidates whose estimated similarity is high enough.
+def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(node, root)`` of ``sketches(node, fp, bands)``, joined by the candidates that ``verify`` keeps.
 
     Candidates are fingerprints that ball hashing brings together and texts that share a
-    band. A bucket proposes its members with one centre, drawn anew for each band, so a
-    group of any size costs a pair for each member and band, and its parts are joined
-    through many centres.
+    band. Every pair of a band's bucket is compared or has been connected by others: first
+    each bucket proposes its members with one centre, drawn anew for each band, in
+    ``FIRST_BANDS`` and then in all bands, which joins a group of any size at a pair for each
+    member and band; last, in buckets that still hold several components, come all pairs
+    across these. That step grows with the square of the texts that share a bucket without
+    being near-duplicates; nothing is dropped to bound it.
     """
     first = sketches.groupBy("fp").agg(F.min("node").alias("rep"))
     same = sketches.join(first, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
@@ -208,10 +213,41 @@ def similar_links(sketches: DataFrame, radius: int, similarity: float) -> DataFr
     one, two = first.select(F.col("fp").alias("a"), F.col("rep").alias("x")), first.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
     balls = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     shared = sketches.select("node", F.posexplode("bands").alias("band", "hash"))
+    counts = shared.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
+    shared = written(shared.join(counts, ["band", "hash"]), "buckets")
     mixed = lambda c: c.bitwiseXOR(F.xxhash64("band"))  # noqa: E731  a different order of nodes in each band
-    centres = shared.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min(mixed(F.col("node"))).alias("least")).where("n > 1").select("band", "hash", mixed(F.col("least")).alias("a"))
-    banded = shared.join(centres, ["band", "hash"]).where("a <> node").select("a", F.col("node").alias("b"))
-    pairs = same.union(balls).union(banded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    centres = shared.groupBy("band", "hash").agg(F.min(mixed(F.col("node"))).alias("least")).select("band", "hash", mixed(F.col("least")).alias("a"))
+    banded = shared.join(centres, ["band", "hash"]).where("a <> node").select("band", "a", F.col("node").alias("b"))
+    empty = sketches.sparkSession.createDataFrame([], "a long, b long")
+    seen, links, roots = empty, empty, None
+
+    def apart() -> DataFrame:
+        """Members of the buckets that hold several components, with their roots."""
+        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "hash")
+        return written(rooted.join(several, ["band", "hash"]), "buckets")
+
+    def all_pairs() -> DataFrame:
+        members = apart()
+        left = members.select("band", "hash", F.col("node").alias("a"), F.col("root").alias("p"))
+        right = members.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("q"))
+        return left.join(right, ["band", "hash"]).where("a < b and p <> q").select("a", "b")
+
+    def across() -> DataFrame:
+        of = roots.select(F.col("node").alias("a"), F.col("root").alias("p")), roots.select(F.col("node").alias("b"), F.col("root").alias("q"))
+        rooted = banded.where(F.col("band") >= FIRST_BANDS).select("a", "b").distinct().join(of[0], "a", "left").join(of[1], "b", "left")
+        return rooted.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
+
+    for propose in (lambda: same.union(balls).union(banded.where(F.col("band") < FIRST_BANDS).select("a", "b")), across, all_pairs):
+        ordered = propose().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(ordered.join(seen, ["a", "b"], "left_anti"), "candidates")
+        seen, links = seen.union(pairs), links.union(written(verify(pairs), "links"))
+        roots = connected_components(links)
+    return roots
+
+
+def hopeful(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose sketches agree in ``least`` of their values."""
     left, right = sketches.select(F.col("node").alias("a"), F.col("mins").alias("p")), sketches.select(F.col("node").alias("b"), F.col("mins").alias("q"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +255,7 @@ def similar_links(sketches: DataFrame, radius: int, similarity: float) -> DataFr
 
         for b in batches:
             p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, PERMUTATIONS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((p == q).mean(axis=1) >= similarity))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((p == q).mean(axis=1) >= least))
 
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q"), compare, "a long, b long")
 
@@ -238,9 +274,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     hashed = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = written(with_sketch(hashed, text, width, seed, fp, mins, bands), "simhash")
     # copies collapse: what follows works on different texts
-    texts = rows.groupBy(F.col(node).alias("node")).agg(F.first(fp).alias("fp"), F.first(mins).alias("mins"), F.first(bands).alias("bands"))
-    roots = connected_components(similar_links(written(texts, "sketches"), radius, similarity - SLACK))
     place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    texts = rows.groupBy(F.col(node).alias("node")).agg(F.first(fp).alias("fp"), F.first(mins).alias("mins"), F.first(bands).alias("bands"))
+    sketches = written(texts, "sketches")
+
+    roots = similar_components(sketches, radius, lambda pairs: hopeful(pairs, sketches, similarity - SLACK))
     ids = written(rows.select(F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id"), F.col(node).alias("node"), place.alias("_row")), "simhash-ids")
     grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("_null", "_id", "node", "_row")).alias("x")).select("x._row")

@@ -141,3 +141,15 @@ def test_sketch_estimates_similarity():
 def test_deduplicate_with_shuffled_keys(odd, monkeypatch):
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
     assert simhash.deduplicate(odd).count() == 8
+
+
+def test_every_pair_of_a_bucket_is_compared_or_connected(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(8):
+        base = [str(rng.randrange(10**6)) for _ in range(100)]
+        texts += [" ".join(base), " ".join([*base[:50], "new", *base[51:]])]
+    real = simhash.with_sketch
+    monkeypatch.setattr(simhash, "with_sketch", lambda *a: (d := real(*a)).withColumn(a[-1], F.array(F.lit(7).cast("long"))).select(*d.columns))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.deduplicate(rows).collect()} == set(range(0, 16, 2))
