@@ -29,8 +29,8 @@ SEED = 42
 BLOCK = 1 << 16
 #: MinHash values of a sketch, and those that form a band: at similarity 0.8 a pair shares a band with probability 0.9999.
 PERMUTATIONS, BAND_ROWS = 120, 5
-#: What an estimate may lie below the similarity that is asked for (its standard error is 0.037 at 0.8).
-SLACK = 0.03
+#: A candidate whose estimate lies this far below the similarity that is asked for is not compared (its standard error is 0.037 at 0.8).
+HOPELESS = 0.2
 #: Bands whose centres are tried first; in the others a centre is compared only with texts that these haven't joined to it.
 FIRST_BANDS = 4
 #: Keys of removed rows are broadcast up to this many (about 100 bytes each), else shuffled.
@@ -260,14 +260,54 @@ def hopeful(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q"), compare, "a long, b long")
 
 
+def shingle_hashes(text: str | None, width: int):
+    """The distinct 64-bit hashes of a text's word shingles, ascending."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    words = (text or "").encode().lower().split()
+    width = max(1, min(width, len(words)))
+    n = len(words) - width + 1
+    parts = [np.empty(0, np.uint64)]
+    for at in range(0, n, BLOCK):
+        part = words[at : min(at + BLOCK, n) + width - 1]
+        parts.append(np.unique(np.array([xxh3_64_intdigest(b" ".join(x)) for x in zip(*(part[k:] for k in range(width)), strict=False)], np.uint64)))
+    return np.unique(np.concatenate(parts))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of ``texts(node, text)`` that share at least ``similarity`` of their distinct shingles."""
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        last: list = [(None, None), (None, None)]  # rows come in runs of one text
+
+        def hashes(side: int, node: int, text: pa.Scalar):
+            if last[side][0] != node:
+                last[side] = (node, shingle_hashes(text.as_py(), width))
+            return last[side][1]
+
+        for b in batches:
+            keep = []
+            for x, y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                p, q = hashes(0, x, s), hashes(1, y, t)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), compare, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``.
 
     Near-duplicates share at least ``similarity`` of their ``width``-word shingles. Texts at
     that similarity differ in many more bits of a fingerprint than ball hashing can span,
-    so MinHash bands propose candidates beside it; all candidates are verified by
-    ``PERMUTATIONS`` MinHash values, with ``SLACK`` for their error. The row with the
-    smallest ``doc_id`` stays (null last; of rows with equal ids the one with the smallest
+    so MinHash bands propose candidates beside it. The MinHash values only discard
+    candidates whose estimate lies ``HOPELESS`` or more below; the distinct shingles of the
+    others are compared exactly. The row with the smallest ``doc_id`` stays (null last; of rows with equal ids the one with the smallest
     hash of its text). Texts without words are duplicates of each other by definition.
     """
     fp, mins, bands, node, row = fresh(docs, "_fp", "_mins", "_bands", "_node", "_row")
@@ -275,10 +315,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     rows = written(with_sketch(hashed, text, width, seed, fp, mins, bands), "simhash")
     # copies collapse: what follows works on different texts
     place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    texts = rows.groupBy(F.col(node).alias("node")).agg(F.first(fp).alias("fp"), F.first(mins).alias("mins"), F.first(bands).alias("bands"))
+    texts = rows.withColumn(row, place).groupBy(F.col(node).alias("node")).agg(F.first(fp).alias("fp"), F.first(mins).alias("mins"), F.first(bands).alias("bands"), F.min(row).alias("at"))
     sketches = written(texts, "sketches")
 
-    roots = similar_components(sketches, radius, lambda pairs: hopeful(pairs, sketches, similarity - SLACK))
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = written(hopeful(pairs, sketches, similarity - HOPELESS), "hopeful")
+        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        needed = written(sketches.join(nodes, "node").select("at"), "needed")
+        if needed.count() <= BROADCAST_ROWS:
+            needed = F.broadcast(needed)
+        wanted = rows.select(F.col(node).alias("node"), F.col(text).alias("text"), place.alias("at")).join(needed, "at", "left_semi")
+        return similar(left, written(wanted.select("node", "text"), "compared"), width, similarity)
+
+    roots = similar_components(sketches, radius, verify)
     ids = written(rows.select(F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id"), F.col(node).alias("node"), place.alias("_row")), "simhash-ids")
     grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("_null", "_id", "node", "_row")).alias("x")).select("x._row")

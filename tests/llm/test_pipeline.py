@@ -49,3 +49,10 @@ def test_stages_stand_odd_rows(spark, odd, sf):
             rows = f(spark, rows, sf)
             assert rows.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, rows, sf).collect()
+
+
+def test_near_duplicate_groups_are_exact(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda d: d.doc_id)
+    single = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, sf)
+    assert {r.doc_id for r in single.collect()} == {rows[i].doc_id for i in slow_groups([d.text for d in rows])}

@@ -153,3 +153,13 @@ def test_every_pair_of_a_bucket_is_compared_or_connected(spark, monkeypatch):
     monkeypatch.setattr(simhash, "with_sketch", lambda *a: (d := real(*a)).withColumn(a[-1], F.array(F.lit(7).cast("long"))).select(*d.columns))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in simhash.deduplicate(rows).collect()} == set(range(0, 16, 2))
+
+
+def test_pairs_next_to_the_similarity_are_decided_exactly(spark):
+    rng = random.Random(9)
+    texts = []
+    for changed in [(20, 60)] * 30 + [(20, 50, 80)] * 30:  # 86 of 106 and 81 of 111 shingles
+        base = [str(rng.randrange(10**6)) for _ in range(100)]
+        texts += [" ".join(base), " ".join("new" if i in changed else w for i, w in enumerate(base))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.deduplicate(rows).collect()} == set(slow_groups(texts)) == {*range(0, 60, 2), *range(60, 120)}
