@@ -2,7 +2,7 @@ r"""Personal data replaced by surrogates.
 
 Entities are found by one pattern: e-mail addresses, phone numbers, payment cards (with a
 valid check digit), social security numbers, IBANs (with valid check digits), IPv4 and IPv6
-addresses, names after a title, access keys, and values assigned to words like ``password``.
+addresses, names after titles, access keys, and values assigned to words like ``password``.
 
 A surrogate is a keyed function of the entity's kind and canonical form, so all mentions of
 an entity, however written, have the same one, in each mention's own format. It is of the
@@ -31,24 +31,36 @@ DRAWS = 40
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
-TITLES = "|".join(sorted((*MALE, *FEMALE), key=len, reverse=True))
-SECRETS = "password|passwd|pwd|token|secret|api_key|apikey|access_key"
+NEUTRAL = ("Dr", "Prof", "Professor")
+TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
+#: One title or several, as in "Herr Prof. Dr. Weber".
+TITLED = rf"(?:(?:{TITLES})\.? )+"
+SECRETS, WORDS = r"password|passwd|pwd|api[_\-]?key|access[_\-]?key", "token|secret"
+#: What stands between a key word, in any case, and its value's opening quote.
+SIGN = r"[\"']?[ \t]{0,8}(?:=>|:=|={1,3}|:)[ \t]{0,8}"
+HEAD = rf"(?i:{SECRETS}|{WORDS}){SIGN}"
+#: A value ends at its closing quote, else at white space or a quote, without the punctuation before that.
+VALUE = r"(?:\"(?!\")[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+(?=\")|'(?!')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?=')|[\"']?[^\s\"']*[^\s\"'.,;:)\]}>])"
+#: "token" and "secret" are also words of prose: a value of fewer than eight letters and nothing else is none after them.
+PROSE = r"(?!\"[A-Za-z]{1,7}\"|'[A-Za-z]{1,7}'|[\"']?[A-Za-z]{1,7}(?:[\"']|[.,;:)\]}>]*(?:\s|$)))"
+H4 = "[0-9A-Fa-f]{1,4}"
+SHORT_IPV6 = "|".join([*(rf"(?:{H4}:){{1,{7 - n}}}(?::{H4}){{1,{n}}}" for n in range(1, 7)), rf"(?:{H4}:){{1,7}}:", rf":(?::{H4}){{1,7}}"])
 #: Alternatives in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?<![A-Za-z])(?:{SECRETS})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?[A-Za-z0-9+/_\-]{{8,}}",
+    "secret": rf"(?:(?i:{SECRETS}){SIGN}|(?i:{WORDS}){SIGN}{PROSE}){VALUE}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "ipv6": rf"(?<![0-9A-Za-z:])(?:(?:{H4}:){{7}}{H4}|{SHORT_IPV6})(?![0-9A-Za-z:]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.\-])(?:\+?1[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .\-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{7,14}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<!\p{{L}}){TITLED}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; tested before the whole pattern is.
-HINT = rf"[0-9@]|(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}|[=:][ ]{{0,2}}[\"']?[A-Za-z+/_\-]{{8}}"
+HINT = rf"[0-9@]|::|(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}|{HEAD}"
 
 #: Syllables of surrogate names by script; names end as the gender wants.
 SYLLABLES = {
@@ -131,27 +143,37 @@ def kind_of(mention: Column) -> Column:
     """A mention's kind, or null where its check digits are wrong."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     bare = F.regexp_replace(mention, " ", "")
-    whole = {k: mention.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
+    whole = {k: mention.rlike(f"^(?:{p})$") for k, p in PATTERNS.items() if k != "secret"}
     iban = F.when(mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1, "iban")
     card = F.when(F.pmod(luhn_sum(digits, 0), F.lit(10)) == 0, "card")
-    kind = F.when(mention.contains("@"), "email")
-    for k in ("secret", "key", "ipv4", "ipv6"):
+    kind = F.when(mention.rlike(f"^{HEAD}"), "secret").when(mention.contains("@"), "email")
+    for k in ("key", "ipv4", "ipv6"):
         kind = kind.when(whole[k], k)
     return kind.when(whole["iban"], iban).when(whole["ssn"], "ssn").when(whole["phone"], "phone").when(whole["card"], card).otherwise("name")
 
 
+def whole_ipv6(mention: Column) -> Column:
+    """An address as eight groups of four digits in lower case."""
+    halves = F.split(F.lower(mention), "::", -1)
+    groups = lambda i: F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(groups(1)) - F.size(groups(2)))
+    return F.array_join(F.transform(F.concat(groups(1), zeros, groups(2)), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def units(mention: Column, kind: Column) -> Column:
     """``(kind, canon)`` of what a mention names: for names each word, for the rest one."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    words = F.split(F.regexp_extract(mention, rf"^(?:{TITLES})\.? (.*)$", 1), " ")
-    given = F.when(mention.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "given-m").otherwise("given-f")
+    words = F.split(F.regexp_extract(mention, rf"^{TITLED}(.*)$", 1), " ")
+    among = lambda titles: mention.rlike(rf"^(?:(?:{TITLES})\.? )*(?:{'|'.join(titles)})\.? ")
+    given = F.when(among(MALE), "given-m").when(among(FEMALE), "given-f").otherwise("given")
     names = F.transform(words, lambda w, i: F.struct(F.when((F.size(words) == 2) & (i == 0), given).otherwise("family").alias("kind"), F.lower(w).alias("canon")))
     canon = (
         F.when(kind == "email", F.lower(mention))
         .when(kind == "phone", F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
-        .when(kind == "secret", F.regexp_extract(mention, r"([A-Za-z0-9+/_\-]+)$", 1))
+        .when(kind == "secret", F.regexp_replace(mention, rf"^{HEAD}[\"']?", ""))
+        .when(kind == "ipv6", whole_ipv6(mention))
         .otherwise(mention)
     )
     return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
@@ -182,7 +204,9 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
         country = F.substring(canon, 1, 2)
         iban = let(like(F.substring(canon, F.lit(5), n), h), lambda rest: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest))
         octets = F.array_join(F.array(*[between(1, number(h, i, 4), 254).cast("string") for i in range(4)]), ".")
-        secret = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal(canon, h)).otherwise(like(canon, h))
+        # short values have too few of their like, and other letters would stay
+        odd = (F.length(F.regexp_replace(canon, "[^0-9A-Za-z]", "")) < 8) | canon.rlike(r"[^\x00-\x7F]")
+        secret = F.when(odd, F.substring(h, 1, 16)).when(canon.rlike("^(?:[^g-zG-ZA-F]+|[^g-zG-Za-f]+)$"), hexadecimal(canon, h)).otherwise(like(canon, h))
         return (
             F.when(kind == "email", email)
             .when(kind == "phone", phone)
@@ -222,12 +246,13 @@ def replaced(found: Column, draw_of: Callable[[Column, Column], Column], key: st
 
     def form(x: Column) -> Column:
         mention, kind, one = x["m"], x["k"], F.try_element_at(x["n"], F.lit(1))
-        title = F.regexp_extract(mention, rf"^((?:{TITLES})\.? )", 1)
+        title = F.regexp_extract(mention, rf"^({TITLED})", 1)
         return (
             F.when(kind.isNull(), mention)
             .when(kind == "email", F.when(mention == F.upper(mention), F.upper(one)).otherwise(one))
             .when(kind.isin("phone", "card", "ssn", "iban"), fill(mention, one))
-            .when(kind == "secret", F.concat(F.regexp_extract(mention, r"^(.*?)[A-Za-z0-9+/_\-]+$", 1), one))
+            .when(kind == "secret", F.concat(F.regexp_extract(mention, rf"^({HEAD}[\"']?)", 1), one))
+            .when(kind == "ipv6", F.when(mention == F.upper(mention), F.upper(one)).otherwise(one))
             .when(kind == "name", F.concat(title, F.array_join(F.transform(x["n"], lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")))
             .otherwise(one)
         )

@@ -112,3 +112,27 @@ def test_odd_rows(odd, none):
     assert sorted(got.columns) == sorted(odd.columns)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((r.doc_id, r.text) for r in odd.collect()), key=str)
     assert pii.pseudonymise(none).count() == 0
+
+
+def test_secrets_in_any_case_length_and_quotes_short_ipv6_and_more_titles(spark):
+    texts = [
+        'Password: hunter2 PASSWORD=x9 API_KEY=abc1234, {"password": "two words", \'Token\':\'q1\'} dbPassword=geheimé.',
+        "password=p@ssw0rd! pwd=jo@mail.example.com token=aaaaaaaa.bbbbbbbb.cccccccc; secret: calm, password:=!!!",
+        'TOKEN = "9233A8ECF7C5B09F" and token = "9233A8ECF7C5B09F"',
+        "2001:db8::1 = 2001:0DB8:0:0:0:0:0:1, ::1, fe80:: and ::ffff:10.0.0.1, but std::string and 10:30",
+        "Dr. Anna Weber, Prof. Weber and Herr Prof. Dr. Weber",
+        "password=1 password=2 password=3 password=4 password=5 password=6 password=7 password=8 password=9 password=0 password=a",
+    ]
+    a, b, c, d, e, f = replace(spark, texts)
+    form = r"Password: (\S+) PASSWORD=(\S+) API_KEY=([0-9a-f]{16}), \{\"password\": \"([^\"]+)\", 'Token':'([^']+)'\} dbPassword=([0-9a-f]{16})\."
+    assert not set(re.fullmatch(form, a).groups()) & {"hunter2", "x9", "abc1234", "two words", "q1"}
+    one, two, three, four = re.fullmatch(r"password=(\S+) pwd=(\S+) token=(\S+); secret: calm, password:=(\S+)", b).groups()
+    assert not any(x in b for x in ("p@ssw0rd", "jo@mail", "aaaaaaaa", "bbbbbbbb", "cccccccc", "!!!"))
+    x, y = re.fullmatch(r'TOKEN = "([0-9A-Fa-f]{16})" and token = "([0-9A-Fa-f]{16})"', c).groups()
+    assert x == y != "9233A8ECF7C5B09F"
+    group = r"((?:[0-9a-fA-F]{4}:){7}[0-9a-fA-F]{4})"
+    p, q, r, s = re.fullmatch(rf"{group} = {group}, {group}, {group} and ::ffff:(?!10\.0\.0\.1,)[\d.]+, but std::string and 10:30", d).groups()
+    assert p == q.lower() and len({p, r, s}) == 3
+    anna, w1, w2, w3 = re.fullmatch(r"Dr\. (\w+) (\w+), Prof\. (\w+) and Herr Prof\. Dr\. (\w+)", e).groups()
+    assert anna != "Anna" and w1 == w2 == w3 != "Weber"
+    assert len(set(re.findall(r"password=([0-9a-f]{16})", f))) == 11
