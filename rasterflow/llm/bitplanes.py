@@ -140,6 +140,9 @@ class PlaneReader:
 
 #: Letters for which lower-casing and normalising act on single characters alone.
 PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: The rules of a vocabulary file whose texts may be cut up here before the library sees them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 @lru_cache(maxsize=1)
@@ -152,8 +155,11 @@ class WordEncoder:
 
     The vocabulary's rules drop white space, and no piece spans it, so a text's ids are
     those of its white-space-separated words in order. Plain Latin text is lowered and cut
-    into the runs that the vocabulary's own rule makes of it; any other word goes to the
-    library whole. Only what was not met before reaches the library.
+    into the runs that the vocabulary's own rule makes of it; any other word, and one with
+    a special token's string in it, goes to the library whole. Only what was not met before
+    reaches the library. With a vocabulary file of other rules every text goes there whole.
+
+    The strings of special tokens become those tokens, as the library has it by default.
     """
 
     def __init__(self, vocabulary: str):
@@ -163,8 +169,15 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        path = tokenizer_path(vocabulary)
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        added = rules.get("added_tokens") or []
+        self.special = [t["content"] for t in added]
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        simple = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or len(t["content"].split()) != 1 for t in added)
+        self.known = rules.get("normalizer") == NORMALIZER and steps[0] == SPLIT and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space") and simple
         self.plain = re.compile(rf"[\t-\r -~{PLAIN}]*").fullmatch
         self.pieces = re.compile(rf"[{PLAIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{PLAIN}0-9\t-\r ]+").findall
         self.met: dict[str, bytes] = {}
@@ -172,13 +185,20 @@ class WordEncoder:
     def cut(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if self.plain(text):
+        if not self.known:
+            return [text]
+        special = [s for s in self.special if s in text]
+        if not special and self.plain(text):
             return self.pieces(text.lower())
         words = [w.decode() for w in text.encode().split()]  # bytes split at ASCII white space only
-        return [p for w in words for p in (self.pieces(w.lower()) if self.plain(w) else [w])]
+        whole = lambda w: any(s in w for s in special) or not self.plain(w)
+        return [p for w in words for p in ([w] if whole(w) else self.pieces(w.lower()))]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as 32-bit little-endian numbers; null is empty."""
+        if not self.known:
+            found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
         cut = [self.cut(t) for t in texts]
         new = {p for p in set().union(*cut) if p not in self.met}
         if new:

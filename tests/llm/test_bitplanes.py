@@ -13,9 +13,8 @@ from rasterflow.llm import bitplanes, queries
 NAME = "word_bpe_49k.json"
 
 
-def library():
-    t = Tokenizer.from_file(public_tokenizers.path(NAME))
-    t.encode_special_tokens = True
+def library(name=NAME):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -63,3 +62,14 @@ def test_words_like_the_library(texts):
     own = library()
     got = bitplanes.word_encoder(NAME).encode(texts)
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [own(t) for t in texts]
+
+
+def test_special_strings_become_their_tokens():
+    assert np.frombuffer(bitplanes.word_encoder(NAME).encode(["a<|endoftext|>B <|startoftext|>"])[0], "<u4").tolist() == library()("a<|endoftext|>B <|startoftext|>")
+    assert np.frombuffer(bitplanes.word_encoder(NAME).encode(["<|endoftext|>"])[0], "<u4").tolist() == [49407]
+
+
+def test_a_vocabulary_of_other_rules_gets_whole_texts():
+    encoder, texts = bitplanes.WordEncoder("byte_bpe_50k.json"), ["Some  words, the same<|endoftext|>", None, " x", "don't É"]
+    assert not encoder.known
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [library("byte_bpe_50k.json")(t) for t in texts]
