@@ -8,8 +8,10 @@ leftmost position with it. A merge changes three leaves - the pair's, the dead r
 half's, and the left neighbour's - and each change is repaired on the path to the root.
 
 Trees of distinct pieces with the same number of leaves advance in lock step as numpy
-arrays, one merge in each at a time, so a step's cost is shared by all of them. Pieces
-that were met before come from a bounded table.
+arrays, one merge in each at a time, so a step's cost is shared by all of them. Where few
+trees are left to advance, each is walked by itself in plain integers, so a long piece
+costs microseconds a merge and no more. Pieces that were met before come from a bounded
+table.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ NOTHING = np.int32(2**31 - 1)
 LEAVES, CACHE, CACHED_BYTES = 1 << 17, 300_000, 64
 #: Slots of the pair table are this many times its entries, at least.
 SPREAD = 4
+#: So many trees or fewer don't advance in lock step any more.
+FEW = 16
 
 
 class Ranks:
@@ -40,7 +44,7 @@ class Ranks:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.byte_ids < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
         pairs = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -66,7 +70,7 @@ class Ranks:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two neighbours make, or NOTHING."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = self._slot(keys, 0)
         out = np.where(self.slots[at] == keys, self.found[at], NOTHING)
         open_ = np.flatnonzero((out == NOTHING) & (self.slots[at] >= 0))
@@ -101,24 +105,29 @@ class Ranks:
         lengths = np.array(list(map(len, pieces)))
         raw = np.frombuffer(b"".join(p.ljust(leaves, b"\0") for p in pieces), np.uint8).reshape(n, leaves)
         ids = self.byte_ids[raw]
-        inside = np.arange(leaves) < lengths[:, None]
+        places = np.arange(1, leaves + 1, dtype=np.int32)
+        inside = places <= lengths[:, None]
         # neighbours of live positions; position `leaves` stands for the end
-        after = np.where(np.arange(1, leaves + 1) < lengths[:, None], np.arange(1, leaves + 1), leaves).astype(np.int32)
+        after = np.where(places < lengths[:, None], places, np.int32(leaves))
         before = np.broadcast_to(np.arange(-1, leaves - 1, dtype=np.int32), (n, leaves)).copy()
         tree = np.full((n, 2 * leaves), NOTHING, np.int32)
-        starts = np.arange(leaves - 1)
-        paired = (starts + 1) < lengths[:, None]
-        row, col = np.nonzero(paired)
-        tree[row, leaves + col] = self.pair_ranks(ids[row, col], ids[row, col + 1])
+        step = max(1, LEAVES // n)
+        for at in range(0, leaves - 1, step):
+            row, col = np.nonzero(places[at : min(at + step, leaves - 1)] < lengths[:, None])
+            tree[row, leaves + at + col] = self.pair_ranks(ids[row, at + col], ids[row, at + col + 1])
         width = leaves
         while width > 1:
             tree[:, width // 2 : width] = np.minimum(tree[:, width : 2 * width : 2], tree[:, width + 1 : 2 * width : 2])
             width //= 2
-        live = inside.copy()
+        live = inside
         # flat views: a row's leaves begin at row * leaves, its tree at row * 2 * leaves
         tree_, ids_, after_, before_, live_ = (x.reshape(-1) for x in (tree, ids, after, before, live))
         work = np.flatnonzero(tree[:, 1] != NOTHING)
         while len(work):
+            if len(work) <= FEW:
+                for k in work.tolist():
+                    self._walk(*(memoryview(x[k]) for x in (tree, ids, after, before, live)), leaves)
+                break
             root, row = work * (2 * leaves), work * leaves
             rank = tree_[root + 1]
             node, width = np.ones(len(work), np.int64), 1
@@ -158,6 +167,41 @@ class Ranks:
             at += c
         return out
 
+    def _walk(self, tree: memoryview, ids: memoryview, after: memoryview, before: memoryview, live: memoryview, leaves: int) -> None:
+        """All merges of one tree."""
+        tokens, rank_of, nothing = self.tokens, self.ranks.get, int(NOTHING)
+
+        def put(at: int, value: int) -> None:
+            """A leaf's value, and the path above it as far as it changes."""
+            node = leaves + at
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                value = value if value < other else other
+                node >>= 1
+                if tree[node] == value:
+                    break
+                tree[node] = value
+
+        while (rank := tree[1]) != nothing:
+            node = 1
+            while node < leaves:
+                node *= 2
+                if tree[node] != rank:  # left on ties
+                    node += 1
+            at = node - leaves
+            dead, left = after[at], before[at]
+            beyond = after[dead]
+            ids[at], live[dead], after[at] = rank, False, beyond
+            put(dead, nothing)
+            if beyond < leaves:
+                before[beyond] = at
+                put(at, rank_of(tokens[rank] + tokens[ids[beyond]], nothing))
+            else:
+                put(at, nothing)
+            if left >= 0:
+                put(left, rank_of(tokens[ids[left]] + tokens[rank], nothing))
+
     def learn(self, texts_pieces: list[list[str]]) -> dict[str, str]:
         """The table of pieces, in which all of these are; those too long to keep are in a copy."""
         wanted = {p for p in set().union(*texts_pieces) if p not in self.met}

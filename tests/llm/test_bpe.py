@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import random
+import time
 
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,3 +73,24 @@ def test_odd_rows(odd, none):
     assert [(r.doc_id, r.n_tokens, r.ids_sha256) for r in got] == [(i, len(ids), digest(ids)) for i, ids in want]
     assert [len(r.ids) for r in got] == [4 * len(ids) for _, ids in want]
     assert bpe.encode_documents(none).count() == 0
+
+
+def test_long_single_pieces_take_seconds():
+    rng, own, ranks = random.Random(6), library(), bpe.load_ranks(NAME)
+    texts = ["".join(rng.choice("aehinrst") for _ in range(200_000)), "a" * 300_001, "é" * 50_000, "".join(rng.choice("xyzw") for _ in range(70_000))]
+    began = time.monotonic()
+    got = [ids for ids, _ in bpe.encode_texts(texts, ranks)]
+    assert time.monotonic() - began < 60
+    pieces = {t: bpe.piece_pattern().findall(t) for t in texts}
+    assert all(len(p) == 1 for p in pieces.values())
+    for text, ids in zip(texts, got, strict=True):
+        assert bpe.decode(ids, ranks) == text.encode()
+        assert ids == own.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("few", [0, 1, 1000])
+def test_lock_step_and_single_walks_agree(monkeypatch, few):
+    monkeypatch.setattr(bpe, "FEW", few)
+    rng, own = random.Random(7), library()
+    texts = ["".join(rng.choice("aehinrst") for _ in range(rng.randint(1, 90))) for _ in range(300)]
+    assert [ids for ids, _ in bpe.encode_texts(texts, bpe.Ranks(bpe.load_ranks(NAME).ranks))] == list(map(own.encode_ordinary, texts))
