@@ -2,65 +2,113 @@ r"""Personal data replaced by surrogates.
 
 Entities are found by one pattern: e-mail addresses, phone numbers, payment cards (with a
 valid check digit), social security numbers, IBANs (with valid check digits), IPv4 and IPv6
-addresses, names after titles, access keys, and values assigned to words like ``password``.
-
-A surrogate is a keyed function of the entity's kind and canonical form, so all mentions of
-an entity, however written, have the same one, in each mention's own format. It is of the
-same kind: cards and IBANs have valid check digits, names have the gender of the title and
-the script of the original, hexadecimal values stay hexadecimal. Canonical forms are
-gathered in a dictionary, and a surrogate that two entities share, or that is itself an
-entity of the input, is drawn again; in the rest, nothing but the key is needed.
-
-Everything is DataFrame functions. Texts are never shuffled unless some entity had to be
-drawn again and more than ``BROADCAST_ROWS`` texts mention it.
+addresses, names (after titles, after words like "my name is", and common given names with a
+family name), access keys, and values assigned to words like ``password``.
+
+A surrogate is a keyed function (HMAC) of the entity's kind and canonical form, so all
+mentions of an entity, however written, have the same one, in each mention's own format. It
+is of the same kind: cards and IBANs have valid check digits, names have the gender of the
+given name or title and the script of the original, hexadecimal values stay hexadecimal.
+Canonical forms are gathered in a dictionary, and a surrogate that two entities share, or
+that is itself an entity of the input, is drawn again; in the rest, nothing but the key is
+needed.
+
+Everything is DataFrame functions. Texts are searched once: the rows are written with each
+text cut at its mentions, and both the dictionary and the replacement read that table. Texts
+are never shuffled unless some entity had to be drawn again, and then only those that
+mention it. No pattern repeats a group that Java's matcher would handle by recursion, so
+the stack that a match needs doesn't grow with the text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, written
 
-KEY = "surrogates"
+#: Where the session's configuration has the key of surrogates.
+KEY_SETTING = "spark.rasterflow.pii.key"
 BROADCAST_ROWS = 20_000
 #: Times that colliding surrogates are drawn again before the kind's space is called full.
 DRAWS = 40
+#: Stands around mentions while a text is cut; a character that Unicode reserves for such use.
+MARK = "\uffff"
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 NEUTRAL = ("Dr", "Prof", "Professor")
 TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-#: One title or several, as in "Herr Prof. Dr. Weber".
-TITLED = rf"(?:(?:{TITLES})\.? )+"
+#: Common given names that leave no doubt about gender.
+MALE_NAMES = (
+    "Aaron", "Adam", "Albert", "Alejandro", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Benjamin", "Bernd", "Carlos", "Charles", "Christoph", "Christopher", "Daniel",
+    "David", "Diego", "Dieter", "Edward", "Eric", "Fernando", "Florian", "Frank", "François", "Georg", "George", "Hans", "Heinrich", "Henri", "Jacques", "James", "Jason", "Javier",
+    "Jean", "Johann", "Johannes", "John", "Jonas", "Jorge", "Joseph", "José", "Juan", "Jürgen", "Kevin", "Klaus", "Lukas", "Luis", "Manuel", "Mark", "Markus", "Martin", "Matthew",
+    "Michael", "Michel", "Miguel", "Nicolas", "Pablo", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Ralf", "Richard", "Robert", "Stefan", "Steven", "Thomas", "Timothy",
+    "Tobias", "William", "Wolfgang", "Александр", "Алексей", "Андрей", "Владимир", "Дмитрий", "Иван", "Михаил", "Николай", "Пётр", "Сергей",
+)
+FEMALE_NAMES = (
+    "Alice", "Amanda", "Ana", "Angela", "Anna", "Anne", "Barbara", "Beatriz", "Birgit", "Carmen", "Carolina", "Catherine", "Charlotte", "Christina", "Claudia", "Elena", "Elisabeth",
+    "Elizabeth", "Emily", "Emma", "Eva", "Florence", "Françoise", "Gabriele", "Gisela", "Hannah", "Heike", "Helen", "Ingrid", "Isabel", "Isabelle", "Jane", "Jennifer",
+    "Jessica", "Julia", "Julie", "Karin", "Katharina", "Laura", "Linda", "Lisa", "Lucía", "Margaret", "Maria", "Marie", "María", "Martina", "Mary", "Monika", "Nancy", "Nathalie",
+    "Nicole", "Olga", "Patricia", "Petra", "Pilar", "Rebecca", "Renate", "Sabine", "Sandra", "Sarah", "Sofía", "Sophie", "Stefanie", "Susan", "Sylvie", "Teresa", "Ursula", "Valérie",
+    "Анна", "Екатерина", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна",
+)
+#: Words after which a full name stands.
+CUES = ("name is ", "Name: ", "Regards, ", "Sincerely, ", "signed by ", "heiße ", "Name ist ", "m'appelle ", "me llamo ", "Atentamente, ")
 SECRETS, WORDS = r"password|passwd|pwd|api[_\-]?key|access[_\-]?key", "token|secret"
 #: What stands between a key word, in any case, and its value's opening quote.
 SIGN = r"[\"']?[ \t]{0,8}(?:=>|:=|={1,3}|:)[ \t]{0,8}"
-HEAD = rf"(?i:{SECRETS}|{WORDS}){SIGN}"
+HEAD = rf"(?=[pPaAtTsS])(?i:{SECRETS}|{WORDS}){SIGN}"
 #: A value ends at its closing quote, else at white space or a quote, without the punctuation before that.
 VALUE = r"(?:\"(?!\")[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+(?=\")|'(?!')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?=')|[\"']?[^\s\"']*[^\s\"'.,;:)\]}>])"
 #: "token" and "secret" are also words of prose: a value of fewer than eight letters and nothing else is none after them.
 PROSE = r"(?!\"[A-Za-z]{1,7}\"|'[A-Za-z]{1,7}'|[\"']?[A-Za-z]{1,7}(?:[\"']|[.,;:)\]}>]*(?:\s|$)))"
 H4 = "[0-9A-Fa-f]{1,4}"
 SHORT_IPV6 = "|".join([*(rf"(?:{H4}:){{1,{7 - n}}}(?::{H4}){{1,{n}}}" for n in range(1, 7)), rf"(?:{H4}:){{1,7}}:", rf":(?::{H4}){{1,7}}"])
-#: Alternatives in the order in which they are tried at a place.
+#: Letters and digits of the scripts that set words apart by spaces.
+LETTER = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}0-9"
+SURNAME = r"\p{Lu}[\p{L}'’\-]{1,40}+"
+
+
+def by_initial(words: tuple[str, ...]) -> str:
+    """Alternatives grouped by first letter, so that a place is ruled out by one look; longer words first."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items()))
+
+
+ANY_CUE = rf"(?:{by_initial(CUES)})"
+#: One title or several, as in "Herr Prof. Dr. Weber", or a cue.
+LEAD = rf"(?:{ANY_CUE}(?:(?:{TITLES})\.? ){{0,4}}|(?:(?:{TITLES})\.? ){{1,4}})"
+NAME = "|".join([
+    rf"(?:(?:{TITLES})\.? ){{1,4}}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\.)?(?: {SURNAME})?",
+    rf"{ANY_CUE}(?:(?:{TITLES})\.? ){{0,4}}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\.)? {SURNAME}",
+    rf"(?:{by_initial(MALE_NAMES + FEMALE_NAMES)})(?: \p{{Lu}}\.)? {SURNAME}",
+])
+NAME = rf"(?=[{''.join(sorted({w[0] for w in (*MALE, *FEMALE, *NEUTRAL, *MALE_NAMES, *FEMALE_NAMES, *CUES)}))}])(?<!\p{{L}})(?:{NAME})"
+#: Alternatives in the order in which they are tried at a place; each begins with what rules most places out.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?:(?i:{SECRETS}){SIGN}|(?i:{WORDS}){SIGN}{PROSE}){VALUE}",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "ipv6": rf"(?<![0-9A-Za-z:])(?:(?:{H4}:){{7}}{H4}|{SHORT_IPV6})(?![0-9A-Za-z:]|\.[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.\-])(?:\+?1[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .\-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{7,14}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}}){TITLED}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "email": rf"(?<![{LETTER}._%+\-])[{LETTER}][{LETTER}._%+\-]*+@[{LETTER}](?:[{LETTER}.\-]*)\.\p{{L}}{{2,}}",
+    "secret": rf"(?=[pPaAtTsS])(?:(?i:{SECRETS}){SIGN}|(?i:{WORDS}){SIGN}{PROSE}){VALUE}",
+    "key": r"(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "ipv4": rf"(?=[0-9])(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?=[0-9A-Fa-f:])(?<![0-9A-Za-z:])(?:(?:{H4}:){{7}}{H4}|{SHORT_IPV6})(?![0-9A-Za-z:]|\.[0-9])",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?=[0-9])(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "phone": r"(?=[0-9+(])(?:(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.\-])(?:\+?1[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .\-]\(?[0-9]{2,4}\)?){2,4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{7,14}(?![0-9])|(?<![0-9A-Za-z.,/\-])(?:0[1-9][0-9]{1,3}[/ ]|\(0[1-9][0-9]{1,3}\) ?)[1-9][0-9]{2,3}[ \-]?[0-9]{2,5}(?![0-9]|[.,][0-9]))",
+    "card": r"(?=[0-9])(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])",
+    "name": NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity; tested before the whole pattern is.
-HINT = rf"[0-9@]|::|(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}|{HEAD}"
+#: A text without any of these, and without what an assigned secret needs, has no entity; tested before the whole pattern is.
+HINT = f"[0-9@]|{NAME}"
 
 #: Syllables of surrogate names by script; names end as the gender wants.
 SYLLABLES = {
@@ -80,10 +128,27 @@ def between(lo: int, column: Column, n: int) -> Column:
     return F.pmod(column, F.lit(n)) + lo
 
 
-def stream(*parts: Column | str) -> Column:
-    """128 hexadecimal digits that depend on all parts."""
+def key_of(spark: SparkSession) -> str:
+    """The key in ``spark.rasterflow.pii.key``; without one a random key is made and kept for this session alone.
+
+    Who has the key can rebuild surrogates from originals. Give one to have the same
+    surrogates in several sessions.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def stream(key: str, *parts: Column | str) -> Column:
+    """128 hexadecimal digits that depend on the key and all parts: HMAC-SHA-256, twice."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
     text = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.concat(F.sha2(text, 256), F.sha2(F.concat(text, F.lit("|+")), 256))
+    mac = lambda end: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.concat(text, F.lit(end)).cast("binary")), 256))), 256)
+    return F.concat(mac("|1"), mac("|2"))
 
 
 def number(h: Column, i: Column | int, width: int = 2) -> Column:
@@ -163,10 +228,13 @@ def whole_ipv6(mention: Column) -> Column:
 def units(mention: Column, kind: Column) -> Column:
     """``(kind, canon)`` of what a mention names: for names each word, for the rest one."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    words = F.split(F.regexp_extract(mention, rf"^{TITLED}(.*)$", 1), " ")
-    among = lambda titles: mention.rlike(rf"^(?:(?:{TITLES})\.? )*(?:{'|'.join(titles)})\.? ")
-    given = F.when(among(MALE), "given-m").when(among(FEMALE), "given-f").otherwise("given")
-    names = F.transform(words, lambda w, i: F.struct(F.when((F.size(words) == 2) & (i == 0), given).otherwise("family").alias("kind"), F.lower(w).alias("canon")))
+    words = F.split(F.regexp_extract(mention, rf"^{LEAD}?(.*)$", 1), " ")
+    among = lambda titles: mention.rlike(rf"^{ANY_CUE}?(?:(?:{TITLES})\.? ){{0,3}}(?:{'|'.join(titles)})\.? ")
+    listed = lambda w, names: F.lower(w).isin([n.lower() for n in names])
+    # a name that leaves no doubt about gender says it, whatever the title, so that all mentions agree
+    given = lambda w: F.when(listed(w, MALE_NAMES), "given-m").when(listed(w, FEMALE_NAMES), "given-f").when(among(MALE), "given-m").when(among(FEMALE), "given-f").otherwise("given")
+    part = lambda w, i: F.when(w.endswith("."), INITIAL).when((F.size(words) > 1) & (i == 0), given(w)).otherwise("family")
+    names = F.transform(words, lambda w, i: F.struct(part(w, i).alias("kind"), F.lower(w).alias("canon")))
     canon = (
         F.when(kind == "email", F.lower(mention))
         .when(kind == "phone", F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits))
@@ -179,6 +247,10 @@ def units(mention: Column, kind: Column) -> Column:
     return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
+#: Kind of a middle initial; it is replaced, but is no entity of its own.
+INITIAL = "initial"
+
+
 def name_word(kind: Column, canon: Column, h: Column) -> Column:
     def made(script: str) -> Column:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
@@ -205,6 +277,7 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
         iban = let(like(F.substring(canon, F.lit(5), n), h), lambda rest: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest))
         octets = F.array_join(F.array(*[between(1, number(h, i, 4), 254).cast("string") for i in range(4)]), ".")
         # short values have too few of their like, and other letters would stay
+        initial = F.when(canon.rlike(r"\p{IsCyrillic}"), pick("абвгдезиклмнопрст", number(h, 3, 4))).when(canon.rlike(r"\p{IsGreek}"), pick("αβγδεζηθικλμνπρστ", number(h, 3, 4))).otherwise(pick("abcdefghijklmnoprstw", number(h, 3, 4)))
         odd = (F.length(F.regexp_replace(canon, "[^0-9A-Za-z]", "")) < 8) | canon.rlike(r"[^\x00-\x7F]")
         secret = F.when(odd, F.substring(h, 1, 16)).when(canon.rlike("^(?:[^g-zG-ZA-F]+|[^g-zG-Za-f]+)$"), hexadecimal(canon, h)).otherwise(like(canon, h))
         return (
@@ -217,6 +290,7 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
             .when(kind == "ipv6", hexadecimal(canon, h))
             .when(kind == "key", F.concat(F.lit("AKIA"), like(F.substring(canon, 5, 16), h)))
             .when(kind == "secret", secret)
+            .when(kind == INITIAL, F.concat(initial, F.lit(".")))
             .otherwise(name_word(kind, canon, h))
         )
 
@@ -239,14 +313,13 @@ def fill(mention: Column, canon: Column) -> Column:
 
 
 def replaced(found: Column, draw_of: Callable[[Column, Column], Column], key: str) -> Column:
-    """What stands for each mention of an array; a mention that is no entity stands for itself."""
-    kinds = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    named = F.transform(kinds, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.when(x["k"].isNotNull(), units(x["m"], x["k"])).alias("u")))
+    """What stands for each ``(m, k)``, a mention and its kind, of an array; a mention that is no entity stands for itself."""
+    named = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.when(x["k"].isNotNull(), units(x["m"], x["k"])).alias("u")))
     new = F.transform(named, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.transform(x["u"], lambda u: surrogate(u["kind"], u["canon"], draw_of(u["kind"], u["canon"]), key)).alias("n")))
 
     def form(x: Column) -> Column:
         mention, kind, one = x["m"], x["k"], F.try_element_at(x["n"], F.lit(1))
-        title = F.regexp_extract(mention, rf"^({TITLED})", 1)
+        title = F.regexp_extract(mention, rf"^({LEAD}?)", 1)
         return (
             F.when(kind.isNull(), mention)
             .when(kind == "email", F.when(mention == F.upper(mention), F.upper(one)).otherwise(one))
@@ -260,22 +333,60 @@ def replaced(found: Column, draw_of: Callable[[Column, Column], Column], key: st
     return F.transform(new, form)
 
 
-def mentions(text: Column) -> Column:
-    """All mentions of a text, in order, those with wrong check digits included; null has none."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+def may_have(text: Column) -> Column:
+    """False for texts that surely have no entity."""
+    low = F.lower(text)
+    word = reduce(lambda a, b: a | b, [low.contains(w) for w in ("passw", "pwd", "key", "token", "secret")])
+    return text.contains("::") | ((text.contains("=") | text.contains(":")) & word & text.rlike(HEAD)) | text.rlike(HINT)
+
+
+def cut_at_mentions(text: Column) -> Column:
+    """A text as an array of plain pieces (even places) and mentions (odd places); null if it has no mention.
+
+    Mentions are cut out by one pass that puts marks around them. A text that has the mark
+    itself is searched twice instead.
+    """
+    marked = F.split(F.regexp_replace(text, F.lit(f"(?:{ANY})"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    pieces = F.split(text, ANY, -1)
+    twice = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: F.flatten(F.transform(pieces, lambda p, i: F.when(i < F.size(found), F.array(p, F.try_element_at(found, i + 1))).otherwise(F.array(p)))))
+    parts = F.when(text.contains(MARK), twice).otherwise(marked)
+    return F.when(may_have(text), let(parts, lambda p: F.when(F.size(p) > 1, p)))
+
+
+def with_mentions(docs: DataFrame, text: str, plain: str, parts: str, kinds: str, row: str) -> DataFrame:
+    """The written rows of ``docs`` without ``text``: it is in ``plain``, or, if it has mentions, cut up in ``parts``.
+
+    ``kinds`` has the mentions' kinds, null for those with wrong check digits, and ``row`` a
+    number of the row, both only where there are mentions.
+    """
+    cut = docs.select(*[F.col(f"`{c}`") for c in docs.columns], cut_at_mentions(F.col(f"`{text}`")).alias(parts))
+    is_mention = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
+    found = F.transform(is_mention, lambda i: kind_of(F.element_at(parts, i + 1)))
+    has = F.col(parts).isNotNull()
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return written(cut.select(*rest, F.when(~has, F.col(f"`{text}`")).alias(plain), parts, F.when(has, found).alias(kinds), F.when(has, F.monotonically_increasing_id()).alias(row)), "mentions", compression="zstd")
 
 
-def dictionary(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def entities_of(parts: Column, kinds: Column) -> Column:
+    """``(m, k)`` of each mention."""
+    return F.transform(kinds, lambda k, i: F.struct(F.element_at(parts, 2 * i + 2).alias("m"), k.alias("k")))
+
+
+def dictionary(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """``(kind, canon, draw, surrogate)``: every entity of ``docs`` once, surrogates distinct within a kind.
 
     No surrogate is the canonical form of an entity of ``docs`` of its kind. A kind whose
-    space is too small for its entities raises ``RuntimeError``.
+    space is too small for its entities raises ``RuntimeError``. An empty table, and one
+    without entities, gives an empty dictionary.
     """
-    found = docs.select(mentions(F.col(text)).alias("m")).where(F.size("m") > 0).select(F.explode("m").alias("m"))
+    rows = with_mentions(docs.select(text), text, "plain", "parts", "kinds", "row")
+    return _dictionary(rows.where("parts is not null").select(entities_of(F.col("parts"), F.col("kinds")).alias("m")), key or key_of(docs.sparkSession))
+
+
+def _dictionary(found: DataFrame, key: str) -> DataFrame:
     # equal mentions collapse before anything is worked out for them
-    kinds = found.distinct().withColumn("k", kind_of(F.col("m"))).where("k is not null")
-    entities = kinds.select(F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("u.kind", "u.canon").distinct()
+    mentioned = found.select(F.explode("m").alias("m")).select("m.m", "m.k").where("k is not null").distinct()
+    entities = mentioned.select(F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("u.kind", "u.canon").where(F.col("kind") != INITIAL).distinct()
     make = lambda d: d.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key))
     table = written(make(entities.withColumn("draw", F.lit(0))), "surrogates")
     for _ in range(DRAWS):
@@ -289,30 +400,38 @@ def dictionary(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
     raise RuntimeError("some kind of entity has too few surrogates for its entities")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, count: str | None = None) -> DataFrame:
     """``docs`` with the entities of ``text`` replaced; ``count`` names a column for their number.
 
-    Texts without entities, null and empty ones are unchanged. Repeated rows are treated
-    alike. Only ``text`` changes (and ``count`` is added or replaced); other columns pass,
-    whatever their names. An empty table gives an empty result.
+    The key comes from the session's configuration unless given, see :func:`key_of`. Texts
+    without entities, null and empty ones are unchanged; the number of entities of a null
+    text is 0. Repeated rows are treated alike. Only ``text`` changes (and ``count`` is
+    added or replaced); other columns pass, whatever their names. An empty table gives an
+    empty result.
     """
-    again = dictionary(docs, text, key).where("draw > 0").select(F.concat_ws("|", "kind", "canon").alias("entity"), "draw")
-    found, new, own, drawn, draws_ = fresh(docs, "_mentions", "_new", "_text", "_drawn", "_draws")
-    rows = docs.select("*", mentions(F.col(text)).alias(found))
+    key = key or key_of(docs.sparkSession)
+    plain, parts, kinds, row, drawn, draws_ = fresh(docs, "_plain", "_parts", "_kinds", "_row", "_drawn", "_draws")
+    rows = with_mentions(docs, text, plain, parts, kinds, row)
+    own = entities_of(F.col(parts), F.col(kinds))
+    again = _dictionary(rows.where(F.col(parts).isNotNull()).select(own.alias("m")), key).where("draw > 0").select(F.concat_ws("|", "kind", "canon").alias("entity"), "draw")
+    again = written(again, "drawn-again")
+
+    def put(df: DataFrame, draw_of: Callable[[Column, Column], Column]) -> DataFrame:
+        joined = lambda new: F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 0, part).otherwise(F.element_at(new, F.shiftright(i, 1) + 1))), "")
+        whole = let(replaced(own, draw_of, key), joined)
+        columns = {text: F.when(F.col(parts).isNotNull(), whole).otherwise(F.col(plain))}
+        if count:
+            columns[count] = F.coalesce(F.size(F.filter(kinds, lambda k: k.isNotNull())), F.lit(0))
+        return df.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns], *[columns[c].alias(c) for c in columns if c not in docs.columns])
+
+    first = lambda kind, canon: F.lit(0)
     if again.isEmpty():
-        draw_of = lambda kind, canon: F.lit(0)
-    else:  # texts that mention an entity drawn again are joined with those entities, by the text's digest
-        rows = rows.withColumn(own, F.when(F.size(found) > 0, F.sha2(F.col(text), 256)))
-        named = rows.where(F.col(own).isNotNull()).select(F.col(own).alias("t"), F.explode(F.array_distinct(found)).alias("m")).withColumn("k", kind_of(F.col("m"))).where("k is not null")
-        named = named.select("t", F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("t", F.concat_ws("|", "u.kind", "u.canon").alias("entity")).distinct()
-        draws = written(named.join(again, "entity").groupBy(F.col("t").alias(drawn)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(draws_)), "draws")
-        draws = F.broadcast(draws) if draws.count() <= BROADCAST_ROWS else draws
-        rows = rows.join(draws, F.col(own) == F.col(drawn), "left").drop(own, drawn)
-        draw_of = lambda kind, canon: F.coalesce(F.try_element_at(F.col(draws_), F.concat_ws("|", kind, canon)), F.lit(0))
-    rows = rows.withColumn(new, replaced(F.col(found), draw_of, key))
-    pieces = F.split(F.col(text), ANY, -1)
-    whole = F.array_join(F.transform(pieces, lambda part, i: F.concat(part, F.coalesce(F.try_element_at(F.col(new), i + 1), F.lit("")))), "")
-    out = rows.withColumn(text, F.when(F.size(new) > 0, whole).otherwise(F.col(text)))
-    if count:
-        out = out.withColumn(count, F.size(F.filter(found, lambda m: kind_of(m).isNotNull())))
-    return out.select(*[f"`{c}`" for c in docs.columns if c != count], *[count] * bool(count))
+        return put(rows, first)
+    # rows that mention an entity drawn again are joined with those entities, by the row's number
+    named = rows.where(F.col(parts).isNotNull()).select(F.col(row).alias("r"), F.explode(own).alias("m")).select("r", "m.m", "m.k").where("k is not null")
+    named = named.select("r", F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("r", F.concat_ws("|", "u.kind", "u.canon").alias("entity")).distinct()
+    draws = written(named.join(again, "entity").groupBy(F.col("r").alias(drawn)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(draws_)), "draws")
+    draws = F.broadcast(draws) if draws.count() <= BROADCAST_ROWS else draws
+    redrawn = lambda kind, canon: F.coalesce(F.try_element_at(F.col(draws_), F.concat_ws("|", kind, canon)), F.lit(0))
+    without, having = rows.where(F.col(row).isNull()), rows.where(F.col(row).isNotNull())
+    return put(without, first).unionByName(put(having.join(draws, F.col(row) == F.col(drawn), "left"), redrawn))
