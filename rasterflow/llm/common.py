@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Arrow batches stop at either bound, so that a run of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Bytes of text that are taken apart at once.
 SLICE_BYTES = 1 << 20
 
@@ -25,10 +27,13 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    Where the session names none, a local session gets a folder of our own; on a cluster
+    that is an error, since its machines would not see each other's files.
     """
     set_here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_here:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         set_here = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(set_here)
     return set_here.rstrip("/")
@@ -55,6 +60,8 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it; Spark's names of object stores are known."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
 
 
@@ -82,12 +89,22 @@ def partition_id() -> int:
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded by rows and bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by rows and bytes; settings that are stricter stay.
+
+    The plan reads these settings only when it runs, so they can't be put back after it is made.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        with contextlib.suppress(Exception):  # a value that is no plain number is replaced
+            if 0 < int(spark.conf.get(name)) <= most:
+                continue
+        spark.conf.set(name, str(most))
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts have ``most`` bytes together, or of one longer text.
 

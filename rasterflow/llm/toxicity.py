@@ -8,7 +8,8 @@ The lexicon is learned: its patterns are words and word beginnings whose share a
 labelled texts is surely above that among the others; its exceptions are longer
 beginnings that lean the other way. Near copies among the labelled texts count once.
 Learning uses a bounded sample of labelled rows, ``SAMPLE`` at most in expectation, half
-of each label where there are enough; scoring covers every whole text.
+of each label where there are enough; the sample bounds the patterns and exceptions, all
+that pass are kept. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, written
+from .common import bound_batches, fresh, map_batches, written
 from .digest import add_columns
 
-#: Labelled rows to learn from, patterns kept, shortest and longest beginning of a word.
-SAMPLE, MAX_PATTERNS, SHORTEST, LONGEST = 20_000, 20_000, 3, 8
+#: Labelled rows to learn from, shortest and longest beginning of a word.
+SAMPLE, SHORTEST, LONGEST = 20_000, 3, 8
 #: A pattern's log odds must exceed PURE, and less SURE standard errors still MARGIN.
 PURE, SURE, MARGIN = 2.2, 2.6, 0.7
 #: A beginning goes if one longer one is in this share of its toxic texts.
@@ -228,9 +229,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     features = written(raw.groupBy("feature").agg(*sums), "toxic-features")
     all_t, all_c = size(0, 1) + size(1, 1), size(0, 0) + size(1, 0)
     lean = F.log((F.col("t0") + F.col("t1") + 0.5) / (all_t + 1.0)) - F.log((F.col("c0") + F.col("c1") + 0.5) / (all_c + 1.0))
-    strong = features.where("t0 + t1 >= 3").where(lean > MARGIN).withColumn("lean", lean).orderBy(F.desc(F.col("lean") * F.sqrt(F.col("t0") + F.col("t1"))), "feature").limit(MAX_PATTERNS).collect()
 
-    strong = without_shorter(strong)
+    def passes(*folds: int) -> Column:
+        """The test of :func:`lexicon`, a little looser, so that only what may pass is collected."""
+        t, c = (sum((F.col(f"{x}{f}") for f in folds), F.lit(0)) for x in "tc")
+        n_t, n_c = sum(size(f, 1) for f in folds), sum(size(f, 0) for f in folds)
+        value = F.log((t + 0.5) / (n_t + 1.0)) - F.log((c + 0.5) / (n_c + 1.0))
+        return (value > PURE - 1e-6) & (value - SURE * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) > MARGIN - 1e-6)
+
+    strong = without_shorter(features.where("t0 + t1 >= 3").where(passes(0) | passes(1) | passes(0, 1)).collect())
 
     def lexicon(folds: tuple[int, ...]) -> dict[str, float]:
         n_t, n_c = sum(size(f, 1) for f in folds), sum(size(f, 0) for f in folds)
@@ -247,7 +254,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         extends = F.lit(False)
         for k in sorted({len(p) for p in final if not p.endswith(" ")}):
             extends = extends | (F.substring("feature", 1, k).isin([p for p in final if len(p) == k]) & (F.length("feature") > k))
-        learned = features.where(extends & (lean <= 0) & (F.col("c0") + F.col("c1") >= 3)).orderBy(F.desc(F.col("c0") + F.col("c1")), "feature").limit(MAX_PATTERNS).collect()
+        learned = features.where(extends & (lean <= 0) & (F.col("c0") + F.col("c1") >= 3)).select("feature").collect()
         innocent += tuple(r["feature"] for r in learned if r["feature"] not in final)
     # each fold is scored by the other fold's lexicon, so that evidence is as for unseen texts
     crossed = [Lexicon(lexicon((1,)), innocent), Lexicon(lexicon((0,)), innocent)]
@@ -269,10 +276,20 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", out:
     Only the text is looked at, the whole of it. Repeated rows stay; other columns pass.
     """
     folder = Folder()
-    return add_columns(docs.drop(out), f"{out} double", lambda c: [[lexicon.score(folder(t)) for t in c[text].to_pylist()]])
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([lexicon.score(folder(t)) for t in texts.to_pylist()], pa.float64())
+
+    bound_batches(docs.sparkSession)
+    return docs.drop(out).withColumn(out, score(F.col(text)))
 
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``."""
+    """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``.
+
+    Null and empty texts have no evidence and stay unless the lexicon's base rate reaches the
+    threshold; repeated rows are treated alike; an empty table gives an empty result.
+    """
     (score,) = fresh(docs, "_toxicity")
     return score_documents(docs, lexicon, text, score).where(F.col(score) < threshold).drop(score)

@@ -3,6 +3,8 @@ import random
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from rasterflow.llm import queries, toxicity
 from rasterflow.llm.toxicity import Folder, Lexicon
@@ -26,6 +28,48 @@ def test_matching_weights_exceptions_and_length():
     assert Lexicon({}).score(" anything ") == 0.5
 
 
+def slow_evidence(lexicon, folded):
+    """Looks for every pattern at every place."""
+    free = [(a, a + len(e) - 1) for e in lexicon.exceptions for a in range(len(folded)) if folded.startswith(e, a)]
+    found = {}
+    for a in range(len(folded)):
+        here = [(w, len(p)) for p, w in lexicon.weights.items() if folded.startswith(p, a)]
+        if here and not any(x <= a < z for x, z in free):
+            weight, length = max(here)
+            found.setdefault(folded[a : a + length].strip(" ") if folded[a] != " " else " " + folded[a : a + length].strip(" "), []).append(weight)
+    total = sum(max(w) * (1 + math.log(len(w))) for w in found.values())
+    return total, 100 * total / max(1, folded.count(" ") - 1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text("ab ", min_size=1, max_size=4).map(lambda p: " a" + p), st.floats(0.5, 4), max_size=6), st.lists(st.text("ab ", min_size=2, max_size=5).map(lambda p: " " + p), max_size=3), st.text("ab ", max_size=60))
+def test_matching_against_a_search_at_every_place(weights, exceptions, text):
+    lexicon = Lexicon({p: w for p, w in weights.items() if p not in exceptions}, tuple(exceptions))
+    assert lexicon.evidence(f" {text} ") == pytest.approx(slow_evidence(lexicon, f" {text} "))
+
+
+def test_patterns_against_a_plain_count(spark):
+    docs, labels = planted(900, seed=5)
+    d, la = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(d, la)
+    fold, toxic, texts = Folder(), dict(labels), {}
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 5:
+            f = fold(t)
+            texts.setdefault((toxicity.signature(f), toxic[i]), f)
+    counts = {}
+    for (_, label), f in texts.items():
+        for x in {f" {w} " for w in f.split()} | {f" {w[:k]}" for w in f.split() for k in range(3, min(8, len(w)) + 1)}:
+            counts.setdefault(x, [0, 0])[label] += 1
+    n = [sum(1 for _, y in texts if y == label) for label in (0, 1)]
+    odds = lambda c, t: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+    sure = {x: odds(c, t) - 2.6 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) for x, (c, t) in counts.items()}
+    want = {x: s for x, s in sure.items() if s > 0.7 and odds(*counts[x]) > 2.2 and counts[x][1] >= 3}
+    longer = lambda x: max((counts[y][1] for y in want if y != x and y.startswith(x) and y[-1] != " "), default=0)
+    want = {x: s for x, s in want.items() if x[-1] == " " or longer(x) < 0.9 * counts[x][1]}
+    assert lexicon.weights == pytest.approx(want) and " zorg" in want
+
+
 def planted(n, seed=3):
     rng = random.Random(seed)
     words = ["".join(rng.choice("aehinrt") for _ in range(rng.randint(2, 8))) for _ in range(400)]
