@@ -14,7 +14,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ Cost: copies of a fingerprint collapse before anything is emitted, so a variant'
 holds at most one row for each point of its ball (65 for radius 2), whatever the data. A
 bucket gives links from its smallest member, never all pairs; members of one bucket are
 within ``radius`` of each other, so no connection is lost. Components come from
-alternating large-star and small-star steps over the links, each an aggregation and an
-equi-join which Spark can split where one key is hot.
+alternating large-star and small-star steps over the links. In each, the nodes that change
+are a written table, so the join that relabels links reads two plain tables and Spark can
+split the links of a hub over many tasks. Texts go to Python and never come back: written
+tables hold ids, digests and sketches.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, map_batches, written
@@ -33,7 +35,7 @@ PERMUTATIONS, BAND_ROWS = 120, 5
 HOPELESS = 0.2
 #: Bands whose centres are tried first; in the others a centre is compared only with texts that these haven't joined to it.
 FIRST_BANDS = 4
-#: Keys of removed rows are broadcast up to this many (about 100 bytes each), else shuffled.
+#: Keys of texts are broadcast up to this many (about 50 bytes each), else shuffled.
 BROADCAST_ROWS = 100_000
 
 
@@ -60,17 +62,31 @@ def text_fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, seed: int = SEED, out: str = "_fp") -> DataFrame:
-    """``docs`` with the SimHash of ``text`` as a signed long in column ``out``."""
-    names, fields = docs.columns, docs.schema
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def from_text(docs: DataFrame, text: str, columns: str, f: Callable[[list], list], keep_text: bool = False) -> DataFrame:
+    """``docs`` with what ``f`` makes of each batch of texts, in the order of ``columns``.
+
+    The text itself comes back only if it is to be kept.
+    """
+    names = docs.columns
+    at = names.index(text)
+    back = [i for i in range(len(names)) if keep_text or i != at]
+    new = [x.split()[0].strip("`") for x in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [text_fingerprint(t, width, seed) for t in b.column(names.index(text)).to_pylist()]
-            signed = pa.array([v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, signed], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in back), *f(b.column(at).to_pylist())], names=[*(names[i] for i in back), *new])
 
-    return map_batches(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` long"]))
+    fields = docs.schema.fields
+    return map_batches(docs, run, ", ".join([*(f"`{fields[i].name}` {fields[i].dataType.simpleString()}" for i in back), columns]))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, seed: int = SEED, out: str = "_fp", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the SimHash of ``text`` as a signed long in column ``out``; the text is dropped unless kept."""
+    return from_text(docs, text, f"`{out}` long", lambda texts: [pa.array([signed(text_fingerprint(t, width, seed)) for t in texts], pa.int64())], keep_text)
 
 
 def ball_links(distinct: DataFrame, fp: str = "fp", radius: int = 2) -> DataFrame:
@@ -99,43 +115,47 @@ def ball_links(distinct: DataFrame, fp: str = "fp", radius: int = 2) -> DataFram
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, root)`` for every node of ``links(a, b)``; root is the smallest node reachable.
+    """The written table ``(node, root)`` for every node of ``links(a, b)``; root is the smallest node reachable.
 
     Large-star and small-star in turn until nothing changes; each round is written to the
-    shared folder. Hub nodes are aggregated by their smallest neighbour, never gathered.
+    shared folder. A large star moves the links of nodes that have a smaller neighbour to
+    the smallest one; a small star joins the smaller neighbours of a node to the smallest.
+    Only nodes that change are looked up, so a hub that is its own root stays as it is, and
+    neighbourhoods are aggregated, never gathered.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
     for _ in range(max_rounds):
-        # large star: neighbours above a node are linked to the smallest of its neighbourhood
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: smaller neighbours and the node itself are linked to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        inner = written(both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m < n and n < x").select("n", "m"), "cc-inner")
+        moved = not inner.isEmpty()
+        if moved:
+            edges = written(edges.join(inner, F.col("v") == F.col("n"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "cc")
+        several = written(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m < x").select("n", "m"), "cc-several")
+        if several.isEmpty():
+            if not moved:
+                break
+            continue
+        found = edges.join(several, F.col("u") == F.col("n"), "left")
+        small = found.select(F.when(F.col("m").isNull() | (F.col("v") == F.col("m")), F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("m", "v").alias("v"))
+        edges = written(small.distinct(), "cc")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "cc-roots")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, seed: int = SEED, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the smallest ``doc_id`` of all rows whose fingerprints can be
     reached by links of at most ``radius`` differing bits; null only if all of these ids
     are null. Null, empty and blank texts have fingerprint zero and are linked like any
     other. Repeated rows share a component and are all returned; an empty table gives an
-    empty result. Other columns pass; those named like a result are replaced.
+    empty result. Other columns pass; those named like a result are replaced. Without
+    ``keep_text`` the result lacks the texts, and none are written.
     """
     keep = docs.drop(*[c for c in docs.columns if c.lower() in ("fingerprint", "component_id")])
     (fp,) = fresh(keep, "_fp")
-    rows = written(fingerprints(keep, text, width, seed, fp), "simhash")
+    rows = written(fingerprints(keep, text, width, seed, fp, keep_text), "simhash")
     return with_components(rows, doc_id, radius, fp, "component_id").withColumn("fingerprint", F.lower(F.lpad(F.hex(fp), 16, "0"))).drop(fp)
 
 
@@ -143,10 +163,10 @@ def with_components(rows: DataFrame, doc_id: str, radius: int, fp: str = "_fp",
     """``rows`` with the smallest id of their component in ``out``, from the fingerprints in ``fp``."""
     distinct = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")), "fingerprints")
     roots = connected_components(ball_links(distinct, "fp", radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("smallest"))
+    rooted = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("smallest")), "smallest")
     (key,) = fresh(rows, "_key")
-    labels = rooted.join(smallest, "root").select(F.col("fp").alias(key), F.col("smallest").alias(out))
+    labels = written(rooted.join(smallest, "root").select(F.col("fp").alias(key), F.col("smallest").alias(out)), "components")
     return rows.join(labels, rows[fp] == labels[key]).drop(key)
 
 
@@ -179,73 +199,107 @@ def permutations(seed: int):
 
 
 def with_sketch(docs: DataFrame, text: str, width: int, seed: int, fp: str, values: str, bands: str) -> DataFrame:
-    names, at = docs.columns, docs.columns.index(text)
+    """``docs`` without ``text``, with its fingerprint, MinHash values and bands."""
+
+    def work(texts: list) -> list:
+        found = [(signed(text_fingerprint(t, width, seed)), *text_sketch(t, width, seed)) for t in texts]
+        return [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+
+    return from_text(docs, text, f"`{fp}` long, `{values}` binary, `{bands}` array<long>", work)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, mins, hashes = [], [], []
-            for t in b.column(at).to_pylist():
-                f = text_fingerprint(t, width, seed)
-                fps.append(f - (1 << 64) if f >> 63 else f)
-                v, h = text_sketch(t, width, seed)
-                mins.append(v)
-                hashes.append(h)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64()), pa.array(mins, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, fp, values, bands])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return map_batches(docs, run, ", ".join([*fields, f"`{fp}` long, `{values}` binary, `{bands}` array<long>"]))
+def text_key(text: Column) -> Column:
+    """128 bits of a text, null as the empty one: equal texts have equal keys."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame], ready: Callable[[DataFrame], None], meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(node, root)`` of ``sketches(node, fp, bands)``, joined by the candidates that ``verify`` keeps.
 
     Candidates are fingerprints that ball hashing brings together and texts that share a
-    band. Every pair of a band's bucket is compared or has been connected by others: first
-    each bucket proposes its members with one centre, drawn anew for each band, in
-    ``FIRST_BANDS`` and then in all bands, which joins a group of any size at a pair for each
-    member and band; last, in buckets that still hold several components, come all pairs
-    across these. That step grows with the square of the texts that share a bucket without
-    being near-duplicates; nothing is dropped to bound it.
+    band. Every similar pair of a band's bucket is compared or has been connected by
+    others. First each bucket proposes its members with one centre, drawn anew for each
+    band, in ``FIRST_BANDS`` and then in all bands, which joins a group of any size at a
+    pair for each member and band. The members of buckets that still hold several
+    components then go to ``meet``, which proposes all pairs of different components that
+    can be similar, see :func:`rare_pairs`. ``ready`` gets the nodes that any candidate may
+    name, before the first is verified.
     """
-    first = sketches.groupBy("fp").agg(F.min("node").alias("rep"))
+    first = written(sketches.groupBy("fp").agg(F.min("node").alias("rep")), "first")
     same = sketches.join(first, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     near = ball_links(first, "fp", radius)
     one, two = first.select(F.col("fp").alias("a"), F.col("rep").alias("x")), first.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-    balls = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    shared = sketches.select("node", F.posexplode("bands").alias("band", "hash"))
-    counts = shared.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
-    shared = written(shared.join(counts, ["band", "hash"]), "buckets")
-    mixed = lambda c: c.bitwiseXOR(F.xxhash64("band"))  # noqa: E731  a different order of nodes in each band
-    centres = shared.groupBy("band", "hash").agg(F.min(mixed(F.col("node"))).alias("least")).select("band", "hash", mixed(F.col("least")).alias("a"))
-    banded = shared.join(centres, ["band", "hash"]).where("a <> node").select("band", "a", F.col("node").alias("b"))
-    empty = sketches.sparkSession.createDataFrame([], "a long, b long")
-    seen, links, roots = empty, empty, None
-
-    def apart() -> DataFrame:
-        """Members of the buckets that hold several components, with their roots."""
-        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rooted.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "hash")
-        return written(rooted.join(several, ["band", "hash"]), "buckets")
-
-    def all_pairs() -> DataFrame:
-        members = apart()
-        left = members.select("band", "hash", F.col("node").alias("a"), F.col("root").alias("p"))
-        right = members.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("q"))
-        return left.join(right, ["band", "hash"]).where("a < b and p <> q").select("a", "b")
-
-    def across() -> DataFrame:
-        of = roots.select(F.col("node").alias("a"), F.col("root").alias("p")), roots.select(F.col("node").alias("b"), F.col("root").alias("q"))
-        rooted = banded.where(F.col("band") >= FIRST_BANDS).select("a", "b").distinct().join(of[0], "a", "left").join(of[1], "b", "left")
-        return rooted.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
-
-    for propose in (lambda: same.union(balls).union(banded.where(F.col("band") < FIRST_BANDS).select("a", "b")), across, all_pairs):
-        ordered = propose().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(ordered.join(seen, ["a", "b"], "left_anti"), "candidates")
-        seen, links = seen.union(pairs), links.union(written(verify(pairs), "links"))
-        roots = connected_components(links)
+    balls = written(near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).union(same), "balls")
+    spread = sketches.select("node", F.posexplode("bands").alias("band", "hash"))
+    mixed = F.struct(F.xxhash64("band", "node"), "node")  # a different order of nodes in each band
+    centres = written(spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min(mixed).alias("least")).where("n > 1").select("band", "hash", F.col("least.node").alias("a")), "centres")
+    shared = written(spread.join(centres, ["band", "hash"]), "buckets")
+    banded = shared.where("a <> node").select("band", "a", F.col("node").alias("b"))
+    ready(shared.select("node").union(balls.select(F.col("a").alias("node"))).union(balls.select("b")).distinct())
+    roots: DataFrame | None = None
+    seen: list[DataFrame] = []
+
+    def join(pairs: DataFrame) -> None:
+        """Verifies pairs that were not met before, and joins components by them."""
+        nonlocal roots
+        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for met in seen:
+            new = new.join(met, ["a", "b"], "left_anti")
+        pairs = written(new, "candidates")
+        seen.append(pairs)
+        found = verify(pairs)
+        roots = connected_components(found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    def rooted(members: DataFrame) -> DataFrame:
+        return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    join(balls.union(banded.where(F.col("band") < FIRST_BANDS).select("a", "b")))
+    of = roots.select(F.col("node").alias("a"), F.col("root").alias("p")), roots.select(F.col("node").alias("b"), F.col("root").alias("q"))
+    rest = banded.where(F.col("band") >= FIRST_BANDS).select("a", "b").distinct().join(of[0], "a", "left").join(of[1], "b", "left")
+    join(rest.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b"))
+    own = rooted(shared.select("band", "hash", "node"))
+    several = written(own.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "hash"), "several")
+    if several.isEmpty():
+        return roots
+    apart = written(own.join(several, ["band", "hash"]).select("node").distinct(), "apart")
+    join(meet(written(rooted(apart), "apart-roots")))
     return roots
 
 
+def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``members(node, root)`` of different roots that can share ``similarity`` of their shingles.
+
+    Shingles are ordered from the rarest among all members to the most frequent. Two sets
+    of n shingles that are similar enough have one in common among their first
+    ``n - ceil(similarity * n) + 1``, and the first that they have in common leaves enough
+    behind it in both. So texts meet in their rare shingles only, and a passage that any
+    number of dissimilar texts share brings none of them together. No similar pair is lost.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for node, n, raw in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                hashes = np.frombuffer(raw.as_buffer(), "<i8")
+                for at in range(0, len(hashes), BLOCK):
+                    part = hashes[at : at + BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.int64()), pa.array([n.as_py()] * len(part), pa.int64()), pa.array(part)], names=["node", "n", "hash"])
+
+    tokens = written(map_batches(sets.join(members.select("node"), "node").select("node", "n", "hashes"), spread, "node long, n long, hash long"), "tokens")
+    often = written(tokens.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    order = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("hash"))  # places count from the end, where the frequent ones are
+    placed = tokens.join(often, "hash").withColumn("place", F.col("n") + 1 - F.row_number().over(order))
+    first = placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
+    keys = written(first.join(members, "node").select("hash", "node", "root", "n", "place"), "rare")
+    mixed = written(keys.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("hash"), "rare-several")
+    keys = written(keys.join(mixed, "hash"), "rare-keys")
+    left, right = (keys.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place")]) for x in "ab")
+    shared = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9  # shingles in common that are needed
+    can = (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= shared)
+    return left.join(right, "hash").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & can).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def hopeful(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The ``pairs(a, b)`` whose sketches agree in ``least`` of their values."""
     left, right = sketches.select(F.col("node").alias("a"), F.col("mins").alias("p")), sketches.select(F.col("node").alias("b"), F.col("mins").alias("q"))
@@ -275,29 +329,36 @@ def shingle_hashes(text: str | None, width: int):
     return np.unique(np.concatenate(parts))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of ``texts(node, text)`` that share at least ``similarity`` of their distinct shingles."""
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of ``sets(node, n, hashes)`` that share at least ``similarity`` of their distinct shingles."""
+    sizes = sets.select("node", "n")
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    # sets of too different sizes can't be similar
+    able = sized.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
+    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("s")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("t"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        last: list = [(None, None), (None, None)]  # rows come in runs of one text
-
-        def hashes(side: int, node: int, text: pa.Scalar):
-            if last[side][0] != node:
-                last[side] = (node, shingle_hashes(text.as_py(), width))
-            return last[side][1]
-
         for b in batches:
             keep = []
-            for x, y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                p, q = hashes(0, x, s), hashes(1, y, t)
+            for s, t in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(s.as_buffer(), "<u8"), np.frombuffer(t.as_buffer(), "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), compare, "a long, b long")
+    return map_batches(able.join(left, "a").join(right, "b").select("a", "b", "s", "t"), compare, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(node, n, hashes)`` of ``texts(node, text)``: the number of distinct shingles and their hashes, little-endian."""
+
+    def work(texts: list) -> list:
+        found = [shingle_hashes(t, width) for t in texts]
+        return [pa.array(map(len, found), pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())]
+
+    return from_text(texts, "text", "n long, hashes binary", work)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -307,31 +368,50 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     that similarity differ in many more bits of a fingerprint than ball hashing can span,
     so MinHash bands propose candidates beside it. The MinHash values only discard
     candidates whose estimate lies ``HOPELESS`` or more below; the distinct shingles of the
-    others are compared exactly. The row with the smallest ``doc_id`` stays (null last; of rows with equal ids the one with the smallest
-    hash of its text). Texts without words are duplicates of each other by definition.
+    others are compared exactly. The row with the smallest ``doc_id`` stays (null last; of
+    rows with equal ids the one with the smallest digest of its text). Equal texts are told
+    by 128 bits. Null and empty texts are equal, and texts without words are duplicates of
+    each other by definition. Of rows repeated with id and text any one stays, whole. An
+    empty table gives an empty result. ``docs`` is read again for its texts, so it has to
+    be a table, or a plan that gives the same rows each time.
     """
-    fp, mins, bands, node, row = fresh(docs, "_fp", "_mins", "_bands", "_node", "_row")
-    hashed = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = written(with_sketch(hashed, text, width, seed, fp, mins, bands), "simhash")
+    (key,) = fresh(docs, "_text_key")
+    keyed = docs.withColumn(key, text_key(F.col(text)))
+    mine = F.col(doc_id)
+    ids = written(with_sketch(keyed.select(mine.isNull().alias("none"), mine.alias("id"), F.col(key).alias("key"), F.col(text).alias("text")), "text", width, seed, "fp", "mins", "bands"), "simhash")
     # copies collapse: what follows works on different texts
-    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    texts = rows.withColumn(row, place).groupBy(F.col(node).alias("node")).agg(F.first(fp).alias("fp"), F.first(mins).alias("mins"), F.first(bands).alias("bands"), F.min(row).alias("at"))
-    sketches = written(texts, "sketches")
+    texts = ids.groupBy("key").agg(F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.first("bands").alias("bands"))
+    sketches = written(texts.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    sets: list[DataFrame] = []
+
+    def ready(nodes: DataFrame) -> None:
+        """Shingles of the texts that candidates may name."""
+        wanted = few(written(sketches.join(nodes, "node").select("key", "node"), "wanted"))
+        found = keyed.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "key")
+        once = found.groupBy("node").agg(F.first("text").alias("text"))
+        sets.append(written(shingle_sets(once, width), "shingles"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = written(hopeful(pairs, sketches, similarity - HOPELESS), "hopeful")
-        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        needed = written(sketches.join(nodes, "node").select("at"), "needed")
-        if needed.count() <= BROADCAST_ROWS:
-            needed = F.broadcast(needed)
-        wanted = rows.select(F.col(node).alias("node"), F.col(text).alias("text"), place.alias("at")).join(needed, "at", "left_semi")
-        return similar(left, written(wanted.select("node", "text"), "compared"), width, similarity)
-
-    roots = similar_components(sketches, radius, verify)
-    ids = written(rows.select(F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id"), F.col(node).alias("node"), place.alias("_row")), "simhash-ids")
-    grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = grouped.groupBy("root").agg(F.min(F.struct("_null", "_id", "node", "_row")).alias("x")).select("x._row")
-    gone = written(ids.select("_row").join(first, "_row", "left_anti").withColumnRenamed("_row", row), "simhash-gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return rows.withColumn(row, place).join(gone, row, "left_anti").drop(row, fp, mins, bands, node)
+        return similar(written(hopeful(pairs, sketches, similarity - HOPELESS), "hopeful"), sets[0], similarity)
+
+    roots = similar_components(sketches, radius, verify, ready, lambda members: rare_pairs(members, sets[0], similarity))
+    labels = written(sketches.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "labels")
+    rows = ids.groupBy("none", "id", "key").agg(F.count("*").alias("n"))
+    grouped = written(rows.join(labels, "key"), "grouped")
+    first = written(grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("x")).select("root", F.col("x.id").alias("i"), F.col("x.key").alias("k")), "kept")
+    kept = grouped.join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+    drop = written(kept.where("not stays or n > 1").select(F.col("id").alias("_i"), F.col("key").alias("_k"), (F.col("stays") & (F.col("n") > 1)).alias("_again")), "simhash-gone")
+    same = lambda other: mine.eqNullSafe(other["_i"]) & (F.col(key) == other["_k"])
+    gone = few(drop)
+    out = keyed.join(gone, same(gone), "left_anti").drop(key)
+    again = few(drop.where("_again"))
+    if again.isEmpty():
+        return out
+    # rows repeated with id and text: one of each
+    repeated = keyed.join(again, same(again), "left_semi").groupBy(mine, key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return out.unionByName(repeated.select("row.*"))
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast while it is counted as small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

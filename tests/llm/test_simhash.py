@@ -163,3 +163,40 @@ def test_pairs_next_to_the_similarity_are_decided_exactly(spark):
         texts += [" ".join(base), " ".join("new" if i in changed else w for i, w in enumerate(base))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in simhash.deduplicate(rows).collect()} == set(slow_groups(texts)) == {*range(0, 60, 2), *range(60, 120)}
+
+
+def test_rare_pairs_hold_every_similar_pair(spark):
+    rng = random.Random(12)
+    passage = [str(rng.randrange(10**6)) for _ in range(60)]
+    texts = []
+    for _ in range(40):  # all share a passage; some are near copies besides
+        own = [*passage, *(str(rng.randrange(10**6)) for _ in range(rng.randint(5, 60)))]
+        texts.append(" ".join(own))
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = "new"
+            texts.append(" ".join(own))
+    texts += ["", "a", "a b", "a b c d e f", "a b c d e f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    members = rows.select("node", F.col("node").alias("root"))
+    got = {tuple(r) for r in simhash.rare_pairs(members, simhash.shingle_sets(rows, 5), 0.8).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want <= got and len(got) < 2 * len(want)
+    apart = members.withColumn("root", F.col("node") % 2)
+    assert {tuple(r) for r in simhash.rare_pairs(apart, simhash.shingle_sets(rows, 5), 0.8).collect()} == {(i, j) for i, j in got if (i - j) % 2}
+
+
+def test_texts_never_come_back_from_python_nor_are_written(spark, sf, monkeypatch):
+    kept, real = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name, **o: kept.append(df.columns) or real(df, name, **o))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    simhash.near_duplicates(docs, keep_text=False)
+    assert kept and not any("text" in c for c in kept)
+    simhash.deduplicate(docs)
+    assert not any("text" in c for c in kept)
+
+
+def test_rows_repeated_with_id_and_text_leave_one(spark):
+    rows = spark.createDataFrame([(1, "one two three", k) for k in range(5)] + [(1, "other words here", 9), (None, "one two three", 7), (2, None, 1), (2, "", 2)], "doc_id long, text string, k int")
+    got = simhash.deduplicate(rows).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == [(1, "one two three"), (1, "other words here"), (2, "")]
