@@ -14,6 +14,11 @@ BAND_METRES = {
 GRID_METRES, REFLECTANCE_SCALE, IGNORED = 10, 10_000, 0
 
 
+def band_ratio(band: str) -> int:
+    """Pixels of the reference grid along one side of a band's pixel; 1 for names that are no known band."""
+    return BAND_METRES.get(band, GRID_METRES) // GRID_METRES
+
+
 def patch_name(path: Column) -> Column:
     """``year, tile, patch_x, patch_y`` of a path ending in ``<year>_<tile>_patch_<x>_<y>.<suffix>``; null where it has another form."""
     stem = r"([^/_]+)_([^/_]+)_patch_([^/_]+)_([^/_.]+)(?:\.[^/]*)?$"
@@ -79,8 +84,12 @@ def stratum(*bins: Column) -> Column:
     return F.concat_ws("__", *[b.cast("string") for b in bins])
 
 
-def composite_name(freq: str, bands: list[str], height: int, width: int) -> str:
-    return f"{freq}_{''.join(bands)}_{height}x{width}"
+def composite_name(freq: str, bands: Column | list[str], height: Column | int, width: Column | int) -> Column | str:
+    """``<freq>_<bands>_<h>x<w>``; a text if all parts are plain values."""
+    if isinstance(bands, list):
+        return f"{freq}_{''.join(bands)}_{height}x{width}"
+    number = lambda n: (F.lit(n) if isinstance(n, int) else n).cast("string")
+    return F.concat(F.lit(f"{freq}_"), F.array_join(bands, ""), F.lit("_"), number(height), F.lit("x"), number(width))
 
 
 def name_or_blank(name: Column) -> Column:

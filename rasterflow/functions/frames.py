@@ -7,6 +7,7 @@ bin edges, rank offsets). Elsewhere Spark decides at run time by the side's real
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The shared folder ``spark.checkpoint.dir``; where none is set, one of our own, in a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,28 +35,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has, with more underscores in front where needed."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_digest(*parts: Column | str | int) -> Column:
     """Hex md5 of the parts joined by ``|``: the source of all seeded orders."""
     return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def digest_rank(df: DataFrame, seed: int | str, key: Column, scope: list[str] | None = None, out: str = "rank") -> DataFrame:
+def digest_rank(df: DataFrame, seed: int | str, key: Column, scope: list[str] | None = None, out: str = "rank", digits: int = 3) -> DataFrame:
     """1-based rank of rows by md5 of (seed, key) within ``scope``, without a single-task window.
 
-    The first three hex digits of the digest deal the rows into 4096 buckets; a small
-    table of counts for each (scope, bucket) gives every bucket's offset, and rows are
-    numbered within their bucket. Equal keys are ordered by key only.
+    The first ``digits`` hex digits of the digest deal the rows into buckets (3: 4096 for
+    each scope; take 4 or 5 where these would hold too many rows for a sort); a small table
+    of counts for each (scope, bucket) gives every bucket's offset, and rows are numbered
+    within their bucket. Equal keys are ordered by key only.
     """
     scope = scope or []
-    rows = df.withColumn("_digest", text_digest(seed, key)).withColumn("_bucket", F.substring("_digest", 1, 3)).withColumn("_key", key.cast("string"))
-    counts = rows.groupBy(*scope, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*scope, "_bucket").orderBy("_digest", "_key")))
-    on = [F.col("r._bucket") == F.col("o._bucket"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in scope]]
-    # without a scope there are 4096 offsets at most; with one their size decides
-    joined = inside.alias("r").join((offsets if scope else F.broadcast(offsets)).alias("o"), on)
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns if c != out], (F.col("r._row") + F.col("o._before")).alias(out))
+    digest, bucket, text, row, n, before = fresh(df, "_digest", "_bucket", "_key", "_row", "_n", "_before")
+    rows = df.withColumn(digest, text_digest(seed, key)).withColumn(text, key.cast("string")).withColumn(bucket, F.substring(digest, 1, digits))
+    counts = rows.groupBy(*scope, bucket).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(*scope).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    inside = rows.withColumn(row, F.row_number().over(Window.partitionBy(*scope, bucket).orderBy(digest, text)))
+    on = [F.col(f"r.{bucket}") == F.col(f"o.{bucket}"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in scope]]
+    # without a scope there are 16 ** digits offsets at most; with one their size decides
+    joined = inside.alias("r").join((offsets if scope or digits > 4 else F.broadcast(offsets)).alias("o"), on)
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns if c != out], (F.col(f"r.{row}") + F.col(f"o.{before}")).alias(out))
 
 
 def value_rank(df: DataFrame, value: str, ties: str, out: str = "rank", lanes: int | None = None) -> DataFrame:
@@ -61,19 +77,21 @@ def value_rank(df: DataFrame, value: str, ties: str, out: str = "rank", lanes: i
 
     Rows are dealt into lanes at approximate quantiles of ``value``; lanes are numbered by
     themselves and shifted by the rows of all lanes below. A value that fills a lane or
-    more (the same quantile twice), and nulls, are split further by the digest.
+    more (the same quantile twice), and nulls, are split further by the digest. The
+    quantiles are found by a job that runs when the plan is made.
     """
-    lanes = lanes or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = lanes or min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = df.stat.approxQuantile(value, [k / lanes for k in range(1, lanes)], 0.2 / lanes)
     hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
     edges = sorted({*found, *(math.nextafter(h, math.inf) for h in hot)}) or [0.0]
-    bucket = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_value", outputCol="_bucket")
-    rows = bucket.transform(df.withColumn("_value", F.coalesce(F.col(value).cast("double"), F.lit(0.0))).withColumn("_digest", text_digest(F.col(ties))))
-    wide = F.col(value).isNull() | F.col("_value").isin(hot) if hot else F.col(value).isNull()
-    rows = rows.withColumns({"_lane": F.when(F.col(value).isNull(), -1).otherwise(F.col("_bucket").cast("int")), "_part": F.when(wide, F.substring("_digest", 1, 3)).otherwise(F.lit(""))}).drop("_value", "_bucket")
-    counts = rows.groupBy("_lane", "_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_lane", "_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each lane, 4096 for a hot value
-    offsets = counts.select("_lane", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_lane", "_part").orderBy(F.col(value).asc_nulls_first(), "_digest", ties)))
-    joined = inside.join(offsets, ["_lane", "_part"])
-    return joined.select(*[c for c in df.columns if c != out], (F.col("_row") + F.col("_before")).alias(out))
+    number, bucket, digest, lane, part, n, before, row = fresh(df, "_value", "_bucket", "_digest", "_lane", "_part", "_n", "_before", "_row")
+    cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol=number, outputCol=bucket)
+    rows = cut.transform(df.withColumn(number, F.coalesce(F.col(value).cast("double"), F.lit(0.0))).withColumn(digest, text_digest(F.col(ties))))
+    wide = F.col(value).isNull() | F.col(number).isin(hot) if hot else F.col(value).isNull()
+    rows = rows.withColumns({lane: F.when(F.col(value).isNull(), -1).otherwise(F.col(bucket).cast("int")), part: F.when(wide, F.substring(digest, 1, 3)).otherwise(F.lit(""))}).drop(number, bucket)
+    counts = rows.groupBy(lane, part).agg(F.count("*").alias(n))
+    below = Window.orderBy(lane, part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each lane, 4096 for a hot value
+    offsets = counts.select(lane, part, F.coalesce(F.sum(n).over(below), F.lit(0)).alias(before))
+    inside = rows.withColumn(row, F.row_number().over(Window.partitionBy(lane, part).orderBy(F.col(value).asc_nulls_first(), digest, ties)))
+    joined = inside.join(offsets, [lane, part])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], (F.col(row) + F.col(before)).alias(out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import fresh
 
 
 def bin_edges(spark: SparkSession, start: str, end: str, freq: str = "month", every: int = 1) -> DataFrame:
@@ -25,9 +26,11 @@ def assign_bin(obs: DataFrame, edges: DataFrame, time: str = "time") -> DataFram
     A hash join on the day, with the bins that touch it (a row for each day and bin), then
     the exact edges.
     """
-    days = edges.withColumn("_day", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))))
-    inside = (F.to_date(F.col(time)) == F.col("_day")) & (F.col(time) > F.col("lo")) & (F.col(time) <= F.col("hi"))
-    return obs.join(F.broadcast(days), inside).drop("hi", "_day")
+    day, lo, hi = fresh(obs, "_day", "_lo", "_hi")
+    days = edges.select("bin", F.col("lo").alias(lo), F.col("hi").alias(hi), F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))).alias(day))
+    inside = (F.to_date(F.col(time)) == F.col(day)) & (F.col(time) > F.col(lo)) & (F.col(time) <= F.col(hi))
+    rest = obs.drop("bin", "lo")
+    return rest.join(F.broadcast(days), inside).select(*[F.col(f"`{c}`") for c in rest.columns], "bin", F.col(lo).alias("lo"))
 
 
 def month_bin(obs: DataFrame, time: str = "time", year: int | None = None) -> DataFrame:
@@ -38,8 +41,11 @@ def month_bin(obs: DataFrame, time: str = "time", year: int | None = None) -> Da
 
 
 def median_composite(obs: DataFrame, keys: list[str], value: str = "value", out: str = "median") -> DataFrame:
-    """Exact median of each group; null and NaN are missing, an even count gives the middle two's mean."""
-    obs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
+    """Exact median of each group; null and NaN are missing, an even count gives the middle two's mean.
+
+    With many small groups ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold`` is
+    best set to some thousands in the session; it is not changed here.
+    """
     v = F.col(value)
     present = v if obs.schema[value].dataType.typeName() not in ("double", "float") else F.when(~F.isnan(v), v)
     return obs.groupBy(*keys).agg(F.median(present).alias(out))
@@ -65,17 +71,39 @@ def fill_gaps(composite: DataFrame, keys: list[str], x: str, value: str, out: st
     lines from the first and last two values.
     """
     place = F.col(x).cast("double") if composite.schema[x].dataType.typeName() in ("integer", "long", "double", "float", "short") else _seconds(F.col(x))
-    rows = composite.withColumn("_x", place).withColumn("_p", F.when(F.col(value).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(value).cast("double").alias("y"))))
-    w = Window.partitionBy(*keys).orderBy("_x")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    at, point, back, ahead, n, first, second, last, prior = fresh(composite, "_x", "_p", "_a", "_b", "_n", "_first", "_second", "_last", "_before")
+    rows = composite.withColumn(at, place).withColumn(point, F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("x"), F.col(value).cast("double").alias("y"))))
+    w = Window.partitionBy(*keys).orderBy(at)
+    so_far, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"_a": F.last("_p", True).over(back), "_b": F.first("_p", True).over(ahead), "_n": F.count("_p").over(whole)})
-    rows = rows.withColumns({"_first": F.nth_value("_p", 1, True).over(whole), "_second": F.nth_value("_p", 2, True).over(whole), "_last": F.last("_p", True).over(whole)})
+    rows = rows.withColumns({back: F.last(point, True).over(so_far), ahead: F.first(point, True).over(on), n: F.count(point).over(whole)})
+    rows = rows.withColumns({first: F.nth_value(point, 1, True).over(whole), second: F.nth_value(point, 2, True).over(whole), last: F.last(point, True).over(whole)})
     # the one before the last: the last value among rows that precede the last one
-    rows = rows.withColumn("_before", F.max(F.when(F.col("_p.x") < F.col("_last.x"), F.col("_p"))).over(whole))
-    line = lambda p, q: F.col(f"{p}.y") + (F.col(f"{q}.y") - F.col(f"{p}.y")) * F.try_divide(F.col("_x") - F.col(f"{p}.x"), F.col(f"{q}.x") - F.col(f"{p}.x"))
-    filled = F.when(F.col(value).isNotNull() | (F.col("_n") < 2), F.col(value).cast("double")).when(F.col("_a").isNull(), line("_first", "_second")).when(F.col("_b").isNull(), line("_before", "_last")).otherwise(line("_a", "_b"))
-    return rows.select(*[c for c in composite.columns if c != out], filled.alias(out))
+    rows = rows.withColumn(prior, F.max(F.when(F.col(f"{point}.x") < F.col(f"{last}.x"), F.col(point))).over(whole))
+    line = lambda p, q: F.col(f"{p}.y") + (F.col(f"{q}.y") - F.col(f"{p}.y")) * F.try_divide(F.col(at) - F.col(f"{p}.x"), F.col(f"{q}.x") - F.col(f"{p}.x"))
+    filled = F.when(F.col(value).isNotNull() | (F.col(n) < 2), F.col(value).cast("double")).when(F.col(back).isNull(), line(first, second)).when(F.col(ahead).isNull(), line(prior, last)).otherwise(line(back, ahead))
+    return rows.select(*[F.col(f"`{c}`") for c in composite.columns if c != out], filled.alias(out))
+
+
+def filled_series(binned: DataFrame, keys: list[str], edges: DataFrame, value: str = "value", out: str = "series") -> DataFrame:
+    """``(*keys, series)``: for each key an array of ``(bin, lo, median, filled)``, one for every bin, in order.
+
+    Median, completion of the bins and filling in one shuffle by the keys: ``binned`` is
+    aggregated to medians, these are gathered by key (a key has as many as there are
+    bins), and arrays do the rest. What :func:`median_composite`, :func:`complete_bins` and
+    :func:`fill_gaps` give, without their second aggregation, join and window.
+    """
+    # dealt by key once: the medians' groups and the keys' arrays are made where the rows then lie
+    medians = median_composite(binned.select(*keys, "bin", value).repartition(*keys), [*keys, "bin"], value, "_median")
+    found = medians.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "_median"))).alias("_medians"))
+    bins = edges.agg(F.array_sort(F.collect_list(F.struct("bin", "lo"))).alias("_bins"))  # one row
+    joined = found.join(F.broadcast(bins), F.lit(True))
+    values = F.transform("_bins", lambda b: F.try_element_at(F.col("_medians"), b["bin"]))
+    series = joined.withColumn("_values", values)
+    filled = fill_series(F.col("_values"), F.transform("_bins", lambda b: _seconds(b["lo"])))
+    rows = series.withColumn("_filled", filled)
+    entries = F.transform("_bins", lambda b, i: F.struct(b["bin"].alias("bin"), b["lo"].alias("lo"), F.get("_values", i).alias("median"), F.get("_filled", i).alias("filled")))
+    return rows.select(*keys, entries.alias(out))
 
 
 def fill_series(values: Column, places: Column) -> Column:
@@ -96,8 +124,9 @@ def resample(pixels: DataFrame, ratio: Column | int, y: str = "y", x: str = "x")
     """Pixels of a coarser band repeated ``ratio`` times along both axes of the reference grid."""
     r = F.lit(ratio) if isinstance(ratio, int) else ratio
     steps = F.sequence(F.lit(0), r - 1)
-    out = pixels.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-    return out.withColumns({y: F.col(y) * r + F.col("_dy"), x: F.col(x) * r + F.col("_dx")}).drop("_dy", "_dx")
+    dy, dx = fresh(pixels, "_dy", "_dx")
+    out = pixels.withColumn(dy, F.explode(steps)).withColumn(dx, F.explode(steps))
+    return out.withColumns({y: F.col(y) * r + F.col(dy), x: F.col(x) * r + F.col(dx)}).drop(dy, dx)
 
 
 def align_bands(composite: DataFrame, keys: list[str], bands: list[str], band: str = "band", value: str = "value") -> DataFrame:
@@ -109,8 +138,10 @@ def preview(composite: DataFrame, by: list[str], bands: list[str]) -> DataFrame:
     """Bands as picture bytes, scaled by the largest value of all of them within ``by``."""
     from ..functions.columns import preview_byte
 
-    top = F.greatest(*[F.max(b).over(Window.partitionBy(*by)) for b in bands])
-    return composite.withColumn("_top", top).withColumns({b: preview_byte(F.col(b), F.col("_top")) for b in bands}).drop("_top")
+    (name,) = fresh(composite, "_top")
+    tops = [F.max(b).over(Window.partitionBy(*by)) for b in bands]
+    top = F.greatest(*tops) if len(tops) > 1 else tops[0]
+    return composite.withColumn(name, top).withColumns({b: preview_byte(F.col(b), F.col(name)) for b in bands}).drop(name)
 
 
 def select_bins(df: DataFrame, first: int = 4, last: int = 9, column: str = "bin") -> DataFrame:

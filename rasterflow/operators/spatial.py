@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from ..functions.frames import fresh
 
 #: The WGS 84 ellipsoid and the UTM grid.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EAST, FALSE_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
@@ -74,9 +74,10 @@ def zonal_join(points: DataFrame, polygons: DataFrame, cell: float, x: str = "lo
     grows, not points times polygons.
     """
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    zones = polygons.withColumn("_cell", F.explode(cells_of(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), cell)))
-    placed = points.withColumn("_cell", F.struct(F.floor(F.col(x) / cell).cast("int").alias("cx"), F.floor(F.col(y) / cell).cast("int").alias("cy")))
-    return placed.join(zones, "_cell").where(inside(F.col(ring), F.col(x), F.col(y))).drop("_cell")
+    (here,) = fresh(points.select(*points.columns, *[F.lit(0).alias(c) for c in polygons.columns if c not in points.columns]), "_cell")
+    zones = polygons.withColumn(here, F.explode(cells_of(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), cell)))
+    placed = points.withColumn(here, F.struct(F.floor(F.col(x) / cell).cast("int").alias("cx"), F.floor(F.col(y) / cell).cast("int").alias("cy")))
+    return placed.join(zones, here).where(inside(F.col(ring), F.col(x), F.col(y))).drop(here)
 
 
 def zonal_stats(points: DataFrame, polygons: DataFrame, key: str, cell: float, value: str = "elev", prefix: str = "elevation", x: str = "lon", y: str = "lat", ring: str = "ring") -> DataFrame:
@@ -86,13 +87,20 @@ def zonal_stats(points: DataFrame, polygons: DataFrame, key: str, cell: float, v
 
 
 def boxes_touching(boxes: DataFrame, others: DataFrame, cell: float, columns: tuple[str, str, str, str] = ("xmin", "xmax", "ymin", "ymax")) -> DataFrame:
-    """Rows of ``boxes`` that meet at least one box of ``others``: a semi-join by grid cells and the exact test."""
+    """Rows of ``boxes`` that meet at least one box of ``others``, repeated rows as often as they occur.
+
+    An equi-join by grid cells and the exact test find the different boxes that meet
+    another; rows are then kept by their box, whatever their other columns are.
+    """
     mine, theirs = [F.col(f"b.{c}") for c in columns], [F.col(f"o.{c}") for c in columns]
-    keyed = boxes.withColumn("_cells", cells_of(*map(F.col, columns), cell)).withColumn("_c", F.explode("_cells")).drop("_cells")
-    cells = others.select(*columns, F.explode(cells_of(*map(F.col, columns), cell)).alias("_c"))
+    distinct = boxes.select(*columns).distinct()
+    keyed = distinct.withColumn("_c", F.explode(cells_of(*map(F.col, columns), cell)))
+    cells = others.select(*columns).distinct().withColumn("_c", F.explode(cells_of(*map(F.col, columns), cell)))
     meet = (mine[0] <= theirs[1]) & (mine[1] >= theirs[0]) & (mine[2] <= theirs[3]) & (mine[3] >= theirs[2])
-    hit = keyed.alias("b").join(cells.alias("o"), (F.col("b._c") == F.col("o._c")) & meet, "left_semi")
-    return hit.drop("_c").distinct()
+    names = fresh(boxes, *(f"_{k}" for k in range(4)))
+    hit = keyed.alias("b").join(cells.alias("o"), (F.col("b._c") == F.col("o._c")) & meet, "left_semi").select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    same = [boxes[c] == hit[n] for c, n in zip(columns, names, strict=True)]
+    return boxes.join(hit, same, "left_semi")
 
 
 def lonlat_to_utm(lon: float, lat: float, zone: int) -> tuple[float, float]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import digest_rank, text_digest, value_rank
+from ..functions.frames import digest_rank, fresh, text_digest, value_rank
 from .rules import random_rules
 
 Targets = list[dict]
@@ -34,13 +34,13 @@ def random_split(df: DataFrame, key: str, scope: str, targets: Targets, seed: in
 
     Fractions below 1 leave rows without a target.
     """
-    n = df.agg(F.count("*").alias("_n"))
-    ranked = digest_rank(df, f"{seed}|{scope}", F.col(key), out="_rank").join(F.broadcast(n), F.lit(True))
+    rank, n = fresh(df, "_rank", "_n")
+    ranked = digest_rank(df, f"{seed}|{scope}", F.col(key), out=rank).join(F.broadcast(df.agg(F.count("*").alias(n))), F.lit(True))
     target = None
     for name, upper in fraction_boundaries(targets):
-        take = F.col("_rank") <= F.rint(F.lit(upper) * F.col("_n"))
+        take = F.col(rank) <= F.rint(F.lit(upper) * F.col(n))
         target = F.when(take, name) if target is None else target.when(take, name)
-    return ranked.withColumn("target", target).drop("_rank", "_n")
+    return ranked.withColumn("target", target).drop(rank, n)
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, targets: Targets, seed: int) -> DataFrame:
@@ -71,9 +71,11 @@ def stratified_split(df: DataFrame, key: str, stratum: str, targets: Targets, se
     table = parts[0]
     for p in parts[1:]:
         table = table.unionAll(p)
-    ranked = digest_rank(df, f"{seed}|strata", F.col(key), [stratum], "_rank")
-    inside = F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi"))
-    return ranked.join(table, inside, "left").select(*df.columns, F.col("_t").alias("target"))
+    rank, s, t, lo, hi = fresh(df, "_rank", "_s", "_t", "_lo", "_hi")
+    table = table.withColumnsRenamed({"_s": s, "_t": t, "_lo": lo, "_hi": hi})
+    ranked = digest_rank(df, f"{seed}|strata", F.col(key), [stratum], rank)
+    inside = F.col(stratum).eqNullSafe(F.col(s)) & (F.col(rank) > F.col(lo)) & (F.col(rank) <= F.col(hi))
+    return ranked.join(table, inside, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != "target"], F.col(t).alias("target"))
 
 
 def apply_splits(split: DataFrame, rules: list[dict], seed: int, key: str = "path") -> DataFrame:
@@ -136,10 +138,11 @@ def subsample(df: DataFrame, key: str, fractions: dict[str, float], seed: int, t
     if not fractions:
         return df
     pairs = F.create_map(*[F.lit(x) for p in fractions.items() for x in p])
-    limits = df.groupBy(target).agg(F.count("*").alias("_n")).select(F.col(target).alias("_t"), F.rint(F.try_element_at(pairs, F.col(target)) * F.col("_n")).alias("_most"))
-    ranked = digest_rank(df, f"{seed}|subsample", F.col(key), [target], "_rank")
-    joined = ranked.join(limits, F.col(target).eqNullSafe(F.col("_t")), "left")
-    return joined.where(F.col("_most").isNull() | (F.col("_rank") <= F.col("_most"))).select(*df.columns)
+    rank, n, t, most = fresh(df, "_rank", "_n", "_t", "_most")
+    limits = df.groupBy(target).agg(F.count("*").alias(n)).select(F.col(target).alias(t), F.rint(F.try_element_at(pairs, F.col(target)) * F.col(n)).alias(most))
+    ranked = digest_rank(df, f"{seed}|subsample", F.col(key), [target], rank)
+    joined = ranked.join(limits, F.col(target).eqNullSafe(F.col(t)), "left")
+    return joined.where(F.col(most).isNull() | (F.col(rank) <= F.col(most))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def fraction_limit(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -158,8 +161,9 @@ def swap_targets(df: DataFrame, a: str = "train", b: str = "val", target: str =
 
 def assign_blocks(df: DataFrame, order: str | None, size: int, seed: int | None = None, key: str | None = None, out: str = "block_id") -> DataFrame:
     """Consecutive groups of ``size`` rows in the order of a column, or of a seeded shuffle by ``key``."""
-    ranked = value_rank(df, order, key or order, "_rank") if seed is None else digest_rank(df, seed, F.col(key), out="_rank")
-    return ranked.withColumn(out, F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
+    (rank,) = fresh(df, "_rank")
+    ranked = value_rank(df, order, key or order, rank) if seed is None else digest_rank(df, seed, F.col(key), out=rank)
+    return ranked.withColumn(out, F.floor((F.col(rank) - 1) / size).cast("long")).drop(rank)
 
 
 def top_k_per_block(df: DataFrame, block: str, score: str, key: str, k: int) -> DataFrame:
@@ -167,7 +171,8 @@ def top_k_per_block(df: DataFrame, block: str, score: str, key: str, k: int) ->
     score_ = F.col(score)
     clean = F.when(~F.isnan(score_), score_) if df.schema[score].dataType.typeName() in ("double", "float") else score_
     order = Window.partitionBy(block).orderBy(clean.desc_nulls_last(), F.col(key))
-    return df.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+    (place,) = fresh(df, "_place")
+    return df.withColumn(place, F.row_number().over(order)).where(F.col(place) <= k).drop(place)
 
 
 def block_size(factor: float, batches: int, batch: int) -> int:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from ..functions.frames import fresh
 
 
 def bin_equal_width(df: DataFrame, column: str, bins: int | None = None, out: str | None = None) -> DataFrame:
@@ -20,37 +20,61 @@ def bin_equal_width(df: DataFrame, column: str, bins: int | None = None, out: st
     """
     if df.schema[column].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double", "decimal"):
         raise TypeError(f"{column} is not a number")
+    lo, hi, rows_, n_ = fresh(df, "_lo", "_hi", "_rows", "_n")
     v = F.col(column).cast("double")
     v = F.when(~F.isnan(v), v)
-    n = F.lit(bins) if bins else F.greatest(F.least(F.lit(100), F.floor(F.col("_rows") / 20)), F.lit(1))
-    span = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_rows"))
-    rows = df.join(F.broadcast(span), F.lit(True)).withColumn("_n", n.cast("int"))
-    place = F.ceil((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_n")) - 1
-    found = F.when(v.isNull(), -1).when(F.col("_hi") == F.col("_lo"), F.ceil(F.col("_n") * 0.5) - 1).otherwise(F.greatest(F.lit(0), F.least(F.col("_n") - 1, place)))
-    return rows.withColumn(out or f"{column}_bin", found.cast("int")).drop("_lo", "_hi", "_rows", "_n")
+    n = F.lit(bins) if bins else F.greatest(F.least(F.lit(100), F.floor(F.col(rows_) / 20)), F.lit(1))
+    span = df.agg(F.min(v).alias(lo), F.max(v).alias(hi), F.count("*").alias(rows_))
+    rows = df.join(F.broadcast(span), F.lit(True)).withColumn(n_, n.cast("int"))
+    place = F.ceil((v - F.col(lo)) / (F.col(hi) - F.col(lo)) * F.col(n_)) - 1
+    found = F.when(v.isNull(), -1).when(F.col(hi) == F.col(lo), F.ceil(F.col(n_) * 0.5) - 1).otherwise(F.greatest(F.lit(0), F.least(F.col(n_) - 1, place)))
+    return rows.withColumn(out or f"{column}_bin", found.cast("int")).drop(lo, hi, rows_, n_)
 
 
 def stratum_key(df: DataFrame, columns: list[str], out: str = "stratum") -> DataFrame:
     return df.withColumn(out, F.concat_ws("__", *[F.col(c).cast("string") for c in columns]))
 
 
+def counted_median(bins: list[int], counts: list[int]) -> int:
+    """Floor of the median of ascending bins, each taken as often as it counts."""
+    ends = np.cumsum(counts)
+    n = int(ends[-1])
+    low, high = (bins[int(np.searchsorted(ends, k, "right"))] for k in ((n - 1) // 2, n // 2))
+    return (low + high) // 2
+
+
 def merge_lone(bins: list[int], counts: list[int]) -> dict[int, int]:
-    """New bin of each bin: bins with one row merge with a neighbour until none is alone.
+    """New bin of each bin: bins with one row are merged with neighbours at growing distance.
 
-    The nearest partner wins, lone ones first, the lower on ties; a merged group stands at
-    the floor of the median of its bins.
+    For each distance d, as long as a bin holds one row only: every such bin that isn't
+    taken yet takes the bin d below or above it, one of one row before others, the lower
+    on ties. All bins taken are cut, in order, into half as many runs as there are bins,
+    the longer runs first, and each run becomes the bin at the median of its rows, rounded
+    down. Lone bins are looked at in ascending order.
     """
-    groups = [([b], c) for b, c in sorted(zip(bins, counts, strict=True))]
-    at = lambda g: int(np.floor(np.median(g[0])))
-    while len(groups) > 1:
-        lone = next((i for i, g in enumerate(groups) if g[1] == 1), None)
-        if lone is None:
+    rows = dict(sorted(zip(bins, counts, strict=True)))
+    new = {b: b for b in rows}
+    for d in range(1, max(rows, default=0) - min(rows, default=0) + 1):
+        lone = [b for b, n in rows.items() if n == 1]
+        if not lone:
             break
-        own = at(groups[lone])
-        partner = min((i for i in range(len(groups)) if i != lone), key=lambda i: (abs(at(groups[i]) - own), groups[i][1] != 1, at(groups[i])))
-        merged = (groups[lone][0] + groups[partner][0], groups[lone][1] + groups[partner][1])
-        groups = sorted([g for i, g in enumerate(groups) if i not in (lone, partner)] + [merged], key=at)
-    return {b: at(g) for g in groups for b in g[0]}
+        taken: set[int] = set()
+        for b in lone:
+            near = [(rows[x] > 1, x) for x in (b - d, b + d) if x in rows]
+            if b not in taken and near:
+                taken |= {b, min(near)[1]}
+        if not taken:
+            continue
+        merged = {}
+        for run in np.array_split(np.array(sorted(taken)), len(taken) // 2):
+            of = counted_median(run.tolist(), [rows[x] for x in run.tolist()])
+            merged |= dict.fromkeys(run.tolist(), of)
+        new = {b: merged.get(x, x) for b, x in new.items()}
+        after: dict[int, int] = {}
+        for x, n in rows.items():
+            after[merged.get(x, x)] = after.get(merged.get(x, x), 0) + n
+        rows = dict(sorted(after.items()))
+    return new
 
 
 def _merge_map(column: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -64,7 +88,7 @@ def _merge_map(column: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def merge_singletons(df: DataFrame, columns: list[str]) -> DataFrame:
     """Bins of one row merged into neighbours, column by column, within groups of the columns before.
 
-    Works on the histogram (a row for each combination of bins), grouped by the earlier
+    A missing value's bin, -1, stands beside the lowest bin. Works on the histogram (a row for each combination of bins), grouped by the earlier
     columns; its merge map is joined back.
     """
     for i, column in enumerate(columns):

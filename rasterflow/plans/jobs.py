@@ -11,9 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import band_ratio
 from ..functions.frames import written
-from ..operators.composite import align_bands, assign_bin, complete_bins, fill_gaps, median_composite, resample
-from ..operators.encode import class_counts, counts_per_target, patches_per_target
+from ..operators.composite import assign_bin, filled_series, resample
+from ..operators.encode import class_counts, class_frequencies, class_weights, counts_per_target, patches_per_target
+from ..operators.metrics import confusion, scores
 from ..operators.rules import apply_rules
 from ..operators.splits import apply_splits, drop_duplicates_by_split, seeded_shuffle, subsample
 from ..operators.tiling import tile
@@ -31,15 +33,23 @@ def chain(df: DataFrame, steps: list[Step]) -> DataFrame:
 def composite_job(obs: DataFrame, edges: DataFrame, bands: list[str], side: int, window: int, ratio: dict[str, int] | None = None, path: str = "path") -> DataFrame:
     """Observations ``(path, band, time, y, x, value)`` to tiled composites, a column for each band.
 
-    Median for each pixel and bin, missing bins filled along time, coarse bands repeated
-    onto the reference grid, bands side by side, pixels in tiles.
+    Median for each pixel and bin, missing bins filled along time (arrays, one row for each
+    pixel and band), coarse bands repeated onto the reference grid, bands side by side,
+    pixels in tiles. Two shuffles: by (path, band, y, x), and by pixel of the fine grid with
+    the whole series of a band in a row. ``ratio`` defaults to what the bands' own
+    resolutions give; names that are no such band have 1.
     """
-    pixel = [path, "band", "y", "x"]
     kept = assign_bin(obs.where(F.col("band").isin(bands)), edges)
-    filled = fill_gaps(complete_bins(median_composite(kept, [*pixel, "bin"]), pixel, edges), pixel, "lo", "median")
-    ratios = F.create_map(*[F.lit(v) for b in bands for v in (b, (ratio or {}).get(b, 1))])
-    fine = resample(filled.withColumn("_r", F.try_element_at(ratios, F.col("band"))), F.col("_r")).drop("_r")
-    return tile(align_bands(fine, [path, "bin", "y", "x"], bands, value="filled"), side, window)
+    series = filled_series(kept, [path, "band", "y", "x"], edges)
+    ratios = F.create_map(*[F.lit(v) for b in bands for v in (b, (ratio or {}).get(b, band_ratio(b)))])
+    fine = resample(series.withColumn("_r", F.try_element_at(ratios, F.col("band"))), F.col("_r")).drop("_r")
+    each = [F.first(F.when(F.col("band") == b, F.col("series")), True).alias(f"_s{i}") for i, b in enumerate(bands)]
+    side_by_side = fine.groupBy(path, "y", "x").agg(*each)
+    # a band that lacks the pixel is null in all bins
+    some = F.coalesce(*[F.col(f"_s{i}") for i in range(len(bands))])
+    bins = F.transform(some, lambda e, k: F.struct(e["bin"].alias("bin"), *[F.get(f"_s{i}", k)["filled"].alias(b) for i, b in enumerate(bands)]))
+    rows = side_by_side.select(path, F.explode(bins).alias("e"), "y", "x").select(path, "e.bin", "y", "x", *[f"e.`{b}`" for b in bands])
+    return tile(rows, side, window)
 
 
 def split_job(
@@ -51,11 +61,16 @@ def split_job(
     seed: int = 42,
     processors: list[Step] | None = None,
     duplicates: list[str] | None = None,
+    same: str | None = None,
     fractions: dict[str, float] | None = None,
     shuffle: bool = True,
     labels: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """``split``, ``patch_counts`` and, with labels, ``pixel_counts``; exactly one of rules and annotations is needed."""
+    """``split``, ``patch_counts`` and, with labels, ``pixel_counts``; exactly one of rules and annotations is needed.
+
+    Of the splits in ``duplicates`` rows go that agree with others in column ``same`` (the
+    key, if not given).
+    """
     if (rules is None) == (annotated is None):
         raise ValueError("give either rules or annotated splits")
     if rules is not None:
@@ -63,7 +78,7 @@ def split_job(
     else:
         split = chain(annotated.join(patches, key), processors or [])
     if duplicates:
-        split = drop_duplicates_by_split(split, key, duplicates)
+        split = drop_duplicates_by_split(split, same or key, duplicates)
     split = written(subsample(split, key, fractions or {}, seed), "split")
     out = {"split": seeded_shuffle(split, key, seed) if shuffle else split, "patch_counts": patches_per_target(split)}
     if labels is not None:
@@ -79,6 +94,21 @@ def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), model]).fit(train)
 
 
+def classifier_job(rows: DataFrame, features: list[str], classes: int, alpha: float | None = 1.0, label: str = "label", target: str = "target", ignore: int | None = 0, kind: str = "logistic", **options) -> DataFrame:
+    """Trains on the rows of target ``train`` and gives the scores of all targets: ``(target, pixels, accuracy, f1_weighted, f1_macro)``.
+
+    Rows weigh as their class does, blended towards equal weights by ``alpha`` (null:
+    unweighted). The ignored class is neither trained on nor scored.
+    """
+    kept = rows if ignore is None else rows.where(F.col(label) != ignore)
+    train = kept.where(F.col(target) == "train")
+    encoder = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("raw_id"), F.col("id").cast("int").alias("class_id"), F.lit("").alias("name"))
+    weights = class_weights(class_frequencies(class_counts(train, []), encoder, parcel=ignore == 0, label=label), alpha).select(F.col("class_id").alias("_class"), F.col("weight").alias("_weight"))
+    weighted = train.join(F.broadcast(weights), train[label] == weights["_class"])  # a row for each class
+    model = fit_classifier(weighted, features, label, None if alpha is None else "_weight", kind, **options)
+    return scores(confusion(predict(model, kept), [target], ignore, label), [target])
+
+
 def predict(model: PipelineModel, df: DataFrame, floor: float = 1e-12) -> DataFrame:
     """``df`` with ``predicted`` and ``logp``, as the metrics take them."""
     logp = F.transform(vector_to_array("_probability"), lambda p: F.log(F.greatest(p, F.lit(floor))))

@@ -17,7 +17,12 @@ def list_patches(spark: SparkSession, folder: str, pattern: str = "*.nc", limit:
     base = folder.split("://")[-1].rstrip("/")
     rel = files.select(F.substring_index("path", f"{base}/", -1).alias("path"))
     named = rel.select("path", patch_name(F.col("path")).alias("n")).select("path", "n.*")
-    return named if limit is None else named.orderBy("path").limit(limit)
+    return named if limit is None else first_paths(named, limit)
+
+
+def first_paths(patches: DataFrame, n: int, path: str = "path") -> DataFrame:
+    """The first ``n`` rows by path."""
+    return patches.orderBy(path).limit(n)
 
 
 def read_bands(spark: SparkSession, path: str, bands: list[str] | None = None, column: str = "band") -> DataFrame:

@@ -156,14 +156,57 @@ def test_equal_width_bins(spark):
 
 def test_lone_bins_merge(spark):
     assert strata.merge_lone([0, 1, 5], [10, 1, 10]) == {0: 0, 1: 0, 5: 5}
+    assert strata.merge_lone([0, 1], [1, 5]) == {0: 1, 1: 1}
+    assert strata.merge_lone([0, 1, 2, 3, 4], [1] * 5) == {0: 1, 1: 1, 2: 1, 3: 3, 4: 3}
     assert strata.merge_lone([0, 4, 6], [5, 1, 1]) == {0: 0, 4: 5, 6: 5}
-    assert strata.merge_lone([3], [1]) == {3: 3}
+    assert strata.merge_lone([3], [1]) == {3: 3} and strata.merge_lone([], []) == {}
+    assert strata.merge_lone([1, 9], [1, 7]) == {1: 9, 9: 9}
+    assert [strata.counted_median(b, c) for b, c in (([1, 2], [1, 1]), ([1, 4], [1, 1]), ([1, 4], [1, 2]), ([3, 5, 9], [4, 1, 2]))] == [1, 2, 4, 3]
     rows = [(0, 0)] * 5 + [(0, 1)] + [(1, 7)] * 2 + [(9, 2)]
     got = strata.merge_singletons(spark.createDataFrame(rows, "a int, b int"), ["a", "b"])
     counts = {(r.a, r.b): r["count"] for r in got.groupBy("a", "b").count().collect()}
     assert sum(counts.values()) == 9 and all(n > 1 for n in counts.values())
 
 
+def test_working_columns_leave_the_callers_alone(spark):
+    names = ["_a", "_b", "_n", "_x", "_p", "_digest", "_bucket", "_key", "_row", "_rank", "_lane", "_part", "_lo", "_hi", "_rows", "_top", "_day", "_before", "_value", "_t", "_most", "_place", "_s", "_c", "_cell", "_0", "_dy", "_dx"]
+    extra = lambda df: df.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    rows = extra(spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).cast("string").alias("target"), F.timestamp_seconds(F.col("id") * 3600 + 60).cast("timestamp_ntz").alias("time")))
+    edges = composite.bin_edges(spark, "1970-01-01 00:00:00", "1970-01-05 00:00:00", "day")
+    boxes = extra(spark.range(9).selectExpr("id AS xmin", "id + 1 AS xmax", "id AS ymin", "id + 1 AS ymax"))
+    results = [
+        digest_rank(rows, 1, F.col("k"), ["target"]), value_rank(rows, "v", "k"), composite.fill_gaps(rows, ["target"], "k", "v"), composite.assign_bin(rows, edges), composite.resample(rows.withColumn("y", F.lit(0)).withColumn("x", F.lit(0)), 2),
+        splits.random_split(rows, "k", "s", [{"target": "a"}, {"target": "b"}], 1), splits.stratified_split(rows, "k", "v", [{"target": "a", "split": 1.0}], 1), splits.subsample(rows, "k", {"0": 0.5}, 1), splits.assign_blocks(rows, "v", 7, key="k"), splits.top_k_per_block(rows, "target", "v", "k", 3),
+        strata.bin_equal_width(rows, "v", 3), composite.preview(rows, ["target"], ["v"]), spatial.boxes_touching(boxes, boxes.drop(*names), 3.0),
+    ]
+    for got in results:
+        assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(f"own {n}" for n in names)}
+
+
+def test_boxes_that_repeat_come_back_as_often(spark):
+    rows = [(0, 1, 0, 1, "a"), (0, 1, 0, 1, "a"), (0, 1, 0, 1, "b"), (5, 6, 5, 6, "c"), (None, 1, 0, 1, "d")]
+    boxes = spark.createDataFrame(rows, "xmin int, xmax int, ymin int, ymax int, id string").withColumn("m", F.create_map(F.lit("x"), F.lit(1)))
+    others = spark.createDataFrame([(1, 2, 1, 2), (0, 3, 0, 3)], "xmin int, xmax int, ymin int, ymax int")
+    assert sorted(column(spatial.boxes_touching(boxes, others, 2.0), "id")) == ["a", "a", "b"]
+
+
+def test_composite_job_is_its_parts_in_two_shuffles(spark):
+    edges = composite.bin_edges(spark, "2020-01-01 00:00:00", "2020-06-01 00:00:00", "month")
+    rng = random.Random(4)
+    rows = [("p", b, dt.datetime(2020, rng.randint(1, 5), rng.randint(2, 28)), y, x, rng.random()) for b, side in (("B02", 4), ("B05", 2)) for y in range(side) for x in range(side) for _ in range(rng.randint(0, 4))]
+    obs = spark.createDataFrame(rows, "path string, band string, time timestamp_ntz, y int, x int, value double")
+    got = jobs.composite_job(obs, edges, ["B02", "B05"], 4, 2)
+    pixel = ["path", "band", "y", "x"]
+    medians = composite.median_composite(composite.assign_bin(obs, edges), [*pixel, "bin"])
+    filled = composite.fill_gaps(composite.complete_bins(medians, pixel, edges), pixel, "lo", "median")
+    fine = composite.resample(filled.where("band = 'B02'"), 1).unionByName(composite.resample(filled.where("band = 'B05'"), 2))
+    want = tiling.tile(composite.align_bands(fine, ["path", "bin", "y", "x"], ["B02", "B05"], value="filled"), 4, 2)
+    key = lambda df: sorted([(r.path, r.bin, r.tile_y, r.tile_x, r.dy, r.dx, *(v if v is None else round(v, 9) for v in (r.B02, r.B05))) for r in df.collect()], key=str)
+    assert key(got) == key(want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan and "SortMergeJoin" not in plan
+
+
 def test_apply_splits_with_strata(spark):
     tree = [{"year": 2020, "stratify_on": [{"column": "elev", "bins": 3}], "target": [{"target": "train", "split": 0.5}, {"target": "test", "split": 0.5}]}, {"target": [{"target": "train", "split": 0.1}]}]
     rows = [(f"p{i}", 2020 + i % 2, "t", i, i, float(i)) for i in range(200)]
@@ -296,6 +339,8 @@ def test_split_job(spark):
     assert jobs.split_job(rows, annotated=annotated, duplicates=["test"])["split"].count() == 50
     with pytest.raises(ValueError):
         jobs.split_job(rows)
+    twins = rows.withColumn("same", F.when(F.col("patch_x") < 10, F.lit("x")).otherwise(F.col("path")))
+    assert jobs.split_job(twins, annotated=annotated, duplicates=["test"], same="same")["split"].count() == 40
 
 
 def test_classifier_learns(spark):
@@ -304,3 +349,9 @@ def test_classifier_learns(spark):
         model = jobs.fit_classifier(rows, ["a", "b"], weight="w", kind=kind)
         got = metrics.scores(metrics.confusion(jobs.predict(model, rows))).first()
         assert got.accuracy > 0.95
+
+
+def test_classifier_job_scores_every_target(spark):
+    rows = spark.createDataFrame([(float(i % 3), float(i % 7), i % 3, ("train", "val", "test")[i % 5 % 3]) for i in range(300)], "a double, b double, label int, target string")
+    got = {r.target: r for r in jobs.classifier_job(rows, ["a", "b"], 3).collect()}
+    assert set(got) == {"train", "val", "test"} and all(r.accuracy == 1 for r in got.values()) and sum(r.pixels for r in got.values()) == 200
