@@ -104,6 +104,31 @@ def format_log(events: DataFrame) -> DataFrame:
     return render(fold_events(events))
 
 
+def streamed_log(conversations: DataFrame, piece: int = 200) -> DataFrame:
+    """Finished conversations, a row for each turn, as the log of a service that streamed them.
+
+    Each message is begun with a draft and followed by the start of a later message; then
+    the draft is edited (odd messages) or regenerated (even ones), which voids that later
+    message, and the text is streamed in deltas of ``piece`` code points. Folding the log
+    gives back the turns: null roles and texts as empty ones, rows with equal turns as
+    messages of their own in order of role and text. An empty table gives an empty log.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), place.alias("msg"))
+    count = F.greatest(F.lit(1), F.ceil(F.length("text") / piece)).cast("int")
+    seq = lambda k: F.shiftleft("msg", 32) + k
+    event = lambda k, kind, msg, role, text: F.struct(seq(k).alias("seq"), kind.alias("kind"), msg.alias("msg"), role.cast("string").alias("role"), text.alias("text"))
+    part = lambda i: F.substring("text", (i - 1) * piece + 1, F.lit(piece))
+    own, none = F.col("msg"), F.lit(None)
+    begun = F.array(
+        event(F.lit(0).cast("long"), F.lit("start"), own, F.col("role"), F.concat(F.lit("draft "), F.substring("text", 1, 20))),
+        event(F.lit(1).cast("long"), F.lit("start"), own + 1, F.lit("assistant"), F.lit("void")),
+        event(F.lit(2).cast("long"), F.when(own % 2 == 1, "edit").otherwise("regenerate"), own, none, part(F.lit(1))),
+    )
+    deltas = F.when(count > 1, F.transform(F.sequence(F.lit(2), F.greatest(count, F.lit(2))), lambda i: event((i + 1).cast("long"), F.lit("delta"), own, none, part(i)))).otherwise(F.slice(begun, 1, 0))
+    return rows.select("conv_id", F.explode(F.concat(begun, deltas)).alias("e")).select("conv_id", "e.*")
+
+
 def log_of_turns(conversations: DataFrame) -> DataFrame:
     """Finished conversations, a row for each turn, as an event log.
 

@@ -76,6 +76,10 @@ def test_odd_rows(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [("", ""), ("user", "hi"), ("user", "hi")]
     assert [(t.role, t.text) for t in got[None].turns] == [("user", "x")] and got[2].loss_text == "y" * 200_000
     assert hashlib.sha256(got[1].loss_text.encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
-    assert chat.format_log(chat.log_of_turns(turns.where(F.lit(False)))).count() == 0
+    assert chat.format_log(chat.log_of_turns(turns.where(F.lit(False)))).count() == 0 == chat.streamed_log(turns.where(F.lit(False))).count()
+    rows = lambda log: sorted(map(tuple, chat.fold_events(log).collect()), key=str)
+    assert rows(chat.streamed_log(turns)) == rows(chat.log_of_turns(turns)) == rows(chat.streamed_log(turns, 1_000_000))
+    log = chat.streamed_log(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"} and log.count() > 1000
     nulls = spark.createDataFrame([(1, None, None, None, None, "a"), (1, 5, "delta", None, None, None)], FIELDS)
     assert [(r.role, r.text) for r in chat.fold_events(nulls).collect()] == [("", "a")]
