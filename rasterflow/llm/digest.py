@@ -112,28 +112,35 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """``(doc_id, text, next_text)``: each row with the text of the row that follows in descending ``doc_id``.
 
     After the last comes the first; a single row follows itself. Null ids stand last, and
-    rows with equal ids in order of their texts. Null texts count as empty.
+    rows with equal ids in order of the md5 of their texts. Null texts count as empty. An
+    empty table gives an empty result.
 
     Ids are cut into lanes of about equal size at approximate quantiles; each lane is sorted
-    by itself, and the first row of a lane is a guest at the end of the lane before.
+    by itself, and the first row of a lane is a guest at the end of the lane before. An id
+    that fills a lane or more, and null ids, are cut into 256 lanes by the digest of the
+    text. (Rows that are equal in id and text stay in one lane. Ids of 2 ** 53 and more are
+    cut by quantiles only.)
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lanes = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(rows.stat.approxQuantile("doc_id", [k / lanes for k in range(1, lanes)], 0.2 / lanes)))
-    edges = edges or [0.0]  # an empty table, or one without ids
+    found = rows.stat.approxQuantile("doc_id", [k / lanes for k in range(1, lanes)], 0.2 / lanes)
+    hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b and abs(a) < 2**53})
+    edges = sorted({*found, *(math.nextafter(h, math.inf) for h in hot)}) or [0.0]  # an empty table, or one without ids
     bucket = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_place", outputCol="_bucket")
     rows = bucket.transform(rows.withColumn("_place", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
     lane = F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(F.lit(len(edges)) - F.col("_bucket").cast("int"))
-    rows = rows.select("doc_id", "text", lane.alias("lane"))
+    wide = F.col("doc_id").isNull() | F.col("_place").isin(hot) if hot else F.col("doc_id").isNull()
+    rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    rows = rows.select("doc_id", "text", "digest", (lane * 256 + F.when(wide, F.conv(F.substring("digest", 1, 2), 16, 10).cast("int")).otherwise(0)).alias("lane"))
     heads = rows.groupBy("lane").agg(F.max("doc_id").alias("top")).withColumnRenamed("lane", "of")
     # first rows of lanes, at most one for each
     at_top = (F.col("lane") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top"))
-    firsts = rows.join(F.broadcast(heads), at_top).groupBy("lane").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    firsts = rows.join(F.broadcast(heads), at_top).groupBy("lane").agg(F.min(F.struct("digest", "text")).alias("x"), F.first("doc_id").alias("doc_id"))
     around = Window.orderBy("lane")
     to = F.coalesce(F.lag("lane").over(around), F.max("lane").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    guests = firsts.select("doc_id", "text", to.alias("lane"), F.lit(1).alias("guest"))
+    guests = firsts.select("doc_id", "x.text", "x.digest", to.alias("lane"), F.lit(1).alias("guest"))
     every = rows.withColumn("guest", F.lit(0)).unionByName(guests)
-    following = Window.partitionBy("lane").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    following = Window.partitionBy("lane").orderBy("guest", F.col("doc_id").desc_nulls_last(), "digest", "text")
     nexts = every.withColumns({"next_id": F.lead("doc_id").over(following), "next_text": F.lead("text").over(following)})
     return nexts.where("guest = 0").select("doc_id", "text", "next_id", "next_text")
 
@@ -144,7 +151,9 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     The edited text: the last ``floor(n_chars / 2)`` code points are replaced by as many
     from the beginning of the next text (all, if it has fewer), see :func:`with_next`.
     ``near_edited`` and ``near_next`` are 1.0 where the fingerprints are equal, that is,
-    where the canonical texts are equal, and 0.0 otherwise.
+    where the canonical texts are equal, and 0.0 otherwise. Null texts are empty; null ids
+    and repeated rows have a result each; an empty table gives an empty result; other
+    columns are not read.
     """
 
     def work(c: dict) -> list:

@@ -1,6 +1,8 @@
 import hashlib
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from rasterflow.llm import digest, queries
 
 
@@ -11,7 +13,7 @@ def slow_canonical(text):
 
 def slow_edited(rows):
     """rows: (doc_id, text), in the order of the query."""
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest()))
     out = []
     for k, (doc_id, text) in enumerate(rows):
         text, nxt = text or "", rows[(k + 1) % len(rows)][1] or ""
@@ -61,3 +63,12 @@ def test_odd_rows(odd, none):
         by.setdefault(r.fingerprint, set()).add(slow_canonical(r.text))
     assert all(len(v) == 1 for v in by.values())
     assert digest.exact_fingerprints(none).count() == 0 and digest.edited_fingerprints(none).count() == 0
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    rows = [(None, f"text {i}") for i in range(400)] + [(7, f"other {i}") for i in range(400)] + [(i, f"own {i}") for i in range(-50, 50)] + [(2**60 + i, f"big {i % 3}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    nexts = digest.with_next(docs)
+    assert sorted(((r.doc_id, r.text, r.next_text) for r in nexts.collect()), key=str) == sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=str)
+    assert len({r.p for r in nexts.where("doc_id is null").select(F.spark_partition_id().alias("p")).collect()}) > 1
