@@ -89,7 +89,12 @@ def _copies(packed: DataFrame, weights: tuple[int, ...], cap: int, seed: int) ->
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, possibly not at all."""
+    """The mix itself: each row of ``docs`` as often as it is taken, possibly not at all.
+
+    Null and empty texts count no words and are taken as often as others of their source;
+    null sources form one source; repeated rows have copies of their own; an empty table
+    gives an empty result.
+    """
     packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     taken = _copies(packed, weights, cap, seed).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -188,7 +188,8 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", uni
     """The written table ``(doc_id, n_bytes, media)``: each text as a transport stream.
 
     The payload is the text's UTF-8 and zeros up to a positive multiple of 64 bytes; null
-    is empty. Equal texts have equal streams. Null ids and repeated rows are kept.
+    is empty. Equal texts have equal streams. Null ids and repeated rows are kept; an empty
+    table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,33 +10,40 @@ from .common import documents, word_count
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's number of tokens, from files that hold nothing but ids. Null and empty texts: 0; repeated rows and null ids: a result each; empty table: no rows."""
     return token_files.token_counts(documents(spark, sf_dir))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's fingerprint and component. Null and empty texts: fingerprint zero; null ids: a result each; empty table: no rows."""
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every row. Null texts: size 0; null sources: one source, last; repeated rows: copies of their own; empty table: no rows."""
     sized = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("words"))
     mixed = mixing.mix_copies(sized, size=F.col("words"))
     return mixed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every row's ids lie, and their check value, from files of planes. Null and empty texts: the end id; null ids come first; empty table: no rows."""
     return bitplanes.token_planes(documents(spark, sf_dir))
 
 
 def op5_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parse of every row's stored stream gives. Null and empty texts: 64 zeros; repeated rows: a result each; empty table: no rows."""
     found = mpegts.media_features(mpegts.store_media(documents(spark, sf_dir)))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited form and of the next. Null texts: empty; null ids stand last; rows with equal ids in order of the digest of their text; empty table: no rows."""
     return digest.edited_fingerprints(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's score by a lexicon that is learned outside the held-out fold. Null and empty texts: no evidence; null ids: held out; empty table: no rows."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     lexicon = toxicity.learn_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_documents(docs, lexicon)
@@ -44,14 +51,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's ids and what they decode to, as digests. Null and empty texts: no tokens; repeated rows: a result each; empty table: no rows."""
     return bpe.encode_documents(documents(spark, sf_dir))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, folded from a log of drafts, edits, regenerations and deltas, rendered and read back. Null roles and texts: empty; null ids: one conversation; equal turns: messages of their own."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
-    read = chat.parse(chat.format_log(chat.log_of_turns(turns.unionByName(extra))))
+    read = chat.parse(chat.format_log(chat.streamed_log(turns.unionByName(extra))))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -64,6 +73,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates, and the number of entities. Null and empty texts: unchanged, 0; repeated rows: alike; empty table: no rows."""
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), count="n_entities")
 
 
