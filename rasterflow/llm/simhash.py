@@ -213,7 +213,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame], ready: Callable[[DataFrame], None], meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame], ready: Callable[[DataFrame], None], meet: Callable[[DataFrame], Callable[[DataFrame, bool], DataFrame]]) -> DataFrame:
     """``(node, root)`` of ``sketches(node, fp, bands)``, joined by the candidates that ``verify`` keeps.
 
     Candidates are fingerprints that ball hashing brings together and texts that share a
@@ -221,8 +221,8 @@ def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataF
     others. First each bucket proposes its members with one centre, drawn anew for each
     band, in ``FIRST_BANDS`` and then in all bands, which joins a group of any size at a
     pair for each member and band. The members of buckets that still hold several
-    components then go to ``meet``, which proposes all pairs of different components that
-    can be similar, see :func:`rare_pairs`. ``ready`` gets the nodes that any candidate may
+    components then go to ``meet``, which proposes pairs of different components that can be
+    similar, first some and then all, see :func:`rare_pairs`. ``ready`` gets the nodes that any candidate may
     name, before the first is verified.
     """
     first = written(sketches.groupBy("fp").agg(F.min("node").alias("rep")), "first")
@@ -262,12 +262,19 @@ def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataF
     if several.isEmpty():
         return roots
     apart = written(own.join(several, ["band", "hash"]).select("node").distinct(), "apart")
-    join(meet(written(rooted(apart), "apart-roots")))
+    propose = meet(apart)
+    for all_pairs in (False, True):
+        join(propose(written(rooted(apart), "apart-roots"), all_pairs))
     return roots
 
 
-def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of ``members(node, root)`` of different roots that can share ``similarity`` of their shingles.
+def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Callable[[DataFrame, bool], DataFrame]:
+    """What proposes pairs ``(a, b)`` of ``members(node)`` that can share ``similarity`` of their shingles.
+
+    The result takes ``(node, root)`` of the members and proposes all pairs of different
+    roots, or only a first few: in each shingle, each member with the one that has the
+    fewest rarer shingles of its own. A text from which many others were made by edits is
+    such a one; it joins them at a pair for each, and few pairs are left.
 
     Shingles are ordered from the rarest among all members to the most frequent. Two sets
     of n shingles that are similar enough have one in common among their first
@@ -291,13 +298,20 @@ def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     order = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("hash"))  # places count from the end, where the frequent ones are
     placed = tokens.join(often, "hash").withColumn("place", F.col("n") + 1 - F.row_number().over(order))
     first = placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
-    keys = written(first.join(members, "node").select("hash", "node", "root", "n", "place"), "rare")
-    mixed = written(keys.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("hash"), "rare-several")
-    keys = written(keys.join(mixed, "hash"), "rare-keys")
-    left, right = (keys.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place")]) for x in "ab")
+    rare = written(first.select("hash", "node", "n", "place"), "rare")
     shared = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9  # shingles in common that are needed
     can = (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= shared)
-    return left.join(right, "hash").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & can).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+    def propose(roots: DataFrame, all_pairs: bool) -> DataFrame:
+        keys = written(rare.join(roots, "node"), "rare-rooted")
+        mixed = written(keys.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.col("place") / F.col("n"), F.xxhash64("hash", "node"), "node", "root", "n", "place")).alias("x")).where("lo < hi"), "rare-several")
+        keys = written(keys.join(mixed.select("hash"), "hash"), "rare-keys")
+        others = keys if all_pairs else mixed.select("hash", "x.node", "x.root", "x.n", "x.place")
+        left, right = (d.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place")]) for d, x in ((keys, "a"), (others, "b")))
+        once = F.col("node_a") < F.col("node_b") if all_pairs else F.col("node_a") != F.col("node_b")
+        return left.join(right, "hash").where(once & (F.col("root_a") != F.col("root_b")) & can).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+    return propose
 
 
 def hopeful(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:

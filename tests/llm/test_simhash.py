@@ -178,12 +178,14 @@ def test_rare_pairs_hold_every_similar_pair(spark):
     texts += ["", "a", "a b", "a b c d e f", "a b c d e f"]
     rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
     members = rows.select("node", F.col("node").alias("root"))
-    got = {tuple(r) for r in simhash.rare_pairs(members, simhash.shingle_sets(rows, 5), 0.8).collect()}
+    propose = simhash.rare_pairs(members.select("node"), simhash.shingle_sets(rows, 5), 0.8)
+    got = {tuple(r) for r in propose(members, True).collect()}
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert want <= got and len(got) < 2 * len(want)
     apart = members.withColumn("root", F.col("node") % 2)
-    assert {tuple(r) for r in simhash.rare_pairs(apart, simhash.shingle_sets(rows, 5), 0.8).collect()} == {(i, j) for i, j in got if (i - j) % 2}
+    assert {tuple(sorted(r)) for r in propose(members, False).collect()} <= got
+    assert {tuple(r) for r in propose(apart, True).collect()} == {(i, j) for i, j in got if (i - j) % 2}
 
 
 def test_texts_never_come_back_from_python_nor_are_written(spark, sf, monkeypatch):
@@ -200,3 +202,19 @@ def test_rows_repeated_with_id_and_text_leave_one(spark):
     rows = spark.createDataFrame([(1, "one two three", k) for k in range(5)] + [(1, "other words here", 9), (None, "one two three", 7), (2, None, 1), (2, "", 2)], "doc_id long, text string, k int")
     got = simhash.deduplicate(rows).collect()
     assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == [(1, "one two three"), (1, "other words here"), (2, "")]
+
+
+def test_edits_of_one_text_are_joined_through_it_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [str(rng.randrange(10**6)) for _ in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(80):  # each within 0.8 of the base, hardly any of another
+        copy = list(base)
+        for at in rng.sample(range(5, 95), 2):
+            copy[at] = str(rng.randrange(10**6))
+        texts.append(" ".join(copy))
+    sizes, real = [], simhash.hopeful
+    monkeypatch.setattr(simhash, "hopeful", lambda pairs, *a: sizes.append(pairs.count()) or real(pairs, *a))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [r.doc_id for r in simhash.deduplicate(rows).collect()] == [0]
+    assert set(slow_groups(texts)) == {0} and sum(sizes) < 80 * 79 / 4
