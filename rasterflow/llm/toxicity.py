@@ -190,14 +190,17 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """A lexicon from the labelled rows that aren't held out.
 
     Rows without a label of 0 or 1 are left out; several labels of one id count as toxic if
-    one does. Without a labelled row of either kind the lexicon is empty and every score
+    one does. Of several rows with one id, one is learned from, always the same, and of near
+    copies the one whose folded text comes first. Without a labelled row of either kind the lexicon is empty and every score
     is 0.5 or, if one kind is known, its certainty.
     """
     known = labels.where(F.col(toxic).isin(0, 1) & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).alias("_toxic"))
     n = {int(r["_toxic"]): r["count"] for r in known.groupBy("_toxic").count().collect()}
     share = F.when(F.col("_toxic") == 1, min(1.0, sample / 2 / max(1, n.get(1, 0)))).otherwise(min(1.0, sample / 2 / max(1, n.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1 << 20)) < share * (1 << 20))
-    texts = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select("_id", "_toxic", F.col(text).alias("_text"))
+    found = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select("_id", "_toxic", F.struct(F.xxhash64(text), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("x"))
+    # an id counts once, however many rows have it, so the sample keeps its bound
+    texts = found.groupBy("_id", "_toxic").agg(F.min("x").alias("x")).select("_toxic", F.col("x.text").alias("_text"))
     folder = Folder()
 
     def fold(c: dict) -> list:
@@ -205,7 +208,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         return [folded, [signature(f) for f in folded]]
 
     train = written(add_columns(texts, "_folded string, _signature long", fold).drop("_text").withColumn("_fold", F.pmod(F.xxhash64("_signature"), F.lit(2)).cast("int")), "toxic-sample")
-    train = written(train.dropDuplicates(["_signature", "_toxic"]), "toxic-train")
+    train = written(train.groupBy("_signature", "_toxic", "_fold").agg(F.min("_folded").alias("_folded")), "toxic-train")
     sizes = {(r["_fold"], int(r["_toxic"])): r["count"] for r in train.groupBy("_fold", "_toxic").count().collect()}
     size = lambda fold, label: sizes.get((fold, label), 0)
 

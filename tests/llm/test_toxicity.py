@@ -56,7 +56,8 @@ def test_patterns_against_a_plain_count(spark):
     for i, t in docs:
         if zlib.crc32(str(i).encode()) % 5:
             f = fold(t)
-            texts.setdefault((toxicity.signature(f), toxic[i]), f)
+            key = (toxicity.signature(f), toxic[i])
+            texts[key] = min(texts.get(key, f), f)
     counts = {}
     for (_, label), f in texts.items():
         for x in {f" {w} " for w in f.split()} | {f" {w[:k]}" for w in f.split() for k in range(3, min(8, len(w)) + 1)}:
@@ -112,3 +113,12 @@ def test_odd_rows(spark, odd, none):
     for no in (labels.where("false"), labels.where("toxic = 0")):
         empty = toxicity.learn_lexicon(odd, no)
         assert not empty.weights and toxicity.score_documents(odd, empty).where("score > 0.5").count() == 0
+
+
+def test_rows_that_share_an_id_count_once(spark):
+    docs, labels = planted(900, seed=5)
+    d, la = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = next(i for i, y in labels if y == 0 and zlib.crc32(str(i).encode()) % 5)
+    hot = spark.createDataFrame([(one, f"zorgon {k} number {k * 7} of many") for k in range(500)], "doc_id long, text string")
+    weights = toxicity.learn_lexicon(d.union(hot), la).weights
+    assert " zorg" in weights and weights == toxicity.learn_lexicon(hot.repartition(7).union(d.repartition(5)), la).weights
