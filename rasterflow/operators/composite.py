@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,18 +108,31 @@ def filled_series(binned: DataFrame, keys: list[str], edges: DataFrame, value: s
     return rows.select(*keys, entries.alias(out))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fill_series(values: Column, places: Column) -> Column:
-    """:func:`fill_gaps` on arrays: one row for each key, no window; arrays are in order of place."""
-    points = F.filter(F.arrays_zip(places.alias("x"), values.alias("y")), lambda p: p["y"].isNotNull())
+    """:func:`fill_gaps` on arrays: one row for each key, no window; arrays are in order of place.
+
+    The values that are there, and for each place the line that it lies on, are worked out
+    once: each place looks at them one time.
+    """
+
+    def on_line(points: Column, at: Column, x: Column) -> Column:
+        """The value at ``x`` of the line that begins at point number ``at``."""
+        p, q = F.try_element_at(points, at), F.try_element_at(points, at + 1)
+        return p["y"] + (q["y"] - p["y"]) * F.try_divide((x - p["x"]).cast("double"), (q["x"] - p["x"]).cast("double"))
 
-    def at(x: Column, y: Column) -> Column:
-        below, above = F.filter(points, lambda p: p["x"] < x), F.filter(points, lambda p: p["x"] > x)
-        n_below, n_above = F.size(below), F.size(above)
-        p = F.when(n_below == 0, F.try_element_at(above, F.lit(1))).when(n_above == 0, F.try_element_at(below, F.lit(-2))).otherwise(F.try_element_at(below, F.lit(-1)))
-        q = F.when(n_below == 0, F.try_element_at(above, F.lit(2))).when(n_above == 0, F.try_element_at(below, F.lit(-1))).otherwise(F.try_element_at(above, F.lit(1)))
-        return F.coalesce(y.cast("double"), p["y"] + (q["y"] - p["y"]) * F.try_divide((x - p["x"]).cast("double"), (q["x"] - p["x"]).cast("double")))
+    def fill(entries: Column, points: Column) -> Column:
+        # the line between a place's neighbours; before the first and after the last value the nearest line goes on
+        before = lambda e: F.size(F.filter(points, lambda p: p["x"] < e["x"]))
+        begins = lambda e: F.greatest(F.least(before(e), F.size(points) - 1), F.lit(1))
+        return F.transform(entries, lambda e: F.when(e["y"].isNotNull(), e["y"].cast("double")).otherwise(_let(begins(e), lambda at: on_line(points, at, e["x"]))))
 
-    return F.transform(F.arrays_zip(places.alias("x"), values.alias("y")), lambda p: at(p["x"], p["y"]))
+    entries = F.arrays_zip(places.alias("x"), values.alias("y"))
+    return _let(entries, lambda es: _let(F.filter(es, lambda e: e["y"].isNotNull()), lambda points: fill(es, points)))
 
 
 def resample(pixels: DataFrame, ratio: Column | int, y: str = "y", x: str = "x") -> DataFrame:
