@@ -438,7 +438,8 @@ def s4_annotation_splits(spark, sf):
     named = patches(spark, sf).withColumn("target", F.expr(BY_YEAR))
     for target in ("train", "val", "test"):
         image = F.struct(F.col("o_orderkey").cast("long").alias("id"), F.concat(F.lit("netcdf/"), "path").alias("file_name"))
-        pieces = named.where(F.col("target") == target).groupBy((F.col("o_orderkey") % 64).alias("piece")).agg(F.collect_list(image).alias("images"))
+        # a file is one document; a piece has a bounded number of keys, however many there are
+        pieces = named.where(F.col("target") == target).groupBy(F.floor(F.col("o_orderkey") / 4096).alias("piece")).agg(F.collect_list(image).alias("images"))
         pieces.write.partitionBy("piece").json(f"{place}_{target}.json")
     return so.read_annotation_splits(spark, place)
 
