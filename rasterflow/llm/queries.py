@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, chat, digest, mixing, mpegts, pii, simhash, token_files, toxicity
+from . import bitplanes, bpe, chat, decontamination, digest, importance, lexical, mixing, mpegts, pii, simhash, token_files, toxicity
 from .common import documents, word_count
 
 
@@ -77,7 +77,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), count="n_entities")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_mixing, op4_bitplanes, op5_mpegts, op6_exact_digest, op7_toxicity, op8_byte_bpe, op9_chat, op10_pii)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item. Null and empty texts: found by none; null ids: last of equal scores; repeated rows: a rank each; empty table: no rows."""
+    return lexical.search(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every row stand in benchmark windows. Null and empty texts: no words, clean; repeated rows and null ids: a result each; empty table: no rows."""
+    marked = decontamination.contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's weight by the benchmark's n-grams, and the rank of those drawn. Null and empty texts: weight 0, undrawn; null ids: the deviate of the empty id; repeated rows: a result each; empty table: no rows."""
+    drawn = importance.resample(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+    return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_mixing, op4_bitplanes, op5_mpegts, op6_exact_digest, op7_toxicity, op8_byte_bpe, op9_chat, op10_pii, op11_lexical_search, op12_decontamination, op13_importance)}
 
 ORACLE_SQL = {
     "op9_chat": r"""
@@ -97,5 +118,68 @@ SELECT conv_id,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length(formatted))::BIGINT AS formatted_chars
 FROM put GROUP BY conv_id
+""",
+    "op11_lexical_search": r"""
+WITH terms AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), stats AS (
+    SELECT count(*) FILTER (len(t) > 0)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM terms
+), tf AS (
+    SELECT r, doc_id, len(t)::BIGINT AS words, term, count(*)::BIGINT AS tf FROM (SELECT *, unnest(t) AS term FROM terms) GROUP BY ALL
+), df AS (
+    SELECT term, floor(1000 * ln((2 * max(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, stats GROUP BY term
+), q AS (
+    SELECT i, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), s AS (
+    SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * words * n) // l))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN df USING (term), stats GROUP BY ALL
+), k AS (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""",
+    "op12_decontamination": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+    SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+    SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS txt FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)
+), stretch AS (
+    SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS txt FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), hit AS (
+    SELECT DISTINCT r, s, n, item FROM stretch JOIN win USING (n, txt)
+), words AS (
+    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r
+), items AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+""",
+    "op13_importance": r"""
+WITH crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) x(i)
+), texts AS (
+    SELECT row_number() OVER () AS r, 'd' AS side, doc_id, text FROM documents UNION ALL SELECT row_number() OVER (), 'b', NULL, text FROM benchmark
+), d AS (
+    SELECT r, side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), grams AS (
+    SELECT side, r, array_to_string(w[s:s + n - 1], ' ') AS g, count(*)::BIGINT AS times FROM (SELECT side, r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, range(1, 4) x(n) WHERE len(w) >= n) GROUP BY ALL
+), bucket AS (
+    SELECT g, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(g)) + 1), lambda i: ('0x' || hex(encode(g))[2 * i - 1:2 * i])::BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) % 10000 AS b FROM (SELECT DISTINCT g FROM grams), crc_table
+), counts AS (
+    SELECT b, sum(times) FILTER (side = 'd') AS s, sum(times) FILTER (side = 'b') AS t FROM grams JOIN bucket USING (g) GROUP BY b
+), gains AS (
+    SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weights AS (
+    SELECT r, sum(times * gain)::BIGINT AS weight, sum(times)::BIGINT AS n_features FROM grams JOIN bucket USING (g) JOIN gains USING (b) WHERE side = 'd' GROUP BY r
+), scored AS (
+    SELECT r, doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM d LEFT JOIN weights USING (r) WHERE side = 'd'
+), ranked AS (
+    SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS k, count(*) FILTER (words >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN k <= 5 * n // 100 THEN k END::BIGINT AS rank FROM ranked
 """,
 }
