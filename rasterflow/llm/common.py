@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import re
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -132,6 +133,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z lower-cased and nothing else.
+
+    Texts without other characters that lower-casing changes (upper and title case letters,
+    letter numbers and circled letters) take the short way.
+    """
+    others = text.rlike(r"[[^\x00-\x7F]&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]")
+    return F.when(others, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

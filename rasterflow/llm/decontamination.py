@@ -21,16 +21,15 @@ hit. No text is shuffled.
 
 from __future__ import annotations
 
-import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import ascii_lower, fresh, written
 
-#: Letters, digits and all that is not ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Letters, digits and all that is not ASCII: of texts that have been lower-cased, and of any.
+WORD, TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window and of its shingles.
 WINDOW, SHINGLE = 10, 3
 #: Shingles of the benchmark that are broadcast at once (a few hundred bytes each); more are joined in blocks.
@@ -41,7 +40,7 @@ ROW_WINDOWS = 256
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def needed(n: Column, containment: float) -> Column:
@@ -117,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     results = ("n_words", "spans", "n_hit", "items")
     keep = docs.drop(*[c for c in docs.columns if c.lower() in results])
-    key, words, at, token, wins = fresh(keep, "_key", "_words", "_at", "_token", "_wins")
+    key, words, at, token, wins, near, left = fresh(keep, "_key", "_words", "_at", "_token", "_wins", "_near", "_left")
     own = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.coalesce(F.col(text), F.lit("")))))
     table, classes, widths = prefix_table(docs, benchmark, item_id, item_text, text, window, containment)
     told = docs.select(own.alias(key), words_of(F.col(text)).alias(words))
@@ -125,14 +124,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     def occurs(w: Column) -> Column:
         """Whether the window that has the shingle at its place ``w.at`` is in the document there."""
-        inside = (begins(w) >= 0) & (begins(w) + w["n"] <= F.size(words))
-        agree = F.zip_with(F.slice(words, begins(w) + 1, w["n"]), w["words"], lambda a, b: a == b)
+        start = begins(w) - F.col(left)
+        inside = (begins(w) >= 0) & (start + w["n"] <= F.size(near))
+        agree = F.zip_with(F.slice(near, start + 1, w["n"]), w["words"], lambda a, b: a == b)
         return F.when(inside, F.size(F.filter(agree, lambda x: x)) >= w["need"]).otherwise(F.lit(False))
 
     met = []
     for block in blocks(table, "token"):
         joined = occurrences(told, words, widths, token, at).join(block.withColumnsRenamed({"wins": wins, "token": f"{token}_b"}), F.col(token) == F.col(f"{token}_b"))
-        hit = joined.select(key, at, F.filter(wins, occurs).alias(wins)).where(F.size(wins) > 0)
+        # a generator is what the filter on its output can't be moved below: rows leave the join with the words around the shingle, not with all words
+        first = F.greatest(F.col(at) - (window - 1), F.lit(0))
+        around = joined.select(key, at, wins, first.alias(left), F.explode(F.array(F.slice(words, first + 1, F.lit(2 * window + SHINGLE)))).alias(near))
+        hit = around.select(key, at, F.filter(wins, occurs).alias(wins)).where(F.size(wins) > 0)
         lo, hi = F.array_min(F.transform(wins, begins)), F.array_max(F.transform(wins, lambda w: begins(w) + w["n"]))
         met.append(hit.select(key, lo.alias("lo"), hi.alias("hi"), F.array_distinct(F.transform(wins, lambda w: w["class"])).alias("classes")))
     hits = written(reduce(DataFrame.unionAll, met), "hits")
@@ -147,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spans = stretches.select(key, F.aggregate(F.col("s").cast(kind), F.array().cast(kind), unite).alias("spans"))
     named = hits.select(key, F.explode("classes").alias("class")).distinct().join(classes, "class").groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     found = written(spans.join(named, key).select(F.col(key).alias(f"{key}_b"), "spans", "items"), "contaminated")
-    n_words = F.regexp_count(F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD)).cast("long")
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(TERM)), F.lit(0)).cast("long")
     rows = keep.select("*", own.alias(key), n_words.alias("n_words")).join(found, F.col(key) == F.col(f"{key}_b"), "left").drop(key, f"{key}_b")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     return rows.withColumns({"spans": F.coalesce("spans", F.array().cast(kind)), "n_hit": F.coalesce(n_hit, F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import ascii_lower, map_batches, written
 
 #: Terms in UTF-8, after A-Z was lowered, and the same for texts in Spark.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -192,8 +192,7 @@ class Queries:
 
 def frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """``(term, df)``: documents that hold each of ``terms(term)``."""
-    lower = "abcdefghijklmnopqrstuvwxyz"
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.col(text), lower.upper(), lower), F.lit(TERM_TEXT), F.lit(0)))).alias("term"))
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col(text)), F.lit(TERM_TEXT), F.lit(0)))).alias("term"))
     return found.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -313,8 +312,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     """
     index = build_index(docs, doc_id, text)
     numbered = written(items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).withColumn("number", F.monotonically_increasing_id()), "items")
-    lower = "abcdefghijklmnopqrstuvwxyz"
-    terms = numbered.select("number", F.explode(F.regexp_extract_all(F.translate("text", lower.upper(), lower), F.lit(TERM_TEXT), F.lit(0))).alias("term"))
+    terms = numbered.select("number", F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM_TEXT), F.lit(0))).alias("term"))
     out = None
     for block in query_blocks(written(terms.groupBy("number", "term").agg(F.count("*").alias("times")), "terms"), docs, text, index):
         tops = rescored(highest(index, block, first), docs, doc_id, text, index, block, most)
