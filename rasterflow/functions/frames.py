@@ -6,17 +6,15 @@ bin edges, rank offsets). Elsewhere Spark decides at run time by the side's real
 
 from __future__ import annotations
 
-import math
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder ``spark.checkpoint.dir``; where none is set, one of our own, in a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -51,47 +49,115 @@ def text_digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def digest_rank(df: DataFrame, seed: int | str, key: Column, scope: list[str] | None = None, out: str = "rank", digits: int = 3) -> DataFrame:
-    """1-based rank of rows by md5 of (seed, key) within ``scope``, without a single-task window.
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of all columns of a row; maps are taken as JSON."""
+    plain = lambda f: F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(F.lit(len(df.columns)), *map(plain, df.schema.fields))
+
+
+def placed(df: DataFrame, order: list[Column | str], scope: list[str] | None = None, place: str = "_place") -> DataFrame:
+    """``df`` as a written table dealt into ranges of ``order`` within ``scope``; ``place`` tells partition (its upper bits) and row.
+
+    Rows are told apart down to a digest of all their columns and, where these are equal
+    too, to the partition that they come from. So no key, value or group of equal rows is
+    too large to be cut: a range ends at any row. The ranges come from Spark's sample of
+    the rows; their number is that of shuffle partitions, which a session sets by its data.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole, origin = fresh(df.select("*", F.lit(0).alias(place)), "_whole", "_origin")
+    rows = df.withColumns({whole: row_hash(df), origin: F.spark_partition_id()})
+    keys = [*map(F.col, scope or []), *[F.col(c) if isinstance(c, str) else c for c in order], F.col(whole), F.col(origin)]
+    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(whole, origin)
+    return written(dealt.withColumn(place, F.monotonically_increasing_id()), "ranked")
+
 
-    The first ``digits`` hex digits of the digest deal the rows into buckets (3: 4096 for
-    each scope; take 4 or 5 where these would hold too many rows for a sort); a small table
-    of counts for each (scope, bucket) gives every bucket's offset, and rows are numbered
-    within their bucket. Equal keys are ordered by key only.
+def ordered_rank(df: DataFrame, order: list[Column | str], scope: list[str] | None = None, out: str = "rank") -> DataFrame:
+    """1-based rank of rows by ``order`` within ``scope``, without a window over rows.
+
+    Rows that agree in ``order`` stand in the order of a digest of all their columns, so the
+    result is the same under any partitioning. A written range shuffle gives each row's
+    place; a small table of counts, a row for each range and group that meets it, gives
+    what stands before each range.
     """
     scope = scope or []
-    digest, bucket, text, row, n, before = fresh(df, "_digest", "_bucket", "_key", "_row", "_n", "_before")
-    rows = df.withColumn(digest, text_digest(seed, key)).withColumn(text, key.cast("string")).withColumn(bucket, F.substring(digest, 1, digits))
-    counts = rows.groupBy(*scope, bucket).agg(F.count("*").alias(n))
-    earlier = Window.partitionBy(*scope).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
-    inside = rows.withColumn(row, F.row_number().over(Window.partitionBy(*scope, bucket).orderBy(digest, text)))
-    on = [F.col(f"r.{bucket}") == F.col(f"o.{bucket}"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in scope]]
-    # without a scope there are 16 ** digits offsets at most; with one their size decides
-    joined = inside.alias("r").join((offsets if scope or digits > 4 else F.broadcast(offsets)).alias("o"), on)
-    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns if c != out], (F.col(f"r.{row}") + F.col(f"o.{before}")).alias(out))
-
-
-def value_rank(df: DataFrame, value: str, ties: str, out: str = "rank", lanes: int | None = None) -> DataFrame:
-    """1-based rank of all rows by a numeric column (nulls first), then md5 of ``ties``, then ``ties``, without a single-task window.
-
-    Rows are dealt into lanes at approximate quantiles of ``value``; lanes are numbered by
-    themselves and shifted by the rows of all lanes below. A value that fills a lane or
-    more (the same quantile twice), and nulls, are split further by the digest. The
-    quantiles are found by a job that runs when the plan is made.
+    place, part, n, first, before = fresh(df, "_place", "_part", "_n", "_first", "_before")
+    rows = placed(df, order, scope, place)
+    counts = rows.groupBy(*scope, F.shiftright(place, 33).alias(part)).agg(F.count("*").alias(n), F.min(place).alias(first))
+    starts = counts.withColumn(before, F.sum(n).over(Window.partitionBy(*scope).orderBy(part)) - F.col(n))
+    starts = starts.select(*[F.col(f"`{c}`").alias(f"{before}_{i}") for i, c in enumerate(scope)], F.col(part).alias(f"{part}_b"), first, before)
+    on = (F.shiftright(place, 33) == F.col(f"{part}_b")) & reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"{before}_{i}")) for i, c in enumerate(scope)], F.lit(True))
+    # without a scope there is a row for each range
+    joined = rows.join(starts if scope else F.broadcast(starts), on)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], (F.col(before) + F.col(place) - F.col(first) + 1).alias(out))
+
+
+def digest_rank(df: DataFrame, seed: int | str, key: Column, scope: list[str] | None = None, out: str = "rank") -> DataFrame:
+    """1-based rank of rows by md5 of (seed, key) within ``scope``, then by key; see :func:`ordered_rank`."""
+    return ordered_rank(df, [text_digest(seed, key), key.cast("string")], scope, out)
+
+
+def value_rank(df: DataFrame, value: str, ties: str, out: str = "rank") -> DataFrame:
+    """1-based rank of all rows by a column (nulls first), then md5 of ``ties``, then ``ties``; see :func:`ordered_rank`."""
+    return ordered_rank(df, [F.col(value).asc_nulls_first(), text_digest(F.col(ties)), F.col(ties)], None, out)
+
+
+def order_key(value: Column) -> Column:
+    """A long that stands in the order of a double: the bits of its magnitude, with the sign.
+
+    Zero and negative zero are equal; null and NaN give null. Powers of two are exact, so
+    nothing is rounded.
+    """
+    v = F.abs(value.cast("double"))
+    guess = F.greatest(F.floor(F.log2(v)), F.lit(-1022)).cast("int")
+    # the logarithm may be one off next to a power of two
+    e = F.when(v >= F.pow(F.lit(2.0), guess + 1), guess + 1).when((v < F.pow(F.lit(2.0), guess)) & (guess > -1022), guess - 1).otherwise(guess)
+    scaled = v / F.pow(F.lit(2.0), e)
+    high = (e + 1023).cast("long") - F.when(scaled < 1, 1).otherwise(0)
+    bits = high * F.lit(1 << 52) + ((scaled - F.when(scaled < 1, 0.0).otherwise(1.0)) * float(1 << 52)).cast("long")
+    finite = F.when(v == float("inf"), F.lit(2047 << 52)).when(v == 0, F.lit(0)).otherwise(bits)
+    return F.when(value.isNotNull() & ~F.isnan(value.cast("double")), F.when(value < 0, -finite).otherwise(finite)).cast("long")
+
+
+def counted_median(df: DataFrame, keys: list[str], value: str, out: str = "median", most: int = 10_000) -> DataFrame:
+    """``(*keys, n, mean, std, out)`` of each group: number of values, mean, population deviation, exact median.
+
+    For groups of any size: equal values are counted first, so a group spreads over as many
+    tasks as it has different values. Then the middle is selected by counting passes: values
+    are taken as 64 bits in order, a histogram of their upper 16 bits finds the values next
+    to the middle, and so on with the bits below, until no group has more than ``most``
+    different values left. Null and NaN are missing; groups without values are absent.
     """
-    lanes = lanes or min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = df.stat.approxQuantile(value, [k / lanes for k in range(1, lanes)], 0.2 / lanes)
-    hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
-    edges = sorted({*found, *(math.nextafter(h, math.inf) for h in hot)}) or [0.0]
-    number, bucket, digest, lane, part, n, before, row = fresh(df, "_value", "_bucket", "_digest", "_lane", "_part", "_n", "_before", "_row")
-    cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol=number, outputCol=bucket)
-    rows = cut.transform(df.withColumn(number, F.coalesce(F.col(value).cast("double"), F.lit(0.0))).withColumn(digest, text_digest(F.col(ties))))
-    wide = F.col(value).isNull() | F.col(number).isin(hot) if hot else F.col(value).isNull()
-    rows = rows.withColumns({lane: F.when(F.col(value).isNull(), -1).otherwise(F.col(bucket).cast("int")), part: F.when(wide, F.substring(digest, 1, 3)).otherwise(F.lit(""))}).drop(number, bucket)
-    counts = rows.groupBy(lane, part).agg(F.count("*").alias(n))
-    below = Window.orderBy(lane, part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each lane, 4096 for a hot value
-    offsets = counts.select(lane, part, F.coalesce(F.sum(n).over(below), F.lit(0)).alias(before))
-    inside = rows.withColumn(row, F.row_number().over(Window.partitionBy(lane, part).orderBy(F.col(value).asc_nulls_first(), digest, ties)))
-    joined = inside.join(offsets, [lane, part])
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], (F.col(row) + F.col(before)).alias(out))
+    if not keys:
+        raise ValueError("give at least one key")
+    n, bits, before, total, mean, part, upto = fresh(df, "_n", "_bits", "_before", "_total", "_mean", "_part", "_upto")
+    v = F.col(value).cast("double")
+    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias(value)).agg(F.count("*").alias(n))
+    left = written(counted.withColumn(bits, order_key(F.col(value))), "values")
+    sums = left.groupBy(*keys).agg(F.sum(n).alias(total), F.try_divide(F.sum(F.col(value) * F.col(n)), F.sum(n)).alias(mean))
+    sums = written(sums, "value-sums")
+    names = [f"{part}_{i}" for i in range(len(keys))]
+    on = lambda b: reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(b[a]) for k, a in zip(keys, names, strict=True)])
+    renamed = lambda d: d.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, names, strict=True)], *[c for c in d.columns if c not in keys])
+    other = renamed(sums)
+    spread = left.join(other, on(other)).groupBy(*keys).agg(F.first(total).alias("n"), F.first(mean).alias("mean"), F.sqrt(F.sum(F.pow(F.col(value) - F.col(mean), 2) * F.col(n)) / F.first(total)).alias("std"))
+    # rows of a group that lie below those that are left
+    below = sums.select(*keys, total, F.lit(0).cast("long").alias(before))
+    middle = lambda lo, hi: (F.expr(f"(`{total}` - 1) div 2") < hi) & (F.expr(f"`{total}` div 2") >= lo)
+    for shift in (48, 32, 16, 0):
+        if (left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= most:
+            break
+        cut = F.shiftright(bits, shift)
+        histogram = left.groupBy(*keys, cut.alias(part)).agg(F.sum(n).alias(n))
+        own = renamed(below)
+        running = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)  # no more than 65,536 rows for each of two upper parts
+        cumulated = histogram.join(own, on(own)).withColumn(upto, F.col(before) + F.sum(n).over(running))
+        kept = written(cumulated.where(middle(F.col(upto) - F.col(n), F.col(upto))).select(*keys, F.col(part), total, (F.col(upto) - F.col(n)).alias(before)), "middle")
+        other = renamed(kept)
+        left = written(left.join(other, on(other) & (cut == other[part])).select(*left.columns), "values")
+        below = kept.groupBy(*keys).agg(F.first(total).alias(total), F.min(before).alias(before))
+    own = renamed(below)
+    running = Window.partitionBy(*keys).orderBy(bits).rowsBetween(Window.unboundedPreceding, 0)
+    last = left.join(own, on(own)).withColumn(upto, F.col(before) + F.sum(n).over(running))
+    found = last.where(middle(F.col(upto) - F.col(n), F.col(upto))).groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))
+    other = renamed(found)
+    return spread.join(other, on(other)).select(*keys, "n", "mean", "std", out)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import fresh
+from ..functions.frames import counted_median, fresh, row_hash
 
 #: The WGS 84 ellipsoid and the UTM grid.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EAST, FALSE_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
@@ -60,46 +60,128 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return F.when(F.size(ring) > 1, hits % 2 == 1).otherwise(F.lit(False))
 
 
-def cells_of(x0: Column, x1: Column, y0: Column, y1: Column, cell: float) -> Column:
-    """Grid cells that a box touches, as ``(cx, cy)``; choose the cell so that a box touches few."""
-    at = lambda v: F.floor(v / F.lit(cell)).cast("int")
-    columns = F.transform(F.sequence(at(x0), at(x1)), lambda i: F.transform(F.sequence(at(y0), at(y1)), lambda j: F.struct(i.alias("cx"), j.alias("cy"))))
-    return F.flatten(columns)
+#: A cell with more than this share of all rows of a side is dealt to several tasks.
+HOT_SHARE = 1 / 1024
 
 
-def zonal_join(points: DataFrame, polygons: DataFrame, cell: float, x: str = "lon", y: str = "lat", ring: str = "ring") -> DataFrame:
-    """Points with the polygons that contain them: an equi-join on grid cells, then the exact test.
+def box_level(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """The level of a box: the smallest power of two that its longer side fits into.
 
-    A polygon appears once for each cell of its bounding box, so its size in cells is what
-    grows, not points times polygons.
+    A cell of a level is as wide as 2 to the level, so a box meets at most four cells of its
+    own level. Sides below 2 to the -40 of the coordinates count as so long, and cell
+    numbers stay below 2 to the 41.
     """
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    (here,) = fresh(points.select(*points.columns, *[F.lit(0).alias(c) for c in polygons.columns if c not in points.columns]), "_cell")
-    zones = polygons.withColumn(here, F.explode(cells_of(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), cell)))
-    placed = points.withColumn(here, F.struct(F.floor(F.col(x) / cell).cast("int").alias("cx"), F.floor(F.col(y) / cell).cast("int").alias("cy")))
-    return placed.join(zones, here).where(inside(F.col(ring), F.col(x), F.col(y))).drop(here)
+    side, far = F.greatest(x1 - x0, y1 - y0), F.greatest(*[F.abs(v) for v in (x0, x1, y0, y1)])
+    up = lambda v: F.ceil(F.log2(v)).cast("int")
+    # the logarithm may be one off next to a power of two
+    level = F.when(F.pow(F.lit(2.0), up(side)) < side, up(side) + 1).otherwise(up(side))
+    return F.coalesce(F.greatest(level, up(far) - 40), F.lit(0))
 
 
-def zonal_stats(points: DataFrame, polygons: DataFrame, key: str, cell: float, value: str = "elev", prefix: str = "elevation", x: str = "lon", y: str = "lat", ring: str = "ring") -> DataFrame:
-    """Mean, population deviation and exact median of the points in each polygon; null values are no data."""
-    joined = zonal_join(points.where(F.col(value).isNotNull()), polygons, cell, x, y, ring)
-    return joined.groupBy(key).agg(F.avg(value).alias(f"{prefix}_mean"), F.stddev_pop(value).alias(f"{prefix}_std"), F.median(value).alias(f"{prefix}_median"))
+def cell_at(level: Column, x: Column, y: Column) -> Column:
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
+    return F.struct(level.alias("level"), at(x).alias("cx"), at(y).alias("cy"))
 
 
-def boxes_touching(boxes: DataFrame, others: DataFrame, cell: float, columns: tuple[str, str, str, str] = ("xmin", "xmax", "ymin", "ymax")) -> DataFrame:
+def box_cells(level: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Cells of a level, its own or a higher one, that a box meets: its corners', at most four."""
+    return F.array_distinct(F.array(*[cell_at(level, x, y) for x in (x0, x1) for y in (y0, y1)]))
+
+
+def deal_cells(left: DataFrame, right: DataFrame, cell: str, lane: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``cell`` with a further key ``lane``, so that crowded cells are shared by many tasks.
+
+    A cell that holds more than ``HOT_SHARE`` of the rows of a side is cut into lanes, in
+    proportion: its rows of that side are dealt to them by a digest and the partition that
+    they come from, and the other side's rows are repeated for each. All other cells have one
+    lane. There are at most ``1 / HOT_SHARE`` such cells for each side, in a broadcast table.
+    """
+    names = fresh(left.select("*", *[F.lit(0).alias(c) for c in right.columns if c not in left.columns]), "_n", "_all", "_lanes_l", "_lanes_r", "_hot", "_mine", "_theirs")
+    n, total, lanes_l, lanes_r, hot, mine, theirs = names
+
+    def crowded(df: DataFrame, lanes: str) -> DataFrame:
+        counts = df.groupBy(F.col(cell).alias(hot)).agg(F.count("*").alias(n))
+        whole = counts.agg(F.sum(n).alias(total))
+        share = F.col(n) / F.col(total) / F.lit(HOT_SHARE)
+        return counts.join(F.broadcast(whole), F.lit(True)).where(share > 1).select(hot, F.ceil(share).cast("int").alias(lanes))
+
+    table = F.broadcast(crowded(left, lanes_l).join(crowded(right, lanes_r), hot, "full_outer"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.join(table, F.col(cell) == F.col(hot), "left")
+        at = F.pmod(F.xxhash64(row_hash(df), F.spark_partition_id()), F.coalesce(own, F.lit(1)).cast("long")).cast("int")
+        rows = rows.withColumn(mine, at).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return rows
+
+    a, b = dealt(left, lanes_l, lanes_r), dealt(right, lanes_r, lanes_l)
+    key = lambda x, y: F.struct(F.col(x).alias("l"), F.col(y).alias("r"))
+    drop = (hot, lanes_l, lanes_r, mine, theirs)
+    return a.withColumn(lane, key(mine, theirs)).drop(*drop), b.withColumn(lane, key(theirs, mine)).drop(*drop)
+
+
+def zonal_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat", ring: str = "ring") -> DataFrame:
+    """Points with the polygons that contain them: an equi-join on the cells of a grid of several levels, then the exact test.
+
+    A polygon is filed under the at most four cells of its own size that its bounding box
+    meets, whatever its size. A point is looked up in its cell of every level that some
+    polygon has. Crowded cells are shared by many tasks. Points with a missing place, and
+    rings without corners, are in no row.
+    """
+    (cell, lane, level, levels, box) = fresh(points.select(*points.columns, *[F.lit(0).alias(c) for c in polygons.columns if c not in points.columns]), "_cell", "_lane", "_level", "_levels", "_box")
+    xs, ys = F.transform(ring, lambda p: p["x"].cast("double")), F.transform(ring, lambda p: p["y"].cast("double"))
+    ends = F.array(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys))
+    corners = [F.col(box)[i] for i in range(4)]
+    known = polygons.withColumn(box, ends).where(F.size(ring) > 1).withColumn(level, box_level(*corners))
+    zones = known.withColumn(cell, F.explode(box_cells(F.col(level), *corners))).drop(box, level)
+    some = F.broadcast(known.agg(F.collect_set(level).alias(levels)))  # one row, with no more entries than doubles have powers of two
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    there = points.where(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py)).join(some, F.lit(True)).withColumn(level, F.explode(levels))
+    probes = there.withColumn(cell, cell_at(F.col(level), px, py)).drop(levels, level)
+    left, right = deal_cells(probes, zones, cell, lane)
+    return left.join(right, [cell, lane]).where(inside(F.col(ring), F.col(x), F.col(y))).drop(cell, lane)
+
+
+def zonal_stats(points: DataFrame, polygons: DataFrame, key: str, value: str = "elev", prefix: str = "elevation", x: str = "lon", y: str = "lat", ring: str = "ring") -> DataFrame:
+    """Mean, population deviation and exact median of the points in each polygon; null and NaN are no data.
+
+    A polygon may hold any number of points: see :func:`counted_median`.
+    """
+    joined = zonal_join(points.where(F.col(value).isNotNull()), polygons, x, y, ring).select(key, value)
+    stats = counted_median(joined, [key], value, f"{prefix}_median")
+    return stats.select(key, F.col("mean").alias(f"{prefix}_mean"), F.col("std").alias(f"{prefix}_std"), f"{prefix}_median")
+
+
+def boxes_touching(boxes: DataFrame, others: DataFrame, columns: tuple[str, str, str, str] = ("xmin", "xmax", "ymin", "ymax")) -> DataFrame:
     """Rows of ``boxes`` that meet at least one box of ``others``, repeated rows as often as they occur.
 
-    An equi-join by grid cells and the exact test find the different boxes that meet
-    another; rows are then kept by their box, whatever their other columns are.
+    Different boxes are filed under the cells of their own level, four at most. Of two boxes
+    that meet, the smaller one meets no more than four cells of the larger one's level; so
+    each side looks its boxes up in the levels of the other side's larger boxes, and a pair
+    is found from one side or the other. Rows are then kept by their box, whatever their
+    other columns are. Boxes with a missing end meet none.
     """
-    mine, theirs = [F.col(f"b.{c}") for c in columns], [F.col(f"o.{c}") for c in columns]
-    distinct = boxes.select(*columns).distinct()
-    keyed = distinct.withColumn("_c", F.explode(cells_of(*map(F.col, columns), cell)))
-    cells = others.select(*columns).distinct().withColumn("_c", F.explode(cells_of(*map(F.col, columns), cell)))
-    meet = (mine[0] <= theirs[1]) & (mine[1] >= theirs[0]) & (mine[2] <= theirs[3]) & (mine[3] >= theirs[2])
+    ends = [F.col(c) for c in ("x0", "x1", "y0", "y1")]
+    meet = (F.col("x0") <= F.col("x1_b")) & (F.col("x1") >= F.col("x0_b")) & (F.col("y0") <= F.col("y1_b")) & (F.col("y1") >= F.col("y0_b"))
+
+    def filed(df: DataFrame) -> DataFrame:
+        rows = df.select(*[F.col(c).cast("double").alias(e) for c, e in zip(columns, ("x0", "x1", "y0", "y1"), strict=True)]).distinct().dropna()
+        return rows.withColumn("level", box_level(*ends))
+
+    mine, theirs = filed(boxes), filed(others)
+
+    def found(small: DataFrame, large: DataFrame, also: bool, keep_small: bool) -> DataFrame:
+        """Of each pair that meets, one side: ``small`` looked up in the levels of ``large`` above its own, or also its own."""
+        levels = F.broadcast(large.agg(F.collect_set("level").alias("levels")))
+        above = lambda v: v >= F.col("level") if also else v > F.col("level")
+        probes = small.join(levels, F.lit(True)).withColumn("at", F.explode(F.filter("levels", above))).withColumn("cell", F.explode(box_cells(F.col("at"), *ends))).drop("levels", "at", "level")
+        held = large.withColumn("cell", F.explode(box_cells(F.col("level"), *ends))).drop("level").withColumnsRenamed({c: f"{c}_b" for c in ("x0", "x1", "y0", "y1")})
+        left, right = deal_cells(probes, held, "cell", "lane")
+        both = left.join(right.withColumnsRenamed({"cell": "cell_b", "lane": "lane_b"}), (F.col("cell") == F.col("cell_b")) & (F.col("lane") == F.col("lane_b")) & meet, "left_semi" if keep_small else "inner")
+        return both.select("x0", "x1", "y0", "y1") if keep_small else both.select(*[F.col(f"{c}_b").alias(c) for c in ("x0", "x1", "y0", "y1")])
+
     names = fresh(boxes, *(f"_{k}" for k in range(4)))
-    hit = keyed.alias("b").join(cells.alias("o"), (F.col("b._c") == F.col("o._c")) & meet, "left_semi").select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
-    same = [boxes[c] == hit[n] for c, n in zip(columns, names, strict=True)]
+    hit = found(mine, theirs, True, True).unionAll(found(theirs, mine, False, False)).distinct().toDF(*names)
+    same = [F.col(f"`{c}`").cast("double") == F.col(n) for c, n in zip(columns, names, strict=True)]
     return boxes.join(hit, same, "left_semi")
 
 

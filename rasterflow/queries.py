@@ -720,12 +720,12 @@ INSIDE = f"({_cross('x0', 'y0', 'x0 + 7', 'y0 + 1')} + {_cross('x0 + 7', 'y0 + 1
 
 @query(f"WITH {GRID_POINTS}, {ZONES} SELECT p_partkey, s_suppkey FROM pt JOIN zn ON lon BETWEEN x0 AND x0 + 7 AND lat BETWEEN y0 AND y0 + 6 WHERE {INSIDE}")
 def j7_zonal_join(spark, sf):
-    return sp.zonal_join(grid_points(spark, sf), zones(spark, sf), 4.0).select("p_partkey", "s_suppkey")
+    return sp.zonal_join(grid_points(spark, sf), zones(spark, sf)).select("p_partkey", "s_suppkey")
 
 
 @query(f"WITH {GRID_POINTS}, {ZONES} SELECT s_suppkey, round(avg(elev), 6) AS elevation_mean, round(stddev_pop(elev), 6) AS elevation_std, round(median(elev), 6) AS elevation_median FROM pt JOIN zn ON lon BETWEEN x0 AND x0 + 7 AND lat BETWEEN y0 AND y0 + 6 WHERE {INSIDE} GROUP BY 1")
 def a6_zonal_stats(spark, sf):
-    return sp.zonal_stats(grid_points(spark, sf), zones(spark, sf), "s_suppkey", 4.0).select("s_suppkey", r6("elevation_mean"), r6("elevation_std"), r6("elevation_median"))
+    return sp.zonal_stats(grid_points(spark, sf), zones(spark, sf), "s_suppkey").select("s_suppkey", r6("elevation_mean"), r6("elevation_std"), r6("elevation_median"))
 
 
 @query("WITH b AS (SELECT c_custkey, c_custkey % 97 AS xmin, c_custkey % 97 + 2 AS xmax, c_custkey % 89 AS ymin, c_custkey % 89 + 1 AS ymax FROM customer), o AS (SELECT s_suppkey * 7 % 97 AS xmin, s_suppkey * 7 % 97 + 1 AS xmax, s_suppkey * 3 % 89 AS ymin, s_suppkey * 3 % 89 + 2 AS ymax FROM supplier) SELECT c_custkey FROM b WHERE EXISTS (SELECT 1 FROM o WHERE b.xmin <= o.xmax AND b.xmax >= o.xmin AND b.ymin <= o.ymax AND b.ymax >= o.ymin)")
@@ -734,7 +734,7 @@ def j6_boxes_touching(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
     s = table(spark, sf, "supplier")
     mine = box(c, F.col("c_custkey") % 97, F.col("c_custkey") % 89, 2, 1)
-    return sp.boxes_touching(mine, box(s, F.col("s_suppkey") * 7 % 97, F.col("s_suppkey") * 3 % 89, 1, 2), 8.0).select("c_custkey")
+    return sp.boxes_touching(mine, box(s, F.col("s_suppkey") * 7 % 97, F.col("s_suppkey") * 3 % 89, 1, 2)).select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 97 <= 40 AND c_custkey % 97 + 2 >= 30 AND c_custkey % 89 <= 60 AND c_custkey % 89 + 1 >= 20")
