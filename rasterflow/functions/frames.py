@@ -59,13 +59,14 @@ def placed(df: DataFrame, order: list[Column | str], scope: list[str] | None = N
     """``df`` as a written table dealt into ranges of ``order`` within ``scope``; ``place`` tells partition (its upper bits) and row.
 
     Rows are told apart down to a digest of all their columns and, where these are equal
-    too, to the partition that they come from. So no key, value or group of equal rows is
+    too, to their place in the partition that they come from. So no key, value or group of equal rows is
     too large to be cut: a range ends at any row. The ranges come from Spark's sample of
     the rows; their number is that of shuffle partitions, which a session sets by its data.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole, origin = fresh(df.select("*", F.lit(0).alias(place)), "_whole", "_origin")
-    rows = df.withColumns({whole: row_hash(df), origin: F.spark_partition_id()})
+    # numbered in a fixed order, so that a task that is run again numbers its rows alike
+    rows = df.withColumn(whole, row_hash(df)).sortWithinPartitions(whole).withColumn(origin, F.monotonically_increasing_id())
     keys = [*map(F.col, scope or []), *[F.col(c) if isinstance(c, str) else c for c in order], F.col(whole), F.col(origin)]
     dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(whole, origin)
     return written(dealt.withColumn(place, F.monotonically_increasing_id()), "ranked")

@@ -93,7 +93,8 @@ def deal_cells(left: DataFrame, right: DataFrame, cell: str, lane: str) -> tuple
 
     A cell that holds more than ``HOT_SHARE`` of the rows of a side is cut into lanes, in
     proportion: its rows of that side are dealt to them by a digest and the partition that
-    they come from, and the other side's rows are repeated for each. All other cells have one
+    they come from (so equal rows of one partition stay together), and the other side's rows
+    are repeated for each. All other cells have one
     lane. There are at most ``1 / HOT_SHARE`` such cells for each side, in a broadcast table.
     """
     names = fresh(left.select("*", *[F.lit(0).alias(c) for c in right.columns if c not in left.columns]), "_n", "_all", "_lanes_l", "_lanes_r", "_hot", "_mine", "_theirs")

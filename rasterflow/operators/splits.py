@@ -6,10 +6,12 @@ partitioning nor row order; ranks come from bucket counts, never from a single-t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import digest_rank, fresh, text_digest, value_rank
+from ..functions.frames import digest_rank, fresh, ordered_rank, text_digest, value_rank, written
 from .rules import random_rules
 
 Targets = list[dict]
@@ -48,31 +50,33 @@ def stratified_split(df: DataFrame, key: str, stratum: str, targets: Targets, se
 
     Targets are served in turn from what earlier ones left; a target's quota over the
     strata follows the largest remainders (ties by the stratum's digest), and the last
-    target takes the rest. Every target needs ``split``.
+    target takes the rest. Every target needs ``split``. Strata may be as many as rows: they
+    are a table of counts, whose totals are joined as one row and whose remainders are
+    ranked by ranges.
     """
     if any("split" not in t for t in targets):
         raise ValueError("stratified targets need their split")
-    counts = df.groupBy(stratum).agg(F.count("*").alias("left"))  # a row for each stratum from here on
-    total, bounds = df.count(), fraction_boundaries(targets)
-    quotas = counts.withColumn("before", F.lit(0).cast("long"))
-    parts, left, lower = [], total, 0.0
+    bounds = fraction_boundaries(targets)
+    # a row for each stratum from here on
+    quotas = written(df.groupBy(F.col(stratum).alias("s")).agg(F.count("*").alias("left")).withColumn("before", F.lit(0).cast("long")), "strata")
+    total = F.broadcast(quotas.agg(F.sum("left").alias("total")))
+    parts, lower = [], 0.0
     for i, (name, upper) in enumerate(bounds):
         last = i == len(bounds) - 1 and upper > 1 - 1e-9
-        want = left if last else min(left, round((upper - lower) * total))
-        share = F.col("left") * F.lit(float(want)) / F.lit(float(max(1, left)))
-        base = quotas.withColumns({"_floor": F.floor(share), "_rest": share - F.floor(share)})
-        order = Window.orderBy(F.desc(F.round("_rest", 9)), text_digest(seed, i, F.col(stratum)))
-        given = F.sum("_floor").over(Window.partitionBy())
-        quota = F.least(F.col("_floor") + (F.row_number().over(order) <= F.lit(want) - given).cast("long"), F.col("left"))
-        served = base.withColumn("quota", quota).select(stratum, "left", "before", "quota")
-        parts.append(served.select(F.col(stratum).alias("_s"), F.lit(name).alias("_t"), F.col("before").alias("_lo"), (F.col("before") + F.col("quota")).alias("_hi")))
-        quotas = served.select(stratum, (F.col("left") - F.col("quota")).alias("left"), (F.col("before") + F.col("quota")).alias("before"))
-        left, lower = left - want, upper
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionAll(p)
+        sums = quotas.agg(F.sum("left").alias("all_left")).join(total, F.lit(True))
+        want = F.col("all_left") if last else F.least(F.col("all_left"), F.rint((F.lit(upper) - F.lit(lower)) * F.col("total")).cast("long"))
+        share = F.col("left") * F.col("want").cast("double") / F.greatest(F.lit(1), F.col("all_left")).cast("double")
+        shared = quotas.join(F.broadcast(sums.withColumn("want", want)), F.lit(True)).withColumn("share", share)
+        shared = written(shared.select("s", "left", "before", "want", F.floor("share").alias("base"), F.round(F.col("share") - F.floor("share"), 9).alias("rest")), "shares")
+        more = F.broadcast(shared.agg((F.max("want") - F.sum("base")).alias("more")))  # those strata with the largest rests get one row more
+        ranked = ordered_rank(shared, [F.desc("rest"), text_digest(seed, i, F.col("s"))], out="place").join(more, F.lit(True))
+        quota = F.least(F.col("base") + (F.col("place") <= F.col("more")).cast("long"), F.col("left"))
+        served = written(ranked.select("s", "left", "before", quota.alias("quota")), "quotas")
+        parts.append(served.select("s", F.lit(name).alias("t"), F.col("before").alias("lo"), (F.col("before") + F.col("quota")).alias("hi")))
+        quotas = served.select("s", (F.col("left") - F.col("quota")).alias("left"), (F.col("before") + F.col("quota")).alias("before"))
+        lower = upper
     rank, s, t, lo, hi = fresh(df, "_rank", "_s", "_t", "_lo", "_hi")
-    table = table.withColumnsRenamed({"_s": s, "_t": t, "_lo": lo, "_hi": hi})
+    table = reduce(DataFrame.unionAll, parts).withColumnsRenamed({"s": s, "t": t, "lo": lo, "hi": hi})
     ranked = digest_rank(df, f"{seed}|strata", F.col(key), [stratum], rank)
     inside = F.col(stratum).eqNullSafe(F.col(s)) & (F.col(rank) > F.col(lo)) & (F.col(rank) <= F.col(hi))
     return ranked.join(table, inside, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != "target"], F.col(t).alias("target"))

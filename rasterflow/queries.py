@@ -320,9 +320,35 @@ def w4_stratified_split(spark, sf):
     return sl.stratified_split(rows, "o_orderkey", "stratum", [{"target": "train", "split": 0.7}, {"target": "test", "split": 0.3}], 42)
 
 
-@query()
+def _lone_bins_sql(name: str, histogram: str) -> str:
+    """Recursive steps over the distances for ``histogram(g, hist)``; ``name_map(g, bin, new)`` is what they end in."""
+    return f"""{name}(g, d, rows_, moved) AS (
+  SELECT g, 1, list_sort(hist), list_transform(list_sort(hist), lambda x: {{'bin': x.bin, 'new': x.bin}}) FROM {histogram}
+  UNION ALL SELECT g, d + 1, CASE WHEN len(runs) = 0 THEN rows_ ELSE list_transform(list_sort(list_distinct(list_transform(renamed, lambda x: x.bin))), lambda v: {{'bin': v, 'n': list_sum(list_transform(list_filter(renamed, lambda x: x.bin = v), lambda x: x.n))::BIGINT}}) END,
+    list_transform(moved, lambda m: {{'bin': m.bin, 'new': coalesce(list_filter(runs, lambda r: r.bin = m.new)[1].new, m.new)}})
+  FROM (SELECT *, list_transform(rows_, lambda x: {{'bin': coalesce(list_filter(runs, lambda r: r.bin = x.bin)[1].new, x.bin), 'n': x.n}}) AS renamed
+  FROM (SELECT *, list_transform(placed, lambda x: {{'bin': x.bin, 'new': (list_filter(expanded, lambda e: e.run = x.run)[1].med)}}) AS runs
+  FROM (SELECT *, list_transform(list_distinct(list_transform(placed, lambda x: x.run)), lambda r: {{'run': r, 'med': floor(list_median(flatten(list_transform(list_filter(placed, lambda x: x.run = r), lambda x: list_transform(range(x.n), lambda k: x.bin)))))::INT}}) AS expanded
+  FROM (SELECT *, list_transform(taken, lambda x, i: {{'bin': x.bin, 'n': x.n, 'run': greatest(0, (i - 1 - len(taken) % 2) // 2)}}) AS placed
+  FROM (SELECT *, list_filter(seen, lambda x: x.n = 1 AND (x.below OR x.above) OR list_contains(along, x.bin)) AS taken
+  FROM (SELECT *, list_transform(list_filter(seen, lambda x: x.n = 1 AND NOT x.near AND (x.below OR x.above)), lambda x: CASE WHEN x.below THEN x.bin - d ELSE x.bin + d END) AS along
+  FROM (SELECT *, list_transform(rows_, lambda x: {{'bin': x.bin, 'n': x.n, 'below': list_contains(bs, x.bin - d), 'above': list_contains(bs, x.bin + d), 'near': list_contains(lone, x.bin - d) OR list_contains(lone, x.bin + d)}}) AS seen
+  FROM (SELECT *, list_transform(rows_, lambda x: x.bin) AS bs, list_transform(list_filter(rows_, lambda x: x.n = 1), lambda x: x.bin) AS lone FROM {name} WHERE d <= rows_[-1].bin - rows_[1].bin)))))))) WHERE len(lone) > 0
+), {name}_map AS (SELECT g, m.bin, m.new FROM (SELECT g, unnest(moved) AS m FROM (SELECT g, arg_max(moved, d) AS moved FROM {name} GROUP BY g)))"""
+
+
+def _bin_sql(column: str, n: int) -> str:
+    return f"(CASE WHEN max({column}) OVER () = min({column}) OVER () THEN ceil({n} * 0.5) - 1 ELSE greatest(0, least({n - 1}, ceil(({column} - min({column}) OVER ())::DOUBLE / (max({column}) OVER () - min({column}) OVER ())::DOUBLE * {n}) - 1)) END)::INT"
+
+
+@query(
+    f"""WITH RECURSIVE binned AS (SELECT p_partkey, {_bin_sql("p_size", 7)} AS b1, {_bin_sql("p_retailprice", 40)} AS b2 FROM part),
+h1 AS (SELECT 0 AS g, list({{'bin': b1, 'n': n}}) AS hist FROM (SELECT b1, count(*) AS n FROM binned GROUP BY 1)), {_lone_bins_sql("one", "h1")},
+first AS (SELECT p_partkey, m.new AS b1, b2 FROM binned JOIN one_map m ON b1 = m.bin),
+h2 AS (SELECT b1 AS g, list({{'bin': b2, 'n': n}}) AS hist FROM (SELECT b1, b2, count(*) AS n FROM first GROUP BY ALL) GROUP BY 1), {_lone_bins_sql("two", "h2")}
+SELECT p_partkey, b1 || '__' || m.new AS stratum FROM first JOIN two_map m ON b1 = m.g AND b2 = m.bin"""
+)
 def w5_merged_strata(spark, sf):
-    """Not for SQL: the merging is sequential (on the histogram)."""
     rows = st.bin_equal_width(st.bin_equal_width(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), "p_size", 7, "b1"), "p_retailprice", 40, "b2")
     return st.stratum_key(st.merge_singletons(rows, ["b1", "b2"]), ["b1", "b2"]).select("p_partkey", "stratum")
 

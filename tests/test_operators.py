@@ -3,14 +3,18 @@
 import datetime as dt
 import hashlib
 import json
+import math
 import random
+import statistics
+import struct
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rasterflow.functions import columns as C
-from rasterflow.functions.frames import digest_rank, value_rank
+from rasterflow.functions.frames import counted_median, digest_rank, order_key, placed, value_rank
 from rasterflow.operators import composite, encode, metrics, rules, scoring, spatial, splits, strata, tiling
 from rasterflow.plans import jobs
 from rasterflow.sources import tables
@@ -154,18 +158,100 @@ def test_equal_width_bins(spark):
         strata.bin_equal_width(spark.createDataFrame([("a",)], "v string"), "v", 2)
 
 
+def merged_slowly(counts, draw):
+    """The rule by the book: lone bins one after the other, in any order; each looks for a partner itself."""
+    where = {b: b for b in counts}
+    for d in range(1, max(counts, default=0) - min(counts, default=0) + 1):
+        now = Counter()
+        for b, n in counts.items():
+            now[where[b]] += n
+        lone, moves = [b for b in now if now[b] == 1], set()
+        draw.shuffle(lone)
+        for b in lone:
+            if b in moves:
+                continue
+            partners = sorted((x for x in (b - d, b + d) if x in now), key=lambda x: (now[x] != 1, x))
+            if partners:
+                moves.update((b, partners[0]))
+        ordered = sorted(moves)
+        sizes = [2] * (len(ordered) // 2)
+        if len(ordered) % 2:
+            sizes[0] = 3
+        for size in sizes:
+            run, ordered = ordered[:size], ordered[size:]
+            middle = math.floor(statistics.median([b for b in run for _ in range(now[b])]))
+            where = {b: middle if x in run else x for b, x in where.items()}
+    return where
+
+
 def test_lone_bins_merge(spark):
-    assert strata.merge_lone([0, 1, 5], [10, 1, 10]) == {0: 0, 1: 0, 5: 5}
-    assert strata.merge_lone([0, 1], [1, 5]) == {0: 1, 1: 1}
-    assert strata.merge_lone([0, 1, 2, 3, 4], [1] * 5) == {0: 1, 1: 1, 2: 1, 3: 3, 4: 3}
-    assert strata.merge_lone([0, 4, 6], [5, 1, 1]) == {0: 0, 4: 5, 6: 5}
-    assert strata.merge_lone([3], [1]) == {3: 3} and strata.merge_lone([], []) == {}
-    assert strata.merge_lone([1, 9], [1, 7]) == {1: 9, 9: 9}
-    assert [strata.counted_median(b, c) for b, c in (([1, 2], [1, 1]), ([1, 4], [1, 1]), ([1, 4], [1, 2]), ([3, 5, 9], [4, 1, 2]))] == [1, 2, 4, 3]
+    draw = random.Random(8)
+    cases = [{0: 10, 1: 1, 5: 10}, {0: 1, 1: 5}, dict.fromkeys(range(5), 1), {0: 5, 4: 1, 6: 1}, {3: 1}, {1: 1, 9: 7}, {-1: 1, 0: 1, 7: 2}]
+    cases += [{b: draw.choice([1, 1, 1, 2, 9]) for b in draw.sample(range(-1, 30), draw.randrange(1, 20))} for _ in range(150)]
+    rows = [(k, b, n) for k, c in enumerate(cases) for b, n in c.items()]
+    hist = spark.createDataFrame(rows, "k int, b int, n long").groupBy("k").agg(F.collect_list(F.struct(F.col("b").alias("bin"), "n")).alias("h"))
+    got = {r.k: {x["bin"]: x["new"] for x in r.m} for r in hist.select("k", strata.lone_bins_merged(F.col("h")).alias("m")).collect()}
+    assert got == {k: merged_slowly(c, draw) for k, c in enumerate(cases)}
+    assert got[0] == {0: 0, 1: 0, 5: 5} and got[2] == {0: 1, 1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_strata_of_two_columns_merge(spark):
     rows = [(0, 0)] * 5 + [(0, 1)] + [(1, 7)] * 2 + [(9, 2)]
-    got = strata.merge_singletons(spark.createDataFrame(rows, "a int, b int"), ["a", "b"])
+    table = spark.createDataFrame(rows, "a int, b int")
+    got = strata.merge_singletons(table, ["a", "b"])
     counts = {(r.a, r.b): r["count"] for r in got.groupBy("a", "b").count().collect()}
     assert sum(counts.values()) == 9 and all(n > 1 for n in counts.values())
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+    assert strata.merge_singletons(table.where("false"), ["a", "b"]).count() == 0
+
+
+def test_many_strata_get_their_quotas(spark):
+    """A million strata: totals come out exactly, and no stratum is off by a row or more."""
+    df = spark.range(1_500_000).select(F.col("id").alias("k"), F.when(F.col("id") < 1_000_000, F.col("id")).otherwise(F.lit(-1)).alias("s"))
+    got = splits.stratified_split(df, "k", "s", [{"target": "x", "split": 0.5}, {"target": "y", "split": 0.5}], 3)
+    each = got.groupBy("s").agg(F.count(F.when(F.col("target") == "x", 1)).alias("x"), F.count("*").alias("n"))
+    assert each.agg(F.sum("x"), F.max(F.abs(F.col("x") - F.col("n") / 2)), F.count("*")).first()[:] == (750_000, 0.5, 1_000_001)
+
+
+def test_ranges_cut_hot_keys(spark):
+    """A third of the rows under one key, and a third equal in every column: no range is above twice the mean."""
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit("same")).otherwise(F.col("id").cast("string")).alias("k"), F.when(F.col("id") % 3 == 1, 0).otherwise(F.col("id")).alias("v"))
+    for shape in (df, df.repartition(13), df.orderBy(F.desc("v"))):
+        table = placed(shape, [F.md5("k")])
+        sizes = [r["count"] for r in table.groupBy(F.shiftright("_place", 33)).count().collect()]
+        assert sum(sizes) == 30_000 and max(sizes) <= 2 * 30_000 / 4
+    ranks = lambda d: sorted(map(tuple, digest_rank(d, 1, F.col("k")).collect()))
+    assert ranks(df) == ranks(df.repartition(7, "v")) and sorted(r[2] for r in ranks(df)) == list(range(1, 30_001))
+
+
+def test_order_of_doubles(spark):
+    draw = random.Random(2)
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 0.1, 0.3, 7.999999999999999, 8.0, 8.000000000000002]
+    values += [struct.unpack("<d", draw.randbytes(8))[0] for _ in range(3000)]
+    values = sorted({v for v in values if v == v})
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k")).collect()
+    ours = {r.v: r.k for r in got}
+    keys = [ours[v] for v in values]
+    assert all(a < b for a, b in zip(keys, keys[1:], strict=False))
+    assert all(ours[v] == struct.unpack("<q", struct.pack("<d", v))[0] for v in values if v > 0)
+    assert spark.createDataFrame([(None,), (float("nan"),)], "v double").where(order_key(F.col("v")).isNotNull()).count() == 0
+
+
+def test_medians_by_counting(spark):
+    draw = random.Random(6)
+    rows = [(k, draw.choice([None, float("nan"), draw.gauss(0, 10.0 ** draw.randrange(-3, 9)), float(draw.randrange(5))])) for k in ["hot"] * 3000 + [f"g{i % 40}" for i in range(3000)] + ["one", "two", "two", None, None]]
+    rows += [("none", None), ("edge", -1.0), ("edge", 1.0), ("far", 1e-300), ("far", 1e300), ("far", 2e300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    own = {}
+    for k, v in rows:
+        if v is not None and v == v:
+            own.setdefault(k, []).append(v)
+    for most in (10_000, 40, 1):
+        got = {r.k: r for r in counted_median(df, ["k"], "v", most=most).collect()}
+        assert {k: r.median for k, r in got.items()} == {k: statistics.median(v) for k, v in own.items()}
+        assert all(r.n == len(own[k]) and math.isclose(r["mean"], statistics.fmean(own[k]), rel_tol=1e-9, abs_tol=1e-9) for k, r in got.items())
+        assert all(math.isclose(got[k]["std"], statistics.pstdev(own[k]), rel_tol=1e-7, abs_tol=1e-7) for k in own if k not in ("far",))
+    assert counted_median(df.where("false"), ["k"], "v").count() == 0
 
 
 def test_working_columns_leave_the_callers_alone(spark):
@@ -177,7 +263,7 @@ def test_working_columns_leave_the_callers_alone(spark):
     results = [
         digest_rank(rows, 1, F.col("k"), ["target"]), value_rank(rows, "v", "k"), composite.fill_gaps(rows, ["target"], "k", "v"), composite.assign_bin(rows, edges), composite.resample(rows.withColumn("y", F.lit(0)).withColumn("x", F.lit(0)), 2),
         splits.random_split(rows, "k", "s", [{"target": "a"}, {"target": "b"}], 1), splits.stratified_split(rows, "k", "v", [{"target": "a", "split": 1.0}], 1), splits.subsample(rows, "k", {"0": 0.5}, 1), splits.assign_blocks(rows, "v", 7, key="k"), splits.top_k_per_block(rows, "target", "v", "k", 3),
-        strata.bin_equal_width(rows, "v", 3), composite.preview(rows, ["target"], ["v"]), spatial.boxes_touching(boxes, boxes.drop(*names), 3.0),
+        strata.bin_equal_width(rows, "v", 3), composite.preview(rows, ["target"], ["v"]), spatial.boxes_touching(boxes, boxes.drop(*names)),
     ]
     for got in results:
         assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(f"own {n}" for n in names)}
@@ -187,7 +273,7 @@ def test_boxes_that_repeat_come_back_as_often(spark):
     rows = [(0, 1, 0, 1, "a"), (0, 1, 0, 1, "a"), (0, 1, 0, 1, "b"), (5, 6, 5, 6, "c"), (None, 1, 0, 1, "d")]
     boxes = spark.createDataFrame(rows, "xmin int, xmax int, ymin int, ymax int, id string").withColumn("m", F.create_map(F.lit("x"), F.lit(1)))
     others = spark.createDataFrame([(1, 2, 1, 2), (0, 3, 0, 3)], "xmin int, xmax int, ymin int, ymax int")
-    assert sorted(column(spatial.boxes_touching(boxes, others, 2.0), "id")) == ["a", "a", "b"]
+    assert sorted(column(spatial.boxes_touching(boxes, others), "id")) == ["a", "a", "b"]
 
 
 def test_composite_job_is_its_parts_in_two_shuffles(spark):
@@ -296,9 +382,9 @@ def test_points_on_borders_belong_to_one_square(spark):
     ring = lambda x, y: [(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0), (x, y)]
     squares = spark.createDataFrame([(f"{x}{y}", ring(float(x), float(y))) for x in range(3) for y in range(3)], "id string, ring array<struct<x: double, y: double>>")
     points = spark.createDataFrame([(i / 2, j / 2, float(i)) for i in range(6) for j in range(6)], "lon double, lat double, elev double")
-    got = spatial.zonal_join(points, squares, 1.5).collect()
+    got = spatial.zonal_join(points, squares).collect()
     assert len(got) == 36 and all(r.id == f"{int(r.lon)}{int(r.lat)}" for r in got)
-    stats = spatial.zonal_stats(points, squares, "id", 1.5).where("id = '10'").first()
+    stats = spatial.zonal_stats(points, squares, "id").where("id = '10'").first()
     assert (stats.elevation_mean, stats.elevation_std, stats.elevation_median) == (2.5, 0.5, 2.5)
 
 
@@ -355,3 +441,70 @@ def test_classifier_job_scores_every_target(spark):
     rows = spark.createDataFrame([(float(i % 3), float(i % 7), i % 3, ("train", "val", "test")[i % 5 % 3]) for i in range(300)], "a double, b double, label int, target string")
     got = {r.target: r for r in jobs.classifier_job(rows, ["a", "b"], 3).collect()}
     assert set(got) == {"train", "val", "test"} and all(r.accuracy == 1 for r in got.values()) and sum(r.pixels for r in got.values()) == 200
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    draw = random.Random(11)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            size = lambda: draw.choice([0.0, 1e-6, 0.01, 1.0, 2.0, 3.7, 1000.0, 1e9]) * draw.choice([1, draw.random()])
+            x, y = (draw.choice([0.0, 5.0, draw.uniform(-20, 20), draw.uniform(-1e6, 1e6)]) for _ in range(2))
+            out.append((x, x + size(), y, y + size(), i))
+        return [*out, (None, 1.0, 0.0, 1.0, n), (float("nan"), 1.0, 0.0, 1.0, n + 1)]
+
+    mine, theirs = some(300), some(40)
+    fields = "xmin double, xmax double, ymin double, ymax double, i int"
+    got = spatial.boxes_touching(spark.createDataFrame(mine, fields), spark.createDataFrame(theirs, fields))
+    real = lambda rows: [r for r in rows if r[0] is not None and r[0] == r[0]]
+    want = [a[4] for a in real(mine) if any(a[0] <= b[1] and a[1] >= b[0] and a[2] <= b[3] and a[3] >= b[2] for b in real(theirs))]
+    assert sorted(column(got, "i")) == want and 0 < len(want) < 300
+
+
+def test_points_in_polygons_of_all_sizes(spark):
+    draw = random.Random(12)
+    rings = []
+    for i in range(60):
+        r, x, y = 10.0 ** draw.uniform(-5, 4), draw.uniform(-30, 30), draw.uniform(-30, 30)
+        k = draw.randrange(3, 9)
+        ring = [(x + r * math.cos(2 * math.pi * j / k), y + r * draw.uniform(0.4, 1) * math.sin(2 * math.pi * j / k)) for j in range(k)]
+        rings.append((i, [*ring, ring[0]]))
+    rings += [(900, []), (901, None), (902, [(0.0, 0.0)])]
+    points = [(i, draw.uniform(-40, 40), draw.uniform(-40, 40)) for i in range(500)] + [(1000 + i, *rings[i][1][0]) for i in range(60)] + [(-1, None, 1.0), (-2, float("nan"), 1.0), (-3, 1e300, -1e300)]
+    zones = spark.createDataFrame([(i, r and [{"x": x, "y": y} for x, y in r]) for i, r in rings], "id int, ring array<struct<x: double, y: double>>")
+    got = spatial.zonal_join(spark.createDataFrame(points, "p int, lon double, lat double"), zones)
+
+    def holds(ring, x, y):
+        crossed = 0
+        for (ax, ay), (bx, by) in zip(ring or [], (ring or [])[1:], strict=False):
+            crossed += ((ay <= y) != (by <= y)) and x < ax + (y - ay) / (by - ay) * (bx - ax)
+        return crossed % 2 == 1
+
+    want = sorted((p, i) for p, x, y in points if x is not None and x == x for i, ring in rings if holds(ring, x, y))
+    assert sorted((r.p, r.id) for r in got.collect()) == want and len(want) > 100
+
+
+def test_a_box_of_a_million_small_cells_has_a_handful_of_keys(spark):
+    rows = [(0.0, 1e6, 0.0, 1e6), (10.0, 10.001, 10.0, 10.001), (-3.0, 4.0, -5.0, 6.0), (7.0, 7.0, 7.0, 7.0), (0.0, 0.0, 0.0, 0.0), (1e15, 1e15 + 1, 0.0, 1.0)]
+    ends = [F.col(c) for c in ("a", "b", "c", "d")]
+    got = spark.createDataFrame(rows, "a double, b double, c double, d double").select(spatial.box_level(*ends).alias("l"), "*").select("l", F.size(spatial.box_cells(F.col("l"), *ends)).alias("n"))
+    assert [(r.l, r.n) for r in got.collect()][:3] == [(20, 1), (-9, 1), (4, 4)] and all(1 <= r.n <= 4 for r in got.collect())
+
+
+def test_a_crowded_cell_is_shared(spark):
+    """A third of the points in one cell: no lane holds more than a share; of equal points those of a partition stay together."""
+    points = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 7 + 100).alias("lon"), F.lit(0.5).alias("lat"))
+    cells = points.withColumn("cell", spatial.cell_at(F.lit(0), F.col("lon"), F.col("lat")))
+    zones = spark.createDataFrame([(i, 0.0 if i < 5 else 200.0 + i) for i in range(20)], "z int, lon double").withColumn("cell", spatial.cell_at(F.lit(0), F.col("lon"), F.lit(0.5)))
+    left, right = spatial.deal_cells(cells.repartition(8), zones, "cell", "lane")
+    sizes = [r["count"] for r in left.groupBy("cell", "lane").count().collect()]
+    assert max(sizes) <= 30_000 / 200
+    equal = spatial.deal_cells(cells.drop("id").repartition(8), zones, "cell", "lane")[0].where("lon = 0.5")
+    assert max(r["count"] for r in equal.groupBy("cell", "lane").count().collect()) <= 2 * 10_000 / 8
+    both = left.select("cell", "lane").join(right, ["cell", "lane"]).groupBy("z").count().collect()
+    assert {r.z: r["count"] for r in both if r.z < 5} == dict.fromkeys(range(5), 10_000)
+    square = lambda i, x, w: (i, [{"x": a, "y": b} for a, b in ((x, 0.0), (x + w, 0.0), (x + w, 1.0), (x, 1.0), (x, 0.0))])
+    rings = spark.createDataFrame([square(1, 0.0, 1.0), square(2, -10.0, 1e6), square(3, 100.0, 1.0)], "id int, ring array<struct<x: double, y: double>>")
+    found = {r.id: r["count"] for r in spatial.zonal_join(points, rings).groupBy("id").count().collect()}
+    assert found == {1: 10_000, 2: 30_000, 3: sum(1 for i in range(30_000) if i % 3 and 100 <= i / 7 + 100 < 101)}
