@@ -26,10 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again; cuts the lineage."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder, read again.
+
+    Cuts the lineage: a lost executor costs its tasks only, and what a task has drawn from
+    its place in a partition is fixed for all later reads.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,10 +53,10 @@ def text_digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def row_hash(df: DataFrame) -> Column:
-    """64 bits of all columns of a row; maps are taken as JSON."""
+def row_hash(df: DataFrame, salt: int = 0) -> Column:
+    """64 bits of all columns of a row, others for another salt; maps are taken as JSON."""
     plain = lambda f: F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
-    return F.xxhash64(F.lit(len(df.columns)), *map(plain, df.schema.fields))
+    return F.xxhash64(F.lit(salt), *map(plain, df.schema.fields))
 
 
 def placed(df: DataFrame, order: list[Column | str], scope: list[str] | None = None, place: str = "_place") -> DataFrame:
