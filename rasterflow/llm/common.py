@@ -6,7 +6,6 @@ import contextlib
 import os
 import re
 import string
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,6 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import fresh, shared_dir, written
+
+__all__ = ["fresh", "shared_dir", "written"]
+
 #: ASCII white space, as the contracts of the operators define words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,21 +28,6 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a local session gets a folder of our own; on a cluster
-    that is an error, since its machines would not see each other's files.
-    """
-    set_here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_here:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        set_here = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.sparkContext.setCheckpointDir(set_here)
-    return set_here.rstrip("/")
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
     """A new folder for files that tasks write; made before any task runs."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -48,16 +36,12 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder, read again.
-
-    Cuts the lineage: a lost executor costs its tasks only, and what a task has drawn
-    from its place in a partition is fixed for all later reads.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(table: DataFrame) -> None:
+    """Removes the files of a table of :func:`written` that nothing will read any more."""
+    for f in {os.path.dirname(f) for f in table.inputFiles()}:
+        fs, inner = filesystem(f)
+        with contextlib.suppress(FileNotFoundError):
+            fs.delete_dir(inner)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -123,16 +107,6 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names for working columns that no column of ``df`` has, with more underscores in front where needed."""
-    have, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in have:
-            n = f"_{n}"
-        out.append(n)
-    return out
-
-
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and nothing else.
 

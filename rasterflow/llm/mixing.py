@@ -7,9 +7,10 @@ document is emitted once for each integer boundary that its stretch crosses. Doc
 stand in order of size, so what a source yields differs from its target by less than its
 largest document.
 
-Cost: one range shuffle of the rows, whose boundaries fall between single rows, so a
-source with a third of all rows spreads over as many partitions as it fills. Offsets
-between partitions come from one small count for each (partition, source).
+Cost: one range shuffle, whose boundaries fall between single rows, equal ones included, so
+a source with a third of all rows spreads over as many partitions as it fills. Offsets
+between partitions come from one small count for each (partition, source). Texts take no
+part in it.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from ..functions.frames import placed, row_hash
+from .common import fresh, word_count, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+#: Rows that are broadcast at most (some dozens of bytes each).
+BROADCAST_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -59,7 +63,8 @@ def mix_copies(docs: DataFrame, source: str = "source", text: str = "text", size
     ``size`` is the number of words unless given; null texts and null sizes count 0. Null
     sources form a source of their own. Rows that are equal in every column are
     interchangeable and each has copies of its own. No row gets more than ``cap`` copies.
-    An empty table gives an empty result. Other columns pass unchanged.
+    An empty table gives an empty result. Other columns pass unchanged. Rows are written as
+    they are, so leave out texts that needn't pass; :func:`mix` does.
     """
     keep = docs.drop(*[c for c in docs.columns if c.lower() in ("_size", "_source_size", "_target", "_copies")])
     packed = keep.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.coalesce(size if size is not None else word_count(F.col(text)), F.lit(0)).cast("long").alias("size"))
@@ -69,18 +74,15 @@ def mix_copies(docs: DataFrame, source: str = "source", text: str = "text", size
 
 def _copies(packed: DataFrame, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
     """``(row, source, size)`` with ``source_size, target, copies``."""
-    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = packed.withColumn("hash", F.xxhash64(F.lit(seed), F.to_json("row")))
-    order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("hash")]
-    placed = written(hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-rows", compression="zstd")
+    rows = placed(packed, [F.col("source").isNull(), "source", "size"], place="at")
     part = F.shiftright("at", 33)
-    counts = placed.groupBy(F.col("source").alias("p_source"), part.alias("p_part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("at").alias("first"))
+    counts = rows.groupBy(F.col("source").alias("p_source"), part.alias("p_part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("at").alias("first"))
     counts = written(counts.withColumn("before", F.sum("n").over(Window.partitionBy("p_source").orderBy("p_part")) - F.col("n")), "mix-counts")
     sizes = counts.groupBy(F.col("p_source").alias("source")).agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, weights, cap).select(F.col("source").alias("t_source"), "source_size", "target")
     starts = counts.join(targets, F.col("p_source").eqNullSafe(F.col("t_source"))).select("p_source", "p_part", "first", "before", "source_size", "target")
     # a partition holds a contiguous range, so there are at most partitions + sources rows here
-    joined = placed.join(F.broadcast(starts) if counts.count() <= 100_000 else starts, (part == F.col("p_part")) & F.col("source").eqNullSafe(F.col("p_source")))
+    joined = rows.join(F.broadcast(starts) if counts.count() <= BROADCAST_ROWS else starts, (part == F.col("p_part")) & F.col("source").eqNullSafe(F.col("p_source")))
     rank = F.col("before") + F.col("at") - F.col("first")
     each = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     start = offset(F.col("source"), seed)
@@ -93,11 +95,30 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tu
 
     Null and empty texts count no words and are taken as often as others of their source;
     null sources form one source; repeated rows have copies of their own; an empty table
-    gives an empty result.
+    gives an empty result. ``docs`` is read again for its texts, so it has to be a table,
+    or a plan that gives the same rows each time.
+
+    Only 128 bits of each row, its source and its size are ordered and written. The rows
+    that are taken are then found by these bits, in one join. Rows that are equal in all
+    columns have the same bits: one of them, the first that a task meets, stands for all.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    taken = _copies(packed, weights, cap, seed).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    one, two, n, taken, place = fresh(docs, "_one", "_two", "_n", "_taken", "_place")
+    keyed = docs.withColumns({one: row_hash(docs), two: row_hash(docs, 1)})
+    packed = keyed.select(F.struct(F.col(one).alias("one"), F.col(two).alias("two")).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    copies = _copies(packed, weights, cap, seed).groupBy("row").agg(F.count("*").alias(n), F.sum("copies").alias(taken)).where(F.col(taken) > 0)
+    copies = written(copies.select(F.col("row.one").alias(f"{one}_b"), F.col("row.two").alias(f"{two}_b"), n, taken), "mix-copies")
+    again = F.explode(F.sequence(F.lit(1), F.col(taken).cast("int"))).alias(n)
+
+    def met(wanted: DataFrame) -> DataFrame:
+        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        return keyed.join(few, (F.col(one) == F.col(f"{one}_b")) & (F.col(two) == F.col(f"{two}_b")))
+
+    out = met(copies.where(F.col(n) == 1)).select(*docs.columns, again).drop(n)
+    several = copies.where(F.col(n) > 1)
+    if several.isEmpty():
+        return out
+    first = met(several).withColumn(place, F.row_number().over(Window.partitionBy(one, two).orderBy(two))).where(F.col(place) == 1)
+    return out.unionByName(first.select(*docs.columns, again).drop(n))
 
 
 def unit_offset(source: str | None, seed: int) -> float:

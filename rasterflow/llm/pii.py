@@ -73,7 +73,8 @@ H4 = "[0-9A-Fa-f]{1,4}"
 SHORT_IPV6 = "|".join([*(rf"(?:{H4}:){{1,{7 - n}}}(?::{H4}){{1,{n}}}" for n in range(1, 7)), rf"(?:{H4}:){{1,7}}:", rf":(?::{H4}){{1,7}}"])
 #: Letters and digits of the scripts that set words apart by spaces.
 LETTER = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}0-9"
-SURNAME = r"\p{Lu}[\p{L}'’\-]{1,40}+"
+#: An apostrophe and what follows belong to a name, as in O'Neill, unless it is a genitive's s.
+SURNAME = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\-]{1,40}+(?:['’](?!s(?!\p{L}))[\p{L}\-]{1,40}+)?"
 
 
 def by_initial(words: tuple[str, ...]) -> str:
@@ -88,7 +89,7 @@ ANY_CUE = rf"(?:{by_initial(CUES)})"
 #: One title or several, as in "Herr Prof. Dr. Weber", or a cue.
 LEAD = rf"(?:{ANY_CUE}(?:(?:{TITLES})\.? ){{0,4}}|(?:(?:{TITLES})\.? ){{1,4}})"
 NAME = "|".join([
-    rf"(?:(?:{TITLES})\.? ){{1,4}}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\.)?(?: {SURNAME})?",
+    rf"(?:(?:{TITLES})\.? ){{1,4}}\p{{Lu}}(?:['’]\p{{Lu}})?\p{{L}}+(?: \p{{Lu}}\.)?(?: {SURNAME})?",
     rf"{ANY_CUE}(?:(?:{TITLES})\.? ){{0,4}}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\.)? {SURNAME}",
     rf"(?:{by_initial(MALE_NAMES + FEMALE_NAMES)})(?: \p{{Lu}}\.)? {SURNAME}",
 ])
@@ -102,7 +103,7 @@ PATTERNS = {
     "ipv6": rf"(?=[0-9A-Fa-f:])(?<![0-9A-Za-z:])(?:(?:{H4}:){{7}}{H4}|{SHORT_IPV6})(?![0-9A-Za-z:]|\.[0-9])",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?=[0-9])(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"(?=[0-9+(])(?:(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.\-])(?:\+?1[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .\-]\(?[0-9]{2,4}\)?){2,4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{7,14}(?![0-9])|(?<![0-9A-Za-z.,/\-])(?:0[1-9][0-9]{1,3}[/ ]|\(0[1-9][0-9]{1,3}\) ?)[1-9][0-9]{2,3}[ \-]?[0-9]{2,5}(?![0-9]|[.,][0-9]))",
+    "phone": r"(?=[0-9+(])(?:(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.\-])(?:\+?1[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])(?=\+(?:[ .\-/()]{0,2}[0-9]){7,15}(?![0-9]))\+[1-9][0-9]{0,2}(?:[ .\-/]\(?[0-9]{1,8}\)?){1,6}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{7,14}(?![0-9])|(?<![0-9A-Za-z.,/\-])(?:0[1-9][0-9]{1,3}[/ ]|\(0[1-9][0-9]{1,3}\) ?)[1-9][0-9]{2,3}[ \-]?[0-9]{2,5}(?![0-9]|[.,][0-9]))",
     "card": r"(?=[0-9])(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])",
     "name": NAME,
 }
@@ -165,12 +166,19 @@ def chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+#: Letters beside a-z that stand for each other: those of Latin with marks, Cyrillic and Greek.
+OTHER_LETTERS = {r"\p{IsLatin}": "àáâäèéêëìíîïòóôöùúûüñç", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω"}
+
+
 def like(s: Column, h: Column) -> Column:
-    """Each letter and digit of ``s`` replaced by one of its class."""
+    """Each letter and digit of ``s`` replaced by one of its class: of its script and case."""
 
     def one(c: Column, i: Column) -> Column:
         n = number(h, i)
-        return F.when(c.rlike("[0-9]"), pick("0123456789", n)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(c)
+        plain = F.when(c.rlike("[0-9]"), pick("0123456789", n)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
+        for script, letters in OTHER_LETTERS.items():
+            plain = plain.when(c.rlike(rf"[{script}&&\p{{Lu}}]"), pick(letters.upper(), n)).when(c.rlike(rf"[{script}&&\p{{L}}]"), pick(letters, n))
+        return plain.when(c.rlike(r"\p{M}"), F.lit("")).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", n)).otherwise(c)
 
     return F.array_join(F.transform(chars(s), one), "")
 
@@ -225,15 +233,24 @@ def whole_ipv6(mention: Column) -> Column:
     return F.array_join(F.transform(F.concat(groups(1), zeros, groups(2)), lambda g: F.lpad(g, 4, "0")), ":")
 
 
+def title_gender(mention: Column) -> Column:
+    """``m`` or ``f`` by a name's titles, null where these don't show it."""
+    among = lambda titles: mention.rlike(rf"^{ANY_CUE}?(?:(?:{TITLES})\.? ){{0,3}}(?:{'|'.join(titles)})\.? ")
+    return F.when(among(MALE), "m").when(among(FEMALE), "f")
+
+
+def gendered(kind: Column, canon: Column, known: Column) -> Column:
+    """The kind of a word with the gender of a given name: as listed, else as ``known`` from titles."""
+    listed = lambda names: canon.isin([n.lower() for n in names])
+    gender = F.when(listed(MALE_NAMES), "m").when(listed(FEMALE_NAMES), "f").otherwise(known)
+    return F.when((kind == "given") & gender.isNotNull(), F.concat(F.lit("given-"), gender)).otherwise(kind)
+
+
 def units(mention: Column, kind: Column) -> Column:
     """``(kind, canon)`` of what a mention names: for names each word, for the rest one."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     words = F.split(F.regexp_extract(mention, rf"^{LEAD}?(.*)$", 1), " ")
-    among = lambda titles: mention.rlike(rf"^{ANY_CUE}?(?:(?:{TITLES})\.? ){{0,3}}(?:{'|'.join(titles)})\.? ")
-    listed = lambda w, names: F.lower(w).isin([n.lower() for n in names])
-    # a name that leaves no doubt about gender says it, whatever the title, so that all mentions agree
-    given = lambda w: F.when(listed(w, MALE_NAMES), "given-m").when(listed(w, FEMALE_NAMES), "given-f").when(among(MALE), "given-m").when(among(FEMALE), "given-f").otherwise("given")
-    part = lambda w, i: F.when(w.endswith("."), INITIAL).when((F.size(words) > 1) & (i == 0), given(w)).otherwise("family")
+    part = lambda w, i: F.when(w.endswith("."), INITIAL).when((F.size(words) > 1) & (i == 0), "given").otherwise("family")
     names = F.transform(words, lambda w, i: F.struct(part(w, i).alias("kind"), F.lower(w).alias("canon")))
     canon = (
         F.when(kind == "email", F.lower(mention))
@@ -242,6 +259,7 @@ def units(mention: Column, kind: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .when(kind == "secret", F.regexp_replace(mention, rf"^{HEAD}[\"']?", ""))
         .when(kind == "ipv6", whole_ipv6(mention))
+        .when(kind.isin("given", "family"), F.lower(mention))
         .otherwise(mention)
     )
     return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
@@ -271,7 +289,7 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
             lambda d: F.concat(like(F.substring_index(canon, "@", 1), h), F.lit("@mail"), F.substring(d, 1, 8), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), between(1, number(d, 5), 3))),
         )
         north = F.concat(F.lit("1"), between(2, number(h, 40), 8).cast("string"), F.substring(digits, 2, 2), between(2, number(h, 41), 8).cast("string"), F.substring(digits, 4, 6))
-        phone = F.when((n == 11) & canon.startswith("1"), north).otherwise(F.concat(F.substring(canon, 1, 2), F.substring(digits, F.lit(3), n)))
+        phone = F.when((n == 11) & canon.startswith("1"), north).otherwise(F.concat(F.substring(canon, 1, 2), F.substring(digits, F.lit(3), n - 2)))
         card = let(F.concat(F.substring(canon, 1, 1), F.substring(digits, F.lit(2), n - 2)), lambda b: F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string")))
         country = F.substring(canon, 1, 2)
         iban = let(like(F.substring(canon, F.lit(5), n), h), lambda rest: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest))
@@ -295,7 +313,8 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
         )
 
     tens = F.sequence(F.lit(0), F.lit(31))
-    return let(stream(key, kind, canon, draw), lambda h: let(F.array_join(F.transform(tens, lambda i: pick("0123456789", number(h, i))), ""), lambda d: made(h, d)))
+    # a given name's gender shows in its end only, so that its surrogate is the same name
+    return let(stream(key, F.when(kind.startswith("given"), "given").otherwise(kind), canon, draw), lambda h: let(F.array_join(F.transform(tens, lambda i: pick("0123456789", number(h, i))), ""), lambda d: made(h, d)))
 
 
 def fill(mention: Column, canon: Column) -> Column:
@@ -312,10 +331,18 @@ def fill(mention: Column, canon: Column) -> Column:
     return let(F.substring(canon, F.greatest(F.length(canon) - have + 1, F.lit(1)), have), put)
 
 
-def replaced(found: Column, draw_of: Callable[[Column, Column], Column], key: str) -> Column:
-    """What stands for each ``(m, k)``, a mention and its kind, of an array; a mention that is no entity stands for itself."""
+def replaced(found: Column, told: Callable[[Column, Column], tuple[Column, Column]], key: str) -> Column:
+    """What stands for each ``(m, k)`` of an array, a piece of text and its kind; a piece without a kind stands for itself.
+
+    ``told`` gives an entity's draw and, for a given name, the gender known from titles.
+    """
     named = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.when(x["k"].isNotNull(), units(x["m"], x["k"])).alias("u")))
-    new = F.transform(named, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.transform(x["u"], lambda u: surrogate(u["kind"], u["canon"], draw_of(u["kind"], u["canon"]), key)).alias("n")))
+
+    def drawn(u: Column) -> Column:
+        draw, gender = told(u["kind"], u["canon"])
+        return surrogate(gendered(u["kind"], u["canon"], gender), u["canon"], draw, key)
+
+    new = F.transform(named, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), F.when(x["k"].isNotNull(), F.transform(x["u"], drawn)).alias("n")))
 
     def form(x: Column) -> Column:
         mention, kind, one = x["m"], x["k"], F.try_element_at(x["n"], F.lit(1))
@@ -326,13 +353,18 @@ def replaced(found: Column, draw_of: Callable[[Column, Column], Column], key: st
             .when(kind.isin("phone", "card", "ssn", "iban"), fill(mention, one))
             .when(kind == "secret", F.concat(F.regexp_extract(mention, rf"^({HEAD}[\"']?)", 1), one))
             .when(kind == "ipv6", F.when(mention == F.upper(mention), F.upper(one)).otherwise(one))
-            .when(kind == "name", F.concat(title, F.array_join(F.transform(x["n"], lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")))
+            .when(kind == "name", F.concat(title, F.array_join(F.transform(x["n"], capital), " ")))
+            .when(kind.isin("given", "family"), capital(one))
             .otherwise(one)
         )
 
     return F.transform(new, form)
 
 
+def capital(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
+
+
 def may_have(text: Column) -> Column:
     """False for texts that surely have no entity."""
     low = F.lower(text)
@@ -353,50 +385,72 @@ def cut_at_mentions(text: Column) -> Column:
     return F.when(may_have(text), let(parts, lambda p: F.when(F.size(p) > 1, p)))
 
 
-def with_mentions(docs: DataFrame, text: str, plain: str, parts: str, kinds: str, row: str) -> DataFrame:
-    """The written rows of ``docs`` without ``text``: it is in ``plain``, or, if it has mentions, cut up in ``parts``.
+def names_again(piece: Column, given: Column, family: Column) -> Column:
+    """A piece of plain text, cut at words that are names elsewhere in its text: ``(m, k)`` with kinds given and family."""
+    words = F.split(F.regexp_replace(piece, F.lit(rf"(?<!\p{{L}}){SURNAME}"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    kind = lambda w: let(F.lower(w), lambda c: F.when(F.array_contains(given, c), "given").when(F.array_contains(family, c), "family"))
+    cut = F.transform(words, lambda w, i: F.struct(w.alias("m"), F.when(i % 2 == 1, kind(w)).alias("k")))
+    return F.when(piece.contains(MARK), F.array(F.struct(piece.alias("m"), F.lit(None).cast("string").alias("k")))).otherwise(cut)
 
-    ``kinds`` has the mentions' kinds, null for those with wrong check digits, and ``row`` a
-    number of the row, both only where there are mentions.
+
+def with_mentions(docs: DataFrame, text: str, plain: str, pieces: str, row: str) -> DataFrame:
+    """The written rows of ``docs`` without ``text``: it is in ``plain``, or, if it has mentions, cut up in ``pieces``.
+
+    ``pieces`` are ``(m, k)``: text and the kind of what it mentions, null for plain text
+    and for mentions with wrong check digits. Words of a name that was found are mentions
+    wherever they stand in the text. ``row`` is a number of the row, only where there are
+    mentions.
     """
+    parts, names, pairs = fresh(docs, "_parts", "_names", "_pairs")
     cut = docs.select(*[F.col(f"`{c}`") for c in docs.columns], cut_at_mentions(F.col(f"`{text}`")).alias(parts))
-    is_mention = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
-    found = F.transform(is_mention, lambda i: kind_of(F.element_at(parts, i + 1)))
+    paired = F.transform(parts, lambda p, i: F.struct(p.alias("m"), F.when(i % 2 == 1, kind_of(p)).alias("k")))
+    cut = cut.withColumn(pairs, F.when(F.col(parts).isNotNull(), paired))
+    known = F.flatten(F.transform(F.filter(pairs, lambda x: x["k"] == "name"), lambda x: units(x["m"], F.lit("name"))))
+    of = lambda kind: F.array_distinct(F.transform(F.filter(names, lambda u: u["kind"] == kind), lambda u: u["canon"]))
+    cut = cut.withColumn(names, F.array_distinct(known))
+    again = let(of("given"), lambda given: let(of("family"), lambda family: F.flatten(F.transform(pairs, lambda x: F.when(x["k"].isNull(), names_again(x["m"], given, family)).otherwise(F.array(x))))))
     has = F.col(parts).isNotNull()
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return written(cut.select(*rest, F.when(~has, F.col(f"`{text}`")).alias(plain), parts, F.when(has, found).alias(kinds), F.when(has, F.monotonically_increasing_id()).alias(row)), "mentions", compression="zstd")
+    whole = F.when(has, F.when(F.size(names) > 0, again).otherwise(F.col(pairs)))
+    return written(cut.select(*rest, F.when(~has, F.col(f"`{text}`")).alias(plain), whole.alias(pieces), F.when(has, F.monotonically_increasing_id()).alias(row)), "mentions", compression="zstd")
 
 
-def entities_of(parts: Column, kinds: Column) -> Column:
-    """``(m, k)`` of each mention."""
-    return F.transform(kinds, lambda k, i: F.struct(F.element_at(parts, 2 * i + 2).alias("m"), k.alias("k")))
+def mentions_of(pieces: Column) -> Column:
+    return F.filter(pieces, lambda x: x["k"].isNotNull())
 
 
 def dictionary(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
-    """``(kind, canon, draw, surrogate)``: every entity of ``docs`` once, surrogates distinct within a kind.
+    """``(kind, canon, gender, draw, surrogate)``: every entity of ``docs`` once, surrogates distinct within a kind, those of names among all names.
 
-    No surrogate is the canonical form of an entity of ``docs`` of its kind. A kind whose
-    space is too small for its entities raises ``RuntimeError``. An empty table, and one
-    without entities, gives an empty dictionary.
+    No surrogate is the canonical form of an entity of ``docs`` of its kind. ``gender`` is
+    what titles tell of a given name that no list has, null if nothing or as much for
+    either. A kind whose space is too small for its entities raises ``RuntimeError``. An
+    empty table, and one without entities, gives an empty dictionary.
     """
-    rows = with_mentions(docs.select(text), text, "plain", "parts", "kinds", "row")
-    return _dictionary(rows.where("parts is not null").select(entities_of(F.col("parts"), F.col("kinds")).alias("m")), key or key_of(docs.sparkSession))
+    rows = with_mentions(docs.select(text), text, "plain", "pieces", "row")
+    return _dictionary(rows.where("pieces is not null").select(mentions_of(F.col("pieces")).alias("m")), key or key_of(docs.sparkSession)).drop("space")
 
 
 def _dictionary(found: DataFrame, key: str) -> DataFrame:
     # equal mentions collapse before anything is worked out for them
-    mentioned = found.select(F.explode("m").alias("m")).select("m.m", "m.k").where("k is not null").distinct()
-    entities = mentioned.select(F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("u.kind", "u.canon").where(F.col("kind") != INITIAL).distinct()
-    make = lambda d: d.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key))
-    table = written(make(entities.withColumn("draw", F.lit(0))), "surrogates")
+    mentioned = written(found.select(F.explode("m").alias("m")).select("m.m", "m.k").distinct(), "mentioned")
+    each = mentioned.select(F.explode(units(F.col("m"), F.col("k"))).alias("u"), F.when(F.col("k") == "name", title_gender(F.col("m"))).alias("g")).select("u.kind", "u.canon", "g").where(F.col("kind") != INITIAL)
+    votes = F.count(F.when(F.col("g") == "m", 1)) - F.count(F.when(F.col("g") == "f", 1))
+    unlisted = (F.col("kind") == "given") & ~F.col("canon").isin([n.lower() for n in MALE_NAMES + FEMALE_NAMES])
+    entities = each.groupBy("kind", "canon").agg(votes.alias("votes")).select("kind", "canon", F.when(unlisted & (F.col("votes") > 0), "m").when(unlisted & (F.col("votes") < 0), "f").alias("gender"))
+    space = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
+    make = lambda d: d.withColumn("surrogate", surrogate(gendered(F.col("kind"), F.col("canon"), F.col("gender")), F.col("canon"), F.col("draw"), key))
+    table = written(make(entities.withColumns({"space": space, "draw": F.lit(0)})), "surrogates")
+    columns = ["kind", "canon", "gender", "space"]
     for _ in range(DRAWS):
-        first = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("canon").alias("keeps")).where("n > 1")
-        twice = table.join(first, ["kind", "surrogate"]).where(F.col("canon") != F.col("keeps")).select("kind", "canon")
-        taken = table.join(table.select(F.col("kind").alias("k2"), F.col("canon").alias("c2")), (F.col("kind") == F.col("k2")) & (F.col("surrogate") == F.col("c2")), "left_semi").select("kind", "canon")
+        own = F.struct("canon", "kind")
+        first = table.groupBy("space", "surrogate").agg(F.count("*").alias("n"), F.min(own).alias("keeps")).where("n > 1")
+        twice = table.join(first, ["space", "surrogate"]).where(own != F.col("keeps")).select("kind", "canon")
+        taken = table.join(table.select(F.col("space").alias("s2"), F.col("canon").alias("c2")), (F.col("space") == F.col("s2")) & (F.col("surrogate") == F.col("c2")), "left_semi").select("kind", "canon")
         again = written(twice.union(taken).distinct().withColumn("more", F.lit(1)), "redrawn")
         if again.isEmpty():
             return table
-        table = written(make(table.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("draw") + F.coalesce("more", F.lit(0))).alias("draw"))), "surrogates")
+        table = written(make(table.join(again, ["kind", "canon"], "left").select(*columns, (F.col("draw") + F.coalesce("more", F.lit(0))).alias("draw"))), "surrogates")
     raise RuntimeError("some kind of entity has too few surrogates for its entities")
 
 
@@ -410,28 +464,30 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, co
     empty result.
     """
     key = key or key_of(docs.sparkSession)
-    plain, parts, kinds, row, drawn, draws_ = fresh(docs, "_plain", "_parts", "_kinds", "_row", "_drawn", "_draws")
-    rows = with_mentions(docs, text, plain, parts, kinds, row)
-    own = entities_of(F.col(parts), F.col(kinds))
-    again = _dictionary(rows.where(F.col(parts).isNotNull()).select(own.alias("m")), key).where("draw > 0").select(F.concat_ws("|", "kind", "canon").alias("entity"), "draw")
-    again = written(again, "drawn-again")
-
-    def put(df: DataFrame, draw_of: Callable[[Column, Column], Column]) -> DataFrame:
-        joined = lambda new: F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 0, part).otherwise(F.element_at(new, F.shiftright(i, 1) + 1))), "")
-        whole = let(replaced(own, draw_of, key), joined)
-        columns = {text: F.when(F.col(parts).isNotNull(), whole).otherwise(F.col(plain))}
+    plain, pieces, row, drawn, told_ = fresh(docs, "_plain", "_pieces", "_row", "_drawn", "_told")
+    rows = with_mentions(docs, text, plain, pieces, row)
+    own = mentions_of(F.col(pieces))
+    table = _dictionary(rows.where(F.col(pieces).isNotNull()).select(own.alias("m")), key)
+    special = written(table.where("draw > 0 or gender is not null").select(F.concat_ws("|", "kind", "canon").alias("entity"), F.struct("draw", "gender").alias("how")), "special")
+
+    def put(df: DataFrame, told: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+        columns = {text: F.when(F.col(pieces).isNotNull(), F.array_join(replaced(F.col(pieces), told, key), "")).otherwise(F.col(plain))}
         if count:
-            columns[count] = F.coalesce(F.size(F.filter(kinds, lambda k: k.isNotNull())), F.lit(0))
+            columns[count] = F.coalesce(F.size(own), F.lit(0))
         return df.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns], *[columns[c].alias(c) for c in columns if c not in docs.columns])
 
-    first = lambda kind, canon: F.lit(0)
-    if again.isEmpty():
+    first = lambda kind, canon: (F.lit(0), F.lit(None).cast("string"))
+    if special.isEmpty():
         return put(rows, first)
-    # rows that mention an entity drawn again are joined with those entities, by the row's number
-    named = rows.where(F.col(parts).isNotNull()).select(F.col(row).alias("r"), F.explode(own).alias("m")).select("r", "m.m", "m.k").where("k is not null")
+    # rows that mention an entity of which there is more to know are joined with those entities, by the row's number
+    named = rows.where(F.col(pieces).isNotNull()).select(F.col(row).alias("r"), F.explode(own).alias("m")).select("r", "m.m", "m.k")
     named = named.select("r", F.explode(units(F.col("m"), F.col("k"))).alias("u")).select("r", F.concat_ws("|", "u.kind", "u.canon").alias("entity")).distinct()
-    draws = written(named.join(again, "entity").groupBy(F.col("r").alias(drawn)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(draws_)), "draws")
-    draws = F.broadcast(draws) if draws.count() <= BROADCAST_ROWS else draws
-    redrawn = lambda kind, canon: F.coalesce(F.try_element_at(F.col(draws_), F.concat_ws("|", kind, canon)), F.lit(0))
+    hows = written(named.join(special, "entity").groupBy(F.col("r").alias(drawn)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "how"))).alias(told_)), "draws")
+    hows = F.broadcast(hows) if hows.count() <= BROADCAST_ROWS else hows
+
+    def looked_up(kind: Column, canon: Column) -> tuple[Column, Column]:
+        how = F.try_element_at(F.col(told_), F.concat_ws("|", kind, canon))
+        return F.coalesce(how["draw"], F.lit(0)), how["gender"]
+
     without, having = rows.where(F.col(row).isNull()), rows.where(F.col(row).isNotNull())
-    return put(without, first).unionByName(put(having.join(draws, F.col(row) == F.col(drawn), "left"), redrawn))
+    return put(without, first).unionByName(put(having.join(hows, F.col(row) == F.col(drawn), "left"), looked_up))

@@ -17,6 +17,7 @@ tables hold ids, digests and sketches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, written
+from .common import discard, fresh, map_batches, written
 
 SEED = 42
 #: Hashes are summed in blocks of this many, so that a very long text needs little memory.
@@ -35,6 +36,8 @@ PERMUTATIONS, BAND_ROWS = 120, 5
 HOPELESS = 0.2
 #: Bands whose centres are tried first; in the others a centre is compared only with texts that these haven't joined to it.
 FIRST_BANDS = 4
+#: Levels of differences: the least part of them that a partner has to share, and the rows of a band.
+LEVELS = ((0.4, 2), (0.55, 3), (0.7, 4), (0.85, 6), (0.95, 9))
 #: Keys of texts are broadcast up to this many (about 50 bytes each), else shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -124,12 +127,20 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbourhoods are aggregated, never gathered.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+
+    def instead(new: DataFrame, *used: DataFrame) -> DataFrame:
+        """``new`` as the written links, in place of the old ones, which go with what else was used for them."""
+        table = written(new, "cc")
+        for old in (edges, *used):
+            discard(old)
+        return table
+
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         inner = written(both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m < n and n < x").select("n", "m"), "cc-inner")
         moved = not inner.isEmpty()
         if moved:
-            edges = written(edges.join(inner, F.col("v") == F.col("n"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "cc")
+            edges = instead(edges.join(inner, F.col("v") == F.col("n"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), inner)
         several = written(edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m < x").select("n", "m"), "cc-several")
         if several.isEmpty():
             if not moved:
@@ -137,10 +148,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             continue
         found = edges.join(several, F.col("u") == F.col("n"), "left")
         small = found.select(F.when(F.col("m").isNull() | (F.col("v") == F.col("m")), F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("m", "v").alias("v"))
-        edges = written(small.distinct(), "cc")
+        edges = instead(small.distinct(), several)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "cc-roots")
+    return instead(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, seed: int = SEED, keep_text: bool = True) -> DataFrame:
@@ -222,7 +233,7 @@ def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataF
     band, in ``FIRST_BANDS`` and then in all bands, which joins a group of any size at a
     pair for each member and band. The members of buckets that still hold several
     components then go to ``meet``, which proposes pairs of different components that can be
-    similar, first some and then all, see :func:`rare_pairs`. ``ready`` gets the nodes that any candidate may
+    similar, first some and then the others, see :func:`rare_pairs`. ``ready`` gets the nodes that any candidate may
     name, before the first is verified.
     """
     first = written(sketches.groupBy("fp").agg(F.min("node").alias("rep")), "first")
@@ -261,57 +272,135 @@ def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataF
     several = written(own.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "hash"), "several")
     if several.isEmpty():
         return roots
-    apart = written(own.join(several, ["band", "hash"]).select("node").distinct(), "apart")
+    held = written(own.join(several, ["band", "hash"]).select("band", "hash", "node"), "held")
+    # texts that share buckets, directly or through others, are a cluster
+    first = held.groupBy("band", "hash").agg(F.min("node").alias("b"))
+    clusters = connected_components(held.join(first, ["band", "hash"]).select(F.col("node").alias("a"), "b").distinct())
+    apart = written(clusters.select("node", F.col("root").alias("cluster")), "apart")
     propose = meet(apart)
-    for all_pairs in (False, True):
-        join(propose(written(rooted(apart), "apart-roots"), all_pairs))
+    for rest in (False, True):
+        join(propose(written(rooted(apart.select("node")), "apart-roots"), rest))
     return roots
 
 
-def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Callable[[DataFrame, bool], DataFrame]:
-    """What proposes pairs ``(a, b)`` of ``members(node)`` that can share ``similarity`` of their shingles.
+def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int = SEED) -> Callable[[DataFrame, bool], DataFrame]:
+    """What proposes pairs ``(a, b)`` of ``members(node, cluster)`` that can share ``similarity`` of their shingles.
 
-    The result takes ``(node, root)`` of the members and proposes all pairs of different
-    roots, or only a first few: in each shingle, each member with the one that has the
-    fewest rarer shingles of its own. A text from which many others were made by edits is
-    such a one; it joins them at a pair for each, and few pairs are left.
+    The result takes ``(node, root)`` of the members and proposes pairs of one cluster and
+    different roots, first a few and then the others.
 
-    Shingles are ordered from the rarest among all members to the most frequent. Two sets
-    of n shingles that are similar enough have one in common among their first
-    ``n - ceil(similarity * n) + 1``, and the first that they have in common leaves enough
-    behind it in both. So texts meet in their rare shingles only, and a passage that any
-    number of dissimilar texts share brings none of them together. No similar pair is lost.
+    First: shingles are ordered from the rarest in the cluster to the most frequent. Two
+    sets of n shingles that are similar enough have one in common among their first
+    ``n - ceil(similarity * n) + 1``. In each of these each member meets the one that has
+    the fewest rarer shingles of its own. A text from which many others were made by edits
+    is such a one; it joins them at a pair for each.
+
+    Others: members are compared by what sets them apart from their cluster, so that edits
+    of one text that are too far from each other don't meet, whether that text is in the
+    table or not, see :func:`difference_keys`. Only members that lie close to the middle of
+    their cluster, and have little to be told by, meet the rest in rare shingles again.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            for node, n, raw in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            for node, cluster, n, raw in zip(*(b.column(i) for i in range(4)), strict=True):
                 hashes = np.frombuffer(raw.as_buffer(), "<i8")
                 for at in range(0, len(hashes), BLOCK):
                     part = hashes[at : at + BLOCK]
-                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.int64()), pa.array([n.as_py()] * len(part), pa.int64()), pa.array(part)], names=["node", "n", "hash"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x.as_py()] * len(part), pa.int64()) for x in (node, cluster, n)), pa.array(part)], names=["node", "cluster", "n", "hash"])
 
-    tokens = written(map_batches(sets.join(members.select("node"), "node").select("node", "n", "hashes"), spread, "node long, n long, hash long"), "tokens")
-    often = written(tokens.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    tokens = written(map_batches(sets.join(members, "node").select("node", "cluster", "n", "hashes"), spread, "node long, cluster long, n long, hash long"), "tokens")
+    often = written(tokens.groupBy("cluster", "hash").agg(F.count("*").alias("times")).where("times > 1"), "often")
     order = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("hash"))  # places count from the end, where the frequent ones are
-    placed = tokens.join(often, "hash").withColumn("place", F.col("n") + 1 - F.row_number().over(order))
-    first = placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
-    rare = written(first.select("hash", "node", "n", "place"), "rare")
-    shared = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9  # shingles in common that are needed
-    can = (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= shared)
+    placed = tokens.join(often, ["cluster", "hash"]).withColumn("place", F.col("n") + 1 - F.row_number().over(order))
+    rare = written(placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("cluster", "hash", "node", "n", "place"), "rare")
+    shared = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n_b")) - 1e-9  # shingles in common that are needed
+    can = (F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b") - 1e-9) & (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1 >= shared)
+    columns = ("node", "root", "n", "place")
+
+    def meeting(keys: DataFrame, others: DataFrame) -> DataFrame:
+        return keys.join(others, ["cluster", "hash"]).where((F.col("root") != F.col("root_b")) & can).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
-    def propose(roots: DataFrame, all_pairs: bool) -> DataFrame:
+    def first_few(roots: DataFrame) -> DataFrame:
         keys = written(rare.join(roots, "node"), "rare-rooted")
-        mixed = written(keys.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.col("place") / F.col("n"), F.xxhash64("hash", "node"), "node", "root", "n", "place")).alias("x")).where("lo < hi"), "rare-several")
-        keys = written(keys.join(mixed.select("hash"), "hash"), "rare-keys")
-        others = keys if all_pairs else mixed.select("hash", "x.node", "x.root", "x.n", "x.place")
-        left, right = (d.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place")]) for d, x in ((keys, "a"), (others, "b")))
-        once = F.col("node_a") < F.col("node_b") if all_pairs else F.col("node_a") != F.col("node_b")
-        return left.join(right, "hash").where(once & (F.col("root_a") != F.col("root_b")) & can).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        least = F.min(F.struct(F.col("place") / F.col("n"), F.xxhash64("hash", "node"), *columns))
+        centre = keys.groupBy("cluster", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), least.alias("x")).where("lo < hi")
+        return meeting(keys, written(centre.select("cluster", "hash", *[F.col(f"x.{c}").alias(f"{c}_b") for c in columns]), "rare-centres"))
+
+    def others(roots: DataFrame) -> DataFrame:
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
+        most = often.join(sizes, "cluster").where("2 * times > members").select("cluster", "hash", (F.col("times") <= F.col("members") - 2).alias("told"))
+        most = written(most.groupBy("cluster").agg(F.collect_list("hash").alias("middle"), F.collect_list("told").alias("told")), "middles")  # no more than twice the shingles of a text
+        found = tokens.join(often, ["cluster", "hash"]).groupBy("node", "cluster").agg(F.first("n").alias("n"), F.collect_list("hash").alias("hashes"))  # no more than a text has
+        whole = found.join(most, "cluster", "left").select("node", "cluster", "n", "hashes", "middle", "told")
+        keyed = written(map_batches(whole, lambda batches: difference_keys(batches, similarity, seed), "node long, cluster long, off double, own int, level int, key long"), "difference-keys")
+        keys = keyed.where("level > 0").join(roots, "node")
+        mixed = written(keys.groupBy("cluster", "level", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster", "level", "key"), "difference-mixed")
+        keys = written(keys.join(mixed, ["cluster", "level", "key"]).select("cluster", "level", "key", "node", "own", "root"), "difference-rooted")
+        again = keys.withColumnsRenamed({c: f"{c}_b" for c in ("node", "own", "root")})
+        # pairs meet at the lower one's level
+        apart = keys.join(again, ["cluster", "level", "key"]).where((F.least("own", "own_b") == F.col("level")) & (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+        places = keyed.where("level = 0").select("node", "cluster", "off", "own")
+        closest = places.groupBy("cluster").agg(F.min(F.struct("off", "node")).alias("x")).select("cluster", F.col("x.off").alias("off_b"), F.col("x.node").alias("node_b"))
+        # so close to the middle, together, that they are surely similar
+        near = places.join(closest, "cluster").where((F.col("node") != F.col("node_b")) & (F.col("off") + F.col("off_b") <= 1e-9)).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+        low = rare.join(places.where("own = 0").select("node"), "node").join(roots, "node")
+        rest = rare.join(roots, "node").withColumnsRenamed({c: f"{c}_b" for c in columns})
+        return apart.union(near).union(meeting(low, rest)).distinct()
+
+    return lambda roots, rest: others(roots) if rest else first_few(roots)
+
+
+def difference_keys(batches: Iterator[pa.RecordBatch], similarity: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """``(node, cluster, off, own, level, key)`` from ``(node, cluster, n, hashes, middle, told)``.
+
+    The middle of a cluster are the shingles that most of its members have. Let d be the
+    number of shingles in which a text differs from it. Texts a and b of n and m shingles
+    that are ``similarity`` t alike differ in no more than ``(n + m) (1 - t) / (1 + t)``, so
+    they share half of ``d(a) + d(b)`` less this of their differences from the middle: half
+    of the sum of ``off = d - n (1 - t) / (1 + t)``. A difference that no other member has
+    can't be shared. With s that can be, and ``off >= q s`` in both, the two sets of
+    differences are alike at least ``q / (2 - q)``. So each text has a level by its q, and
+    bands of MinHash values of its differences for its own level and all below; a pair
+    meets at the lower level of the two with probability 0.9999. At level 0 nothing is
+    known of what is shared; there is one row of it for each text, with no key.
+
+    ``hashes`` are the shingles that some other member has too, ``n`` the number of all.
+    Without a middle the texts themselves are compared.
+    """
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
 
-    return propose
+    plan = [(q, rows, math.ceil(math.log(1e-4) / math.log1p(-((q / (2 - q)) ** rows)))) for q, rows in LEVELS]
+    count = max(r * b for _, r, b in plan)
+    draw = np.random.default_rng(seed + 1)
+    factors, terms = (draw.integers(0, 2**64, (count, 1), np.uint64, endpoint=False) for _ in range(2))
+    factors |= np.uint64(1)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            node, cluster, n = (batch.column(k)[i].as_py() for k in range(3))
+            hashes, middle = (batch.column(k)[i].values for k in (3, 4))
+            hashes = hashes.to_numpy().view(np.uint64)
+            middle = np.empty(0, np.uint64) if middle is None else middle.to_numpy().view(np.uint64)
+            told = np.array(batch.column(5)[i].as_py() or [], bool)
+            absent = ~np.isin(middle, hashes)
+            more = np.setdiff1d(hashes, middle)
+            off = n - len(hashes) + len(more) + int(absent.sum()) - n * (1 - similarity) / (1 + similarity)
+            differs = np.concatenate([more, ~middle[absent & told]])
+            own = sum(off >= q * len(differs) for q, _, _ in plan) if len(differs) and off > 0 else 0
+            rows = [(0, 0)]
+            if own:
+                least = np.full(count, 2**64 - 1, np.uint64)
+                for at in range(0, len(differs), 128):
+                    np.minimum(least, (differs[at : at + 128] * factors + terms).min(axis=1), out=least)
+                least >>= np.uint64(32)
+                rows += [(k + 1, xxh3_64_intdigest(least[j * r : (j + 1) * r].tobytes(), j) - (1 << 63)) for k, (_, r, bands) in enumerate(plan[:own]) for j in range(bands)]
+            elif off > 0 and not len(differs):
+                own = -1  # nothing that it could share: no partner
+            size = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * size, t) for x, t in ((node, pa.int64()), (cluster, pa.int64()), (off, pa.float64()), (own, pa.int32()))] + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["node", "cluster", "off", "own", "level", "key"])
 
 
 def hopeful(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -408,7 +497,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     def verify(pairs: DataFrame) -> DataFrame:
         return similar(written(hopeful(pairs, sketches, similarity - HOPELESS), "hopeful"), sets[0], similarity)
 
-    roots = similar_components(sketches, radius, verify, ready, lambda members: rare_pairs(members, sets[0], similarity))
+    roots = similar_components(sketches, radius, verify, ready, lambda members: rare_pairs(members, sets[0], similarity, seed))
     labels = written(sketches.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "labels")
     rows = ids.groupBy("none", "id", "key").agg(F.count("*").alias("n"))
     grouped = written(rows.join(labels, "key"), "grouped")

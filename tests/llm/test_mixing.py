@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from rasterflow.functions.frames import placed
 from rasterflow.llm import mixing, queries
 
 
@@ -68,3 +69,18 @@ def test_odd_rows(odd, none):
     assert mixed.columns == odd.columns and {r._copy for r in mixed.collect()} == {9}
     assert mixed.count() == sum(r._copies for r in got)
     assert mixing.mix_copies(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_equal_rows_are_dealt_and_mixed(spark):
+    """A third of all rows are one row, of one source with half of all: no range is crowded, and the mix takes what the copies say."""
+    rows = [(1, "same text here", "hot") if i % 3 == 0 else (i, f"text {i} " * (i % 7), "hot" if i % 2 else "cold") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    packed = docs.select(F.struct("doc_id").alias("row"), "source", F.lit(3).alias("size"))
+    sizes = [r["count"] for r in placed(packed, ["source", "size"], place="at").groupBy(F.shiftright("at", 33)).count().collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= 2 * 9000 / 4
+    copies = Counter()
+    for r in mixing.mix_copies(docs).collect():
+        copies[r.doc_id, r.text, r.source] += r._copies
+    mixed = mixing.mix(docs)
+    assert Counter(map(tuple, mixed.collect())) == +copies
+    assert mixed.columns == docs.columns

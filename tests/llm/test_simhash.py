@@ -178,14 +178,54 @@ def test_rare_pairs_hold_every_similar_pair(spark):
     texts += ["", "a", "a b", "a b c d e f", "a b c d e f"]
     rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
     members = rows.select("node", F.col("node").alias("root"))
-    propose = simhash.rare_pairs(members.select("node"), simhash.shingle_sets(rows, 5), 0.8)
-    got = {tuple(r) for r in propose(members, True).collect()}
+    propose = simhash.rare_pairs(members.select("node", F.lit(0).cast("long").alias("cluster")), simhash.shingle_sets(rows, 5), 0.8)
+    got = {tuple(sorted(r)) for r in propose(members, True).collect()}
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for t in texts]
-    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert want <= got and len(got) < 2 * len(want)
+    alike = lambda i, j: bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(i, j)}
+    assert joined({p for p in got if alike(*p)}, len(texts)) == joined(want, len(texts)) and len(got) < 2 * len(want)
     apart = members.withColumn("root", F.col("node") % 2)
-    assert {tuple(sorted(r)) for r in propose(members, False).collect()} <= got
-    assert {tuple(r) for r in propose(apart, True).collect()} == {(i, j) for i, j in got if (i - j) % 2}
+    assert all((i - j) % 2 for i, j in (tuple(r) for way in (False, True) for r in propose(apart, way).collect()))
+
+
+def joined(pairs, n):
+    root = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def edits(count, changed=10, words=500):
+    """Edits of one text that is not among them."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(count):
+        copy = list(base)
+        for k in rng.sample(range(words), changed):
+            copy[k] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_edits_of_an_absent_text_dont_meet_in_all_pairs(spark, monkeypatch):
+    """None is similar to another; twice as many texts bring little more than twice as many candidates."""
+    met, real = [], simhash.hopeful
+    monkeypatch.setattr(simhash, "hopeful", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
+    sums = []
+    for n in (200, 400):
+        met.clear()
+        assert simhash.deduplicate(spark.createDataFrame(list(enumerate(edits(n))), "doc_id long, text string").repartition(4)).count() == n
+        sums.append(sum(met))
+    assert sums[1] < 3 * sums[0] and sums[1] < 400 * 399 / 2 / 6
+
+
+def test_edits_of_an_absent_text_that_are_similar_are_joined(spark):
+    """Some within the similarity of each other, some not: the groups of brute force."""
+    texts = edits(60, 4, 120) + edits(40, 2, 100) + edits(30, 9, 300)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.deduplicate(rows).collect()} == set(slow_groups(texts))
 
 
 def test_texts_never_come_back_from_python_nor_are_written(spark, sf, monkeypatch):
