@@ -54,11 +54,19 @@ def median_composite(obs: DataFrame, keys: list[str], value: str = "value", out:
 
 
 def complete_bins(composite: DataFrame, keys: list[str], edges: DataFrame) -> DataFrame:
-    """A row for each key and every bin, null where there was none."""
-    bins = edges.select(F.collect_list(F.struct("bin", "lo")).alias("_all"))  # one row
-    grid = composite.select(*keys).distinct().join(F.broadcast(bins), F.lit(True)).select(*keys, F.explode("_all").alias("b")).select(*keys, "b.bin", "b.lo")
+    """A row for each key and every bin, null where there was none; ``composite`` is read once.
+
+    A key's rows, one for each bin, are gathered and laid beside all bins.
+    """
     rest = [c for c in composite.columns if c not in (*keys, "bin", "lo")]
-    return grid.join(composite.select(*keys, "bin", *rest), [*keys, "bin"], "left").select(*keys, "bin", "lo", *rest)
+    bins, own, row = fresh(composite, "_bins", "_own", "_row")
+    every = edges.agg(F.collect_list(F.struct("bin", "lo")).alias(bins))  # one row
+    entry = F.struct("bin", *[F.col(f"`{c}`") for c in rest])
+    gathered = composite.groupBy(*keys).agg(F.collect_list(entry).alias(own)).join(F.broadcast(every), F.lit(True))
+    found = lambda b: F.filter(own, lambda e: e["bin"] == b["bin"])
+    line = lambda b, e: F.struct(b["bin"].alias("bin"), b["lo"].alias("lo"), e.alias("e"))
+    lines = F.transform(bins, lambda b: _let(found(b), lambda es: F.when(F.size(es) > 0, F.transform(es, lambda e: line(b, e))).otherwise(F.array(line(b, F.get(es, F.lit(0)))))))
+    return gathered.select(*keys, F.explode(F.flatten(lines)).alias(row)).select(*keys, f"{row}.bin", f"{row}.lo", *[F.col(f"{row}.e.`{c}`").alias(c) for c in rest])
 
 
 def _seconds(x: Column) -> Column:
@@ -169,7 +177,9 @@ def feed(tiles: DataFrame, tile_labels: DataFrame, split: DataFrame, encoder: Da
 
     ``tiles(path, tile_y, tile_x, bin, band, values)``, ``tile_labels(path, tile_y, tile_x,
     labels)``. Filters reach the scans: the split's target, the bins. With ``skip_empty``
-    tiles whose labels are all of the ignored class are left out.
+    tiles whose labels are all of the ignored class are left out. Tiles and labels meet on
+    their path; a patch has few tiles, whose places are compared row by row. So tables that
+    are stored in buckets of the path (:func:`read_stored`) are joined as they lie.
     """
     wanted = split.where(F.col("target") == target).select("path").distinct()
     rows = select_bins(tiles, *bins).join(wanted, "path", "left_semi")
@@ -180,4 +190,7 @@ def feed(tiles: DataFrame, tile_labels: DataFrame, split: DataFrame, encoder: Da
     labels = labels.withColumn("labels", F.transform("labels", lambda v: F.coalesce(F.try_element_at(F.col("_classes"), v.cast("int")), F.lit(0)))).drop("_classes")
     if skip_empty:
         labels = labels.where(F.exists("labels", lambda v: v != 0))
-    return rows.join(labels.select("path", "tile_y", "tile_x", "labels"), ["path", "tile_y", "tile_x"])
+    held = labels.select(F.col("path").alias("_path"), F.col("tile_y").alias("_tile_y"), F.col("tile_x").alias("_tile_x"), "labels")
+    # differences, so that the places don't become keys of the join, which buckets of the path would not serve
+    same = (F.col("tile_y") - F.col("_tile_y") == 0) & (F.col("tile_x") - F.col("_tile_x") == 0)
+    return rows.join(held, (F.col("path") == F.col("_path")) & same).drop("_path", "_tile_y", "_tile_x")

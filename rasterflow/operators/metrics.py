@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
-
 def confusion(df: DataFrame, by: list[str] | None = None, ignore: int | None = None, label: str = "label", predicted: str = "predicted", where=None) -> DataFrame:
     """``(by, label, predicted, n)``: pairs that occur; rows of the ignored label don't count."""
     rows = df if ignore is None else df.where(F.col(label) != ignore)
@@ -30,8 +28,10 @@ def class_scores(matrix: DataFrame, by: list[str] | None = None, floor: int | No
     """``(by, class, tp, fp, fn, pixel_count, precision, recall, f1)`` of classes that occur as label or prediction; 0/0 is 0."""
     by = by or []
     hit = (F.col("label") == F.col("predicted")).cast("long") * F.col("n")
-    zero = F.lit(0).cast("long")
-    sides = matrix.select(*by, F.col("label").alias("class"), hit.alias("tp"), zero.alias("fp"), (F.col("n") - hit).alias("fn")).unionAll(matrix.select(*by, F.col("predicted").alias("class"), zero.alias("tp"), (F.col("n") - hit).alias("fp"), zero.alias("fn")))
+    zero, missed = F.lit(0).cast("long"), F.col("n") - hit
+    side = lambda c, tp, fp, fn: F.struct(F.col(c).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    # both sides of a pair of classes come from its one row, so the pixels are read once
+    sides = matrix.select(*by, F.explode(F.array(side("label", hit, zero, missed), side("predicted", zero, missed, zero))).alias("s")).select(*by, "s.*")
     rows = sides.groupBy(*by, "class").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fp, fn = map(F.col, ("tp", "fp", "fn"))

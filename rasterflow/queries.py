@@ -224,12 +224,19 @@ def s9_p18_composite_meta(spark, sf):
 
 @query(f"WITH {PIXELS} SELECT vec_id AS path, (y // 4)::INT AS tile_y, (x // 4)::INT AS tile_x, (y % 4 * 4 + x % 4)::INT AS place, value FROM px JOIN embeddings USING (vec_id) WHERE label < 5")
 def j3_s7_s8_split_join_composite(spark, sf):
-    """Tiles written and read back for the patches of a split."""
+    """Tiles and a split stored in buckets of the path, and joined as they lie; every patch of the split has tiles."""
     tiles = ti.gather_tiles(ti.tile(pixels(spark, sf), 8, 4), ["vec_id"]).withColumnRenamed("vec_id", "path")
-    place = place_for(spark, "tiles")
-    so.write_tiles(tiles.withColumn("tile", F.col("path") % 4), place)
     split = table(spark, sf, "embeddings").where("label < 5").select(F.col("vec_id").alias("path"))
-    return so.read_tiles(spark, place, split, strict=True).select("path", "tile_y", "tile_x", F.posexplode("values").alias("place", "value"))
+    stored = [stored_table(spark, name, df) for name, df in (("tiles", tiles), ("split", split))]
+    return so.tiles_of(*stored, strict=True).select("path", "tile_y", "tile_x", F.posexplode("values").alias("place", "value"))
+
+
+def stored_table(spark: SparkSession, name: str, df: DataFrame, buckets: int = 8) -> DataFrame:
+    """``df`` in buckets of the path, under a new name."""
+    place = place_for(spark, name)
+    unique = f"{name}_{uuid.uuid4().hex}"
+    so.write_stored(df, unique, place, buckets)
+    return so.read_stored(spark, unique)
 
 
 @query(
@@ -457,17 +464,22 @@ def s1_first_patches(spark, sf):
     return so.first_paths(patches(spark, sf).select("path", "year", "tile", "patch_x", "patch_y").distinct(), 100)
 
 
+@query(f"WITH {PARTS} SELECT DISTINCT year || '/' || tile || '/' || name || '.nc' AS path, year, tile, patch_x, patch_y FROM p")
+def s1_list_patches(spark, sf):
+    """An empty file for every patch, beside others, and the listing of all folders."""
+    place = place_for(spark, "patch-files")
+    named = patches(spark, sf).select(F.concat_ws("/", "year", "tile", "path").alias("path")).distinct()
+    so.write_empty_files(named.unionAll(spark.createDataFrame([("1995/notes.txt",), ("index.json",)], "path string")), place)
+    return so.list_patches(spark, place)
+
+
 @query(f"WITH {PARTS} SELECT year || '/' || tile || '/' || name || '.nc' AS path, {BY_YEAR} AS target FROM p")
 def s4_annotation_splits(spark, sf):
-    """Annotation files written for each target, in pieces, and read as a split."""
+    """Annotation documents written for each target, in one pass, and read as a split."""
     place = place_for(spark, "annotations")
-    named = patches(spark, sf).withColumn("target", F.expr(BY_YEAR))
-    for target in ("train", "val", "test"):
-        image = F.struct(F.col("o_orderkey").cast("long").alias("id"), F.concat(F.lit("netcdf/"), "path").alias("file_name"))
-        # a file is one document; a piece has a bounded number of keys, however many there are
-        pieces = named.where(F.col("target") == target).groupBy(F.floor(F.col("o_orderkey") / 4096).alias("piece")).agg(F.collect_list(image).alias("images"))
-        pieces.write.partitionBy("piece").json(f"{place}_{target}.json")
-    return so.read_annotation_splits(spark, place)
+    named = patches(spark, sf).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("netcdf/"), "path").alias("file"), F.expr(BY_YEAR).alias("target"))
+    so.write_annotation_splits(named, place)
+    return so.read_annotation_splits(spark, place, lines=True)
 
 
 # --- labels, counts, weights -------------------------------------------------------------
@@ -820,6 +832,92 @@ def l4_composite_job(spark, sf):
     return out.where("click IS NOT NULL OR view IS NOT NULL").select("path", "bin", "tile_y", "tile_x", r6("click"), r6("view"))
 
 
+CUBE = """ratio(band, r) AS (VALUES ('click', 1), ('view', 2), ('purchase', 6)),
+obs AS (SELECT user_id % 23 AS path, event_type AS band, ts, value, event_id % (12 // r) AS y, event_id // (12 // r) % (12 // r) AS x FROM events JOIN ratio ON band = event_type)"""
+CUBE_FILLED = FILLED.replace("events", "obs").replace("k.user_id, k.event_type", "k.path, k.band, k.y, k.x").replace("med.user_id = k.user_id AND med.event_type = k.event_type", "med.path = k.path AND med.band = k.band AND med.y = k.y AND med.x = k.x").replace("user_id, event_type", "path, band, y, x").replace("epoch(lo) AS x,", "epoch(lo) AS sec,").replace("(x - ", "(sec - ")
+
+
+@query(
+    f"""WITH {CUBE}, {CUBE_FILLED},
+fine AS (SELECT path, band, bin, y * r + dy AS y, x * r + dx AS x, filled::FLOAT AS v FROM filled JOIN ratio USING (band), range(6) a(dy), range(6) b(dx) WHERE dy < r AND dx < r),
+tl AS (SELECT path, y // 6 AS tile_y, x // 6 AS tile_x, bin, band, count(v) AS n, round(sum(v::DOUBLE * (y % 6 * 6 + x % 6 + 1)), 2) AS total FROM fine GROUP BY ALL),
+lb AS (SELECT path, y // 6 AS tile_y, x // 6 AS tile_x, sum(label * (y % 6 * 6 + x % 6 + 1)) AS label_total FROM (SELECT p_partkey % 23 AS path, p_partkey // 23 % 12 AS y, p_partkey // 276 % 12 AS x, max(p_size) AS label FROM part GROUP BY ALL) GROUP BY ALL),
+meta AS (SELECT count(*) AS num_patches, max(c)::INT AS num_subpatches_per_patch FROM (SELECT path, count(DISTINCT tile_y * 2 + tile_x) AS c FROM tl GROUP BY 1))
+SELECT path, tile_y::INT AS tile_y, tile_x::INT AS tile_x, bin, band, n, total, label_total::BIGINT AS label_total, num_patches, num_subpatches_per_patch FROM tl LEFT JOIN lb USING (path, tile_y, tile_x), meta"""
+)
+def l4_composite_product(spark, sf):
+    """The whole product: bands of three resolutions, labels, tiles and metadata, written, read back and put beside each other."""
+    e, ratio = table(spark, sf, "events"), {"click": 1, "view": 2, "purchase": 6}
+    grid = F.try_element_at(F.create_map(*[F.lit(v) for b, r in ratio.items() for v in (b, 12 // r)]), F.col("event_type"))
+    obs = e.select((F.col("user_id") % 23).alias("path"), F.col("event_type").alias("band"), F.col("ts").alias("time"), "value", "event_id", grid.alias("g"))
+    obs = obs.select("path", "band", "time", "value", (F.col("event_id") % F.col("g")).alias("y"), F.expr("event_id div g % g").alias("x"))
+    p = table(spark, sf, "part")
+    labels = p.groupBy((F.col("p_partkey") % 23).alias("path"), F.expr("p_partkey div 23 % 12").alias("y"), F.expr("p_partkey div 276 % 12").alias("x")).agg(F.max("p_size").alias("label"))
+    made = jobs.composite_product(obs, edges(spark), list(ratio), 12, 6, place_for(spark, "product"), ratio, labels)
+    weighed = lambda c: F.aggregate(F.transform(c, lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda t, v: t + F.coalesce(v, F.lit(0.0)))
+    n = F.size(F.filter("values", lambda v: v.isNotNull())).cast("long")
+    tiles = made["tiles"].select("path", "tile_y", "tile_x", "bin", "band", n.alias("n"), F.when(n > 0, F.round(weighed("values"), 2)).alias("total"))
+    held = made["tile_labels"].select("path", "tile_y", "tile_x", weighed("labels").cast("long").alias("label_total"))
+    meta = made["meta"].select("num_patches", F.col("num_subpatches_per_patch").cast("int").alias("num_subpatches_per_patch"))
+    return tiles.join(held, ["path", "tile_y", "tile_x"], "left").join(F.broadcast(meta), F.lit(True))
+
+
+ZONE_STATS = f"{GRID_POINTS}, {ZONES}, ht AS (SELECT s_suppkey, avg(elev) AS elevation_mean, median(elev) AS elevation_median FROM pt JOIN zn ON lon BETWEEN x0 AND x0 + 7 AND lat BETWEEN y0 AND y0 + 6 WHERE {INSIDE} GROUP BY 1)"
+ZONE_LABELS = "zl AS (SELECT 1 + p_partkey % (SELECT count(*) FROM supplier) AS s_suppkey, p_size % 4 AS label, count(*) AS n FROM part GROUP BY ALL)"
+HEIGHTS = [{"patch_x": {"max": 2}, "target": "test"}, {"year": [0, 1, 2], "stratify_on": [{"column": "elevation_mean", "bins": 12}], "target": [{"target": "train", "split": 0.6}, {"target": "val", "split": 0.4}]}]
+BY_HEIGHT = f"""{ZONE_STATS}, {ZONE_LABELS}, all_ AS (SELECT s_suppkey, elevation_mean, elevation_median, s_suppkey % 9 AS patch_x, s_suppkey % 4 AS year FROM supplier LEFT JOIN ht USING (s_suppkey)),
+drawn AS (SELECT s_suppkey, CASE WHEN elevation_mean IS NULL THEN -1 ELSE {{0}} END::INT AS b FROM all_ WHERE patch_x > 2 AND year <= 2),
+hist_ AS (SELECT 0 AS g, list({{{{'bin': b, 'n': n}}}}) AS hist FROM (SELECT b, count(*) AS n FROM drawn GROUP BY 1)), {{1}},
+strata AS (SELECT s_suppkey, m.new::VARCHAR AS stratum FROM drawn JOIN merged_map m ON b = m.bin),
+quota AS (SELECT stratum, base + (row_number() OVER (ORDER BY round(share - base, 9) DESC, md5('42|0|' || stratum)) <= want - sum(base) OVER ())::INT AS quota FROM (SELECT stratum, want, n * want / total::DOUBLE AS share, floor(n * want / total::DOUBLE) AS base FROM (SELECT stratum, count(*) AS n FROM strata GROUP BY 1), (SELECT count(*) AS total, round_even(0.6::DOUBLE * count(*), 0) AS want FROM strata))),
+split_ AS (SELECT s_suppkey, 'test' AS target FROM all_ WHERE patch_x <= 2
+  UNION ALL SELECT s_suppkey, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY md5('42|strata|' || s_suppkey), s_suppkey::VARCHAR) <= quota THEN 'train' ELSE 'val' END FROM strata JOIN quota USING (stratum))""".format(_bin_sql("elevation_mean", 12), _lone_bins_sql("merged", "hist_"))
+
+
+def height_split(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Patches of ``supplier`` split by rules, in strata of their elevation, with their counts of labelled pixels."""
+    n = F.broadcast(table(spark, sf, "supplier").agg(F.count("*").alias("n")))
+    labels = table(spark, sf, "part").join(n, F.lit(True)).select((1 + F.col("p_partkey") % F.col("n")).alias("s_suppkey"), (F.col("p_size") % 4).alias("label"))
+    features = zones(spark, sf).withColumns({"patch_x": (F.col("s_suppkey") % 9).cast("int"), "year": (F.col("s_suppkey") % 4).cast("int"), "tile": F.lit("t"), "patch_y": F.lit(0), "path": F.col("s_suppkey").cast("string")})
+    steps = [jobs.with_elevation(grid_points(spark, sf), "s_suppkey"), jobs.with_pixel_counts(labels, [1, 2], "s_suppkey")]
+    return jobs.split_job(features, HEIGHTS, key="s_suppkey", seed=42, processors=steps, labels=labels, shuffle=False)
+
+
+@query(f"WITH RECURSIVE {BY_HEIGHT} SELECT s_suppkey, target, round(elevation_mean, 6) AS elevation_mean, round(elevation_median, 6) AS elevation_median, coalesce(sum(n) FILTER (label = 1), 0)::BIGINT AS pixel_count_1, coalesce(sum(n) FILTER (label = 2), 0)::BIGINT AS pixel_count_2, max(n) FILTER (label <> 0) AS pixel_count_max FROM split_ JOIN all_ USING (s_suppkey) LEFT JOIN zl USING (s_suppkey) GROUP BY ALL")
+def l3_split_by_elevation(spark, sf):
+    """The split job with features: footprints, elevation and pixel counts before the splits, strata of elevation."""
+    out = height_split(spark, sf)["split"]
+    return out.select("s_suppkey", "target", r6("elevation_mean"), r6("elevation_median"), "pixel_count_1", "pixel_count_2", "pixel_count_max")
+
+
+@query(f"WITH RECURSIVE {BY_HEIGHT} SELECT target, l.label, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT DISTINCT target FROM split_) t CROSS JOIN (SELECT DISTINCT label FROM zl) l LEFT JOIN (SELECT target, label, n FROM split_ JOIN zl USING (s_suppkey)) c USING (target, label) GROUP BY ALL")
+def l3_pixels_by_elevation_split(spark, sf):
+    """Pixels of each class in each of those splits."""
+    return height_split(spark, sf)["pixel_counts"]
+
+
+@query(f"WITH {ZONE_STATS}, a AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'test' WHEN s_suppkey % 5 = 1 THEN 'val' ELSE 'train' END AS target FROM supplier WHERE s_suppkey % 7 > 0) SELECT s_suppkey, target, round(elevation_mean, 6) AS elevation_mean FROM a LEFT JOIN ht USING (s_suppkey)")
+def l3_annotated_split(spark, sf):
+    """The job's other branch: splits from annotation documents, joined with the patches and their elevation."""
+    place = place_for(spark, "annotated")
+    s = F.col("s_suppkey")
+    target = F.when(s % 5 == 0, "test").when(s % 5 == 1, "val").otherwise("train")
+    images = table(spark, sf, "supplier").where(s % 7 > 0).select(s.alias("id"), F.concat(F.lit("netcdf/2020_T_patch_"), s.cast("string"), F.lit("_0.nc")).alias("file"), target.alias("target"))
+    so.write_annotation_splits(images, place)
+    features = zones(spark, sf).withColumn("path", F.concat(F.lit("2020/T/2020_T_patch_"), s.cast("string"), F.lit("_0.nc")))
+    out = jobs.split_job(features, annotated=so.read_annotation_splits(spark, place, lines=True), processors=[jobs.with_elevation(grid_points(spark, sf))], shuffle=False)
+    return out["split"].select("s_suppkey", "target", r6("elevation_mean"))
+
+
+@query("SELECT CASE vec_id % 4 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS target, count(*) AS pixels FROM embeddings WHERE label <> 0 GROUP BY 1")
+def l1_scored_pixels(spark, sf):
+    """Pixels scored by a classifier whose features are missing in many rows: all that have a label."""
+    gap = lambda i: F.when(F.col("vec_id") % (i + 2) == 0, F.lit(float("nan")) if i % 2 else F.lit(None)).otherwise(F.col("embedding")[i].cast("double"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", *[gap(i).alias(f"f{i}") for i in range(6)])
+    target = F.when(F.col("vec_id") % 4 == 0, "val").when(F.col("vec_id") % 4 == 1, "test").otherwise("train")
+    return jobs.classifier_job(written(rows.withColumn("target", target), "features"), [f"f{i}" for i in range(6)], classes=10, alpha=0.5, maxIter=2).select("target", "pixels")
+
+
 @query()
 def l1_pixel_classifier(spark, sf):
     """A pixel classifier on all 64 numbers, weighted by class frequency, trained, validated and tested; its coefficients aren't for SQL."""

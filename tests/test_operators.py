@@ -410,8 +410,8 @@ def test_sources_and_sinks(spark, tmp_path):
         tables.composite_meta(tiles).collect()
     tables.write_tiles(tiles.withColumn("year", F.lit(2019)), f"{tmp_path}/tiles")
     assert tables.read_tiles(spark, f"{tmp_path}/tiles", tiles.where("path = 'a'"), strict=True).count() == 1
-    with pytest.raises(FileNotFoundError):
-        tables.read_tiles(spark, f"{tmp_path}/tiles", spark.createDataFrame([("zz",)], "path string"), strict=True)
+    with pytest.raises(Exception, match="no composite of zz"):  # part of the plan: no job while it is made
+        tables.read_tiles(spark, f"{tmp_path}/tiles", spark.createDataFrame([("zz",)], "path string"), strict=True).collect()
 
 
 def test_split_job(spark):
@@ -506,5 +506,85 @@ def test_a_crowded_cell_is_shared(spark):
     assert {r.z: r["count"] for r in both if r.z < 5} == dict.fromkeys(range(5), 10_000)
     square = lambda i, x, w: (i, [{"x": a, "y": b} for a, b in ((x, 0.0), (x + w, 0.0), (x + w, 1.0), (x, 1.0), (x, 0.0))])
     rings = spark.createDataFrame([square(1, 0.0, 1.0), square(2, -10.0, 1e6), square(3, 100.0, 1.0)], "id int, ring array<struct<x: double, y: double>>")
-    found = {r.id: r["count"] for r in spatial.zonal_join(points, rings).groupBy("id").count().collect()}
+    found = {r.id: r["count"] for r in spatial.zonal_join(points.drop("id"), rings).groupBy("id").count().collect()}
     assert found == {1: 10_000, 2: 30_000, 3: sum(1 for i in range(30_000) if i % 3 and 100 <= i / 7 + 100 < 101)}
+
+
+def test_stored_tables_are_joined_without_a_shuffle(spark, tmp_path):
+    tiles = spark.range(600).select((F.col("id") % 40).alias("path"), (F.col("id") % 3).cast("int").alias("tile_y"), F.lit(0).alias("tile_x"), (F.col("id") % 12 + 1).alias("bin"), F.lit("b").alias("band"), F.array(F.col("id").cast("float")).alias("values"))
+    labels = tiles.select("path", "tile_y", "tile_x").distinct().withColumn("labels", F.array(F.lit(2).cast("smallint")))
+    split = spark.range(30).select(F.col("id").alias("path"), F.lit("train").alias("target"))
+    stored = []
+    for name, df in (("tiles_t", tiles), ("labels_t", labels), ("split_t", split)):
+        tables.write_stored(df, name, f"file://{tmp_path}/{name}", 4)
+        stored.append(tables.read_stored(spark, name))
+    encoder = encode.encoder_table(spark, [{"name": "none", "id": []}, {"name": "a", "id": [2]}])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fed = composite.feed(*stored, encoder, "train", bins=(1, 12))
+        some = tables.tiles_of(stored[0], stored[2], strict=True)
+        for df in (fed, some, tables.tiles_of(stored[0], stored[2])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan
+        assert fed.count() == some.count() == 450 and {r.labels[0] for r in fed.collect()} == {1}
+        with pytest.raises(Exception, match="no composite of 77"):
+            tables.tiles_of(stored[0], stored[2].unionAll(spark.createDataFrame([(77, "train")], split.schema)), strict=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    spark.sql("DROP TABLE labels_t")
+    again = tables.read_stored(spark, "labels_t", f"file://{tmp_path}/labels_t", 4)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, labels.collect()))
+    for name in ("tiles_t", "labels_t", "split_t"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_every_labelled_pixel_is_scored(spark):
+    rows = [(i, None if i % 4 == 0 else float("nan") if i % 5 == 0 else float(i % 7), float(i % 3), None, 1 + i % 2 if i % 11 else None, "val" if i % 3 == 0 else "train") for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, f double, g double, h double, label int, target string")
+    for features in (["f", "g", "h"], ["g"], ["h"]):
+        got = {r.target: r.pixels for r in jobs.classifier_job(df, features, 3, maxIter=3).collect()}
+        assert got == Counter(r[5] for r in rows if r[4] is not None)
+
+
+def test_a_row_to_score_may_lack_what_training_rows_have(spark):
+    train = spark.createDataFrame([(float(i), i % 2) for i in range(50)], "f double, label int")
+    model = jobs.fit_classifier(train, ["f"], maxIter=3)
+    assert jobs.predict(model, spark.createDataFrame([(None, 0), (float("nan"), 1), (3.0, 1)], "f double, label int")).count() == 3
+
+
+def test_annotation_documents_by_lines(spark, tmp_path):
+    rows = [(i, f"netcdf/2019_T{i % 3}_patch_{i}_0.nc", "train" if i % 4 else "test") for i in range(500)]
+    split = spark.createDataFrame(rows, "id int, file string, target string").repartition(3)
+    tables.write_annotation_splits(split, f"{tmp_path}/a", images=20, documents=4)
+    got = tables.read_annotation_splits(spark, f"{tmp_path}/a", lines=True)
+    assert sorted(map(tuple, got.collect())) == sorted((f"2019/T{i % 3}/2019_T{i % 3}_patch_{i}_0.nc", t) for i, _, t in rows)
+    files = [p for p in tmp_path.glob("a/target=*/*.json")]
+    assert all(len(p.read_text().splitlines()) <= 4 for p in files) and len({p.parent for p in files}) == 2
+    assert tables.read_annotation_splits(spark, f"{tmp_path}/a", ("test",), lines=True).count() == 125
+
+
+def test_composite_product_is_its_parts(spark, tmp_path):
+    edges = composite.bin_edges(spark, "2020-01-01 00:00:00", "2020-04-01 00:00:00", "month")
+    rng = random.Random(9)
+    ratio = {"A": 1, "B": 2, "C": 3}
+    rows = [(p, b, dt.datetime(2020, rng.randint(1, 3), rng.randint(2, 28)), y, x, rng.random()) for p in "pq" for b, r in ratio.items() for y in range(12 // r) for x in range(12 // r) for _ in range(rng.choice([1, 2, 3]) if (p, b) != ("q", "B") or (y, x) != (0, 0) else 0)]
+    obs = spark.createDataFrame(rows, "path string, band string, time timestamp_ntz, y int, x int, value double").withColumn("year", F.lit(2020))
+    labels = spark.createDataFrame([("p", y, x, 12 * y + x) for y in range(12) for x in range(12) if (y, x) != (5, 5)], "path string, y int, x int, label int")
+    out = jobs.composite_product(obs, edges, list(ratio), 12, 4, f"file://{tmp_path}/product", ratio, labels, by=["year"])
+    series = composite.filled_series(composite.assign_bin(obs, edges), ["path", "band", "y", "x"], edges)
+    want = {}
+    for r in series.collect():
+        k = ratio[r.band]
+        for e in r.series:
+            for y in range(r.y * k, r.y * k + k):
+                for x in range(r.x * k, r.x * k + k):
+                    want[r.path, y // 4, x // 4, e["bin"], r.band, y % 4 * 4 + x % 4] = e["filled"]
+    got = {(r.path, r.tile_y, r.tile_x, r.bin, r.band, i): v for r in out["tiles"].collect() for i, v in enumerate(r["values"])}
+    missing = {k for k, v in got.items() if v is None and k not in want}
+    assert len(missing) == 3 * 4 and {k[:2] + (k[4],) for k in missing} == {("q", 0, "B")}
+    assert all(v == pytest.approx(want[k], rel=1e-6) if want[k] is not None else v is None for k, v in got.items() if k in want) and len(got) == len(want) + 12
+    held = {(r.path, r.tile_y, r.tile_x): r for r in out["tile_labels"].collect()}
+    assert len(held) == 9 and held["p", 1, 1]["labels"][5] == 0 and held["p", 0, 1]["labels"][:4] == [4, 5, 6, 7] and all(r.has_label and r.year == 2020 for r in held.values())
+    meta = out["meta"].first()
+    assert (meta.bands, meta.img_size, meta.num_patches, meta.num_subpatches_per_patch) == (["A", "B", "C"], [12, 12], 2, 9)
