@@ -116,23 +116,46 @@ class Stream:
         return f"packets={self.packets};units={self.units};points={len(self.points)};pts={span};gaps={self.discontinuities};damaged={self.damaged};crc={zlib.crc32(self.payload):08x}"
 
 
-def section(packet: np.ndarray, table: int) -> bytes:
-    """The body of a section that starts in this packet, after its check value is verified."""
-    raw = packet.tobytes()
-    at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-    at += 1 + raw[at]
-    length = (raw[at + 1] & 0x0F) << 8 | raw[at + 2]
-    whole = raw[at : at + 3 + length]
-    if whole[0] != table or section_crc(whole):
+def payload_of(packet: bytes) -> bytes:
+    return packet[4 + (1 + packet[4] if packet[3] & 0x20 else 0) :] if packet[3] & 0x10 else b""
+
+
+def section(packets: np.ndarray, table: int) -> bytes:
+    """The body of the first whole section of one PID, over as many packets as it takes, after its check value is verified.
+
+    The pointer of the packet where a section starts tells how many bytes of an earlier one
+    come first. Packets that repeat the one before are passed over.
+    """
+    raws = [p.tobytes() for p in packets]
+    raws = [r for k, r in enumerate(raws) if not k or r != raws[k - 1]]
+    start = next(k for k, r in enumerate(raws) if r[1] & 0x40)
+    first = payload_of(raws[start])
+    whole = first[1 + first[0] :]
+    counter = raws[start][3] & 15
+    for r in raws[start + 1 :]:
+        length = (whole[1] & 0x0F) << 8 | whole[2] if len(whole) > 2 else 1 << 12
+        if len(whole) >= 3 + length:
+            break
+        counter = counter + 1 & 15
+        if r[3] & 15 != counter:
+            break  # a lost packet; what is missing fails the check
+        rest = payload_of(r)
+        whole += rest[1 : 1 + rest[0]] if r[1] & 0x40 else rest
+    if len(whole) < 3:
+        raise ValueError("damaged table")
+    whole = whole[: 3 + ((whole[1] & 0x0F) << 8 | whole[2])]
+    if whole[0] != table or len(whole) < 12 or section_crc(whole):
         raise ValueError("damaged table")
     return whole[8:-4]
 
 
 def demux(media: bytes) -> Stream:
-    """Parses a stream. Units with a lost or repeated packet, or of the wrong length, are left out and counted.
+    """Parses the first program's first stream. Units with a lost packet, or of the wrong length, are left out and counted.
 
-    A stream whose packets aren't aligned, or whose tables are missing or damaged, raises
-    ``ValueError``.
+    A packet may be sent twice in a row; the second one is passed over. A unit that tells
+    no length, as those of 64 KB and more, has lost its end if the counter jumps where the
+    next one begins. Tables may take several packets. A stream whose packets aren't
+    aligned, or whose tables are missing or damaged, raises ``ValueError``.
     """
     if len(media) % PACKET:
         raise ValueError("not whole packets")
@@ -140,16 +163,21 @@ def demux(media: bytes) -> Stream:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("lost sync")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    starts = packets[:, 1] & 0x40 != 0
     try:
-        programs = section(packets[np.flatnonzero((pids == 0) & starts)[0]], 0)
-        pmt_pid = (programs[2] & 0x1F) << 8 | programs[3]
-        program = section(packets[np.flatnonzero((pids == pmt_pid) & starts)[0]], 2)
-    except IndexError:
+        programs = section(packets[pids == 0], 0)
+        entries = [programs[k : k + 4] for k in range(0, len(programs) - 3, 4)]
+        own_map = next(e for e in entries if e[0] << 8 | e[1])  # program 0 is the network's own
+        program = section(packets[pids == ((own_map[2] & 0x1F) << 8 | own_map[3])], 2)
+    except StopIteration:
         raise ValueError("no program tables") from None
     at = 4 + ((program[2] & 0x0F) << 8 | program[3])
+    if len(program) < at + 5:
+        return Stream(packets=len(packets))
     es_pid = (program[at + 1] & 0x1F) << 8 | program[at + 2]
     own = packets[(pids == es_pid) & (packets[:, 3] & 0x10 != 0)]
+    again = np.zeros(len(own), bool)
+    again[1:] = ((own[1:, 3] ^ own[:-1, 3]) & 15 == 0) & (own[1:, 4:] == own[:-1, 4:]).all(axis=1)
+    own = own[~again]
     out = Stream(packets=len(packets))
     if not len(own):
         return out
@@ -170,7 +198,8 @@ def demux(media: bytes) -> Stream:
     for a, z in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
         pes = body[ends[a] : ends[z]]
         length = int.from_bytes(pes[4:6], "big")
-        if pes[:3] != b"\x00\x00\x01" or gap[a + 1 : z].any() or length and length != len(pes) - 6 or len(pes) < 9:
+        open_end = not length and z < len(own) and gap[z]
+        if pes[:3] != b"\x00\x00\x01" or gap[a + 1 : z].any() or open_end or length and length != len(pes) - 6 or len(pes) < 9:
             out.damaged += 1
             continue
         if pes[7] & 0x80:

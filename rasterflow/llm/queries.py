@@ -34,7 +34,7 @@ def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a parse of every row's stored stream gives. Null and empty texts: 64 zeros; repeated rows: a result each; empty table: no rows."""
     found = mpegts.media_features(mpegts.store_media(documents(spark, sf_dir)))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "points")
 
 
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,15 @@ def test_a_vocabulary_of_other_rules_gets_whole_texts():
     encoder, texts = bitplanes.WordEncoder("byte_bpe_50k.json"), ["Some  words, the same<|endoftext|>", None, " x", "don't É"]
     assert not encoder.known
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [library("byte_bpe_50k.json")(t) for t in texts]
+
+
+def test_an_id_of_a_third_of_all_rows_is_cut(spark):
+    """Files hold like numbers of documents, and starts follow the ids."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 50}" if i % 3 else "same") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    path = bitplanes.new_dir(spark, "planes-test")
+    files = bitplanes.write_planes(docs, path).collect()
+    assert sum(f.n_docs for f in files) == 6000 and max(f.n_docs for f in files) <= 2 * 6000 / 4
+    got = sorted(bitplanes.token_planes(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))

@@ -122,3 +122,18 @@ def test_rows_that_share_an_id_count_once(spark):
     hot = spark.createDataFrame([(one, f"zorgon {k} number {k * 7} of many") for k in range(500)], "doc_id long, text string")
     weights = toxicity.learn_lexicon(d.union(hot), la).weights
     assert " zorg" in weights and weights == toxicity.learn_lexicon(hot.repartition(7).union(d.repartition(5)), la).weights
+
+
+def test_query_against_a_search_at_every_place(spark, sf):
+    """All scores of the query again: patterns looked for at every place of the folded text, and the logistic formula."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    lexicon = toxicity.learn_lexicon(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    fold, (a, b, c) = Folder(), lexicon.coefficients
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, sf).collect()}
+    for d in docs.collect():
+        total, dense = slow_evidence(lexicon, fold(d.text)) if len(d.text or "") < 3000 else lexicon.evidence(fold(d.text))
+        score = 1 / (1 + math.exp(-(a + b * math.log1p(total) + c * math.log1p(dense))))
+        r = got.pop(d.doc_id)
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == int(score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+    assert not got
