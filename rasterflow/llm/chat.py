@@ -12,9 +12,9 @@ text)``. ``msg`` numbers the messages of a conversation; kinds are
 So an event counts if no later event replaced its message's text, and no later edit or
 regeneration of an earlier message made its message void. That needs, for each message,
 the last replacement of its own and of all messages before it: an aggregation for each
-message and one running maximum over messages, no walk through the log. Events are
-gathered message by message; only final messages meet in a conversation, which must fit
-in a row as its rendered text does.
+message and a running maximum, over ranges of messages and then within each, so no task
+has all of a long conversation's messages. Events are gathered message by message; only
+final messages meet in a conversation, which must fit in a row as its rendered text does.
 
 Everything is DataFrame functions.
 """
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 TURN, ROLE, END = "<s>[INST] ", " [/INST] ", " </s>\n"
 #: A backslash follows each of these where it is text, so no control string can occur in a text.
 CONTROL = r"[<\[\\]"
+#: Messages of a conversation whose resets are looked through at once.
+RANGE = 4096
 
 
 def escape(text: Column) -> Column:
@@ -50,9 +52,13 @@ def fold_events(events: DataFrame) -> DataFrame:
     kind = F.coalesce(F.col("kind"), F.lit("delta"))
     rows = events.select("conv_id", F.coalesce(F.col("msg").cast("long"), F.lit(-1)).alias("msg"), F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     resets = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq")))
-    messages = rows.groupBy("conv_id", "msg").agg(resets.alias("own"))
-    before = Window.partitionBy("conv_id").orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = messages.select(F.col("conv_id").alias("_c"), F.col("msg").alias("_m"), "own", F.max("own").over(before).alias("cut"))
+    # the last reset of all messages before: first over ranges of messages, then within a range
+    messages = rows.groupBy("conv_id", "msg").agg(resets.alias("own")).withColumn("range", F.floor(F.col("msg") / RANGE))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = messages.groupBy("conv_id", "range").agg(F.max("own").alias("last")).select(F.col("conv_id").alias("_r"), F.col("range").alias("_n"), F.max("last").over(earlier).alias("ahead"))
+    before = Window.partitionBy("conv_id", "range").orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
+    inside = messages.withColumn("near", F.max("own").over(before)).join(ranges, F.col("conv_id").eqNullSafe(F.col("_r")) & (F.col("range") == F.col("_n")))
+    cuts = inside.select(F.col("conv_id").alias("_c"), F.col("msg").alias("_m"), "own", F.greatest("near", "ahead").alias("cut"))
     live = rows.join(cuts, rows.conv_id.eqNullSafe(F.col("_c")) & (rows.msg == F.col("_m")))
     replaces = F.col("kind").isin("edit", "regenerate")
     counts = (F.col("cut").isNull() | (F.col("seq") > F.col("cut"))) & (F.col("own").isNull() | (F.col("seq") > F.col("own")) | ((F.col("seq") == F.col("own")) & replaces))

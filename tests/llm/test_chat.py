@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ def random_log(rng, conv):
     return events
 
 
-def test_fold_against_a_walk_through_the_log(spark):
+@pytest.mark.parametrize("size", [4096, 2, 1])
+def test_fold_against_a_walk_through_the_log(spark, monkeypatch, size):
+    monkeypatch.setattr(chat, "RANGE", size)
     rng = random.Random(11)
     logs = {c: random_log(rng, c) for c in range(200)}
     rows = [e for log in logs.values() for e in log]
@@ -83,3 +86,12 @@ def test_odd_rows(spark):
     assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"} and log.count() > 1000
     nulls = spark.createDataFrame([(1, None, None, None, None, "a"), (1, 5, "delta", None, None, None)], FIELDS)
     assert [(r.role, r.text) for r in chat.fold_events(nulls).collect()] == [("", "a")]
+
+
+def test_a_conversation_with_a_third_of_all_events(spark):
+    """Its messages are folded in ranges; the result is that of the walk."""
+    rng = random.Random(5)
+    hot = [(None, k, rng.choice(["start", "delta", "delta", "delta", "delta", "edit"]) if k % 900 == 0 else "delta", min(k // 2 + rng.randint(0, 1), 9999), "user", "x") for k in range(20_000)]
+    rows = hot + [(c, k, "start", k, "assistant", "y") for c in range(400) for k in range(100)]
+    got = chat.fold_events(spark.createDataFrame(rows, FIELDS).repartition(8)).where("conv_id IS NULL").collect()
+    assert sorted((r.msg, r.role, r.text) for r in got) == slow_fold(hot)
