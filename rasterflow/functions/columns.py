@@ -80,10 +80,6 @@ def prior_logit(frequency: Column, floor: Column) -> Column:
     return -F.log((1 - f) / f)
 
 
-def stratum(*bins: Column) -> Column:
-    return F.concat_ws("__", *[b.cast("string") for b in bins])
-
-
 def composite_name(freq: str, bands: Column | list[str], height: Column | int, width: Column | int) -> Column | str:
     """``<freq>_<bands>_<h>x<w>``; a text if all parts are plain values."""
     if isinstance(bands, list):
@@ -92,10 +88,6 @@ def composite_name(freq: str, bands: Column | list[str], height: Column | int, w
     return F.concat(F.lit(f"{freq}_"), F.array_join(bands, ""), F.lit("_"), number(height), F.lit("x"), number(width))
 
 
-def name_or_blank(name: Column) -> Column:
-    return F.coalesce(name, F.lit(""))
-
-
 def interior(y: Column, x: Column, height: int, width: int, border: int = 5) -> Column:
     """True away from the border of a tile."""
     return (y >= border) & (y < height - border) & (x >= border) & (x < width - border)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import text_digest
+from ..functions.frames import text_digest, written
 from .metrics import confusion, scores
+from .splits import assign_blocks, top_k_per_block
 
 
 def _per_sample(rows: DataFrame, by: list[str], value: Column, ignore: int, mask: bool, label: str, out: str) -> DataFrame:
@@ -70,3 +71,21 @@ def combine_scores(tables: dict[str, DataFrame], terms: list[str], key: list[str
 def reducible_score(model: DataFrame, fixed: DataFrame, key: list[str], score: str = "score") -> DataFrame:
     """A model's loss less that of a fixed one."""
     return combine_scores({"a": model, "b": fixed}, ["a", "-1*b"], key, score)
+
+
+def select_blocks(samples: DataFrame, tables: dict[str, DataFrame], terms: list[str], key: str, order: str, size: int, want: int, block: str = "block_id") -> DataFrame:
+    """Of each block of ``size`` samples in their ``order`` the ``want`` best by a weighted sum of scores, with ``block`` and ``score``.
+
+    Missing scores come last, ties by key. Blocks of no more than ``want`` samples stay whole
+    and need no score; for others a block without any score is an error, and so is a list of
+    terms that names none. The result keeps ``order`` as a column, by which blocks are read.
+    """
+    if size <= want:
+        return assign_blocks(samples, order, size, key=key, out=block).withColumn("score", F.lit(None).cast("double"))
+    scored = samples.join(combine_scores(tables, terms, [key]).withColumnRenamed("score", "_score"), key, "left")
+    blocks = written(assign_blocks(scored, order, size, key=key, out=block), "blocks")
+    counts = blocks.groupBy(F.col(block).alias("_b")).agg(F.count("*").alias("_n"), F.count(F.when(~F.isnan("_score"), F.col("_score"))).alias("_with"))
+    rows = top_k_per_block(blocks, block, "_score", key, want).join(counts, F.col(block) == F.col("_b"))
+    lost = F.raise_error(F.concat(F.lit("no score in block "), F.col(block).cast("string"))).cast("double")
+    score = F.when((F.col("_with") > 0) | (F.col("_n") <= want), F.col("_score")).otherwise(lost)
+    return rows.select(*samples.columns, block, score.alias("score"))

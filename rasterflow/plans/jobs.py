@@ -18,7 +18,7 @@ from ..operators.encode import class_counts, class_frequencies, class_weights, c
 from ..operators.metrics import confusion, scores
 from ..operators.rules import apply_rules
 from ..operators.spatial import zonal_stats
-from ..operators.splits import apply_splits, drop_duplicates_by_split, seeded_shuffle, subsample
+from ..operators.splits import apply_splits, drop_duplicates_by_split, seeded_shuffle, subsample, swap_targets
 from ..operators.tiling import tile, tile_step
 from ..sources.tables import composite_meta
 
@@ -170,6 +170,11 @@ def split_job(
     return out
 
 
+def swap_job(made: dict[str, DataFrame], a: str = "train", b: str = "val") -> dict[str, DataFrame]:
+    """What :func:`split_job` made, with two targets swapped in the split, its patch counts and its pixel counts."""
+    return {name: swap_targets(df, a, b) for name, df in made.items()}
+
+
 def fit_classifier(train: DataFrame, features: list[str], label: str = "label", weight: str | None = None, kind: str = "logistic", **options) -> PipelineModel:
     """A pixel classifier on per-pixel features, with class weights as row weights.
 

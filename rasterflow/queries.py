@@ -727,6 +727,18 @@ def w8_top_k_per_block(spark, sf):
     return sl.top_k_per_block(rows, "block_id", "score", "vec_id", 10).select("vec_id", "block_id")
 
 
+@query(
+    f"""WITH {PRED}, {WEIGHTS}, s AS (SELECT vec_id, 0.5 * CASE WHEN label <> 0 THEN -weight * logp[label + 1] END + 2 * CASE WHEN label <> 0 THEN list_max(list_filter(logp, lambda v, i: i <> label + 1)) - logp[label + 1] END AS score FROM pred JOIN w ON class_id = label),
+b AS (SELECT *, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS block_id FROM s)
+SELECT vec_id, block_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY score DESC NULLS LAST, vec_id) AS k FROM b) WHERE k <= 16"""
+)
+def w8_block_selection(spark, sf):
+    """Blocks of 64 samples in their order, and of each the 16 best by a weighted sum of loss and margin."""
+    p = predictions(spark, sf)
+    tables = {"loss": sc.loss_score(p, ["vec_id"], weights(spark)), "margin": sc.margin_score(p, ["vec_id"])}
+    return sc.select_blocks(p.select("vec_id"), tables, ["0.5*loss", "none", "2*margin"], "vec_id", "vec_id", 64, 16).select("vec_id", "block_id", r6("score"))
+
+
 @query(f"WITH {PRED} SELECT a.vec_id, a.predicted::INT AS predicted, e.label FROM pred a JOIN embeddings e USING (vec_id)")
 def j5_prediction_join_label(spark, sf):
     p = predictions(spark, sf).select("vec_id", "predicted")
@@ -896,6 +908,14 @@ def l3_pixels_by_elevation_split(spark, sf):
     return height_split(spark, sf)["pixel_counts"]
 
 
+@query(f"WITH RECURSIVE {BY_HEIGHT}, c AS (SELECT target, count(*) AS patches FROM split_ GROUP BY 1), x AS (SELECT target, coalesce(sum(n) FILTER (label > 0), 0)::BIGINT AS labelled FROM split_ LEFT JOIN zl USING (s_suppkey) GROUP BY 1) SELECT CASE target WHEN 'train' THEN 'val' WHEN 'val' THEN 'train' ELSE target END AS target, patches, labelled FROM c JOIN x USING (target)")
+def p15_swap_tables(spark, sf):
+    """Train and val swapped in all tables of a split job: patches and labelled pixels of each target."""
+    swapped = jobs.swap_job(height_split(spark, sf))
+    pixels_ = swapped["pixel_counts"].groupBy("target").agg(F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("labelled"))
+    return swapped["patch_counts"].join(pixels_, "target").select("target", "patches", "labelled")
+
+
 @query(f"WITH {ZONE_STATS}, a AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'test' WHEN s_suppkey % 5 = 1 THEN 'val' ELSE 'train' END AS target FROM supplier WHERE s_suppkey % 7 > 0) SELECT s_suppkey, target, round(elevation_mean, 6) AS elevation_mean FROM a LEFT JOIN ht USING (s_suppkey)")
 def l3_annotated_split(spark, sf):
     """The job's other branch: splits from annotation documents, joined with the patches and their elevation."""

@@ -588,3 +588,18 @@ def test_composite_product_is_its_parts(spark, tmp_path):
     assert len(held) == 9 and held["p", 1, 1]["labels"][5] == 0 and held["p", 0, 1]["labels"][:4] == [4, 5, 6, 7] and all(r.has_label and r.year == 2020 for r in held.values())
     meta = out["meta"].first()
     assert (meta.bands, meta.img_size, meta.num_patches, meta.num_subpatches_per_patch) == (["A", "B", "C"], [12, 12], 2, 9)
+
+
+def test_block_selection(spark):
+    rows = [(i, None if i % 10 == 3 else float("nan") if i == 0 else float(i * 7 % 11)) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, score double")
+    own = {k: v for k, v in rows if v is not None and v == v}
+    got = scoring.select_blocks(df.select("k"), {"a": df}, ["2*a"], "k", "k", 20, 5)
+    best = lambda b: sorted(range(20 * b, 20 * b + 20), key=lambda k: (-own.get(k, -1), k))[:5]
+    assert sorted((r.block_id, r.k, r.score) for r in got.collect()) == sorted((b, k, 2 * own[k]) for b in range(5) for k in best(b))
+    whole = scoring.select_blocks(df.select("k"), {}, [], "k", "k", 20, 20)
+    assert whole.count() == 100 and {r.block_id for r in whole.collect()} == set(range(5))
+    with pytest.raises(ValueError):
+        scoring.select_blocks(df.select("k"), {}, ["none"], "k", "k", 20, 5)
+    with pytest.raises(Exception, match="no score in block 1"):
+        scoring.select_blocks(df.select("k"), {"a": df.where("k < 20 or k >= 40")}, ["a"], "k", "k", 20, 5).collect()
