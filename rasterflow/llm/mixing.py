@@ -67,14 +67,15 @@ def mix_copies(docs: DataFrame, source: str = "source", text: str = "text", size
     they are, so leave out texts that needn't pass; :func:`mix` does.
     """
     keep = docs.drop(*[c for c in docs.columns if c.lower() in ("_size", "_source_size", "_target", "_copies")])
-    packed = keep.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.coalesce(size if size is not None else word_count(F.col(text)), F.lit(0)).cast("long").alias("size"))
+    sized = F.coalesce(size if size is not None else word_count(F.col(text)), F.lit(0)).cast("long")
+    packed = keep.select(F.struct("*").alias("row"), F.col(source).alias("source"), sized.alias("size"), row_hash(keep).alias("one"), row_hash(keep, 1).alias("two"))
     out = _copies(packed, weights, cap, seed)
     return out.select("row.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("copies").alias("_copies"))
 
 
 def _copies(packed: DataFrame, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
-    """``(row, source, size)`` with ``source_size, target, copies``."""
-    rows = placed(packed, [F.col("source").isNull(), "source", "size"], place="at")
+    """``(row, source, size, one, two)`` with ``source_size, target, copies``; ``one`` and ``two`` tell rows of a size apart."""
+    rows = placed(packed, [F.col("source").isNull(), "source", "size", "one", "two"], place="at")
     part = F.shiftright("at", 33)
     counts = rows.groupBy(F.col("source").alias("p_source"), part.alias("p_part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("at").alias("first"))
     counts = written(counts.withColumn("before", F.sum("n").over(Window.partitionBy("p_source").orderBy("p_part")) - F.col("n")), "mix-counts")
@@ -104,7 +105,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tu
     """
     one, two, n, taken, place = fresh(docs, "_one", "_two", "_n", "_taken", "_place")
     keyed = docs.withColumns({one: row_hash(docs), two: row_hash(docs, 1)})
-    packed = keyed.select(F.struct(F.col(one).alias("one"), F.col(two).alias("two")).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    bits = F.col(one).alias("one"), F.col(two).alias("two")
+    packed = keyed.select(F.struct(*bits).alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *bits)
     copies = _copies(packed, weights, cap, seed).groupBy("row").agg(F.count("*").alias(n), F.sum("copies").alias(taken)).where(F.col(taken) > 0)
     copies = written(copies.select(F.col("row.one").alias(f"{one}_b"), F.col("row.two").alias(f"{two}_b"), n, taken), "mix-copies")
     again = F.explode(F.sequence(F.lit(1), F.col(taken).cast("int"))).alias(n)
