@@ -224,7 +224,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame], ready: Callable[[DataFrame], None], meet: Callable[[DataFrame], Callable[[DataFrame, bool], DataFrame]]) -> DataFrame:
+def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame], ready: Callable[[DataFrame], None], meet: Callable[[DataFrame], list[Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """``(node, root)`` of ``sketches(node, fp, bands)``, joined by the candidates that ``verify`` keeps.
 
     Candidates are fingerprints that ball hashing brings together and texts that share a
@@ -233,7 +233,7 @@ def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataF
     band, in ``FIRST_BANDS`` and then in all bands, which joins a group of any size at a
     pair for each member and band. The members of buckets that still hold several
     components then go to ``meet``, which proposes pairs of different components that can be
-    similar, first some and then the others, see :func:`rare_pairs`. ``ready`` gets the nodes that any candidate may
+    similar, step by step, see :func:`rare_pairs`. ``ready`` gets the nodes that any candidate may
     name, before the first is verified.
     """
     first = written(sketches.groupBy("fp").agg(F.min("node").alias("rep")), "first")
@@ -277,17 +277,16 @@ def similar_components(sketches: DataFrame, radius: int, verify: Callable[[DataF
     first = held.groupBy("band", "hash").agg(F.min("node").alias("b"))
     clusters = connected_components(held.join(first, ["band", "hash"]).select(F.col("node").alias("a"), "b").distinct())
     apart = written(clusters.select("node", F.col("root").alias("cluster")), "apart")
-    propose = meet(apart)
-    for rest in (False, True):
-        join(propose(written(rooted(apart.select("node")), "apart-roots"), rest))
+    for propose in meet(apart):
+        join(propose(written(rooted(apart.select("node")), "apart-roots")))
     return roots
 
 
-def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int = SEED) -> Callable[[DataFrame, bool], DataFrame]:
+def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int = SEED) -> list[Callable[[DataFrame], DataFrame]]:
     """What proposes pairs ``(a, b)`` of ``members(node, cluster)`` that can share ``similarity`` of their shingles.
 
-    The result takes ``(node, root)`` of the members and proposes pairs of one cluster and
-    different roots, first a few and then the others.
+    Each of the results takes ``(node, root)`` of the members and proposes pairs of one
+    cluster and different roots; roots are to be found anew after each.
 
     First: shingles are ordered from the rarest in the cluster to the most frequent. Two
     sets of n shingles that are similar enough have one in common among their first
@@ -295,10 +294,12 @@ def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int
     the fewest rarer shingles of its own. A text from which many others were made by edits
     is such a one; it joins them at a pair for each.
 
-    Others: members are compared by what sets them apart from their cluster, so that edits
-    of one text that are too far from each other don't meet, whether that text is in the
-    table or not, see :func:`difference_keys`. Only members that lie close to the middle of
-    their cluster, and have little to be told by, meet the rest in rare shingles again.
+    Second and third: members are compared by what sets them apart from their cluster, so
+    that edits of one text that are too far from each other don't meet, whether that text is
+    in the table or not, see :func:`difference_keys`. In each bucket of keys they meet one
+    of them, and then, where several roots are left, all. Only members that lie close to the
+    middle of their cluster, and have little to be told by, meet the rest in rare shingles
+    again.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,28 +330,45 @@ def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int
         centre = keys.groupBy("cluster", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), least.alias("x")).where("lo < hi")
         return meeting(keys, written(centre.select("cluster", "hash", *[F.col(f"x.{c}").alias(f"{c}_b") for c in columns]), "rare-centres"))
 
-    def others(roots: DataFrame) -> DataFrame:
-        sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
-        most = often.join(sizes, "cluster").where("2 * times > members").select("cluster", "hash", (F.col("times") <= F.col("members") - 2).alias("told"))
-        most = written(most.groupBy("cluster").agg(F.collect_list("hash").alias("middle"), F.collect_list("told").alias("told")), "middles")  # no more than twice the shingles of a text
-        found = tokens.join(often, ["cluster", "hash"]).groupBy("node", "cluster").agg(F.first("n").alias("n"), F.collect_list("hash").alias("hashes"))  # no more than a text has
-        whole = found.join(most, "cluster", "left").select("node", "cluster", "n", "hashes", "middle", "told")
-        keyed = written(map_batches(whole, lambda batches: difference_keys(batches, similarity, seed), "node long, cluster long, off double, own int, level int, key long"), "difference-keys")
-        keys = keyed.where("level > 0").join(roots, "node")
-        mixed = written(keys.groupBy("cluster", "level", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster", "level", "key"), "difference-mixed")
-        keys = written(keys.join(mixed, ["cluster", "level", "key"]).select("cluster", "level", "key", "node", "own", "root"), "difference-rooted")
-        again = keys.withColumnsRenamed({c: f"{c}_b" for c in ("node", "own", "root")})
-        # pairs meet at the lower one's level
-        apart = keys.join(again, ["cluster", "level", "key"]).where((F.least("own", "own_b") == F.col("level")) & (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-        places = keyed.where("level = 0").select("node", "cluster", "off", "own")
+    made: list[DataFrame] = []
+
+    def keyed() -> DataFrame:
+        if not made:
+            sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
+            most = often.join(sizes, "cluster").where("2 * times > members").select("cluster", "hash", (F.col("times") <= F.col("members") - 2).alias("told"))
+            most = written(most.groupBy("cluster").agg(F.collect_list("hash").alias("middle"), F.collect_list("told").alias("told")), "middles")  # no more than twice the shingles of a text
+            found = tokens.join(often, ["cluster", "hash"]).groupBy("node", "cluster").agg(F.first("n").alias("n"), F.collect_list("hash").alias("hashes"))  # no more than a text has
+            whole = found.join(most, "cluster", "left").select("node", "cluster", "n", "hashes", "middle", "told")
+            made.append(written(map_batches(whole, lambda batches: difference_keys(batches, similarity, seed), "node long, cluster long, off double, own int, level int, key long"), "difference-keys"))
+        return made[0]
+
+    bucket = ["cluster", "level", "key"]
+
+    def still_mixed(roots: DataFrame) -> DataFrame:
+        """Keys of buckets that hold several roots, with the one member that the others meet first."""
+        keys = keyed().where("level > 0").join(roots, "node")
+        one = F.min(F.struct(F.xxhash64("key", "node"), "node", "own", "root")).alias("x")
+        mixed = written(keys.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), one).where("lo < hi").select(*bucket, *[F.col(f"x.{c}").alias(f"{c}_c") for c in ("node", "own", "root")]), "difference-mixed")
+        return written(keys.join(mixed, bucket).select(*bucket, "node", "own", "root", "node_c", "own_c", "root_c"), "difference-rooted")
+
+    def by_centres(roots: DataFrame) -> DataFrame:
+        keys = still_mixed(roots).where((F.least("own", "own_c") == F.col("level")) & (F.col("root") != F.col("root_c")))
+        places = keyed().where("level = 0").select("node", "cluster", "off")
         closest = places.groupBy("cluster").agg(F.min(F.struct("off", "node")).alias("x")).select("cluster", F.col("x.off").alias("off_b"), F.col("x.node").alias("node_b"))
         # so close to the middle, together, that they are surely similar
-        near = places.join(closest, "cluster").where((F.col("node") != F.col("node_b")) & (F.col("off") + F.col("off_b") <= 1e-9)).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-        low = rare.join(places.where("own = 0").select("node"), "node").join(roots, "node")
+        near = places.join(closest, "cluster").where((F.col("node") != F.col("node_b")) & (F.col("off") + F.col("off_b") <= 1e-9))
+        return keys.select(F.col("node").alias("a"), F.col("node_c").alias("b")).union(near.select("node", "node_b")).distinct()
+
+    def all_left(roots: DataFrame) -> DataFrame:
+        keys = still_mixed(roots).select(*bucket, "node", "own", "root")
+        again = keys.withColumnsRenamed({c: f"{c}_b" for c in ("node", "own", "root")})
+        # pairs meet at the lower one's level
+        apart = keys.join(again, bucket).where((F.least("own", "own_b") == F.col("level")) & (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+        low = rare.join(keyed().where("level = 0 and own = 0").select("node"), "node").join(roots, "node")
         rest = rare.join(roots, "node").withColumnsRenamed({c: f"{c}_b" for c in columns})
-        return apart.union(near).union(meeting(low, rest)).distinct()
+        return apart.union(meeting(low, rest)).distinct()
 
-    return lambda roots, rest: others(roots) if rest else first_few(roots)
+    return [first_few, by_centres, all_left]
 
 
 def difference_keys(batches: Iterator[pa.RecordBatch], similarity: float, seed: int) -> Iterator[pa.RecordBatch]:
