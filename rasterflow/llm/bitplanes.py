@@ -221,7 +221,7 @@ def write_planes(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     Returns the written list ``(part, n_docs, n_ids, before)``; ``before`` counts the ids
     of all earlier files. Null ids come first. Rows with equal ids stand in order of
-    the first 200 characters of their text, then of a digest of it, and equal rows by the
+    the first 32 characters of their text, then of a digest of it, and equal rows by the
     partition that they come from, so that an id that many rows have is cut into ranges like
     any other.
     """
@@ -242,7 +242,7 @@ def write_planes(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    order = ["_id", F.substring("_text", 1, 200), F.md5("_text"), "_from"]
+    order = ["_id", F.substring("_text", 1, 32), F.md5("_text"), "_from"]
     dealt = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_from")
     files = written(map_batches(dealt, run, "part int, n_docs long, n_ids long"), "plane-files")
     return files.withColumn("before", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))  # a row for each file
