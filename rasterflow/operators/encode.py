@@ -14,10 +14,9 @@ def encoder_table(spark: SparkSession, labels: list[dict]) -> DataFrame:
 
     A class's number is its place in the list; of several entries for an id the last counts.
     """
-    rows = [(x["name"], x["id"] if isinstance(x["id"], list) else [x["id"]]) for x in labels]
-    table = spark.createDataFrame([(i, name, ids) for i, (name, ids) in enumerate(rows)], "class_id int, name string, ids array<int>")
-    ids = table.select(F.explode("ids").alias("raw_id"), "class_id", "name")
-    return ids.groupBy("raw_id").agg(F.max(F.struct("class_id", "name")).alias("c")).select("raw_id", "c.class_id", "c.name")
+    # the list is the caller's, so the last entry of an id is found here and plans need no shuffle for it
+    classes = {raw: (i, x["name"]) for i, x in enumerate(labels) for raw in (x["id"] if isinstance(x["id"], list) else [x["id"]])}
+    return spark.createDataFrame([(raw, *c) for raw, c in classes.items()], "raw_id int, class_id int, name string")
 
 
 def remap(df: DataFrame, encoder: DataFrame, raw: str, out: str = "class_id") -> DataFrame:
