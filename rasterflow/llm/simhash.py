@@ -296,10 +296,12 @@ def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int
 
     Second and third: members are compared by what sets them apart from their cluster, so
     that edits of one text that are too far from each other don't meet, whether that text is
-    in the table or not, see :func:`difference_keys`. In each bucket of keys they meet one
-    of them, and then, where several roots are left, all. Only members that lie close to the
-    middle of their cluster, and have little to be told by, meet the rest in rare shingles
-    again.
+    in the table or not, see :func:`difference_keys`. What a member differs in bounds whom it
+    can be similar to; members that no other root of the cluster can hold a partner of have no
+    keys, so the texts around the middle that are one root already, and those too far from
+    it, go no further. In each bucket of keys the others meet one of them, and then, outside
+    the largest root of the cluster, all. Only members that lie close to the middle of their
+    cluster, and have little to be told by, meet the rest in rare shingles again.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +323,8 @@ def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int
     can = (F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b") - 1e-9) & (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1 >= shared)
     columns = ("node", "root", "n", "place")
 
-    def meeting(keys: DataFrame, others: DataFrame) -> DataFrame:
-        return keys.join(others, ["cluster", "hash"]).where((F.col("root") != F.col("root_b")) & can).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    def meeting(keys: DataFrame, others: DataFrame, also: Column | bool = True) -> DataFrame:
+        return keys.join(others, ["cluster", "hash"]).where((F.col("root") != F.col("root_b")) & can & also).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
     def first_few(roots: DataFrame) -> DataFrame:
         keys = written(rare.join(roots, "node"), "rare-rooted")
@@ -332,47 +334,67 @@ def rare_pairs(members: DataFrame, sets: DataFrame, similarity: float, seed: int
 
     made: list[DataFrame] = []
 
-    def keyed() -> DataFrame:
+    def differences() -> DataFrame:
+        """What :func:`difference_keys` tells of each member."""
         if not made:
             sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
             most = often.join(sizes, "cluster").where("2 * times > members").select("cluster", "hash", (F.col("times") <= F.col("members") - 2).alias("told"))
             most = written(most.groupBy("cluster").agg(F.collect_list("hash").alias("middle"), F.collect_list("told").alias("told")), "middles")  # no more than twice the shingles of a text
             found = tokens.join(often, ["cluster", "hash"]).groupBy("node", "cluster").agg(F.first("n").alias("n"), F.collect_list("hash").alias("hashes"))  # no more than a text has
             whole = found.join(most, "cluster", "left").select("node", "cluster", "n", "hashes", "middle", "told")
-            made.append(written(map_batches(whole, lambda batches: difference_keys(batches, similarity, seed), "node long, cluster long, off double, own int, level int, key long"), "difference-keys"))
+            made.append(written(map_batches(whole, lambda batches: difference_keys(batches, similarity, seed), "node long, cluster long, off double, reach double, own int, keys array<struct<level: int, key: long>>"), "difference-keys"))
         return made[0]
 
     bucket = ["cluster", "level", "key"]
-
-    def still_mixed(roots: DataFrame) -> DataFrame:
-        """Keys of buckets that hold several roots, with the one member that the others meet first."""
-        keys = keyed().where("level > 0").join(roots, "node")
-        one = F.min(F.struct(F.xxhash64("key", "node"), "node", "own", "root")).alias("x")
-        mixed = written(keys.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), one).where("lo < hi").select(*bucket, *[F.col(f"x.{c}").alias(f"{c}_c") for c in ("node", "own", "root")]), "difference-mixed")
-        return written(keys.join(mixed, bucket).select(*bucket, "node", "own", "root", "node_c", "own_c", "root_c"), "difference-rooted")
+    facts = ("node", "root", "own", "off", "reach")
+    meets = (F.col("off") <= F.col("reach_b") + 1e-9) & (F.col("off_b") <= F.col("reach") + 1e-9)
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        return written(differences().select("cluster", "node", "own", "off", "reach").join(roots, "node"), "difference-rooted")
+
+    def able(places: DataFrame) -> DataFrame:
+        """The rows of ``places`` that some row of their cluster with another root may be similar to."""
+        # on this scale a cluster has some hundreds of cells, whatever its size
+        cell = F.signum("off") * F.floor(F.log1p(F.abs("off")) * 32)
+        cells = places.groupBy("cluster", cell.alias("cell")).agg(F.min("off").alias("off"), F.max("reach").alias("reach"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        cells = written(cells.groupBy("cluster").agg(F.collect_list(F.struct("off", "reach", "lo", "hi")).alias("cells")), "difference-cells")
+        open_to = F.exists("cells", lambda c: (c.off <= F.col("reach") + 1e-9) & (F.col("off") <= c.reach + 1e-9) & ((c.lo != F.col("root")) | (c.hi != F.col("root"))))
+        return written(places.join(cells, "cluster").where(open_to).drop("cells"), "difference-able")
+
+    def with_keys(some: DataFrame) -> DataFrame:
+        """A row for each key of the members ``some``."""
+        some = some.where("own > 0")
+        return written(some.join(differences().select("node", "keys"), "node").select(*some.columns, F.inline("keys")), "difference-buckets")
 
     def by_centres(roots: DataFrame) -> DataFrame:
-        keys = still_mixed(roots).where((F.least("own", "own_c") == F.col("level")) & (F.col("root") != F.col("root_c")))
-        places = keyed().where("level = 0").select("node", "cluster", "off")
-        closest = places.groupBy("cluster").agg(F.min(F.struct("off", "node")).alias("x")).select("cluster", F.col("x.off").alias("off_b"), F.col("x.node").alias("node_b"))
+        places = rooted(roots)
+        keys = with_keys(able(places))
+        one = F.min(F.struct(F.xxhash64("key", "node"), *facts)).alias("x")
+        centre = keys.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), one).where("lo < hi")
+        centre = written(centre.select(*bucket, *[F.col(f"x.{c}").alias(f"{c}_b") for c in facts]), "difference-centres")
+        apart = keys.join(centre, bucket).where((F.least("own", "own_b") == F.col("level")) & (F.col("root") != F.col("root_b")) & meets)
+        closest = places.groupBy("cluster").agg(F.min(F.struct("off", "node", "root")).alias("x")).select("cluster", *[F.col(f"x.{c}").alias(f"{c}_b") for c in ("off", "node", "root")])
         # so close to the middle, together, that they are surely similar
-        near = places.join(closest, "cluster").where((F.col("node") != F.col("node_b")) & (F.col("off") + F.col("off_b") <= 1e-9))
-        return keys.select(F.col("node").alias("a"), F.col("node_c").alias("b")).union(near.select("node", "node_b")).distinct()
+        near = places.join(closest, "cluster").where((F.col("root") != F.col("root_b")) & (F.col("off") + F.col("off_b") <= 1e-9))
+        return apart.select(F.col("node").alias("a"), F.col("node_b").alias("b")).union(near.select("node", "node_b")).distinct()
 
     def all_left(roots: DataFrame) -> DataFrame:
-        keys = still_mixed(roots).select(*bucket, "node", "own", "root")
-        again = keys.withColumnsRenamed({c: f"{c}_b" for c in ("node", "own", "root")})
+        left = able(rooted(roots))
+        # of two roots one isn't the largest: members of the largest don't meet each other
+        largest = left.groupBy("cluster", "root").agg(F.count("*").alias("times")).groupBy("cluster").agg(F.max(F.struct("times", "root")).alias("x"))
+        keys = with_keys(left.join(largest, "cluster").select("cluster", *facts, (F.col("root") == F.col("x.root")).alias("main")))
+        again = keys.withColumnsRenamed({c: f"{c}_b" for c in (*facts, "main")})
         # pairs meet at the lower one's level
-        apart = keys.join(again, bucket).where((F.least("own", "own_b") == F.col("level")) & (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-        low = rare.join(keyed().where("level = 0 and own = 0").select("node"), "node").join(roots, "node")
-        rest = rare.join(roots, "node").withColumnsRenamed({c: f"{c}_b" for c in columns})
-        return apart.union(meeting(low, rest)).distinct()
+        apart = keys.where("not main").join(again, bucket).where((F.least("own", "own_b") == F.col("level")) & (F.col("main_b") | (F.col("node") < F.col("node_b"))) & (F.col("root") != F.col("root_b")) & meets)
+        ends = rare.join(left.select(*facts), "node")
+        rest = ends.withColumnsRenamed({c: f"{c}_b" for c in (*columns, "own", "off", "reach")})
+        return apart.select(F.col("node").alias("a"), F.col("node_b").alias("b")).union(meeting(ends.where("own = 0"), rest, meets)).distinct()
 
     return [first_few, by_centres, all_left]
 
 
 def difference_keys(batches: Iterator[pa.RecordBatch], similarity: float, seed: int) -> Iterator[pa.RecordBatch]:
-    """``(node, cluster, off, own, level, key)`` from ``(node, cluster, n, hashes, middle, told)``.
+    """``(node, cluster, off, reach, own, keys)`` from ``(node, cluster, n, hashes, middle, told)``.
 
     The middle of a cluster are the shingles that most of its members have. Let d be the
     number of shingles in which a text differs from it. Texts a and b of n and m shingles
@@ -383,7 +405,12 @@ def difference_keys(batches: Iterator[pa.RecordBatch], similarity: float, seed:
     differences are alike at least ``q / (2 - q)``. So each text has a level by its q, and
     bands of MinHash values of its differences for its own level and all below; a pair
     meets at the lower level of the two with probability 0.9999. At level 0 nothing is
-    known of what is shared; there is one row of it for each text, with no key.
+    known of what is shared; there are no keys for it.
+
+    Differences that can't be shared, p, all tell a pair apart, as do at least
+    ``|s(a) - s(b)|`` of the others. So a pair can be similar only if ``p(a) + p(b) +
+    |s(a) - s(b)|`` is no more than the bound above: if neither ``off``, which is ``s + p -
+    n (1 - t) / (1 + t)``, is above the other's ``reach = s - p + n (1 - t) / (1 + t)``.
 
     ``hashes`` are the shingles that some other member has too, ``n`` the number of all.
     Without a middle the texts themselves are compared.
@@ -396,29 +423,36 @@ def difference_keys(batches: Iterator[pa.RecordBatch], similarity: float, seed:
     draw = np.random.default_rng(seed + 1)
     factors, terms = (draw.integers(0, 2**64, (count, 1), np.uint64, endpoint=False) for _ in range(2))
     factors |= np.uint64(1)
+    counts = np.array([bands for _, _, bands in plan], np.int32)
     for batch in batches:
+        offs, reaches, owns, ends, keys = [], [], [], [0], []
         for i in range(batch.num_rows):
-            node, cluster, n = (batch.column(k)[i].as_py() for k in range(3))
+            n = batch.column(2)[i].as_py()
             hashes, middle = (batch.column(k)[i].values for k in (3, 4))
             hashes = hashes.to_numpy().view(np.uint64)
             middle = np.empty(0, np.uint64) if middle is None else middle.to_numpy().view(np.uint64)
             told = np.array(batch.column(5)[i].as_py() or [], bool)
             absent = ~np.isin(middle, hashes)
             more = np.setdiff1d(hashes, middle)
-            off = n - len(hashes) + len(more) + int(absent.sum()) - n * (1 - similarity) / (1 + similarity)
             differs = np.concatenate([more, ~middle[absent & told]])
+            alone, allowed = n - len(hashes) + int((absent & ~told).sum()), n * (1 - similarity) / (1 + similarity)
+            off = len(differs) + alone - allowed
             own = sum(off >= q * len(differs) for q, _, _ in plan) if len(differs) and off > 0 else 0
-            rows = [(0, 0)]
             if own:
                 least = np.full(count, 2**64 - 1, np.uint64)
                 for at in range(0, len(differs), 128):
                     np.minimum(least, (differs[at : at + 128] * factors + terms).min(axis=1), out=least)
                 least >>= np.uint64(32)
-                rows += [(k + 1, xxh3_64_intdigest(least[j * r : (j + 1) * r].tobytes(), j) - (1 << 63)) for k, (_, r, bands) in enumerate(plan[:own]) for j in range(bands)]
-            elif off > 0 and not len(differs):
-                own = -1  # nothing that it could share: no partner
-            size = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * size, t) for x, t in ((node, pa.int64()), (cluster, pa.int64()), (off, pa.float64()), (own, pa.int32()))] + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["node", "cluster", "off", "own", "level", "key"])
+                keys.append(np.array([xxh3_64_intdigest(least[j * r : (j + 1) * r].tobytes(), j) - (1 << 63) for _, r, bands in plan[:own] for j in range(bands)], np.int64))
+            ends.append(ends[-1] + int(counts[:own].sum()))
+            if off > 0 and not len(differs):
+                own = -1  # nothing that it could share: no partner but near the middle
+            offs.append(off)
+            reaches.append(len(differs) - alone + allowed)
+            owns.append(own)
+        levels = [np.repeat(np.arange(1, own + 1, dtype=np.int32), counts[:own]) for own in owns if own > 0]
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int32), *levels])), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))], names=["level", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offs, pa.float64()), pa.array(reaches, pa.float64()), pa.array(owns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["node", "cluster", "off", "reach", "own", "keys"])
 
 
 def hopeful(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:

@@ -258,3 +258,59 @@ def test_edits_of_one_text_are_joined_through_it_without_all_pairs(spark, monkey
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert [r.doc_id for r in simhash.deduplicate(rows).collect()] == [0]
     assert set(slow_groups(texts)) == {0} and sum(sizes) < 80 * 79 / 4
+
+
+def far_and_near_edits(count=150, words=150):
+    """A text and edits of it, from one word changed to a fifth of them: those near it are one group, the others alone."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for i in range(count):
+        copy = list(base)
+        for at in rng.sample(range(words), 1 + i * 30 // count):
+            copy[at] = rng.choice(("the", "of", "and", "thing", "other"))
+        out.append(" ".join(copy))
+    return out
+
+
+def test_far_edits_meet_few_of_a_group_of_near_ones(spark):
+    texts = far_and_near_edits()
+    groups, sets = slow_groups(texts), [shingles(t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    members = rows.select("node", F.lit(0).cast("long").alias("cluster"))
+    steps = simhash.rare_pairs(members, simhash.shingle_sets(rows, 5), 0.8)
+    roots = spark.createDataFrame(list(enumerate(groups)), "node long, root long")
+    met = {tuple(sorted(r)) for r in steps[2](roots).collect()}
+    across = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if groups[i] != groups[j]]
+    assert met <= set(across) and len(met) < len(across) / 20, (len(met), len(across))
+    # a text taken out of its group meets one of it again
+    alone = max(i for i, g in enumerate(groups) if g == 0)
+    cut = spark.createDataFrame([(i, 10**6 if i == alone else g) for i, g in enumerate(groups)], "node long, root long")
+    again = {tuple(sorted(r)) for step in steps[1:] for r in step(cut).collect()}
+    assert any(alone in p and len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]]) for p in again)
+
+
+def test_similar_texts_are_within_reach_of_each_other():
+    import pyarrow as pa
+
+    texts = far_and_near_edits(60) + edits(20, 3, 120)
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    times = defaultdict(int)
+    for h in itertools.chain(*map(set, hashes)):
+        times[h] += 1
+    middle = [h for h in times if 2 * times[h] > len(texts)]
+    signed = lambda x: [simhash.signed(int(h)) for h in x]
+    rows = [(i, 0, len(h), signed(x for x in h if times[x] > 1), signed(middle), [times[x] <= len(texts) - 2 for x in middle]) for i, h in enumerate(hashes)]
+    names = ["node", "cluster", "n", "hashes", "middle", "told"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    (got,) = simhash.difference_keys(iter([batch]), 0.8, 42)
+    got = got.to_pylist()
+    apart = 0
+    for a, b in itertools.combinations(got, 2):
+        x, y = set(hashes[a["node"]]), set(hashes[b["node"]])
+        able = a["off"] <= b["reach"] + 1e-9 and b["off"] <= a["reach"] + 1e-9
+        assert able or len(x & y) < 0.8 * len(x | y)
+        apart += not able
+    assert apart > len(texts) ** 2 / 8
+    assert all(len(r["keys"]) >= 143 for r in got if r["own"] > 0) and all(not r["keys"] for r in got if r["own"] <= 0)
