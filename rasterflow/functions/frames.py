@@ -123,11 +123,47 @@ def order_key(value: Column) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value.cast("double")), F.when(value < 0, -finite).otherwise(finite)).cast("long")
 
 
+def exact_mean(df: DataFrame, keys: list[str], value: Column, count: Column, out: str = "mean", total: str = "n") -> DataFrame:
+    """``(*keys, total, out)`` of each group: the number of values and their mean, each value taken ``count`` times.
+
+    The mean has the same bits in whatever order rows are added: values of one exponent are
+    summed as whole numbers, the two halves of their mantissas apart, and the at most 2047
+    exponents of a group are put together in their order, with what each addition rounds off
+    kept. It is rounded once where all values have one exponent. Infinite values and NaN give
+    what plain doubles give. A group may have 2 to the 36 values; more raise an overflow.
+    """
+    power, high, low, n, parts, odd, bits, v = fresh(df, "_power", "_high", "_low", "_n", "_parts", "_odd", "_bits", "_v")
+    half, frac = F.lit(1 << 27), F.lit((1 << 52) - 1)
+    rows = df.withColumn(v, value.cast("double")).withColumn(n, count.cast("long")).withColumn(bits, order_key(F.col(v)))
+    size = F.abs(bits)
+    mantissa = (size.bitwiseAND(frac) + F.when(size > frac, F.lit(1 << 52)).otherwise(F.lit(0))) * F.signum(bits).cast("long")
+    rows = rows.withColumn(power, F.greatest(F.shiftright(size, 52), F.lit(1))).withColumn(high, F.floor(mantissa / half).cast("long")).withColumn(low, mantissa - F.col(high) * half)
+    sums = rows.groupBy(*keys, power).agg(F.sum(F.col(high) * F.col(n)).alias(high), F.sum(F.col(low) * F.col(n)).alias(low), F.sum(n).alias(n), F.sum(F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.col(v))).alias(odd))
+    whole = sums.groupBy(*keys).agg(F.sum(n).alias(n), F.sum(odd).alias(odd), F.array_sort(F.collect_list(F.struct(F.col(power), (F.col(high).cast("decimal(28,0)") * half.cast("decimal(9,0)") + F.col(low)).cast("decimal(38,0)").alias("sum")))).alias(parts))
+    times = F.col(n).cast("decimal(20,0)")
+
+    def terms(p: Column) -> Column:
+        """A sum divided by the number of values: the quotient, which is whole, and the rest."""
+        quotient = F.floor(p["sum"] / times).cast("decimal(20,0)")
+        unit = F.pow(F.lit(2.0), p[power].cast("double") - 1075)
+        return F.struct((quotient.cast("double") * unit).alias("q"), ((p["sum"] - quotient * times).cast("double") / F.col(n).cast("double") * unit).alias("r"))
+
+    def added(state: Column, t: Column) -> Column:
+        s = state["s"] + t["q"]
+        b = s - state["s"]
+        return F.struct(s.alias("s"), (state["c"] + ((state["s"] - (s - b)) + (t["q"] - b)) + t["r"]).alias("c"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    mean = F.aggregate(F.transform(parts, terms), zero, added, lambda e: e["s"] + e["c"])
+    return whole.select(*keys, F.col(n).alias(total), F.coalesce(odd, mean).alias(out))
+
+
 def counted_median(df: DataFrame, keys: list[str], value: str, out: str = "median", most: int = 10_000) -> DataFrame:
     """``(*keys, n, mean, std, out)`` of each group: number of values, mean, population deviation, exact median.
 
     For groups of any size: equal values are counted first, so a group spreads over as many
-    tasks as it has different values. Then the middle is selected by counting passes: values
+    tasks as it has different values. Mean and deviation don't depend on the order of rows:
+    see :func:`exact_mean`. Then the middle is selected by counting passes: values
     are taken as 64 bits in order, a histogram of their upper 16 bits finds the values next
     to the middle, and so on with the bits below, until no group has more than ``most``
     different values left. Null and NaN are missing; groups without values are absent.
@@ -138,13 +174,13 @@ def counted_median(df: DataFrame, keys: list[str], value: str, out: str = "media
     v = F.col(value).cast("double")
     counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias(value)).agg(F.count("*").alias(n))
     left = written(counted.withColumn(bits, order_key(F.col(value))), "values")
-    sums = left.groupBy(*keys).agg(F.sum(n).alias(total), F.try_divide(F.sum(F.col(value) * F.col(n)), F.sum(n)).alias(mean))
-    sums = written(sums, "value-sums")
+    sums = written(exact_mean(left, keys, F.col(value), F.col(n), mean, total), "value-sums")
     names = [f"{part}_{i}" for i in range(len(keys))]
     on = lambda b: reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(b[a]) for k, a in zip(keys, names, strict=True)])
     renamed = lambda d: d.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, names, strict=True)], *[c for c in d.columns if c not in keys])
     other = renamed(sums)
-    spread = left.join(other, on(other)).groupBy(*keys).agg(F.first(total).alias("n"), F.first(mean).alias("mean"), F.sqrt(F.sum(F.pow(F.col(value) - F.col(mean), 2) * F.col(n)) / F.first(total)).alias("std"))
+    squares = exact_mean(left.join(other, on(other)), [*keys, mean], F.pow(F.col(value) - F.col(mean), 2), F.col(n), part, total)
+    spread = squares.select(*keys, F.col(total).alias("n"), F.col(mean).alias("mean"), F.sqrt(part).alias("std"))
     # rows of a group that lie below those that are left
     below = sums.select(*keys, total, F.lit(0).cast("long").alias(before))
     middle = lambda lo, hi: (F.expr(f"(`{total}` - 1) div 2") < hi) & (F.expr(f"`{total}` div 2") >= lo)
